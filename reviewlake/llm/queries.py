@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, simhash
+from . import decontaminate, pieces, pii, quality, sharding, simhash, urls, warc
 from .common import is_training_row, read_table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -19,6 +19,19 @@ def op1_gam_quality(spark, sf_dir):
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op2_url_reputation(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), labels).drop("url")
+
+
+def op4_warc_revisits(spark, sf_dir):
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
+def op6_extendible_hashing(spark, sf_dir):
+    return sharding.shards(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(docs, public_tokenizers.path(MODEL_FILE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -38,5 +51,5 @@ def op9_skip_chain_crf(spark, sf_dir):
     return pii.find(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_gam_quality, op5_sentencepiece, op7_wu_manber, op8_simhash, op9_skip_chain_crf)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf)}
+ORACLE_SQL = {"op2_url_reputation": urls.SQL, "op4_warc_revisits": warc.SQL, "op6_extendible_hashing": sharding.SQL}
