@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, sharding, simhash, urls, warc
+from . import decontaminate, jpeg, pieces, pii, quality, sharding, simhash, urls, warc
 from .common import is_training_row, read_table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op2_url_reputation(spark, sf_dir):
     return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), labels).drop("url")
 
 
+def op3_progressive_jpeg(spark, sf_dir):
+    return jpeg.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_revisits(spark, sf_dir):
     return warc.archived(read_table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op9_skip_chain_crf(spark, sf_dir):
     return pii.find(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf)}
+QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op3_progressive_jpeg, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf)}
 ORACLE_SQL = {"op2_url_reputation": urls.SQL, "op4_warc_revisits": warc.SQL, "op6_extendible_hashing": sharding.SQL}
