@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, jpeg, pieces, pii, quality, sharding, simhash, urls, warc
+from . import decontaminate, jpeg, lm, pieces, pii, quality, sharding, simhash, urls, warc
 from .common import is_training_row, read_table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -55,5 +55,13 @@ def op9_skip_chain_crf(spark, sf_dir):
     return pii.find(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op3_progressive_jpeg, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf)}
+#: the sources taken for the target domain
+TARGET_SOURCES = ("src1", "src2", "src3")
+
+
+def op10_cross_entropy_difference(spark, sf_dir):
+    return lm.score(read_table(spark, sf_dir, "documents"), F.col("source").isin(*TARGET_SOURCES))
+
+
+QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op3_progressive_jpeg, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf, op10_cross_entropy_difference)}
 ORACLE_SQL = {"op2_url_reputation": urls.SQL, "op4_warc_revisits": warc.SQL, "op6_extendible_hashing": sharding.SQL}
