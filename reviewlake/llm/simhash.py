@@ -7,10 +7,11 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, add_columns, materialise, without
+from .common import ASCII_LOWER, add_columns, materialise
 
 
 def fingerprint(text: bytes | None, k: int = 3, seed: int = 42) -> int:
@@ -121,10 +122,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest id. Rows without an id are dropped; of rows that repeat an
-    id, the one with the smallest text stays."""
-    kept = near_duplicates(docs, id_col, text).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    from pyspark.sql import Window as W
+    id, the one with the smallest text stays.
 
+    The ids to keep are few bytes a row, so a hash table of a partition's ids is built and the texts stream by, unsorted.
+    Only texts of repeated ids, where there are any, are sorted.
+    """
+    kept = near_duplicates(docs, id_col, text).filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = materialise(kept, "kept")
+    out = docs.join(kept.filter("_copies = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+    again = kept.filter("_copies > 1").select(id_col)
+    if again.isEmpty():
+        return out
     mine = W.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last())
     rank = "_rank_in_id"
-    return without(docs.join(kept, id_col, "left_semi").withColumn(rank, F.row_number().over(mine)).filter(F.col(rank) == 1), rank).select(*docs.columns)
+    one = docs.join(again, id_col, "left_semi").withColumn(rank, F.row_number().over(mine)).filter(F.col(rank) == 1)
+    return out.unionByName(one.select(*docs.columns))
