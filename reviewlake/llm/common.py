@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,16 +59,27 @@ def add_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            if not pa.types.is_binary(column.type):
-                column = column.cast(pa.binary())
-            new = work(column.to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(v, t) for v, t in zip(new, types, strict=True)], names=names)
+        for whole in batches:
+            for batch in slices(whole, text):
+                column = batch.column(batch.schema.get_field_index(text))
+                if not pa.types.is_binary(column.type):
+                    column = column.cast(pa.binary())
+                new = work(column.to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(v, t) for v, t in zip(new, types, strict=True)], names=names)
 
     return df.mapInArrow(run, out)
 
 
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about `limit` bytes of one column, so that what a task holds at a time doesn't follow the length of the
+    texts; a longer text goes alone. An empty batch stays one part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // limit
+    cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

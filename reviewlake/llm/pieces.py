@@ -29,7 +29,7 @@ class Encoder:
     token for each prefix and walking back from the end recovers the ids, in time linear in the text.
     """
 
-    def __init__(self, model_file: str, remember: int = 500_000):
+    def __init__(self, model_file: str, remember: int = 250_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
@@ -286,8 +286,9 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
     return add_columns(docs, text, [(out, T.ArrayType(T.IntegerType()))], make)
 
 
-def digests(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of decode(ids) in UTF-8).
+def digests(docs: DataFrame, model_file: str, text: str = "text", ids_too: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of decode(ids) in UTF-8), and with
+    the ids themselves where asked for.
 
     Null is read as the empty text, which has no ids and decodes to the empty text. Texts are encoded whole, however
     long. Rows are encoded one by one; nothing is shuffled. Clashing column names give way.
@@ -297,17 +298,20 @@ def digests(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
         e = encoder(model_file)
 
         def work(texts):
-            n, a, b = [], [], []
+            n, a, b, every = [], [], [], []
             for t in texts:
                 ids = e.encode(text_of(t))
+                if ids_too:
+                    every.append(ids)
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            return [n, a, b]
+            return [n, a, b, every] if ids_too else [n, a, b]
 
         return work
 
-    return add_columns(docs, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make)
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return add_columns(docs, text, fields + [("ids", T.ArrayType(T.IntegerType()))] * ids_too, make)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
