@@ -101,12 +101,29 @@ def ci_page(lines: Column) -> Column:
     return F.struct(layout.alias("layout"), F.regexp_extract(head, r"^CI results for ([^:]+)", 1).alias("ref"), F.when(failed == 0, "PASS").when(failed.isNotNull(), "FAIL").alias("overall"), passed.alias("passed"), failed.alias("failed"), error.alias("error"))
 
 
-def junit(spark: SparkSession, path: str) -> DataFrame:
-    """suite, test, kind (error or failure), message (first non-blank line, 300 characters at most), bucket: environment,
-    timeout or failure."""
-    schema = "_name string, `system-out` string, `system-err` string, testcase array<struct<_classname:string,_name:string,error:struct<_VALUE:string,_message:string>,failure:struct<_VALUE:string,_message:string>>>"
-    x = spark.read.format("xml").option("rowTag", "testsuite").schema(schema).load(path)
-    x = x.select(F.col("_name").alias("suite"), F.concat_ws("\n", "system-out", "system-err").alias("console"), F.explode("testcase").alias("t"))
+SUITE = "_name string, `system-out` string, `system-err` string, testcase array<struct<_classname:string,_name:string,error:struct<_VALUE:string,_message:string>,failure:struct<_VALUE:string,_message:string>>>"
+RULE_FILE = "_name string, violation array<struct<_beginline:int,_endline:int,_rule:string,_ruleset:string,_class:string,_method:string,_VALUE:string>>"
+STYLE_FILE = "_name string, error array<struct<_line:int,_source:string,_message:string>>"
+COVERED_PACKAGE = "_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:int,_ci:int,_mb:int,_cb:int>>>>"
+DUPLICATION = "_lines int, _tokens int, file array<struct<_path:string,_line:int,_endline:int>>"
+RULE_SET = "_name string, rule array<struct<_ref:string>>"
+MODULE = "_name string, property array<struct<_name:string,_value:string>>"
+
+
+def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """One row per element of that tag in the files of path; large files are read in a stream, element by element."""
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+
+def xml_texts(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """The same from a column that holds one element each."""
+    return df.select(F.from_xml(text, schema).alias("_x")).select("_x.*")
+
+
+def junit(suites: DataFrame) -> DataFrame:
+    """suite, test, kind (error or failure), message (the first line that isn't blank, 300 characters at most), bucket: environment,
+    timeout, failure or passed. suites: records of SUITE."""
+    x = suites.select(F.col("_name").alias("suite"), F.concat_ws("\n", "`system-out`", "`system-err`").alias("console"), F.explode("testcase").alias("t"))
     body = F.coalesce(F.col("t.error._VALUE"), F.col("t.failure._VALUE"), F.lit(""))
     text = F.coalesce(F.col("t.error._message"), F.col("t.failure._message"), F.try_element_at(F.filter(F.split(body, "\n"), lambda s: F.trim(s) != ""), F.lit(1)), F.lit(""))
     env = F.concat_ws("\n", "console", body).rlike("(?i)operation not permitted|address already in use")
@@ -115,42 +132,129 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
     return x.select("suite", F.col("t._name").alias("test"), kind.alias("kind"), F.substring(F.trim(text), 1, 300).alias("message"), bucket.alias("bucket"))
 
 
-def rule_report(spark: SparkSession, path: str) -> DataFrame:
-    """file, rule, category (a slug), begin, end, message (spaces collapsed, 200 characters at most) of a rule report."""
-    schema = "_name string, violation array<struct<_beginline:int,_endline:int,_rule:string,_ruleset:string,_class:string,_method:string,_VALUE:string>>"
-    x = spark.read.format("xml").option("rowTag", "file").schema(schema).load(path).select(F.col("_name").alias("file"), F.explode("violation").alias("v"))
+def junit_totals(tests: DataFrame) -> DataFrame:
+    """Per suite: tests run and how many fell in each bucket."""
+    return tests.groupBy("suite").agg(F.count(F.lit(1)).alias("run"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("failure", "timeout", "environment", "passed")])
+
+
+def rule_report(files: DataFrame) -> DataFrame:
+    """file, rule, category (a slug), begin, end, message (spaces collapsed, 200 characters at most). files: records of RULE_FILE."""
+    x = files.select(F.col("_name").alias("file"), F.explode("violation").alias("v"))
     return x.select("file", F.col("v._rule").alias("rule"), F.lower(F.regexp_replace("v._ruleset", r"\s+", "")).alias("category"), F.col("v._beginline").alias("begin"), F.col("v._endline").alias("end"), F.substring(F.trim(F.regexp_replace("v._VALUE", r"\s+", " ")), 1, 200).alias("message"))
 
 
 def method_scores(report: DataFrame) -> DataFrame:
-    """file, method, score of rule rows whose message says `The method 'x' has a ... of N`."""
+    """file, rule, method, score, begin of rule rows whose message says `The method 'x' has a ... of N`."""
     rx = r"(?:method|constructor) '([^']+)' has an? .*? of (\d+)"
     return report.select("file", "rule", F.regexp_extract("message", rx, 1).alias("method"), F.regexp_extract("message", rx, 2).alias("n"), "begin").filter("n <> ''").select("file", "rule", "method", F.col("n").cast("int").alias("score"), "begin")
 
 
-def style_report(spark: SparkSession, path: str) -> DataFrame:
-    """file, rule (last dotted part without Check), line, message; a file without errors keeps one row of nulls."""
-    schema = "_name string, error array<struct<_line:int,_source:string,_message:string>>"
-    x = spark.read.format("xml").option("rowTag", "file").schema(schema).load(path).select(F.col("_name").alias("file"), F.explode_outer("error").alias("e"))
+def style_report(files: DataFrame) -> DataFrame:
+    """file, rule (last dotted part without Check), line, message; a file without errors keeps one row of nulls. files: records of STYLE_FILE."""
+    x = files.select(F.col("_name").alias("file"), F.explode_outer("error").alias("e"))
     return x.select("file", F.regexp_replace(F.element_at(F.split("e._source", r"\."), -1), "Check$", "").alias("rule"), F.col("e._line").alias("line"), F.col("e._message").alias("message"))
 
 
-def coverage_report(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, mi, ci, mb, cb of a coverage report."""
-    schema = "_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:int,_ci:int,_mb:int,_cb:int>>>>"
-    x = spark.read.format("xml").option("rowTag", "package").schema(schema).load(path).select(F.col("_name").alias("p"), F.explode("sourcefile").alias("s"))
+def coverage_report(packages: DataFrame) -> DataFrame:
+    """file, line, mi, ci, mb, cb. packages: records of COVERED_PACKAGE."""
+    x = packages.select(F.col("_name").alias("p"), F.explode("sourcefile").alias("s"))
     x = x.select(F.concat_ws("/", "p", "s._name").alias("file"), F.explode("s.line").alias("l"))
     return x.select("file", F.col("l._nr").alias("line"), F.col("l._mi").alias("mi"), F.col("l._ci").alias("ci"), F.col("l._mb").alias("mb"), F.col("l._cb").alias("cb"))
 
 
-def duplicate_report(spark: SparkSession, path: str) -> DataFrame:
-    """block, tokens, lines, file, line, endline of a duplicate report, one row per occurrence."""
-    schema = "_lines int, _tokens int, file array<struct<_path:string,_line:int,_endline:int>>"
-    x = spark.read.format("xml").option("rowTag", "duplication").schema(schema).load(path)
-    x = x.withColumn("block", F.xxhash64(F.to_json("file"))).select("block", F.col("_tokens").alias("tokens"), F.col("_lines").alias("lines"), F.explode("file").alias("f"))
+def duplicate_report(blocks: DataFrame) -> DataFrame:
+    """block, tokens, lines, file, line, endline, one row per occurrence. blocks: records of DUPLICATION."""
+    x = blocks.withColumn("block", F.xxhash64(F.to_json("file"))).select("block", F.col("_tokens").alias("tokens"), F.col("_lines").alias("lines"), F.explode("file").alias("f"))
     return x.select("block", "tokens", "lines", F.col("f._path").alias("file"), F.col("f._line").alias("line"), F.col("f._endline").alias("endline"))
 
 
+def rule_catalogue(sets: DataFrame, never: tuple[str, ...] = ("CognitiveComplexity", "CyclomaticComplexity", "NPathComplexity")) -> DataFrame:
+    """rule, category of the references of a rule set; complexity rules are left out. sets: records of RULE_SET."""
+    r = sets.select(F.explode("rule").alias("r")).select(F.regexp_extract("r._ref", r"([^/]+)\.xml/(\w+)$", 2).alias("rule"), F.regexp_extract("r._ref", r"([^/]+)\.xml/(\w+)$", 1).alias("category"))
+    return r.filter((F.col("rule") != "") & ~F.col("rule").isin(*never)).distinct()
+
+
+def banned_rules(modules: DataFrame) -> DataFrame:
+    """kind, pattern of style modules that ban line patterns, imports or instantiations. modules: records of MODULE."""
+    p = modules.select(F.col("_name").alias("kind"), F.map_from_entries(F.transform("property", lambda x: F.struct(x["_name"], x["_value"]))).alias("p"))
+    line = p.filter("kind = 'RegexpSinglelineJava'").select("kind", F.col("p")["format"].alias("pattern"))
+
+    def listed(kind, key, before, after):
+        names = F.explode(F.split(F.col("p")[key], r"\s*,\s*"))
+        quoted = lambda n: F.replace(n, F.lit("."), F.lit("\\."))
+        return p.filter((F.col("kind") == kind) & F.col("p")[key].isNotNull()).select("kind", names.alias("n")).select("kind", F.concat(F.lit(before), quoted("n"), F.lit(after)).alias("pattern"))
+
+    imports = listed("IllegalImport", "illegalPkgs", r"import (static )?", r"\.").unionByName(listed("IllegalImport", "illegalClasses", r"import (static )?", r"\b"))
+    return line.unionByName(imports).unionByName(listed("IllegalInstantiation", "classes", r"new ", r"\b"))
+
+
+def tickets(df: DataFrame, fields: DataFrame, wanted: dict[str, str], text: str = "value") -> DataFrame:
+    """key and the wanted fields of landed tickets; a custom field is found by its name through the (id, name) dimension.
+
+    wanted: output column to field name or id. The dimension has one row per field of the tracker.
+    """
+    t = df.select(F.from_json(text, "key string, fields map<string,string>").alias("t")).select("t.key", "t.fields")
+    ids = fields.select("id", F.lower("name").alias("name")).filter(F.col("name").isin(*[w.lower() for w in wanted.values()]))
+    one = ids.agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))  # one row, as many entries as wanted fields
+    t = t.join(F.broadcast(one))
+    cols = [F.coalesce(F.try_element_at("fields", F.try_element_at("_ids", F.lit(w.lower()))), F.try_element_at("fields", F.lit(w))).alias(c) for c, w in wanted.items()]
+    return t.select("key", *cols)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_values(text: pd.Series) -> pd.Series:
+    """JSON values printed back to back, nested lists flattened; what follows the first unreadable character is left out."""
+    import json
+
+    def one(s):
+        out, at, d = [], 0, json.JSONDecoder()
+
+        def put(v):
+            if isinstance(v, list):
+                for x in v:
+                    put(x)
+            else:
+                out.append(json.dumps(v, sort_keys=True))
+
+        s = s or ""
+        while at < len(s):
+            if s[at].isspace():
+                at += 1
+                continue
+            try:
+                v, at = d.raw_decode(s, at)
+            except ValueError:
+                break
+            put(v)
+        return out
+
+    return text.map(one)
+
+
+def selected_cases(cases: DataFrame, selector: str) -> DataFrame:
+    """Cases by all, a full id, a short id (before the hyphen), or a comma list of them, in request order."""
+    if selector == "all":
+        return cases.withColumn("ord", F.lit(0))
+    spark = cases.sparkSession
+    want = spark.createDataFrame([(k, s.strip()) for k, s in enumerate(selector.split(","))], "ord int, want string")
+    hit = (F.col("id") == F.col("want")) | (F.split_part("id", F.lit("-"), F.lit(1)) == F.col("want"))
+    return cases.join(F.broadcast(want), hit).groupBy(*cases.columns).agg(F.min("ord").alias("ord"))
+
+
+def case_error(url: Column, terms: Column, severity: Column, lines: Column) -> Column:
+    """The first rule that a benchmark case breaks; null for none."""
+    return F.coalesce(F.when(~F.coalesce(url.rlike("^https?://"), F.lit(False)), "url"), F.when(F.coalesce(F.size(terms), F.lit(0)) < 1, "terms"), F.when(~severity.isin("blocker", "major", "minor", "nit"), "severity"), F.when(lines.isNotNull() & ((F.size(lines) != 2) | (lines[0] > lines[1])), "lines"))
+
+
+def write_latest(bundles: DataFrame, path: str) -> None:
+    """Write bundles by change and head; the latest of each change is a query over them (see latest)."""
+    bundles.write.mode("append").partitionBy("pr").parquet(path)
+
+
+def latest(bundles: DataFrame) -> DataFrame:
+    return bundles.groupBy("pr").agg(F.max_by(F.struct(*[c for c in bundles.columns if c != "pr"]), F.struct("fetched_at", "head")).alias("b")).select("pr", "b.*")
+
+
 def reviewer_output(text: Column) -> Column:
     """The JSON of a reviewer's reply: the inside of a code fence, else the outermost braces; null where it is none."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
