@@ -14,7 +14,7 @@ class PathRules:
     """Prefixes, infixes and suffixes of each kind of path. Defaults are fixed values of the layout reviewed."""
 
     prod: tuple[str, ...] = ("src/java/", "pylib/")
-    test: tuple[str, ...] = ("test/", "pylib/cqlshlib/test/")
+    test: tuple[str, ...] = ("test/",)
     test_inside: str = "/test/"
     resource: tuple[str, ...] = ("test/resources/", "test/data/", "test/conf/")
     generated: tuple[str, ...] = ("src/gen-java/",)
@@ -26,7 +26,7 @@ class PathRules:
     build: tuple[str, ...] = (".build/", ".circleci/", ".jenkins/", "build.xml", "ide/", ".github/")
     suites: tuple[tuple[str, str], ...] = (
         ("test/unit/", "unit"), ("test/distributed/", "distributed"), ("test/burn/", "burn"), ("test/long/", "long"), ("test/microbench/", "microbench"), ("test/simulator/", "simulator"),
-        ("test/harry/", "harry"), ("test/memory/", "memory"), ("test/anttasks/", "anttasks"), ("pylib/cqlshlib/test/", "cqlsh"),
+        ("test/harry/", "harry"), ("test/memory/", "memory"), ("test/anttasks/", "anttasks"),
     )
     marker: str = "org/project/"
     code: tuple[str, ...] = (".java", ".py", ".g", ".sh", ".xml", ".yaml")

@@ -1,4 +1,4 @@
 """Registered queries: operators bound to tables, each with its SQL."""
 
-from . import changes, deltas, evidence, findings, reports, scalar, selection, verdicts  # noqa: F401
+from . import changes, deltas, evidence, findings, reports, scalar, selection, streams, verdicts  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401

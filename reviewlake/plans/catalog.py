@@ -79,13 +79,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: table(spark, sf_dir, n) for n in inner})
 
 
+class Tables:
+    """Gives the given tables and the views over them by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
 def query(sql: str | None = None):
-    """Register a function of (t) as a query, t giving tables and views by name, and its SQL."""
+    """Register a function of Tables as a query, and its SQL."""
 
     def put(f):
         name = f.__name__
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: f(lambda n: table(spark, sf_dir, n))
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[name] = oracle(sql)
         return f

@@ -24,7 +24,7 @@ def identifiers_sql(text: str) -> str:
     return f"list_sort(list_distinct(list_filter({parts}, lambda p: regexp_matches(p, '[a-z][A-Z]') OR regexp_matches(p, '^[A-Z]{{2,}}[a-z]') OR contains(p, '.'))))"
 
 
-@query(rf"""SELECT file_id, starts_with(path, 'test/') OR contains(path, '/test/') OR starts_with(path, 'pylib/cqlshlib/test/') AS test, regexp_matches(path, '^test/(resources|data|conf)/') AS resource,
+@query(rf"""SELECT file_id, starts_with(path, 'test/') OR contains(path, '/test/') AS test, regexp_matches(path, '^test/(resources|data|conf)/') AS resource,
  regexp_matches(path, '^src/gen-java/|/gen/|\.(db|bin)$') AS generated, regexp_matches(path, '^doc/') OR (regexp_matches(path, '\.(adoc|md)$') AND NOT starts_with(path, 'src/')) AS doc,
  regexp_matches(path, '^(\.build/|\.circleci/|\.jenkins/|build\.xml|ide/|\.github/)') AS build, regexp_matches(path, '^(src/java|pylib)/') AND NOT regexp_matches(path, '^test/|/test/') AS prod, {KIND_SQL} AS kind FROM {{paths}}""")
 def prj1_prj2_path_kinds(t):

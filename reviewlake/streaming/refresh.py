@@ -25,19 +25,43 @@ def to_refresh(stream: DataFrame, published: DataFrame, late: str = "30 days") -
     return j.filter(F.col("published_head").isNull() | (F.col("published_head") != F.col("head"))).drop("published_head")
 
 
+def without_stale_drafts(stream: DataFrame, now: str, days: int = 30) -> DataFrame:
+    """Updates but for drafts not touched in `days` days before now."""
+    stale = F.col("draft") & (F.col("updated_at") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    return stream.filter(~F.coalesce(stale, F.lit(False)))
+
+
+def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream's rows to Parquet files until all that has landed is through, each once even over restarts."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STANDING = "pr long, head string, has_results boolean, seq long, updated_at timestamp"
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the versions under target, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+    return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+
+def standing(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of the standing reports; empty before the first."""
+    last = versions(spark, target)[-1:]
+    return spark.read.schema(STANDING).parquet(*[f"{target}/v{v}" for v in last]) if last else spark.createDataFrame([], STANDING)
+
+
 def upsert(target: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
     """A batch writer that keeps the standing report of each change under target/v<batch>: the last state and the batch's
     arrivals, in order. A batch that is written again gives the same version, so a restart does no harm."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fs = spark._jvm.org.apache.hadoop.fs
-        root = fs.Path(target)
-        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = sorted(int(s.getPath().getName()[1:]) for s in (system.listStatus(root) if system.exists(root) else []) if s.getPath().getName().startswith("v"))
-        before = [v for v in old if v < number]
+        before = [v for v in versions(spark, target) if v < number]
         rows = batch.select("pr", "head", "has_results", "seq", "updated_at")
         if before:
-            rows = spark.read.parquet(f"{target}/v{before[-1]}").unionByName(rows)
+            rows = spark.read.schema(STANDING).parquet(f"{target}/v{before[-1]}").unionByName(rows)
         keep_richer(rows).write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return write
