@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .joins import tags
-from .ranking import latest, top_k
+from .ranking import latest
 
 
 def guess_branch(texts: list[Column], hints: list[tuple[str, str]]) -> Column:
@@ -17,17 +17,29 @@ def guess_branch(texts: list[Column], hints: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), b) for t in texts for p, b in hints])
 
 
-def siblings(changes: DataFrame, key: str = "key") -> DataFrame:
-    """(pr, sibling, is_self) of changes with the same resolved key."""
+def ticket_groups(changes: DataFrame, key: str = "key") -> DataFrame:
+    """pr, key, size, first: each change's group of changes with its resolved key, by its size and least member. A group with a
+    great many changes is never spelt out in pairs."""
     a = changes.filter(F.col(key).isNotNull())
-    b = a.select(key, F.col("pr").alias("sibling"), F.col("base").alias("sibling_base"), F.col("state").alias("sibling_state"))
-    return a.select("pr", key).join(b, key).withColumn("is_self", F.col("pr") == F.col("sibling"))
+    g = a.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("pr").alias("first"))
+    return a.select("pr", key).join(g, key)
 
 
-def targeted_branches(sib: DataFrame, open_state: str = "O") -> DataFrame:
-    """The first own or open sibling per change and base branch."""
-    live = sib.filter(F.col("is_self") | (F.col("sibling_state") == open_state))
-    return top_k(live, ["pr", "sibling_base"], [F.col("is_self").desc(), F.col("sibling").asc()], 1).drop("rank")
+def siblings_of(wanted: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
+    """(pr, key, sibling, is_self) for stated changes: all that share the resolved key of each."""
+    other = changes.filter(F.col(key).isNotNull()).select(key, F.col("pr").alias("sibling"))
+    return wanted.select("pr", key).join(other, key).withColumn("is_self", F.col("pr") == F.col("sibling"))
+
+
+def targeted_branches(changes: DataFrame, key: str = "key", open_state: str = "O") -> DataFrame:
+    """pr, base, sibling: the own change and the first open sibling on each other base branch. A ticket's open changes are first
+    cut down to one per branch, so a change meets as many rows as there are branches."""
+    a = changes.filter(F.col(key).isNotNull())
+    heads = a.filter(F.col("state") == open_state).groupBy(key, "base").agg(F.min("pr").alias("sibling"))
+    own = a.select("pr", F.col("base"), F.col("pr").alias("sibling"))
+    mine = a.select("pr", key, F.col("base").alias("_own"))
+    others = mine.join(heads, key).filter(F.col("base") != F.col("_own")).select("pr", "base", "sibling")
+    return own.unionByName(others)
 
 
 def map_ci(runs: DataFrame, changes: DataFrame, hints: list[tuple[str, str]]) -> DataFrame:

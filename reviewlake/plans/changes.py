@@ -37,15 +37,21 @@ def jon2_jon3_sensitive_files(t):
     return files.filter(P.is_prod(F.col("path")) & J.matches_any(F.col("path"), [r"/db/blue_", r"^pylib/.*green"]))
 
 
-@query(RESOLVED_SQL + " SELECT a.pr, a.key, b.pr AS sibling, a.pr = b.pr AS is_self FROM k2 a JOIN k2 b ON a.key = b.key")
+@query(RESOLVED_SQL + " SELECT pr, key, count(*) OVER (PARTITION BY key) AS size, min(pr) OVER (PARTITION BY key) AS first FROM k2 WHERE key IS NOT NULL")
+def jon4_ticket_groups(t):
+    return C.ticket_groups(keyed(t)).select("pr", "key", "size", "first")
+
+
+@query(RESOLVED_SQL + " SELECT a.pr, a.key, b.pr AS sibling, a.pr = b.pr AS is_self FROM k2 a JOIN k2 b ON a.key = b.key WHERE a.pr % 20 = 0")
 def jon4_siblings(t):
-    return C.siblings(keyed(t)).select("pr", "key", "sibling", "is_self")
+    c = keyed(t)
+    return C.siblings_of(c.filter("pr % 20 = 0"), c).select("pr", "key", "sibling", "is_self")
 
 
 @query(RESOLVED_SQL + """, s AS (SELECT a.pr, b.pr AS sibling, c.base, c.state FROM k2 a JOIN k2 b ON a.key = b.key JOIN {changes} c ON c.pr = b.pr WHERE a.pr = b.pr OR c.state = 'O')
 SELECT pr, base, first(sibling ORDER BY sibling <> pr, sibling) AS sibling FROM s GROUP BY pr, base""")
 def jon7_targeted_branches(t):
-    return C.targeted_branches(C.siblings(keyed(t))).select("pr", F.col("sibling_base").alias("base"), "sibling")
+    return C.targeted_branches(keyed(t))
 
 
 @query(f"WITH h AS (SELECT head AS sha, min(base) AS b FROM {{changes}} GROUP BY head) SELECT seq, coalesce(b, {HINT_SQL}) AS target_branch, CASE WHEN b IS NOT NULL THEN 'head' WHEN {HINT_SQL} IS NOT NULL THEN 'name' END AS mapped_by FROM {{ci_runs}} LEFT JOIN h USING (sha)")
@@ -80,7 +86,7 @@ pt AS (SELECT ag.*, coalesce(branches, 1) AS br, (CASE WHEN lines > 1000 THEN 4
 
 
 def rated(t):
-    target = C.targeted_branches(C.siblings(keyed(t))).groupBy("pr").agg(F.count(F.lit(1)).alias("branches"))
+    target = C.targeted_branches(keyed(t)).groupBy("pr").agg(F.count(F.lit(1)).alias("branches"))
     s = C.triage_signals(t("changed_files")).join(target, "pr", "left").fillna({"branches": 1})
     return C.triage_rating(s)
 
