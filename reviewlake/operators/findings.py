@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import checkpointed, materialise
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
 
 def pair_scores(findings: DataFrame, cfg: Merge = Merge()) -> DataFrame:
     """pr, i, j, text and total score of every candidate pair, rounded to nine digits so that ties are ties."""
-    sets = token_sets(findings)
+    sets = materialise(token_sets(findings), "token-sets")  # read three times below
     names = ["pi", "pw", "fi", "path", "line"]
     left = sets.select("pr", F.col("idx").alias("i"), *[F.col(n).alias(f"a_{n}") for n in names])
     right = sets.select("pr", F.col("idx").alias("j"), *[F.col(n).alias(f"b_{n}") for n in names])
@@ -126,11 +127,11 @@ def issues(findings: DataFrame, membership: DataFrame) -> DataFrame:
 
 def connected(e: DataFrame, rounds: int = 30) -> DataFrame:
     """(pr, idx, root) of unconstrained components, by least label spreading; checkpointed each round."""
-    both = e.select("pr", "i", "j").unionByName(e.select("pr", F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
+    both = checkpointed(e.select("pr", "i", "j").unionByName(e.select("pr", F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     labels = both.select("pr", "i", F.col("i").alias("root")).distinct()
     for _ in range(rounds):
         near = both.join(labels.select("pr", F.col("i").alias("j"), "root"), ["pr", "j"]).groupBy("pr", "i").agg(F.min("root").alias("near"))
-        new = labels.join(near, ["pr", "i"]).select("pr", "i", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")).checkpoint()
+        new = checkpointed(labels.join(near, ["pr", "i"]).select("pr", "i", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")))
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             return labels.withColumnRenamed("i", "idx")

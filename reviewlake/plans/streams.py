@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..shared import new_path
 from ..streaming import refresh as S
 from .catalog import Tables, query
 
 
-def folder(t: Tables, name: str) -> str:
-    """A new folder that driver and executors share."""
-    where = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{where}/{name}-{uuid.uuid4().hex}"
-
-
 def events(t: Tables):
     rows = t.spark.readStream.schema(t("events").schema).parquet(f"{t.sf_dir}/events.parque[t]")  # a pattern, so that the table may be a file or a folder
     return rows.select(F.col("user_id").alias("pr"), F.col("event_type").alias("head"), (F.col("event_id") % 4 == 0).alias("draft"), F.col("ts").cast("timestamp").alias("updated_at"), (F.col("value") > 10).alias("has_results"), F.col("event_id").alias("seq"))
@@ -28,23 +20,23 @@ PUBLISHED = "SELECT DISTINCT user_id AS pr, CASE user_id % 3 WHEN 0 THEN 'view'
 @query(f"SELECT DISTINCT user_id AS pr, event_type AS head FROM events LEFT JOIN ({PUBLISHED}) p ON p.pr = user_id WHERE p.head IS NULL OR p.head <> event_type")
 def str1_refresh_stream(t):
     published = t("events").selectExpr("user_id AS pr", "CASE user_id % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' END AS head").filter("head IS NOT NULL").distinct()
-    out = folder(t, "picked")
+    out = new_path(t.spark, "picked")
     picked = S.to_refresh(events(t), published).select("pr", "head")
-    S.append(picked, out, folder(t, "state")).awaitTermination()
+    S.append(picked, out, new_path(t.spark, "state")).awaitTermination()
     return t.spark.read.schema("pr long, head string").parquet(out)
 
 
 @query("SELECT event_id AS seq FROM events WHERE NOT (event_id % 4 = 0 AND ts < TIMESTAMP '2024-02-15' - INTERVAL 30 DAY)")
 def str2_without_stale_drafts(t):
-    out = folder(t, "live")
-    S.append(S.without_stale_drafts(events(t), "2024-02-15").select("seq"), out, folder(t, "state")).awaitTermination()
+    out = new_path(t.spark, "live")
+    S.append(S.without_stale_drafts(events(t), "2024-02-15").select("seq"), out, new_path(t.spark, "state")).awaitTermination()
     return t.spark.read.schema("seq long").parquet(out)
 
 
 @query("""WITH a AS (SELECT user_id AS pr, event_type AS head, value > 10 AS has_results, event_id AS seq FROM events), b AS (SELECT *, lag(head) OVER (PARTITION BY pr ORDER BY seq) IS DISTINCT FROM head AS fresh FROM a), c AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY pr ORDER BY seq) AS run FROM b)
 SELECT pr, head, has_results, seq FROM c QUALIFY row_number() OVER (PARTITION BY pr ORDER BY run DESC, has_results DESC, seq DESC) = 1""")
 def str4_standing_reports(t):
-    out = folder(t, "standing")
-    q = events(t).writeStream.foreachBatch(S.upsert(out, t.spark)).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+    out = new_path(t.spark, "standing")
+    q = events(t).writeStream.foreachBatch(S.upsert(out, t.spark)).option("checkpointLocation", new_path(t.spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return S.standing(t.spark, out).select("pr", "head", "has_results", "seq")
