@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .decontaminate import WORD_BYTES
 
 U = np.uint64
@@ -211,7 +212,7 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
     """
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(target, F.lit(False)).alias("target"), F.col(text).cast("binary").alias("text"))
-    stats = statistics(slim, 1 / hot).checkpoint()
+    stats = checkpointed(statistics(slim, 1 / hot))
     words = stats.filter("kind = 0").agg(F.count(F.when(F.col("words") > 0, 1)), F.sum("background"), F.sum("target")).first()
     vocabulary, all_words, target_words = words[0], words[1] or 0, words[2] or 0
     least = all_words / hot

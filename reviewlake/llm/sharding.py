@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import checkpointed, without
 
 BITS = 60
 
@@ -56,7 +56,7 @@ def shards(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     while True:
         cell = prefix("_h", depth).alias("cell")
         cells = left.groupBy(cell).agg(F.sum("n_bytes").alias("bytes"), F.min("_h").alias("low"), F.max("_h").alias("high"))
-        book = directory(cells, base, depth, limit).checkpoint()
+        book = checkpointed(directory(cells, base, depth, limit))
         placed = left.withColumn("cell", prefix("_h", depth)).join(book, "cell").drop("cell")
         done = placed.filter("depth IS NOT NULL")
         out = done if out is None else out.unionByName(done)

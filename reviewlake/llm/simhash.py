@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, add_columns, materialise
+from .common import ASCII_LOWER, add_columns, checkpointed, materialise
 
 
 def fingerprint(text: bytes | None, k: int = 3, seed: int = 42) -> int:
@@ -80,7 +80,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shrink geometrically. Each round's edges are checkpointed in the shared folder. No group meets in one task: minima are
     combined before the shuffle, and joins with a hot node are ones that Spark may split.
     """
-    edges = edges.select("u", "v").filter("u <> v").checkpoint()
+    edges = checkpointed(edges.select("u", "v").filter("u <> v"))
     before = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -89,7 +89,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        edges = small.unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+        edges = checkpointed(small.unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct())
         # the sum of mixed edges tells whether the set changed; it is one row
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
