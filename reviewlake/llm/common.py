@@ -60,6 +60,15 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         yield batch.slice(a, b - a)
 
 
+def sampled(df: DataFrame, hash_col: str, size: int) -> DataFrame:
+    """About `size` rows of df (all, where it has no more): those whose 64-bit hash is in the lowest share. It takes one count, no
+    sort, and the same rows are chosen wherever they lie."""
+    n = df.count()
+    if n <= size:
+        return df
+    return df.filter(F.col(hash_col) < F.lit(int(-(1 << 63) + (1 << 64) * size // n)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -213,10 +213,12 @@ def text_of(raw: bytes | None) -> str:
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = 2000, max_chars: int = 1 << 15) -> SkipChain:
-    """The model, fitted on base labels of a bounded sample: the `sample` documents of the smallest text hash among
-    those with a digit or at sign and at most max_chars characters. Only the fit looks at a sample; labelling reads all."""
+    """The model, fitted on base labels of a bounded sample: about `sample` documents, those of the lowest text hashes among
+    those with a digit or at sign and at most max_chars characters; equal texts count once. Only the fit looks at a sample;
+    labelling reads all."""
     some = docs.filter(F.col(text).rlike("[0-9@]") & (F.length(text) <= max_chars)).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    rows = some.select("h", "t").orderBy("h", "t").limit(sample).collect()
+    rows = sampled(some, "h", sample).groupBy("h").agg(F.min("t").alias("t")).collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.t))
     documents = []
     for r in rows:
         tokens = tokens_of(r.t)
