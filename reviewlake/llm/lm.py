@@ -19,7 +19,7 @@ from .decontaminate import WORD_BYTES
 U = np.uint64
 P, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 START = U(1)  # the context of a document's first word
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,11 +35,21 @@ def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mixed(v * U(P) + w)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+    """base to the powers 0 to n - 1, kept in the worker for slices of usual size."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        out = np.full(max(n, SLICE + (1 << 16)), base, U)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(out, out=out)
+        known = out
+        if n <= 2 * SLICE:
+            _powers[base] = known
+    return known[:n]
 
 
 @dataclass
@@ -171,6 +181,12 @@ def exact_pairs(docs: DataFrame, pairs: np.ndarray) -> dict[int, tuple[int, int]
     return {r[0] % (1 << 64): (r[1], r[2]) for r in rows.collect()}
 
 
+def counts(key: np.ndarray, n: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """For each row, the counts (background, target) of its key."""
+    inv = np.unique(key, return_inverse=True)[1]
+    return np.stack([np.bincount(inv, n)[inv], np.bincount(inv, n * on)[inv]], axis=1)
+
+
 def pack(doc, v, w, n, own, on) -> bytes:
     """Rows of one part, sorted by context: each context once, 48 bits of each word, small integers for the rest."""
     order = np.argsort(v, kind="stable")
@@ -179,23 +195,25 @@ def pack(doc, v, w, n, own, on) -> bytes:
     vs = v[first]
     runs = np.diff(np.concatenate([np.nonzero(first)[0], [len(v)]])).astype(np.uint32)
     low = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return struct.pack("<II", len(vs), len(v)) + vs.tobytes() + runs.tobytes() + np.ascontiguousarray(low).tobytes() + doc.astype(np.uint32).tobytes() + (n << 1 | on).astype(np.uint32).tobytes() + own.astype(np.uint32).tobytes()
+    small = [a.astype(np.uint16 if a.max() < 1 << 16 else np.uint32) for a in (doc, n << 1 | on, own)]
+    head = struct.pack("<II3B", len(vs), len(v), *[a.itemsize for a in small])
+    return b"".join([head, vs.tobytes(), runs.tobytes(), np.ascontiguousarray(low).tobytes(), *[a.tobytes() for a in small]])
 
 
 def unpack(blob: bytes):
-    k, m = struct.unpack_from("<II", blob)
-    at = 8
+    k, m, *sizes = struct.unpack_from("<II3B", blob)
+    at = 11
     out = []
-    for kind, size in (("<u8", k), ("<u4", k), ("u1", 6 * m), ("<u4", m), ("<u4", m), ("<u4", m)):
+    for kind, size in (("<u8", k), ("<u4", k), ("u1", 6 * m), *[(f"<u{s}", m) for s in sizes]):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
     vs, runs, low, doc, n, own = out
     wide = np.zeros((m, 8), np.uint8)
     wide[:, :6] = low.reshape(-1, 6)
-    return np.repeat(vs, runs), wide.view("<u8").ravel(), doc.astype(np.int64), (n >> 1).astype(np.int64), own.astype(np.int64), (n & 1).astype(np.int64)
+    return np.repeat(vs, runs), wide.view("<u8").ravel(), doc.astype(np.uint32), (n >> 1).astype(np.int32), own.astype(np.int32), (n & 1).astype(np.int8)
 
 
-def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "text", alpha: float = 0.1, hot: int = 2000, part_events: int = 2 << 20) -> DataFrame:
+def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "text", alpha: float = 0.1, hot: int = 2000, part_events: int = 1 << 20) -> DataFrame:
     """(id, n_words, score) for every row: the mean over words of the loss under the target model less that under the
     background model, in nats; the lower, the more like the target.
 
@@ -265,19 +283,20 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
         back = [(int(s), -1, b) for s, b, k in zip(pdf["slice"], pdf["blob"], pdf["kind"], strict=True) if k == 1]
         if not own_rows.empty:
             cols = [unpack(b) for b in own_rows["blob"]]
-            sizes = [len(c[0]) for c in cols]
+            where = np.repeat(np.arange(len(cols)), [len(c[0]) for c in cols])
             v, w, doc, n, own, on = (np.concatenate(x) for x in zip(*cols, strict=True))
-            where = np.repeat(np.arange(len(cols)), sizes)
-            _, inv = np.unique(pair(v, w), return_inverse=True)
-            both = np.stack([np.bincount(inv, n), np.bincount(inv, n * on)], axis=1)[inv]
-            _, inv = np.unique(v, return_inverse=True)
-            context = np.stack([np.bincount(inv, n), np.bincount(inv, n * on)], axis=1)[inv]
+            del cols
+            both = counts(pair(v, w), n, on)
+            del w
+            context = counts(v, n, on)
             at, hit = found(m.contexts, v)
             context[hit] = m.context_counts[at[hit]]
+            del v, at, hit
             d = m.difference(n, (n, own), on, both, context)
+            del both, context
             key, inv = np.unique(where << 32 | doc, return_inverse=True)
             total = np.bincount(inv, d)
-            cut = np.searchsorted(key >> 32, np.arange(len(cols) + 1))
+            cut = np.searchsorted(key >> 32, np.arange(len(own_rows) + 1))
             for s, a, b in zip(own_rows["slice"], cut, cut[1:], strict=False):
                 back.append((int(s), part, (key[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes() + total[a:b].astype(np.float32).tobytes()))
         return pd.DataFrame(back, columns=["slice", "part", "blob"])
