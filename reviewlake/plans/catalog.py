@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +90,21 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
+def comparable(name: str, lists: tuple[str, ...] = (), days: tuple[str, ...] = (), times: tuple[str, ...] = ()) -> None:
+    """Give lists as text with bars between, days as text and times as microseconds, in a query and its SQL alike: engines and
+    data frames print such values in ways of their own."""
+    inner = QUERIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = inner(spark, sf_dir)
+        new = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists} | {c: F.col(c).cast("string") for c in days} | {c: F.unix_micros(F.col(c).cast("timestamp")) for c in times}
+        return df.withColumns(new)
+
+    QUERIES[name] = run
+    new = [f"array_to_string({c}, '|') AS {c}" for c in lists] + [f"CAST({c} AS VARCHAR) AS {c}" for c in days] + [f"epoch_us({c}) AS {c}" for c in times]
+    SQL[name] = f"SELECT * REPLACE ({', '.join(new)}) FROM ({SQL[name]}) AS q"
+
+
 def query(sql: str | None = None):
     """Register a function of Tables as a query, and its SQL."""
 

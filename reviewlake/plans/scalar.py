@@ -65,9 +65,9 @@ def prj9_prj10_credits(t):
     return t("commits").select("seq", X.credit(F.col("message")).alias("c"), X.primary_key(F.col("message")).alias("primary_key")).select("seq", "c.*", "primary_key")
 
 
-@query(r"""SELECT seq, list_filter(list_transform(list_filter(string_split(message, chr(10)), lambda x: regexp_matches(x, '^[A-Za-z-]+:')), lambda x: {'name': lower(trim(split_part(x, ':', 1))), 'value': trim(substr(x, strpos(x, ':') + 1))}), lambda p: list_contains(['co-authored-by', 'assisted-by', 'generated-by', 'signed-off-by'], p.name)) AS trailers FROM {commits}""")
+@query(r"""SELECT seq, list_filter(list_transform(list_filter(string_split(message, chr(10)), lambda x: regexp_matches(x, '^[A-Za-z-]+:')), lambda x: lower(trim(split_part(x, ':', 1))) || '=' || trim(substr(x, strpos(x, ':') + 1))), lambda p: list_contains(['co-authored-by', 'assisted-by', 'generated-by', 'signed-off-by'], split_part(p, '=', 1))) AS trailers FROM {commits}""")
 def src2_trailers(t):
-    return t("commits").select("seq", X.trailers(F.col("message")).alias("trailers"))
+    return t("commits").select("seq", F.transform(X.trailers(F.col("message")), lambda p: F.concat_ws("=", p["name"], p["value"])).alias("trailers"))
 
 
 @query(r"""SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(lower(strip_accents(c_name)), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM customer""")
