@@ -352,7 +352,9 @@ class Lanes:
     def __init__(self, segments: list[bytes], at: np.ndarray, n: np.ndarray):
         raw = np.frombuffer(b"".join(x + b"\0" * 8 for x in segments) + b"\0" * 8, np.uint8).astype(np.uint64)
         m = len(raw) - 4
-        self.words = raw[:m] << np.uint64(32) | raw[1 : m + 1] << np.uint64(24) | raw[2 : m + 2] << np.uint64(16) | raw[3 : m + 3] << np.uint64(8) | raw[4 : m + 4]
+        self.words = raw[:m] << np.uint64(32)
+        for k, shift in ((1, 24), (2, 16), (3, 8), (4, 0)):
+            self.words |= raw[k : m + k] << np.uint64(shift)
         sizes = np.array([len(x) + 8 for x in segments], np.int64)
         self.pos = (np.cumsum(sizes) - sizes) * 8
         self.at, self.n = at.astype(np.int64), n.astype(np.int64)
@@ -536,7 +538,7 @@ def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     def make():
         def work(texts):
             media: list[bytes] = []
-            for a, b in batches(texts):
+            for a, b in batches(texts, 1 << 20):
                 media += encode([padded(t) for t in texts[a:b]])
             return [media]
 
