@@ -35,7 +35,7 @@ def prj1_prj2_path_kinds(t):
 @query(r"""SELECT file_id, CASE WHEN starts_with(path, 'test/unit/') THEN 'unit' WHEN starts_with(path, 'test/distributed/') THEN 'distributed' WHEN starts_with(path, 'test/') THEN 'other' END AS suite,
  CASE WHEN contains(path, 'org/project/') THEN CASE WHEN contains(split_part(path, 'org/project/', 2), '/') THEN split_part(split_part(path, 'org/project/', 2), '/', 1) ELSE '(root)' END END AS subsystem,
  NOT (regexp_matches(path, '^src/gen-java/|/gen/|\.(db|bin)$') OR regexp_matches(path, '^test/(resources|data|conf)/')) AS counted, regexp_matches(path, '\.(java|py|g|sh|xml|yaml)$') AS code FROM {paths}""")
-def prj3_prj6_suite_subsystem_counted(t):
+def prj3_prj4_prj5_prj6_suites(t):
     p = F.col("path")
     return t("paths").select("file_id", P.test_suite(p).alias("suite"), P.subsystem(p).alias("subsystem"), P.counted(p, F.lit(False)).alias("counted"), P.is_code(p).alias("code"))
 
