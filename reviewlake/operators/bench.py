@@ -31,8 +31,25 @@ def location_matches(findings: DataFrame, known: DataFrame, margin: int = 15) ->
 
 
 def text_matches(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, issue): the text holds the issue's term. Terms are stated queries, a table of bounded size, against all texts."""
-    return docs.select("doc_id", "text").join(known.select("issue", "term"), F.col("text").contains(F.col("term"))).select("doc_id", "issue")
+    """(doc_id, issue): the text holds the issue's term.
+
+    A term's words but for its first and last stand whole in any text that holds it, so texts and terms meet by the longest
+    of those, and what meets is compared. Terms of one or two words have no such word and are compared with all texts; they
+    are a stated set that goes round, as far as it is small.
+    """
+    spaces = r"[ \t\n\x0b\f\r]+"
+    parts = F.split("term", spaces)
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    k = known.select("issue", "term", longest.alias("_anchor"))
+    anchors = k.filter("_anchor IS NOT NULL")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", spaces))).alias("_anchor"))
+    met = words.join(anchors.select("issue", "_anchor"), "_anchor").select("doc_id", "issue")
+    checked = met.join(anchors.select("issue", "term"), "issue").join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("term"))).select("doc_id", "issue")
+    few = k.filter("_anchor IS NULL").select("issue", "term")
+    if few.isEmpty():
+        return checked
+    return checked.unionByName(docs.select("doc_id", "text").join(few, F.col("text").contains(F.col("term"))).select("doc_id", "issue"))
 
 
 def recall(known: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:

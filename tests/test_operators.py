@@ -217,3 +217,12 @@ def test_scenarios_fall_back_to_smoke(spark):
     f = spark.createDataFrame([(1, "src/a", 5, "t"), (2, "src/net/b", 50, "t")], "pr long, path string, lines long, title string")
     got = selection.scenarios(f, [{"id": "n", "scenario": "net", "pattern": "/net/", "keywords": None, "exclude": None, "min_lines": 10, "priority": 1}])
     assert rows(got, "pr", "scenario") == [(1, "smoke"), (2, "net")]
+
+
+def test_text_matches_equal_containment(spark):
+    from reviewlake.operators import bench
+
+    docs = [(1, "a long story about deleteIfExists\nand more"), (2, "xlong story about deleteIfExistsy"), (3, "short"), (4, None), (5, "story  about it")]
+    terms = [(1, "long story about deleteIfExists"), (2, "short"), (3, "story about"), (4, "story  about it"), (5, "absent words in here")]
+    got = bench.text_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(terms, "issue long, term string"))
+    assert rows(got, "doc_id", "issue") == sorted((d, i) for d, t in docs for i, x in terms if t and x in t)
