@@ -234,13 +234,15 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
     words = stats.filter("kind = 0").agg(F.count(F.when(F.col("words") > 0, 1)), F.sum("background"), F.sum("target")).first()
     vocabulary, all_words, target_words = words[0], words[1] or 0, words[2] or 0
     least = all_words / hot
-    # fewer than `hot` contexts, and fewer than 4/3 `hot` pairs, can be above these counts
+    # fewer than `hot` contexts, and fewer than 4/3 `hot` pairs to count exactly, can be above these counts
     contexts = sorted((r.hash % (1 << 64), r.background, r.target) for r in stats.filter((F.col("kind") == 0) & (F.col("background") > least)).collect())
     maybe = sorted(r.hash % (1 << 64) for r in stats.filter((F.col("kind") == 1) & (F.col("words") > 0.75 * least)).select("hash").collect())
     exact = exact_pairs(slim, np.array(maybe, U)) if maybe else {}
+    # sums over slices miss up to a quarter; a pair that is above `least` by its exact count has a context that is, too
+    pairs = [p for p in maybe if exact[p][0] > least]
     model = Model(max(1, target_words) / max(1, all_words), alpha, vocabulary + 1, max(1, -(-all_words // part_events)))
     model.contexts, model.context_counts = np.array([c[0] for c in contexts], U), np.array([c[1:] for c in contexts], float).reshape(-1, 2)
-    model.pairs, model.pair_counts = np.array(maybe, U), np.array([exact[p] for p in maybe], float).reshape(-1, 2)
+    model.pairs, model.pair_counts = np.array(pairs, U), np.array([exact[p] for p in pairs], float).reshape(-1, 2)
     shared = sc.broadcast(model)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

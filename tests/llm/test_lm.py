@@ -62,6 +62,17 @@ def test_hot_pairs_are_scored_before_the_shuffle(spark):
     same(lm.score(docs, F.col("good"), hot=10, part_events=64).collect(), plain_scores(rows))
 
 
+@pytest.mark.parametrize("other", ["", "gamma gamma " * 30])
+def test_pairs_and_contexts_just_below_hot(spark, other):
+    """`alpha beta` is counted 0.75 to 1 times the share that makes a pair hot, and `alpha` hardly more often."""
+    rows = [(i, "alpha beta " * 9 + "alpha end " + " ".join(f"w{i}x{k}" for k in range(80)) + " " + other, i % 3 == 0) for i in range(40)]
+    n = sum(len(t.split()) for _, t, _ in rows)
+    hot = int(n / (40 * 9 / 0.88))
+    assert 0.75 * n / hot < 40 * 9 < 40 * 10 < n / hot
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").coalesce(1)
+    same(lm.score(docs, F.col("good"), hot=hot, part_events=64).collect(), plain_scores(rows))
+
+
 def test_odd_rows(spark):
     rows = [(i, t, i == 5) for i, t in ODD]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score boolean")
