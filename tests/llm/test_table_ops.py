@@ -1,8 +1,10 @@
 """Operators on pages and shards, against SQL and on odd rows."""
 
 import base64
-import gzip
 import hashlib
+import random
+import re
+import zlib
 from pathlib import Path
 
 import pytest
@@ -69,6 +71,31 @@ PAGES = [
 ]
 
 
+def plain_members(data):
+    """The gzip members of a file, each by itself."""
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(data))
+        assert d.eof
+        data = d.unused_data
+    return out
+
+
+WARC_RECORD = re.compile(rb"WARC/1\.1\r\n((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n(.*)\r\n\r\n", re.DOTALL)
+
+
+def plain_record(member):
+    """(fields, block) of a member that is one record by the grammar of WARC/1.1, with all mandatory fields."""
+    m = WARC_RECORD.fullmatch(member)
+    lines = [x.split(": ", 1) for x in m[1].decode().split("\r\n")[:-1]]
+    fields = dict(lines)
+    assert len(fields) == len(lines) and fields["WARC-Type"] in ("response", "revisit") and len(m[2]) == int(fields["Content-Length"])
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+    return fields, m[2]
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_archives_round_trip(spark, tmp_path, least):
     pages = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id long, url string, html string, digest int").repartition(3)
@@ -85,11 +112,33 @@ def test_archives_round_trip(spark, tmp_path, least):
     for i, u, h in PAGES:
         if i in (6, 7, 8, 10, 11):
             assert bytes(back[i].payload) == h.encode() and back[i].url == u
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path).glob("*.gz"))
-    assert raw.count(b"WARC-Type: ") == len(PAGES) and raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+    records = [plain_record(m) for p in Path(path).glob("part-*") for m in plain_members(p.read_bytes())]
+    assert len(records) == len(PAGES) and len({f["WARC-Record-ID"] for f, _ in records}) == len(PAGES)
+    response_of = {f["WARC-Record-ID"]: (f, b) for f, b in records if f["WARC-Type"] == "response"}
+    for f, block in records:
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f["Content-Type"] == "application/http;msgtype=response"
+        if f["WARC-Type"] == "revisit":
+            original, kept = response_of[f["WARC-Refers-To"]]
+            assert not body and original["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and original["X-Page-Id"] == f["X-Refers-To-Page-Id"]
+            assert f["WARC-Profile"] == warc.PROFILE and kept.startswith(block)
+        else:
+            assert f["WARC-Payload-Digest"] == "sha1:" + sha32(body) and f"Content-Length: {len(body)}".encode() in http
     assert warc.archived(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_have_a_size(spark, tmp_path):
+    """Archives roll at their size; one that ends in a record of 16 MiB or more is read like any other."""
+    rng = random.Random(1)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdef") for _ in range(400))) for i in range(200)] + [(900, "large", "x" * (1 << 24)), (901, "larger", "y" * (17 << 20))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for size in (1, 5000):
+        path = str(tmp_path / f"a{size}")
+        warc.write(warc.deduplicated(pages), path, archive_bytes=size)
+        assert len(list(Path(path).glob("part-*"))) >= (len(rows) if size == 1 else 10)
+        assert {r.page_id: r.payload.decode() for r in warc.read(spark, path).collect()} == {i: h for i, _, h in rows}
+
+
 @pytest.mark.parametrize("limit", [1, 100, 3000, 20_000, 1 << 30])
 def test_shards_split_only_what_is_too_large(spark, sf, limit):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("shard", F.lit("mine"))
