@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,10 +52,16 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def octet(digits: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or (len(short) == 3 and short <= "255")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind, then start; a match that fails its check is dropped."""
     out = [(0, s, e) for s, e in emails(text)]
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(octet(x) for x in m[0].split("."))]
     out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
@@ -95,94 +102,100 @@ def tokens_of(text: str) -> list[Token]:
 
 
 def base_labels(tokens: list[Token], spans) -> list[int]:
-    """The kind + 1 of the base span that overlaps each token, the first of several; 0 without."""
+    """The kind + 1 of the base span that overlaps each token, the first of several; 0 without. One sweep over both."""
     spans = sorted(spans, key=lambda s: (s[1], s[0]))
     out, at = [], 0
     for t in tokens:
-        while at < len(spans) and spans[at][2] <= t.start and all(s[2] <= t.start for s in spans[at : at + 1]):
+        while at < len(spans) and spans[at][2] <= t.start:
             at += 1
-        out.append(next((k + 1 for k, s, e in spans[at : at + 8] if s < t.end and e > t.start), 0))
+        out.append(spans[at][0] + 1 if at < len(spans) and spans[at][1] < t.end else 0)
     return out
 
 
+def clear_of(base, spans) -> list:
+    """Those of spans that overlap none of base."""
+    base = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    before = [(x, bisect_left(starts, x[2])) for x in spans]
+    return [x for x, n in before if not n or reach[n - 1] <= x[1]]
+
+
 class SkipChain:
-    """Node weights by softmax regression on base labels, chain and skip potentials by their log-odds in the sample.
+    """A conditional random field over a document's tokens, trained by pseudo-likelihood on base labels.
 
-    Nodes are a document's tokens. Chain edges join neighbours no more than `near` characters apart; skip edges join
-    each token to the one before it with the same key (the same text or digits) and the one before it of the same
-    shape, so the graph stays linear in the tokens. Loopy sum-product messages run a fixed number of rounds.
+    Chain edges join neighbours no more than `near` characters apart; skip edges join each token to the one before it
+    with the same key (the same text or digits) and the one before it of the same shape, so the graph stays linear in the
+    tokens. Node weights and the potentials of the three kinds of edges are learnt together: each token's label is
+    predicted from its features and from the labels of its neighbours on all edges, chain and skip. Labelling runs a
+    fixed number of rounds of loopy sum-product messages.
     """
 
     near = 12
+    kinds = ("chain", "key", "shape")
 
-    def __init__(self, documents: list[tuple[list[Token], list[int]]], rounds: int = 4, epochs: int = 40, step: float = 0.5, l2: float = 1e-3):
-        self.rounds = rounds
+    def __init__(self, documents: list[tuple[list[Token], list[int]]], rounds: int = 4, epochs: int = 60, step: float = 0.5, l2: float = 1e-3, bound: float = 3.0):
+        self.rounds, k = rounds, len(LABELS)
         names = sorted({f for ts, _ in documents for t in ts for f in t.features})
         self.index = {f: k for k, f in enumerate(names)}
-        k = len(LABELS)
         self.weights = np.zeros((len(names) + 1, k))
-        rows = [[self.index[f] for f in t.features] + [len(names)] for ts, _ in documents for t in ts]
+        self.potential = np.zeros((len(self.kinds), k, k))
         y = np.array([v for _, ls in documents for v in ls], int)
-        if rows:
-            x = np.array(rows)
-            want = np.eye(k)[y]
-            for _ in range(epochs):
-                p = softmax(self.weights[x].sum(axis=1))
-                g = np.zeros_like(self.weights)
-                for c in range(x.shape[1]):
-                    np.add.at(g, x[:, c], want - p)
-                n = np.zeros(len(names) + 1)
-                np.add.at(n, x.ravel(), 1)
-                self.weights += step * (g / np.maximum(n, 1)[:, None] - l2 * self.weights)
-        prior = np.bincount(y, minlength=k) + 1.0
-        prior /= prior.sum()
-        self.potential = {}
-        for kind in ("chain", "key", "shape"):
-            joint = np.full((k, k), 0.5)
-            for ts, ls in documents:
-                for a, b, e in self.edges(ts):
-                    if e == kind:
-                        joint[ls[a], ls[b]] += 1
-                        joint[ls[b], ls[a]] += 1
-            joint /= joint.sum()
-            self.potential[kind] = np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(1))), -3, 3)
-
-    def edges(self, tokens: list[Token]):
+        if not len(y):
+            return
+        x = np.array([[self.index[f] for f in t.features] + [len(names)] for ts, _ in documents for t in ts])
+        first = np.cumsum([0, *[len(ts) for ts, _ in documents]])
+        edges = np.concatenate([self.edge_table(ts) + np.array([0, at, at]) for (ts, _), at in zip(documents, first, strict=False)])
+        uses = np.maximum(np.bincount(x.ravel(), minlength=len(self.weights)), 1)[:, None]
+        pairs = np.stack([np.bincount(np.r_[y[e[:, 1]], y[e[:, 2]]], minlength=k) for e in (edges[edges[:, 0] == t] for t in range(len(self.kinds)))])
+        pairs = np.maximum(pairs[:, :, None] + pairs[:, None, :], 1)
+        for _ in range(epochs):
+            _, gw, gp = pseudo_likelihood(self.weights, self.potential, x, y, edges)
+            self.weights += step * (gw / uses - l2 * self.weights)
+            self.potential = np.clip(self.potential + step * (gp / pairs - l2 * self.potential), -bound, bound)
+
+    def edge_table(self, tokens: list[Token]) -> np.ndarray:
+        """Rows (kind, earlier token, later token)."""
         keys: dict[str, int] = {}
         shapes: dict[str, int] = {}
+        out = []
         for b, t in enumerate(tokens):
             if b and t.start - tokens[b - 1].end <= self.near:
-                yield b - 1, b, "chain"
+                out.append((0, b - 1, b))
             if (a := keys.get(t.key)) is not None:
-                yield a, b, "key"
+                out.append((1, a, b))
             if (c := shapes.get(t.shape)) is not None and c != a:
-                yield c, b, "shape"
+                out.append((2, c, b))
             keys[t.key] = shapes[t.shape] = b
+        return np.array(out, np.int64).reshape(-1, 3)
 
-    def marginals(self, tokens: list[Token], seen: list[int]) -> np.ndarray:
-        """Beliefs of each token's label; tokens in base spans are held at theirs."""
-        n, k = len(tokens), len(LABELS)
+    def nodes(self, tokens: list[Token], seen: list[int]) -> np.ndarray:
+        """Log weights of each token's labels; tokens in base spans are held at theirs."""
         bias = len(self.weights) - 1
         node = np.array([self.weights[[self.index[f] for f in t.features if f in self.index] + [bias]].sum(axis=0) for t in tokens])
         node -= node.max(axis=1, keepdims=True)
-        for i, s in enumerate(seen):
-            if s:
-                node[i] = np.where(np.arange(k) == s, 0.0, -30.0)
-        edges = list(self.edges(tokens))
-        if not edges:
-            return softmax(node)
-        a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-        psi = np.exp(np.stack([self.potential[e[2]] for e in edges]))
+        held = np.array(seen)
+        node[held > 0] = np.where(np.arange(len(LABELS)) == held[held > 0][:, None], 0.0, -30.0)
+        return node
+
+    def marginals(self, tokens: list[Token], seen: list[int]) -> np.ndarray:
+        """Beliefs of each token's label, exact where the graph has no loop and the rounds reach across it."""
+        node, edges = self.nodes(tokens, seen), self.edge_table(tokens)
         m = len(edges)
+        if not m:
+            return softmax(node)
+        kind, a, b = edges.T
         source, target = np.r_[a, b], np.r_[b, a]
-        both = np.concatenate([psi, psi.transpose(0, 2, 1)])
         back = np.r_[np.arange(m) + m, np.arange(m)]
-        msg = np.zeros((2 * m, k))
+        groups = [(np.nonzero(kind == t)[0] + at, np.exp(p if at == 0 else p.T)) for t, p in enumerate(self.potential) for at in (0, m)]
+        msg = np.zeros((2 * m, len(LABELS)))
         for _ in range(self.rounds):
             total = node.copy()
             np.add.at(total, target, msg)
             out = total[source] - msg[back]
-            out = np.log(np.einsum("ek,ekj->ej", np.exp(out - out.max(axis=1, keepdims=True)), both) + 1e-30)
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            for rows, psi in groups:
+                out[rows] = out[rows] @ psi
+            out = np.log(out + 1e-30)
             msg = 0.5 * msg + 0.5 * (out - out.max(axis=1, keepdims=True))
         total = node.copy()
         np.add.at(total, target, msg)
@@ -199,8 +212,29 @@ class SkipChain:
             return base, base
         p = self.marginals(tokens, seen)
         more = [(int(k) - 1, t.start, t.end) for t, s, k, b in zip(tokens, seen, p.argmax(axis=1), p.max(axis=1), strict=True) if not s and k and b > sure]
-        more = [x for x in more if not any(s < x[2] and e > x[1] for _, s, e in base)]
-        return base, sorted(base + more)
+        return base, sorted(base + clear_of(base, more))
+
+
+def pseudo_likelihood(weights: np.ndarray, potential: np.ndarray, x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The sum over tokens of the log probability of its label given its features x and its neighbours' labels, and the
+    gradients for weights and potentials. potential[t, i, j] weighs an edge from label i to label j; those of skip edges are
+    symmetric, as the earlier of two alike tokens is like the later."""
+    score = weights[x].sum(axis=1)
+    sides = [e[:, 1:].T for e in (edges[edges[:, 0] == t] for t in range(len(potential)))]
+    for psi, (a, b) in zip(potential, sides, strict=True):
+        np.add.at(score, b, psi[y[a]])
+        np.add.at(score, a, psi[:, y[b]].T)
+    p = softmax(score)
+    rest = np.eye(p.shape[1])[y] - p
+    gw, gp = np.zeros_like(weights), np.zeros_like(potential)
+    for c in range(x.shape[1]):
+        np.add.at(gw, x[:, c], rest)
+    for t, (a, b) in enumerate(sides):
+        np.add.at(gp[t], y[a], rest[b])
+        np.add.at(gp[t].T, y[b], rest[a])
+        if t:
+            gp[t] = (gp[t] + gp[t].T) / 2
+    return float(np.log(p[np.arange(len(y)), y]).sum()), gw, gp
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
