@@ -82,13 +82,15 @@ def tokens_of(texts: list[bytes | None]) -> Tokens:
 
 @dataclass
 class Model:
-    """What every task needs: sizes, and the counts of the few contexts and pairs that are hot (bounded by `hot`)."""
+    """What every task needs: sizes, and the counts of the few contexts and pairs that are hot (bounded lists), and
+    which of those contexts are dealt by pair."""
 
     scale: float
     alpha: float
     vocabulary: int
     parts: int
     contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     context_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
     pair_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
@@ -154,7 +156,7 @@ def statistics(docs: DataFrame, share: float) -> DataFrame:
                 out[at, 1] = np.bincount(cinv, minlength=len(contexts))
                 out[at, 2] = np.bincount(cinv, on, len(contexts))
                 ps, n = np.unique(pair(t.v, t.w), return_counts=True)
-                keep = n >= max(32, share / 4 * len(t.w))
+                keep = n >= share / 4 * len(t.w)  # a pair misses under a quarter of `share` of all words in the slices that leave it out
                 rows = [(0, every, out[:, 0], out[:, 1], out[:, 2]), (1, ps[keep], n[keep], n[keep], n[keep])]
                 for kind, h, *cols in rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in cols]], names=["kind", "hash", "words", "background", "target"])
@@ -213,7 +215,7 @@ def unpack(blob: bytes):
     return np.repeat(vs, runs), wide.view("<u8").ravel(), doc.astype(np.uint32), (n >> 1).astype(np.int32), own.astype(np.int32), (n & 1).astype(np.int8)
 
 
-def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "text", alpha: float = 0.1, hot: int = 2000, part_events: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "text", alpha: float = 0.1, hot: int = 10_000, part_events: int = 1 << 20, most_contexts: int = 200_000) -> DataFrame:
     """(id, n_words, score) for every row: the mean over words of the loss under the target model less that under the
     background model, in nats; the lower, the more like the target.
 
@@ -224,9 +226,11 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
     counts. An empty table gives an empty result; a target without words gives finite scores. Other columns are ignored.
 
     Pairs are counted where they meet: each task sends the pairs of its documents, packed, to parts by the hash of the
-    context (of the pair, for contexts with over 1/hot of all words). A part counts its pairs, and answers each slice with
-    sums per document. Pairs that make up over 1/hot of all words, of which there are fewer than `hot`, are counted
-    beforehand and scored at once, so no part grows with one pair.
+    context (of the pair, for contexts that would fill a good share of a part). A part counts its pairs, about part_events of
+    them, and answers each slice with sums per document. Pairs that make up over 1/hot of all words, of which there are fewer
+    than `hot`, are counted beforehand and scored at once, so a third of all words in one pair is no part's work. A context
+    kept whole has at most a quarter of part_events, or one of most_contexts of all words if that is more; a pair that is not
+    hot has at most 1/hot of all words. The lists of both are what is broadcast: 24 bytes an entry.
     """
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(target, F.lit(False)).alias("target"), F.col(text).cast("binary").alias("text"))
@@ -234,13 +238,15 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
     words = stats.filter("kind = 0").agg(F.count(F.when(F.col("words") > 0, 1)), F.sum("background"), F.sum("target")).first()
     vocabulary, all_words, target_words = words[0], words[1] or 0, words[2] or 0
     least = all_words / hot
-    # fewer than `hot` contexts, and fewer than 4/3 `hot` pairs to count exactly, can be above these counts
-    contexts = sorted((r.hash % (1 << 64), r.background, r.target) for r in stats.filter((F.col("kind") == 0) & (F.col("background") > least)).collect())
+    # at most `most_contexts` contexts, and fewer than 4/3 `hot` pairs to count exactly, can be above these counts; a hot pair has a hot context
+    whole = max(all_words / most_contexts, part_events / 4)
+    contexts = sorted((r.hash % (1 << 64), r.background, r.target) for r in stats.filter((F.col("kind") == 0) & (F.col("background") > min(whole, least))).collect())
     maybe = sorted(r.hash % (1 << 64) for r in stats.filter((F.col("kind") == 1) & (F.col("words") > 0.75 * least)).select("hash").collect())
     exact = exact_pairs(slim, np.array(maybe, U)) if maybe else {}
     # sums over slices miss up to a quarter; a pair that is above `least` by its exact count has a context that is, too
     pairs = [p for p in maybe if exact[p][0] > least]
     model = Model(max(1, target_words) / max(1, all_words), alpha, vocabulary + 1, max(1, -(-all_words // part_events)))
+    model.split = np.array([c[1] > whole for c in contexts], bool)
     model.contexts, model.context_counts = np.array([c[0] for c in contexts], U), np.array([c[1:] for c in contexts], float).reshape(-1, 2)
     model.pairs, model.pair_counts = np.array(pairs, U), np.array([exact[p] for p in pairs], float).reshape(-1, 2)
     shared = sc.broadcast(model)
@@ -261,14 +267,14 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
                 if hit.any():  # a hot pair's context is hot too
                     d = m.difference(n[hit], (n[hit], own[hit]), on[hit], m.pair_counts[at[hit]], m.context_counts[ctx[hit]])
                     now = np.bincount(doc[hit], d, len(ids))
-                part = (np.where(hot_ctx, ps, mixed(v)) % U(m.parts)).astype(np.int64)
+                apart = hot_ctx & m.split[ctx] if len(m.split) else hot_ctx
+                part = (np.where(apart, ps, mixed(v)) % U(m.parts)).astype(np.int64)
                 part[hit] = m.parts
                 order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(m.parts + 1))
+                present, first = np.unique(part[order], return_index=True)
                 parts, blobs, kinds = [], [], []
-                for p in range(m.parts):
-                    rows = order[edges[p] : edges[p + 1]]
-                    if len(rows):
+                for p, rows in zip(present.tolist(), np.split(order, first[1:]), strict=False):
+                    if p < m.parts:
                         parts.append(p)
                         kinds.append(0)
                         blobs.append(pack(*(a[rows] for a in (doc, v, w, n, own, on))))
@@ -315,7 +321,8 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text: str = "
             total[np.frombuffer(b, np.uint32, j)] += np.frombuffer(b, np.float32, j, 4 * j)
         return pd.DataFrame({"id": pd.Series(ids).astype("Int64").mask(null), "n_words": sizes, "score": total / np.maximum(sizes, 1)})
 
-    sent = slim.mapInArrow(send, "part long, slice long, kind int, blob binary")
+    tasks = min(model.parts, 20_000)  # so a task's share of the parts doesn't grow with the input
+    sent = slim.mapInArrow(send, "part long, slice long, kind int, blob binary").repartition(tasks, "part")
     back = sent.groupBy("part").applyInPandas(answer, "slice long, part long, blob binary")
     out = back.groupBy("slice").applyInPandas(finish, "id long, n_words long, score double")
     return out.withColumnRenamed("id", id_col)
