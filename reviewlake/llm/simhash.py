@@ -7,26 +7,36 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, add_columns, checkpointed, materialise
 
 
+#: shingles hashed at a time
+STEP = 1 << 16
+
+
 def fingerprint(text: bytes | None, k: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the k-word shingles, repeats included; 0 when there are no words. Signed, as Spark's long."""
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    shingles = [b" ".join(words)] if len(words) < k else [b" ".join(s) for s in zip(*(words[i:] for i in range(k)), strict=False)]
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), 1 << 16):
-        h = np.array([digest(s, seed) for s in shingles[at : at + (1 << 16)]], np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(total * 2 > len(shingles), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    total, n = np.zeros(64, np.int64), max(1, len(words) - k + 1)
+    for at in range(0, n, STEP):
+        some = words[at : min(at + STEP, n) + k - 1]
+        runs = (b" ".join(s) for s in zip(*(some[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
+        total += bit_counts(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in runs), np.uint64))
+    return majority(total, n)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The number whose bits are those set in over half of n hashes, as a signed long."""
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", k: int = 3) -> DataFrame:
@@ -73,16 +83,16 @@ def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
     return pairs.unionByName(stars).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the smallest node reachable.
 
     Alternating large and small stars: each round links every node's neighbours to its smallest neighbour, so paths
-    shrink geometrically. Each round's edges are checkpointed in the shared folder. No group meets in one task: minima are
+    shrink geometrically, until a round changes nothing. Each round's edges are checkpointed in the shared folder. No group meets in one task: minima are
     combined before the shuffle, and joins with a hot node are ones that Spark may split.
     """
     edges = checkpointed(edges.select("u", "v").filter("u <> v"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
@@ -95,8 +105,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tree = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
 
@@ -119,21 +127,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     mapping = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(mapping, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest id. Rows without an id are dropped; of rows that repeat an
-    id, the one with the smallest text stays.
-
-    The ids to keep are few bytes a row, so a hash table of a partition's ids is built and the texts stream by, unsorted.
-    Only texts of repeated ids, where there are any, are sorted.
-    """
-    kept = near_duplicates(docs, id_col, text).filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = materialise(kept, "kept")
-    out = docs.join(kept.filter("_copies = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
-    again = kept.filter("_copies > 1").select(id_col)
-    if again.isEmpty():
-        return out
-    mine = W.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last())
-    rank = "_rank_in_id"
-    one = docs.join(again, id_col, "left_semi").withColumn(rank, F.row_number().over(mine)).filter(F.col(rank) == 1)
-    return out.unionByName(one.select(*docs.columns))

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from test_near import plain_groups
 from test_text_ops import plain_components, plain_contamination, plain_fingerprint, plain_spans
 
 from reviewlake.llm import pii, quality, queries
@@ -88,10 +89,8 @@ def test_pipeline(spark, small):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
     kept = [r for r in rows if model.score(np.array([quality.features((r[1] or "").encode())]))[0] >= 0.5]
-    fps = [(r[0], plain_fingerprint(r[1])) for r in kept]
-    comp = plain_components(fps)
-    one = {r[0]: r for r, (i, f) in zip(kept, fps, strict=True) if comp[f] == i}
-    clean = [r for r in one.values() if not plain_contamination(r[1], items)[-1]]
+    one = [kept[min(g, key=lambda k: (kept[k][0] is None, kept[k][0]))] for g in plain_groups(kept)]
+    clean = [r for r in one if not plain_contamination(r[1], items)[-1]]
     crf = pii.fit(spark.createDataFrame([(r[1],) for r in clean], "text string"))
     want = []
     for r in clean:

@@ -147,6 +147,15 @@ def test_simhash_equals_brute_force(spark, sf):
     assert sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in got))) == sorted(str((i, f"{f:016x}", comp[f])) for i, f in fps)
 
 
+def test_fingerprint_of_slices(monkeypatch):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 4, 9, 10, 11, 50):
+        t = " ".join(rng.choice("abcdefg") for _ in range(n))
+        for step in (1, 2, 7, 1 << 16):
+            monkeypatch.setattr(simhash, "STEP", step)
+            assert simhash.fingerprint(t.encode()) % (1 << 64) == plain_fingerprint(t)
+
+
 @pytest.mark.parametrize("hot", [1, 4, 64])
 def test_links_connect_what_brute_force_connects(spark, hot):
     rng = random.Random(hot)
@@ -171,15 +180,6 @@ def test_long_chain_is_one_component(spark):
     assert simhash.components(edges).select("root").distinct().count() == 1
 
 
-def test_keep_one(spark):
-    rows = odd(spark)
-    kept = simhash.keep_one(rows)
-    assert kept.columns == rows.columns
-    got = sorted(r.doc_id for r in kept.collect())
-    assert got == [1, 4, 5, 7, 8, 9, 10, 11, 12]
-    assert simhash.keep_one(rows.limit(0)).count() == 0
-
-
 # -- personal data
 
 KIND = {
