@@ -26,7 +26,8 @@ class Encoder:
     Two adjacent symbols merge when their concatenation is a piece; the best-scored merge goes first, the leftmost of
     equals. For each prefix of a segment, exactly one token can be the last of that prefix's encoding: one that ends
     there (an automaton reports those) and is compatible with the last token of the prefix it leaves. Storing that
-    token for each prefix and walking back from the end recovers the ids, in time linear in the text.
+    token for each prefix and walking back from the end recovers the ids, in time linear in the text. Pieces of one score, as
+    runs of marks have, merge from the left, which is the order that compatibility undoes them in.
     """
 
     def __init__(self, model_file: str, remember: int = 250_000):
@@ -46,17 +47,11 @@ class Encoder:
         self.pattern = re.compile(f"[{re.escape(''.join(sorted(self.known)))}]+|.", re.S)
         self.inner = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.halves: dict[int, tuple[int, int]] = {}
-        #: tokens that are not the encoding of their own text, or that share a rank: segments with such need the plain way
-        seen: dict[int, int] = {}
-        for p, i in self.id_of.items():
-            seen[self.rank[i]] = seen.get(self.rank[i], 0) + 1
-        self.odd = set()
-        for p, i in self.id_of.items():
-            if len(p) > 1 and (seen[self.rank[i]] > 1 or not self._halve(p, i)):
-                self.odd.add(i)
+        self.shift = n.bit_length()
         self.auto = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            self.auto.add_word(p, (i, len(p)))
+            if len(p) == 1 or self._halve(p, i):  # a token that isn't the encoding of its own text ends no prefix
+                self.auto.add_word(p, (i, len(p)))
         self.auto.make_automaton()
         #: what ids stand for one by one; bytes of longer characters, unknown and control ids need their neighbours
         self.plain = [chr(self.bytes[i]) if i in self.bytes else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
@@ -69,12 +64,12 @@ class Encoder:
 
     def _halve(self, piece: str, i: int) -> bool:
         ids, last = self._merge(piece)
-        if ids == [i] and last:
+        if ids == [i]:
             self.halves[i] = last
         return ids == [i]
 
     def _merge(self, text: str) -> tuple[list[int], tuple[int, int] | None]:
-        """The plain way: merge the best pair until none is left. Also gives the last pair that merged."""
+        """The plain way, for the pieces themselves: merge the best pair until none is left. Also gives the last pair that merged."""
         sym: list[str] = list(text)
         left, right, last = list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1)), None
         heap: list = []
@@ -140,7 +135,7 @@ class Encoder:
                 if before is None:
                     continue
                 if before >= 0:
-                    key = before << 15 | i
+                    key = before << self.shift | i
                     if key in fits:
                         if not fits[key]:
                             continue
@@ -154,7 +149,7 @@ class Encoder:
         while at >= 0:
             i = last[at]
             if i is None:
-                return self._merge(text)[0]
+                raise ValueError("no token ends the text: the vocabulary isn't one of pairwise merges")
             ids.append(i)
             at -= length[i]
         ids.reverse()
@@ -167,8 +162,6 @@ class Encoder:
         if ids is None:
             if len(text) == 1:
                 ids = self._ids(text)
-            elif SPACE * 2 in text:  # runs of marks share a rank
-                ids = self._merge(text)[0]
             elif self.known.issuperset(text):
                 ids = self._table(text)
             else:  # characters that are no piece stand alone
