@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, add_columns, without
+from .common import ASCII_LOWER, add_columns, materialise, without
 
 #: Digits, letters (lower-cased) and every byte of a non-ASCII character stay; what else there is parts words.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in ASCII_LOWER)
-SPANS, ITEMS, WORDS = "_hit_spans", "_hit_items", "_n_words"
+SPANS, ITEMS, WORDS, ROW, TEXT = "_hit_spans", "_hit_items", "_n_words", "_hit_row", "_hit_text"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -27,13 +28,13 @@ class WuManber:
     their first block and then compared word by word.
     """
 
-    def __init__(self, items: list[tuple[str, bytes]], length: int = 13):
+    def __init__(self, items: list[tuple[str | None, bytes]], length: int = 13):
         windows: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             words = words_of(text)
             m = min(length, len(words))
             for at in range(len(words) - m + 1 if words else 0):
-                windows[m][tuple(words[at : at + m])].add(item)
+                windows[m][tuple(words[at : at + m])].update([] if item is None else [item])
         self.tables = []
         for m, patterns in sorted(windows.items()):
             b = min(2, m)
@@ -78,13 +79,16 @@ def merge(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_bytes: int):
-    """The benchmark in parts of about block_bytes, one at a time: what is on the driver and in a broadcast is bounded."""
-    items = benchmark.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text).cast("binary").alias("text"))
+    """(number of parts, the parts one at a time) of about block_bytes: what is on the driver and in a broadcast is bounded."""
+    items = benchmark.filter(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text).cast("binary").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item, bytes(r.text)) for r in part.toLocalIterator()]
+    n = max(1, -(-size // block_bytes))
+
+    def part(k: int) -> list:
+        some = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+        return [(r.item, bytes(r.text)) for r in some.toLocalIterator()]
+
+    return n, map(part, range(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
@@ -93,11 +97,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Windows are `length`
     consecutive words of an item, or the whole of a shorter one. A word inside an occurrence of a window is hit; a
     document is contaminated when at least 1/share of its words are, and one at least.
-    Null texts and texts without words have no words and no hits. Items without an id or text are ignored; items of
-    the same text count each. Rows are judged one by one, so repeated rows get equal values. The benchmark goes round
-    in blocks of block_bytes and documents are never shuffled. Clashing column names give way.
+    Null texts and texts without words have no words and no hits. Items without a text are ignored; the windows of an item
+    without an id hit words, but the item isn't named or counted; items of the same text count each. Rows are judged one by
+    one, so repeated rows get equal values. Clashing column names give way.
+
+    A benchmark of at most block_bytes is searched for in one pass. A larger one goes round in such blocks, one in memory at a
+    time: rows are numbered in a written copy, each block's pass writes the hits of the rows that have any, and these meet
+    the rows by number.
     """
-    docs = without(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", SPANS, ITEMS, WORDS)
+    docs = without(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", SPANS, ITEMS, WORDS, ROW)
     sc = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns]
     spans_t, items_t = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
@@ -114,13 +122,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return lambda: work
 
-    parts = [sc.broadcast(WuManber(rows, length)) for rows in blocks_of(benchmark, item_id, item_text, block_bytes)] or [sc.broadcast(WuManber([], length))]
-    for k, shared in enumerate(parts):
-        docs = add_columns(docs, text, [(f"{WORDS}{k}", T.LongType()), (f"{SPANS}{k}", spans_t), (f"{ITEMS}{k}", items_t)], scan(lambda shared=shared: shared.value))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{ITEMS}{k}") for k in range(len(parts))]))))
-    spans = F.array(*[F.col(f"{SPANS}{k}") for k in range(len(parts))])
-    docs = docs.withColumn(ITEMS, ids).withColumn(SPANS, spans)
-    out = docs.select(*kept, F.col(f"{WORDS}0").alias("n_words"), covered(SPANS).alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ITEMS).cast("binary"), 256).alias("items_sha256"))
+    fields = [(WORDS, T.LongType()), (SPANS, spans_t), (ITEMS, items_t)]
+    n, parts = blocks_of(benchmark, item_id, item_text, block_bytes)
+    if n == 1:
+        shared = sc.broadcast(WuManber(next(parts), length))
+        docs = add_columns(docs, text, fields, scan(lambda: shared.value)).withColumn(SPANS, F.array(SPANS))
+    else:
+        rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+        hits = []
+        for block in parts:
+            shared = sc.broadcast(WuManber(block, length))
+            found = add_columns(rows.select(ROW, F.col(text).alias(TEXT)), TEXT, fields, scan(lambda shared=shared: shared.value)).drop(TEXT)
+            hits.append(materialise(found if not hits else found.filter(F.size(SPANS) > 0), "hits"))
+            shared.destroy()
+        each = reduce(DataFrame.unionByName, hits).groupBy(ROW).agg(F.max(WORDS).alias(WORDS), F.collect_list(SPANS).alias(SPANS), F.flatten(F.collect_list(ITEMS)).alias(ITEMS))
+        docs = rows.join(each, ROW)
+    docs = docs.withColumn(ITEMS, F.array_sort(F.array_distinct(ITEMS)))
+    out = docs.select(*kept, F.col(WORDS).alias("n_words"), covered(SPANS).alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ITEMS).cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
