@@ -53,6 +53,12 @@ def test_urls_equal_plain_reading(spark):
     assert urls.judge(pages.limit(0), outcomes).count() == 0
 
 
+def test_levels_of_hosts(spark):
+    want = {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk:80": ("b.co.uk", "co.uk"), "www.site.org:8080": ("site.org", "org"), "com": ("com", "com"), "co.uk": ("co.uk", "co.uk"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", *urls.levels(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+
+
 def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     rows = [(i, "http://bad.site.info/x") for i in range(60)] + [(100 + i, f"http://h{i % 40}.fine.info/") for i in range(800)] + [(2000, "http://new.fine.info/"), (2001, "http://one.other.info/")]
     bad = [(i, i < 60 or i % 29 == 0 or i == 2001) for i, _ in rows if i != 2000]
