@@ -141,8 +141,8 @@ def version_branch(version: Column, branches: list[str], trunk: str = "trunk") -
 
 
 def plus_one(text: Column) -> Column:
-    """A +1 that stands alone and is not followed by a digit."""
-    return text.rlike(r"(^|[^\w+])\+1($|[^\d])")
+    """A +1 at the start or after a space or bracket, not followed by a letter or digit."""
+    return text.rlike(r"(^|[\s(\[])\+1\b")
 
 
 def clip(text: Column, n: int) -> Column:

@@ -49,17 +49,51 @@ def expert_totals(per_file: DataFrame) -> DataFrame:
     return per_file.groupBy("person").agg(F.round(F.sum("score"), 2).alias("score"), F.sum("patches").alias("patches"), F.sum("reviews").alias("reviews"), F.count(F.lit(1)).alias("files"), F.max("latest").alias("latest"))
 
 
-def votes(reviews: DataFrame, people: DataFrame) -> DataFrame:
-    """Per change: committers who approve, each once by their first evidence, and others who do. reviews: pr, login, text, ts, seq."""
-    yes = reviews.filter(X.plus_one(F.col("text")))
-    first = yes.groupBy("pr", "login").agg(F.min(F.struct("ts", "seq")).alias("first"))
-    who = first.join(people.select("login", "committer"), "login", "left")
-    return who.groupBy("pr").agg(F.count(F.when(F.col("committer"), 1)).alias("committers"), F.count(F.when(~F.coalesce("committer", F.lit(False)), 1)).alias("others"), F.array_sort(F.collect_list(F.when(F.col("committer"), F.col("first.seq")))).alias("evidence"))
+def committers_of(voters: DataFrame, roster: DataFrame, overrides: DataFrame, emails: DataFrame, domain: str = "@project.org") -> DataFrame:
+    """voters (source, who, association) with id and rule of those who are committers, nulls for others.
+
+    By the overrides of the source first (source, who, id), as far as the id is on the roster. Then, on the tracker (source
+    comment), a user name that is on the roster; on the forge (source review), an address of the project whose name is, the
+    least of several, so that one person counts once on both; else membership of the organisation, as forge:<name>.
+    """
+    ids = roster.select(F.col("id").alias("_id")).distinct()
+    listed = overrides.join(ids, F.col("id") == F.col("_id")).groupBy("source", "who").agg(F.min("id").alias("_listed"))
+    local = F.split_part(F.lower("email"), F.lit("@"), F.lit(1))
+    mail = emails.filter(F.lower("email").endswith(domain)).select(F.col("login").alias("who"), local.alias("_id")).join(ids, "_id").groupBy("who").agg(F.min("_id").alias("_mail"))
+    v = voters.join(listed, ["source", "who"], "left").join(mail, "who", "left").join(ids.withColumn("who", F.col("_id")).withColumnRenamed("_id", "_direct"), "who", "left")
+    tracker, member = F.col("source") == "comment", F.col("association").isin("MEMBER", "OWNER")
+    found = {"override": F.col("_listed"), "user name": F.when(tracker, F.col("_direct")), "address": F.when(~tracker, F.col("_mail")), "membership": F.when(~tracker & member, F.concat(F.lit("forge:"), "who"))}
+    rule = F.coalesce(*[F.when(c.isNotNull(), r) for r, c in found.items()])
+    return v.withColumn("id", F.coalesce(*found.values())).withColumn("rule", rule).drop("_listed", "_mail", "_direct")
+
+
+def votes(approvals: DataFrame, changes: DataFrame, involved: DataFrame, roster: DataFrame, overrides: DataFrame, emails: DataFrame) -> DataFrame:
+    """Per change: counted (id, who, source, rule of each committer who approves, by id), others (who else does), author_vote (the
+    author's id when a committer not counted yet).
+
+    approvals: pr, seq, made, source, who, association, approved, body. A review counts when it approves, a tracker comment when
+    it says +1 and isn't by an author or assignee of the ticket (involved: pr, who). Each committer counts once, by the first
+    review, else the first comment. changes: pr, author, association.
+    """
+    yes = F.when(F.col("source") == "review", F.col("approved")).otherwise(X.plus_one(F.col("body")))
+    v = approvals.filter(F.coalesce(yes, F.lit(False)))
+    own = involved.select("pr", "who", F.lit("comment").alias("source")).distinct()
+    v = committers_of(v.join(own, ["pr", "who", "source"], "left_anti"), roster, overrides, emails)
+    first = F.struct((F.col("source") != "review").alias("late"), "made", "seq", "who", "source", "rule")
+    each = v.filter("id IS NOT NULL").groupBy("pr", "id").agg(F.min(first).alias("f"))
+    counted = each.groupBy("pr").agg(F.array_sort(F.collect_list(F.struct("id", "f.who", "f.source", "f.rule"))).alias("counted"))
+    others = v.filter("id IS NULL").groupBy("pr").agg(F.array_sort(F.collect_set("who")).alias("others"))
+    authors = committers_of(changes.select("pr", F.col("author").alias("who"), F.lit("review").alias("source"), "association"), roster, overrides, emails)
+    out = authors.select("pr", F.col("id").alias("author_vote")).join(counted, "pr", "left").join(others, "pr", "left")
+    none = F.array().cast("array<struct<id:string,who:string,source:string,rule:string>>")
+    out = out.select("pr", F.coalesce("counted", none).alias("counted"), F.coalesce("others", F.array().cast("array<string>")).alias("others"), "author_vote")
+    return out.withColumn("author_vote", F.when(~F.exists("counted", lambda c: c["id"] == F.col("author_vote")), F.col("author_vote")))
 
 
 def related_tickets(blame: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per ticket: lines, files, commits and the last change of blamed lines. blame: sha, path, lines; commits: sha, key, day."""
-    j = blame.join(commits, "sha").filter("key IS NOT NULL")
+    """Per ticket (null: commits without a key): lines, files, commits and the last change of blamed lines; merges are left out.
+    blame: sha, path, lines; commits: sha, key, day, merge."""
+    j = blame.join(commits.filter(~F.coalesce("merge", F.lit(False))), "sha")
     return j.groupBy("key").agg(F.sum("lines").alias("lines"), F.count_distinct("path").alias("files"), F.count_distinct("sha").alias("commits"), F.max("day").alias("last_changed"))
 
 

@@ -49,13 +49,28 @@ def bag_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str]
 def tag(rows: DataFrame, text: str, rules: DataFrame, pattern: str = "pattern") -> DataFrame:
     """(row, rule) for every rule whose regular expression is found in the row's text.
 
-    Rules are a dimension of a few hundred rows; each distinct text meets them once, then texts join back.
+    Rules are a dimension of bounded size, which is checked; each distinct text meets them once, then texts join back.
     """
     texts = rows.select(text).distinct()
-    hits = texts.join(F.broadcast(rules), F.expr(f"{text} RLIKE {pattern}"))
+    hits = texts.join(bounded(rules), F.expr(f"{text} RLIKE {pattern}"))
     return rows.join(hits, text)
 
 
+def tag_prefix(rows: DataFrame, text: str, rules: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """(row, rule) for every rule whose prefix the row's text starts with; rules are a dimension, see tag."""
+    texts = rows.select(text).distinct()
+    hits = texts.join(bounded(rules), F.col(text).startswith(F.col(prefix)))
+    return rows.join(hits, text)
+
+
+def bounded(rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """rules, to be broadcast: their number is looked at first, and more than `most` are refused."""
+    n = rules.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a dimension of over {most} rows is not broadcast")
+    return F.broadcast(rules)
+
+
 def tags(path: Column, rules: list[tuple[str, str]]) -> Column:
     """Sorted names of the (name, pattern) rules that a path matches, as an array: the rule list in the plan itself."""
     return F.array_sort(F.filter(F.array(*[F.when(path.rlike(p), n) for n, p in rules]), lambda x: x.isNotNull()))

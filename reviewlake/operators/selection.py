@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import bounded
 from .ranking import top_k
 
 
@@ -32,8 +33,8 @@ def signal_patterns(index: DataFrame, text: str = "text") -> DataFrame:
 
 def categories(texts: DataFrame, patterns: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
     """id, category, score, rank: distinct patterns found in each text, at least `least`, the best `most` per text. The patterns are
-    a dimension of a few hundred rows."""
-    hits = texts.join(F.broadcast(patterns), F.expr("text RLIKE pattern")).groupBy("id", "category").agg(F.count_distinct("pattern").alias("score"))
+    a dimension of bounded size, which is checked."""
+    hits = texts.join(bounded(patterns), F.expr("text RLIKE pattern")).groupBy("id", "category").agg(F.count_distinct("pattern").alias("score"))
     return top_k(hits.filter(F.col("score") >= least), ["id"], [F.col("score").desc(), F.col("category").asc()], most)
 
 
@@ -98,7 +99,7 @@ def ineligible(kinds: dict[str, Column], n_prod: Column, most: int) -> Column:
     return F.coalesce(*[F.when(c, r) for r, c in kinds.items()], F.when(n_prod > most, "too many files"))
 
 
-def banned_lines(lines: DataFrame, rules: list[tuple[str, str]], permit: str = "checkstyle: permit") -> DataFrame:
+def banned_lines(lines: DataFrame, rules: list[tuple[str, str]], permit: str = "permit") -> DataFrame:
     """by, path, line_no, rule: the first rule that each added line breaks; comments, and lines with a permit on them or the added line
     before, are let through. lines: by, path, line_no, text."""
     w = W.partitionBy("by", "path").orderBy("line_no")
@@ -107,12 +108,43 @@ def banned_lines(lines: DataFrame, rules: list[tuple[str, str]], permit: str = "
     return x.filter(~F.col("_ok") & F.col("rule").isNotNull()).select("by", "path", "line_no", "rule")
 
 
-def unlicensed(lines: DataFrame, marker: str, within: int = 30) -> DataFrame:
-    """by, path of new files whose first `within` added lines lack the marker."""
-    head = lines.filter(F.col("new_file") & (F.col("line_no") <= within))
+COMMENT = r"^\s*(//|\*|/\*)"
+#: Reads of system properties, and a deprecation mark that doesn't say since when.
+PROPERTY = r"System\.(getProperty|setProperty|getenv)\s*\(|\b(Integer\.getInteger|Long\.getLong|Boolean\.getBoolean)\s*\("
+DEPRECATED = r"@Deprecated\b(?!\s*\([^)]*since)"
+
+
+def direct_properties(lines: DataFrame, own: str = "RelevantProperties.java") -> DataFrame:
+    """by, path, line_no of added production lines that read a system property directly, outside the file made for it."""
+    code = F.col("path").startswith("src/java/") & ~F.col("path").endswith(own)
+    return lines.filter(code & F.col("text").rlike(PROPERTY) & ~F.col("text").rlike(COMMENT)).select("by", "path", "line_no")
+
+
+def bare_deprecations(lines: DataFrame) -> DataFrame:
+    """by, path, line_no of added Java lines that deprecate without saying since when."""
+    return lines.filter(F.col("path").endswith(".java") & F.col("text").rlike(DEPRECATED) & ~F.col("text").rlike(COMMENT)).select("by", "path", "line_no")
+
+
+def scans(added: DataFrame, banned: list[tuple[str, str]], licence: str) -> dict[str, DataFrame]:
+    """All scans of added lines (pr, path, line_no, text, new_file), each as pr and place."""
+    x = added.withColumnRenamed("pr", "by")
+    place = F.concat_ws(":", "path", F.col("line_no").cast("string"))
+    production = x.filter(F.col("path").startswith("src/java/") & F.col("path").endswith(".java"))
+    found = {"banned": banned_lines(production, banned).withColumn("place", F.concat_ws(" ", place, "rule")), "deprecated": bare_deprecations(x).withColumn("place", place), "properties": direct_properties(x).withColumn("place", place), "unlicensed": unlicensed(x, licence).withColumn("place", F.col("path"))}
+    return {k: v.select(F.col("by").alias("pr"), "place") for k, v in found.items()}
+
+
+def unlicensed(lines: DataFrame, marker: str, within: int = 30, kinds: tuple[str, ...] = (".java", ".py", ".sh", ".xml", ".g"), never: str = "test/resources/") -> DataFrame:
+    """by, path of new source files whose first `within` added lines lack the marker."""
+    w = W.partitionBy("by", "path").orderBy("line_no")
+    head = lines.filter(F.col("new_file") & _any_end(kinds) & ~F.col("path").startswith(never)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= within)
     return head.groupBy("by", "path").agg(F.bool_or(F.col("text").contains(marker)).alias("_has")).filter("NOT _has").select("by", "path")
 
 
+def _any_end(kinds: tuple[str, ...]) -> Column:
+    return F.col("path").rlike("(" + "|".join(k.replace(".", r"\.") for k in kinds) + ")$")
+
+
 def first_commit(commits: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """pr and for each kind the index of the first commit that touches a path with its prefix; fix-ups are ignored unless all are.
     commits: pr, idx, subject, paths."""
@@ -126,10 +158,19 @@ def _starts(prefix: str):
     return lambda p: p.startswith(prefix)
 
 
-def perf_signals(bench: Column, labels: Column, title: Column, body: Column) -> tuple[Column, Column]:
-    """(strong, medium) signals that a change is about performance, as arrays of names."""
-    strong = F.array(F.when(bench, "benchmark file"), F.when(F.array_contains(F.transform(labels, lambda x: F.lower(x)), "performance"), "label"))
-    medium = F.array(F.when(title.rlike(r"(?i)\b(perf|faster|latency|throughput|optimi[sz]e)"), "title"), F.when(body.rlike(r"(?i)\b(jmh|benchmark)"), "body"))
+#: Words of changes about performance.
+PERFORMANCE = r"(?i)\b(perf(ormance)?|faster|speed.?up|latency|throughput|allocation|megamorphic|avoid (an )?(extra )?cop(y|ies)|copy-on-write|optimi[sz]e|reduce (overhead|allocation))"
+
+
+def perf_signals(bench: Column, labels: Column, title: Column, body: Column, components: Column | None = None, summary: Column | None = None) -> tuple[Column, Column]:
+    """(strong, medium) signals that a change is about performance, as arrays of names: a benchmark file, the ticket's label or
+    component; a word in the title or the ticket's summary, a mention of benchmarks in the description."""
+    labelled = F.array_contains(F.transform(labels, lambda x: F.lower(x)), "performance")
+    part = F.lit(False) if components is None else F.array_contains(components, "Test/benchmark")
+    strong = F.array(F.when(bench, "benchmark file"), F.when(labelled, "label"), F.when(part, "component"))
+    words = F.coalesce(title.rlike(PERFORMANCE), F.lit(False))
+    words = words if summary is None else words | F.coalesce(summary.rlike(PERFORMANCE), F.lit(False))
+    medium = F.array(F.when(words, "title"), F.when(body.rlike(r"(?i)\b(jmh|benchmark)"), "body"))
     keep = lambda a: F.filter(a, lambda x: x.isNotNull())
     return keep(strong), keep(medium)
 

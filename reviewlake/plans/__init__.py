@@ -1,13 +1,12 @@
 """Registered queries: operators bound to tables, each with its SQL."""
 
-from . import changes, deltas, evidence, findings, reports, scalar, selection, streams, verdicts  # noqa: F401
+from . import changes, deltas, evidence, findings, gates, reports, scalar, selection, streams, verdicts  # noqa: F401
 from .catalog import QUERIES, SQL, comparable
 
 for _name, _kinds in {
     "prj7_prj8_set3_resolve_key": {"lists": ("sources", "conflicts", "mentioned")},
     "prj9_prj10_credits": {"lists": ("authors", "reviewers")},
     "prj18_identifiers": {"lists": ("ids",)},
-    "prj28_perf_signals": {"lists": ("strong", "medium")},
     "src1_changes": {"lists": ("labels",)},
     "src2_trailers": {"lists": ("trailers",)},
     "src21_git_log": {"lists": ("parents",)},
@@ -16,7 +15,6 @@ for _name, _kinds in {
     "agg8_related_tickets": {"days": ("last_changed",)},
     "agg9_experts": {"days": ("latest",)},
     "agg9_expert_totals": {"days": ("latest",)},
-    "agg20_jon19_votes": {"lists": ("evidence",)},
     "agg24_recommend": {"lists": ("reasons", "waiting_on")},
     "agg35_first_linked_day": {"days": ("day",)},
     "agg40_emails": {"lists": ("emails",)},

@@ -39,8 +39,25 @@ VIEWS = {
     "diffs": """SELECT o_orderkey AS pr, concat('diff --git a/f', CAST(o_orderkey % 7 AS STRING), '.java b/f', CAST(o_orderkey % 7 AS STRING), '.java', chr(10), CASE WHEN o_orderkey % 5 = 0 THEN concat('new file mode 100644', chr(10), '--- /dev/null') ELSE concat('--- a/f', CAST(o_orderkey % 7 AS STRING), '.java') END, chr(10), '+++ ', CASE WHEN o_orderkey % 5 = 1 THEN '/dev/null' ELSE concat('b/f', CAST(o_orderkey % 7 AS STRING), '.java') END, chr(10),
  CASE WHEN o_orderkey % 5 = 0 THEN concat('@@ -0,0 +1,2 @@', chr(10), '+++ first', chr(10), '+', CAST(o_custkey AS STRING)) WHEN o_orderkey % 5 = 1 THEN concat('@@ -1,2 +0,0 @@', chr(10), '-gone', chr(10), '--- gone')
  ELSE concat('@@ -', CAST(10 + o_custkey AS STRING), ',3 +', CAST(10 + o_custkey AS STRING), ',4 @@ void f()', chr(10), ' context', chr(10), '-old ', CAST(o_custkey AS STRING), chr(10), '+new ', CAST(o_custkey AS STRING), chr(10), '+more', chr(10), ' context', chr(10), '@@ -', CAST(40 + o_custkey AS STRING), ',0 +', CAST(42 + o_custkey AS STRING), ' @@', chr(10), '+inserted') END) AS diff FROM {orders}""",
-    "facts_base": """SELECT pr, draft, base, head, pr % 6 AS k6, pr % 7 AS k7, pr % 5 AS k5, pr % 11 AS k11, pr % 4 AS k4 FROM {changes}""",
     "ranges": "SELECT DISTINCT l_partkey AS file_id, l_linenumber * 10 - CAST(l_quantity AS INT) % 5 AS begin_line, l_linenumber * 10 + CAST(l_quantity AS INT) % 12 AS end_line FROM {lineitem} WHERE l_suppkey % 3 = 0",
+    "subjects": """SELECT pr, author, state, CASE WHEN pr % 13 = 0 THEN 'feature/index' ELSE base END AS base, updated_at, draft, head, title, CASE WHEN pr % 19 = 0 THEN concat('codex/', branch) ELSE branch END AS branch,
+ CASE WHEN pr % 17 = 0 THEN 'made with copilot, see the JMH run' ELSE body END AS body, CASE pr % 6 WHEN 0 THEN 'MEMBER' ELSE 'NONE' END AS association FROM {changes}""",
+    "tickets": """SELECT concat('PROJ-', CAST(1000 + c_custkey AS STRING)) AS key, c_custkey % 9 <> 1 AS reached, CASE c_custkey % 5 WHEN 0 THEN 'Resolved' WHEN 1 THEN 'Closed' ELSE 'Open' END AS status, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '4.1' WHEN 2 THEN '3.11,4.0' ELSE '4.x,9.9,later' END AS fix_versions,
+ CASE WHEN c_custkey % 6 = 0 THEN 'Performance' ELSE 'x' END AS label, CASE WHEN c_custkey % 10 = 0 THEN 'Test/benchmark' ELSE 'Core' END AS component, CASE WHEN c_custkey % 7 = 0 THEN concat('Faster ', c_name) ELSE c_name END AS summary, concat('dev', CAST(c_custkey AS STRING)) AS assignee FROM {customer} WHERE c_custkey % 9 <> 0""",
+    "ticket_ci": """SELECT event_id AS seq, concat('PROJ-', CAST(1000 + user_id AS STRING)) AS key, ts AS created, CASE event_id % 7 WHEN 0 THEN 'project-3.0' WHEN 1 THEN 'project-3.11' WHEN 2 THEN 'project-4.0' WHEN 3 THEN 'project-4.1' WHEN 4 THEN 'trunk' WHEN 5 THEN 'feature/index' END AS target_branch, event_id % 11 <> 0 AS parsed,
+ CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 < 3 THEN md5(CAST(first_pr AS STRING)) ELSE md5('x') END AS sha, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id % 3 END AS failed, event_id % 2 = 0 AS upgrade FROM {events} LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_pr FROM {orders} GROUP BY o_custkey) AS firsts ON user_id = o_custkey""",
+    "touched": """SELECT l_orderkey AS pr, CASE (l_partkey + l_suppkey * 3 + l_linenumber) % 60 WHEN 0 THEN 'conf/project.yaml' WHEN 1 THEN 'conf/project_latest.yaml' WHEN 2 THEN 'src/java/org/project/config/Config.java' WHEN 3 THEN 'CHANGES.txt' WHEN 4 THEN 'src/java/org/project/net/Verb.java' WHEN 5 THEN 'src/java/org/project/tools/admin/Status.java' WHEN 6 THEN 'test/resources/admin/help/status'
+ WHEN 7 THEN 'src/antlr/Cql.g' WHEN 8 THEN 'lib/a.jar' WHEN 9 THEN 'src/java/org/project/io/table/format/BigFormat.java' WHEN 10 THEN 'test/microbench/B.java' WHEN 11 THEN 'src/java/org/project/hints/HintsDescriptor.java' WHEN 12 THEN 'src/java/org/project/db/RowSerializer.java' WHEN 13 THEN 'src/java/org/project/metrics/TableMBean.java' WHEN 14 THEN 'src/java/org/project/schema/SchemaKeyspace.java' WHEN 15 THEN 'CHANGES.txt' ELSE path END AS path,
+ CAST(l_quantity AS INT) AS additions, l_linenumber AS deletions, path LIKE '%.bin' AS bin, l_returnflag = 'A' AS new_file, l_suppkey AS k, l_linenumber AS n FROM {lineitem} JOIN {paths} ON l_partkey = file_id""",
+    "added": """SELECT t.pr, path, n * 3 AS line_no, new_file, CASE (k + n) % 11 WHEN 0 THEN 'int n = Integer.getInteger("n");' WHEN 1 THEN '// System.getProperty("n")' WHEN 2 THEN '@Deprecated' WHEN 3 THEN 'class S implements Comparable<S>, VersionedSerializer<S>' WHEN 4 THEN concat(' * Tidy up (PROJ-', CAST(1000 + o_custkey AS STRING), ')')
+ WHEN 5 THEN ' * Other work (PROJ-777)' WHEN 6 THEN 'import junit.Assert; // permit' WHEN 7 THEN 'import sun.misc.Unsafe;' WHEN 8 THEN 'Licensed to the project' ELSE 'return 0;' END AS text FROM {touched} AS t JOIN {orders} ON t.pr = o_orderkey""",
+    "change_commits": """SELECT l_orderkey AS pr, l_linenumber - 1 AS idx, CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN concat('Tidy', chr(10), chr(10), 'patch by Ann; reviewed by Bob for PROJ-', CAST(1000 + o_custkey AS STRING)) WHEN 1 THEN concat('PROJ-', CAST(1000 + o_custkey AS STRING), ' tidy') WHEN 2 THEN 'patch by Ann, reviewed by Kim for PROJ-555'
+ WHEN 3 THEN concat('fixup! tidy', chr(10), 'Assisted-by: tool') WHEN 4 THEN concat('work', chr(10), 'Co-authored-by: Copilot <x@y>') ELSE 'work' END AS message, CASE l_suppkey % 3 WHEN 0 THEN 'test/microbench/B.java' WHEN 1 THEN 'src/java/org/project/A.java' ELSE 'doc/x.md' END AS path FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "builds": """SELECT o_orderkey AS pr, CASE WHEN o_orderkey % 8 = 0 THEN 'old' ELSE md5(CAST(o_orderkey AS STRING)) END AS head, CASE o_orderkey % 9 WHEN 0 THEN 'build-failed' WHEN 1 THEN 'tests-failed' WHEN 2 THEN 'timeout' WHEN 3 THEN 'unknown' WHEN 4 THEN 'not-built' ELSE 'pass' END AS status, o_orderkey % 4 AS compile_errors,
+ CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 50 END AS run, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 3 ELSE 0 END AS failing, CASE WHEN o_orderkey % 6 = 5 THEN 1 ELSE 0 END AS flaky, CASE WHEN o_orderkey % 14 = 3 THEN 2 ELSE 0 END AS artifacts, CASE WHEN o_orderkey % 15 = 2 THEN NULL ELSE o_orderkey % 4 * 5 END AS executable, o_orderkey % 3 AS missed, CASE WHEN o_orderkey % 21 = 6 THEN 1 ELSE 0 END AS unmeasured FROM {orders} WHERE o_orderkey % 12 <> 7""",
+    "static_runs": "SELECT o_orderkey AS pr, CASE o_orderkey % 10 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'no changed files' ELSE 'ran' END AS status, 3 AS expected, CASE WHEN o_orderkey % 10 = 2 THEN 2 WHEN o_orderkey % 20 = 3 THEN 0 ELSE 3 END AS analyzed FROM {orders} WHERE o_orderkey % 7 <> 0",
+    "approvals": "SELECT event_id AS seq, CAST(floor(event_id / 3) AS BIGINT) AS pr, concat('dev', CAST(user_id AS STRING)) AS who, CASE event_id % 2 WHEN 0 THEN 'review' ELSE 'comment' END AS source, ts AS made, event_type <> 'view' AS approved, CASE event_id % 5 WHEN 0 THEN '+1' WHEN 1 THEN 'LGTM (+1)' WHEN 2 THEN '+10 lines' WHEN 3 THEN 'thanks, +1 from me' ELSE 'c++1' END AS body, CASE event_id % 7 WHEN 0 THEN 'MEMBER' WHEN 1 THEN 'OWNER' ELSE 'NONE' END AS association FROM {events}",
+    "overrides": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'comment' ELSE 'review' END AS source, concat('dev', CAST(c_custkey AS STRING)) AS who, concat('dev', CAST(c_custkey + 1 AS STRING)) AS id FROM {customer} WHERE c_custkey % 25 < 2",
 }
 
 

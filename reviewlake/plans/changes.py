@@ -24,19 +24,6 @@ def keyed(t):
     return t("changes").withColumn("key", X.key_struct(F.col("title"), F.col("branch"), F.col("body"), none)["key"])
 
 
-@query(f"SELECT pr, path, unnest({SURFACES_SQL}) AS surface FROM (SELECT DISTINCT pr, path FROM {{changed_files}})")
-def jon1_surfaces(t):
-    files = t("changed_files").select("pr", "path").distinct()
-    rules = files.sparkSession.createDataFrame(list(C.Triage().surfaces), "surface string, pattern string")
-    return J.tag(files, "path", rules).select("pr", "path", "surface")
-
-
-@query("SELECT DISTINCT pr, path FROM {changed_files} WHERE regexp_matches(path, '^src/java/.*/db/blue_') OR regexp_matches(path, '^pylib/.*green')")
-def jon2_jon3_sensitive_files(t):
-    files = t("changed_files").select("pr", "path").distinct()
-    return files.filter(P.is_prod(F.col("path")) & J.matches_any(F.col("path"), [r"/db/blue_", r"^pylib/.*green"]))
-
-
 @query(RESOLVED_SQL + " SELECT pr, key, count(*) OVER (PARTITION BY key) AS size, min(pr) OVER (PARTITION BY key) AS first FROM k2 WHERE key IS NOT NULL")
 def jon4_ticket_groups(t):
     return C.ticket_groups(keyed(t)).select("pr", "key", "size", "first")

@@ -183,19 +183,13 @@ def out4_jon21_suggested_reviewers(t):
     return I.expert_totals(x).join(authors, "person", "left_anti").select("person", "score").orderBy(F.desc("score"), "person").limit(5)
 
 
-@query("""WITH y AS (SELECT pr, login, first(seq ORDER BY ts, seq) AS seq FROM {reviews} WHERE seq % 5 IN (0, 1) GROUP BY pr, login)
-SELECT pr, count(*) FILTER (committer) AS committers, count(*) FILTER (NOT coalesce(committer, false)) AS others, coalesce(list_sort(list(seq) FILTER (committer)), []) AS evidence FROM y LEFT JOIN {people} USING (login) GROUP BY pr""")
-def agg20_jon19_votes(t):
-    return I.votes(t("reviews"), t("people"))
-
-
-@query("""WITH b AS (SELECT event_id % 1000 AS seq, concat('f', CAST(user_id % 50 AS VARCHAR)) AS path, sum(1 + event_id % 9)::BIGINT AS lines FROM events GROUP BY ALL), c AS (SELECT seq, CAST(ts AS DATE) AS day, CASE seq % 6 WHEN 0 THEN 'PROJ-' || (1000 + CAST(substr(login, 4) AS BIGINT)) WHEN 1 THEN 'PROJ-' || (1000 + CAST(substr(login, 4) AS BIGINT)) WHEN 2 THEN 'PROJ-' || (500 + CAST(substr(login, 4) AS BIGINT)) END AS key FROM {commits} WHERE seq < 1000)
-SELECT key, sum(lines)::BIGINT AS lines, count(DISTINCT path) AS files, count(DISTINCT seq) AS commits, max(day) AS last_changed FROM b JOIN c USING (seq) WHERE key IS NOT NULL GROUP BY key""")
+@query("""WITH b AS (SELECT event_id - event_id % 3 AS seq, concat('f', CAST(user_id AS VARCHAR)) AS path, sum(1 + event_id % 9)::BIGINT AS lines FROM events GROUP BY ALL), c AS (SELECT seq, seq % 4 = 0 AS merge, CAST(ts AS DATE) AS day, CASE seq % 6 WHEN 0 THEN 'PROJ-' || (1000 + CAST(substr(login, 4) AS BIGINT)) WHEN 1 THEN 'PROJ-' || (1000 + CAST(substr(login, 4) AS BIGINT)) WHEN 2 THEN 'PROJ-' || (500 + CAST(substr(login, 4) AS BIGINT)) END AS key FROM {commits})
+SELECT key, sum(lines)::BIGINT AS lines, count(DISTINCT path) AS files, count(DISTINCT seq) AS commits, max(day) AS last_changed FROM b JOIN c USING (seq) WHERE NOT merge GROUP BY key""")
 def agg8_related_tickets(t):
     from ..functions import text as X
 
-    blame = t("events").groupBy((F.col("event_id") % 1000).alias("sha"), F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("path")).agg(F.sum(1 + F.col("event_id") % 9).alias("lines"))
-    commits = t("commits").filter("seq < 1000").select(F.col("seq").alias("sha"), X.primary_key(F.col("message")).alias("key"), F.col("ts").cast("date").alias("day"))
+    blame = t("events").groupBy((F.col("event_id") - F.col("event_id") % 3).alias("sha"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path")).agg(F.sum(1 + F.col("event_id") % 9).alias("lines"))
+    commits = t("commits").select(F.col("seq").alias("sha"), (F.col("seq") % 4 == 0).alias("merge"), X.primary_key(F.col("message")).alias("key"), F.col("ts").cast("date").alias("day"))
     return I.related_tickets(blame, commits)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import checks as C
 from ..operators import deltas as D
 from ..operators import findings as N
-from ..operators import identity as I
 from ..operators import joins as J
 from ..operators.ranking import ranked
 from ..sources import records as S
 from .catalog import query
+from .gates import FACT_SQL, facts
 
 
 def joined(col):
@@ -138,11 +139,10 @@ def prj15_attachment_kind(t):
     return t("ci_runs").select("seq", F.when(low.contains("ci_summary") & low.endswith(".html"), "summary").when(low.endswith(".gz") | low.endswith(".zip"), "archive").otherwise("other").alias("kind"))
 
 
-@query("SELECT pr, committers AS have, CASE WHEN pr % 3 = 0 THEN 1 ELSE 2 END AS need, committers >= CASE WHEN pr % 3 = 0 THEN 1 ELSE 2 END AS enough FROM (SELECT pr, count(DISTINCT login) FILTER (committer) AS committers FROM {reviews} LEFT JOIN {people} USING (login) WHERE seq % 5 IN (0, 1) GROUP BY pr)")
+@query(FACT_SQL + " SELECT pr, have, need::BIGINT AS need, have >= need AS enough FROM fx")
 def prj31_votes_needed(t):
-    v = I.votes(t("reviews"), t("people"))
-    need = F.when(F.col("pr") % 3 == 0, 1).otherwise(2)
-    return v.select("pr", F.col("committers").alias("have"), need.alias("need"), (F.col("committers") >= need).alias("enough"))
+    have, need = (F.expr(x).cast("long") for x in (C.HAVE, C.NEEDED))
+    return facts(t).select("pr", have.alias("have"), need.alias("need"), (have >= need).alias("enough"))
 
 
 @query("SELECT doc_id, contains(text, 'token = ') OR regexp_matches(text, '\\bnti\\w+\\b') AS runnable FROM documents")

@@ -9,7 +9,8 @@ from ..operators import checks as C
 from ..operators import selection as S
 from ..sources import diffs as D
 from .catalog import query
-from .verdicts import RESULT_SQL, VERDICT_SQL, facts, reviews_of
+from .gates import RESULT_SQL, facts, reviews_of
+from .verdicts import VERDICT_SQL
 
 INDEX = "# Aspects\n## words\n**Diff signals**\n- `the` `tion*` `that`\n- `tion (x)`\nplain\n- `never`\n## tables\n**Diff signals:**\n- `with` `from` `this()`\n- `onth.x`\n## none\ntext\n"
 
@@ -110,26 +111,24 @@ def agg34_first_commit(t):
     return S.first_commit(c, {"bench": "test/microbench/", "src": "src/java/"})
 
 
-@query("SELECT pr, list_filter([CASE WHEN pr % 4 = 0 THEN 'benchmark file' END, CASE WHEN pr % 5 = 0 THEN 'label' END], lambda x: x IS NOT NULL) AS strong, list_filter([CASE WHEN contains(title, 'tidy') THEN 'title' END, CASE WHEN pr % 6 = 0 THEN 'body' END], lambda x: x IS NOT NULL) AS medium FROM {changes}")
+@query(RESULT_SQL + " SELECT pr, array_to_string(strong, '|') AS strong, array_to_string(medium, '|') AS medium FROM fx")
 def prj28_perf_signals(t):
-    title = F.when(F.col("title").contains("tidy"), F.concat("title", F.lit(" Optimise it"))).otherwise(F.col("title"))
-    strong, medium = S.perf_signals(F.col("pr") % 4 == 0, F.when(F.col("pr") % 5 == 0, F.array(F.lit("Performance"))).otherwise(F.array(F.lit("x"))), title, F.when(F.col("pr") % 6 == 0, "see JMH run").otherwise("text"))
-    return t("changes").select("pr", strong.alias("strong"), medium.alias("medium"))
+    return facts(t).select("pr", F.array_join("strong", "|").alias("strong"), F.array_join("medium", "|").alias("medium"))
 
 
-@query(RESULT_SQL + " SELECT pr, check_id, CASE status WHEN 'fail' THEN 'Must fix' WHEN 'warn' THEN 'Should fix' WHEN 'pass' THEN 'Passed' WHEN 'not-applicable' THEN 'Not needed' ELSE 'Unknown' END AS word FROM rs")
+@query(RESULT_SQL + " SELECT pr, check_id, CASE WHEN status = 'warn' AND NOT action_required THEN 'Note' WHEN status = 'warn' THEN 'Should fix' WHEN status = 'fail' THEN 'Must fix' WHEN status = 'pass' THEN 'Passed' WHEN status = 'not-applicable' THEN 'Not needed' ELSE 'Unknown' END AS word FROM rs")
 def prj26_status_words(t):
     return C.run_checks(facts(t)).select("pr", "check_id", S.status_word(F.col("status"), F.col("action_required")).alias("word"))
 
 
-TODO_SQL = RESULT_SQL + """, fd AS (SELECT pr, k7 AS id, CASE WHEN k6 = 1 THEN 'add a test' ELSE 'rename' END AS text FROM {facts_base} WHERE k11 = 6), ck AS (SELECT pr, 'check' AS source, check_id AS item, owner, blocking AND status IN ('fail', 'unknown') AS must, owner = 'contributor' AND status IN ('fail', 'warn') AS fix FROM rs WHERE status IN ('fail', 'warn', 'unknown')),
-kp AS (SELECT * FROM ck WHERE NOT (must AND fix AND starts_with(item, 'tests.') AND pr IN (SELECT pr FROM fd WHERE contains(text, 'test')))), al AS (SELECT * FROM kp UNION ALL SELECT pr, 'finding', CAST(id AS VARCHAR), 'contributor', true, true FROM fd), rl AS (SELECT *, CASE owner WHEN 'contributor' THEN 0 WHEN 'committer' THEN 1 WHEN 'reviewer' THEN 2 ELSE 3 END AS r FROM al),
+TODO_SQL = RESULT_SQL + """, fd AS (SELECT pr, id, rule AS text FROM {findings} WHERE severity IN ('blocker', 'major')), ck AS (SELECT pr, 'check' AS source, check_id AS item, owner, blocking AND status IN ('fail', 'unknown') AS must, owner = 'contributor' AND status IN ('fail', 'warn') AS fix FROM rs WHERE status IN ('fail', 'warn', 'unknown')),
+kp AS (SELECT * FROM ck WHERE NOT (must AND fix AND starts_with(item, 'tests.') AND pr IN (SELECT pr FROM fd WHERE contains(text, 'rule3')))), every AS (SELECT * FROM kp UNION ALL SELECT pr, 'finding', CAST(id AS VARCHAR), 'contributor', true, true FROM fd), rl AS (SELECT *, CASE owner WHEN 'contributor' THEN 0 WHEN 'committer' THEN 1 WHEN 'reviewer' THEN 2 ELSE 3 END AS r FROM every),
 td AS (SELECT pr, source, item, owner, must, CASE WHEN CASE WHEN bool_or(fix AND must) OVER (PARTITION BY pr) THEN fix ELSE must AND r = min(r) FILTER (must) OVER (PARTITION BY pr) END THEN 'now' ELSE 'then' END AS phase FROM rl)"""
 
 
 def todo_rows(t):
-    f = t("facts_base").filter("k11 = 6").selectExpr("pr", "k7 AS id", "'major' AS severity", "CASE WHEN k6 = 1 THEN 'add a test' ELSE 'rename' END AS text")
-    return S.todo(C.run_checks(facts(t)), f, [("tests", "test")])
+    f = t("findings").select("pr", "id", "severity", F.col("rule").alias("text"))
+    return S.todo(C.run_checks(facts(t)), f, [("tests", "rule3")])
 
 
 @query(TODO_SQL + " SELECT * FROM td")

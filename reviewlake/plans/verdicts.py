@@ -8,36 +8,7 @@ from ..operators import checks as C
 from ..operators import refresh as R
 from ..sources import records as S
 from .catalog import query
-
-#: Facts that no given table holds are spread over the changes by their number; sizes and tests come from the files.
-FACTS = """pr, draft, base, CASE WHEN k4 = 2 THEN NULL ELSE concat('PROJ-', CAST(k7 AS STRING)) END AS key, k6 = 5 AS feature_branch, CASE k5 WHEN 0 THEN 'not_found' WHEN 1 THEN 'unavailable' ELSE 'found' END AS ticket, CASE WHEN k11 = 0 THEN 1 ELSE 0 END AS conflicts,
- CASE k7 WHEN 0 THEN NULL WHEN 1 THEN 'Resolved' ELSE 'Open' END AS ticket_status, CASE k6 WHEN 0 THEN NULL WHEN 1 THEN 'trunk' ELSE base END AS fix_branch, CASE WHEN k11 < 3 THEN 1 ELSE 0 END AS missing_branches, CASE WHEN k11 = 4 THEN NULL ELSE k4 END AS targets, k5 AS targets_with_ci,
- k6 AS ci_runs, CASE WHEN k7 = 3 THEN 1 ELSE 0 END AS ci_stale, CASE WHEN k7 = 4 THEN 1 ELSE 0 END AS ci_unknown_sha, k5 = 1 AS sensitive, CASE WHEN k11 > 5 THEN 1 ELSE 0 END AS upgrade_runs, CASE WHEN k5 = 2 THEN NULL ELSE k4 - 1 END AS ci_failed, k7 AS commits, CASE WHEN k11 = 2 THEN 2 ELSE 0 END AS badly_formed,
- CASE WHEN k7 = 5 THEN 1 ELSE 0 END AS generated_hint, k4 AS trailers, k11 > 4 AS changelog, CASE WHEN k11 = 1 THEN 1 ELSE 0 END AS strong_signals, k4 AS medium_signals, k5 AS bench_first, k6 AS change_first, CASE k6 WHEN 0 THEN NULL WHEN 1 THEN 'build-failed' WHEN 2 THEN 'tests-failed' WHEN 3 THEN 'timeout' ELSE 'pass' END AS build_state,
- CASE WHEN k7 = 6 THEN NULL ELSE k5 END AS executable, k4 % 2 AS missed, CASE k5 WHEN 0 THEN NULL WHEN 1 THEN 'no files' WHEN 2 THEN 'partial' ELSE 'complete' END AS static_state, CASE WHEN k11 = 3 THEN 4 ELSE 0 END AS style_introduced, CASE WHEN k7 = 2 THEN 1 ELSE 0 END AS complex_introduced, CASE WHEN k11 = 7 THEN 1 ELSE 0 END AS red_rules,
- CASE WHEN k6 = 2 THEN 1 ELSE 0 END AS dup_introduced, CASE WHEN k11 = 8 THEN 1 ELSE 0 END AS banned, CASE WHEN k11 = 9 THEN 1 ELSE 0 END AS unlicensed, CASE WHEN k7 = 1 THEN 1 ELSE 0 END AS protected, CASE WHEN k11 = 10 THEN 1 ELSE 0 END AS deprecated_bare, k5 = 3 AS config_java, k4 > 0 AS config_yaml, k6 > 1 AS config_latest,
- CASE WHEN k6 = 4 THEN 1 ELSE 0 END AS bare_properties, k7 = 0 AS command_changed, k4 = 1 AS help_changed, k11 % 2 AS surfaces, CASE WHEN k11 = 5 THEN NULL ELSE k5 - 1 END AS votes"""
-SIZES = "SELECT pr, sum(CASE WHEN regexp_like(path, '^(src/java|pylib)/') THEN additions + deletions ELSE 0 END) AS prod_lines, bool_or(path LIKE 'test/%') AS has_tests FROM {changed_files} GROUP BY pr"
-FACT_SQL = f"WITH fx AS (SELECT f.*, coalesce(s.prod_lines, 0) AS prod_lines, coalesce(s.has_tests, false) AS has_tests FROM (SELECT {FACTS} FROM {{facts_base}}) f LEFT JOIN ({SIZES.replace('regexp_like', 'regexp_matches')}) s USING (pr))"
-RESULT_SQL = FACT_SQL + ", rs AS (" + " UNION ALL ".join(f"SELECT pr, '{c.id}' AS check_id, CASE {' '.join(f'WHEN {a} THEN {chr(39)}{b}{chr(39)}' for a, b in c.cases)} ELSE '{c.rest}' END AS status, {str(c.blocking).lower()} AS blocking, '{c.owner}' AS owner FROM fx" for c in C.CHECKS.values()) + ")"
-
-
-def facts(t):
-    files = t("changed_files")
-    sizes = files.groupBy("pr").agg(F.sum(F.when(F.col("path").rlike("^(src/java|pylib)/"), F.col("additions") + F.col("deletions")).otherwise(0)).alias("prod_lines"), F.bool_or(F.col("path").startswith("test/")).alias("has_tests"))
-    base = t("facts_base")
-    f = base.sparkSession.sql(f"SELECT {FACTS} FROM {{b}}", b=base)
-    return f.join(sizes, "pr", "left").fillna({"prod_lines": 0, "has_tests": False})
-
-
-def reviews_of(t):
-    return t("facts_base").selectExpr("pr", "draft", "CASE WHEN k11 = 6 THEN 1 ELSE 0 END AS must_fix", "k7 <> 1 AS ran", "k7 <> 2 AS complete", "k7 <> 3 AS approved")
-
-
-@query(RESULT_SQL + " SELECT *, status IN ('fail', 'warn') AS action_required FROM rs")
-def chk1_chk31_checks(t):
-    return C.run_checks(facts(t))
-
+from .gates import RESULT_SQL, facts, reviews_of
 
 WORST_SQL = RESULT_SQL + """, ws AS (SELECT pr, split_part(check_id, '.', 1) AS section, coalesce(first(status ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'unknown' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END) FILTER (status IN ('fail', 'unknown', 'warn', 'pass')), 'info') AS status, count(*) AS checks, count(*) FILTER (status = 'pass') AS passed FROM rs GROUP BY ALL)"""
 
@@ -47,10 +18,11 @@ def agg23_section_status(t):
     return C.worst(C.run_checks(facts(t)))
 
 
-VERDICT_SQL = RESULT_SQL + """, it AS (SELECT pr, count(*) FILTER (blocking AND status = 'fail' AND owner = 'contributor') AS cf, count(*) FILTER (blocking AND status = 'fail' AND owner <> 'contributor') AS nf, count(*) FILTER (status = 'warn' AND owner = 'contributor') AS cw, count(*) FILTER (status = 'warn' AND owner <> 'contributor') AS nw, count(*) FILTER (blocking AND status = 'unknown') AS un,
- coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'fail' AND owner = 'contributor')), []) AS l1, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'fail' AND owner <> 'contributor')), []) AS l2, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (status = 'warn' AND owner = 'contributor')), []) AS l3,
- coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (status = 'warn' AND owner <> 'contributor')), []) AS l4, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'unknown')), []) AS l5 FROM rs GROUP BY pr),
-vd AS (SELECT it.*, draft, k11 = 6 AS mf, CASE WHEN draft THEN 'draft' WHEN cf > 0 OR k11 = 6 THEN 'needs-contributor-work' WHEN cw > 0 THEN 'needs-work' WHEN un > 0 THEN 'insufficient-evidence' WHEN nf + nw > 0 THEN 'awaiting-review' WHEN k7 IN (1, 2) THEN 'requirements-met-unreviewed' WHEN k7 = 3 THEN 'needs-contributor-work' ELSE 'ready' END AS verdict FROM it JOIN {facts_base} USING (pr)),
+VERDICT_SQL = RESULT_SQL + """, it AS (SELECT pr, count(*) FILTER (blocking AND status = 'fail' AND owner = 'contributor') AS cf, count(*) FILTER (blocking AND status = 'fail' AND owner <> 'contributor') AS nf, count(*) FILTER (status = 'warn' AND action_required AND owner = 'contributor') AS cw, count(*) FILTER (status = 'warn' AND action_required AND owner <> 'contributor') AS nw, count(*) FILTER (blocking AND status = 'unknown') AS un,
+ coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'fail' AND owner = 'contributor')), []) AS l1, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'fail' AND owner <> 'contributor')), []) AS l2, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (status = 'warn' AND action_required AND owner = 'contributor')), []) AS l3,
+ coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (status = 'warn' AND action_required AND owner <> 'contributor')), []) AS l4, coalesce(list_sort(list({'check_id': check_id, 'owner': owner}) FILTER (blocking AND status = 'unknown')), []) AS l5 FROM rs GROUP BY pr),
+rv AS (SELECT pr, count(*) FILTER (severity IN ('blocker', 'major')) AS mf, count(DISTINCT lens) >= 3 AS complete, bool_and(idx % 5 <> 4) AS approved FROM {findings} GROUP BY pr),
+vd AS (SELECT it.*, draft, coalesce(mf, 0) > 0 AS mf, CASE WHEN draft THEN 'draft' WHEN cf > 0 OR coalesce(mf, 0) > 0 THEN 'needs-contributor-work' WHEN cw > 0 THEN 'needs-work' WHEN un > 0 THEN 'insufficient-evidence' WHEN nf + nw > 0 THEN 'awaiting-review' WHEN NOT coalesce(complete, false) THEN 'requirements-met-unreviewed' WHEN NOT approved THEN 'needs-contributor-work' ELSE 'ready' END AS verdict FROM it JOIN {subjects} USING (pr) LEFT JOIN rv USING (pr)),
 wl AS (SELECT pr, verdict, CASE WHEN draft OR cf > 0 OR mf THEN list_concat(l1, l2) WHEN verdict = 'needs-work' THEN list_concat(list_concat(l3, l2), l4) WHEN verdict = 'insufficient-evidence' THEN list_concat(l5, l2) WHEN verdict = 'awaiting-review' THEN list_concat(l2, l4) ELSE [] END AS items FROM vd)"""
 
 
