@@ -26,7 +26,7 @@ class PathRules:
     build: tuple[str, ...] = (".build/", ".circleci/", ".jenkins/", "build.xml", "ide/", ".github/")
     suites: tuple[tuple[str, str], ...] = (
         ("test/unit/", "unit"), ("test/distributed/", "distributed"), ("test/burn/", "burn"), ("test/long/", "long"), ("test/microbench/", "microbench"), ("test/simulator/", "simulator"),
-        ("test/harry/", "harry"), ("test/memory/", "memory"), ("test/anttasks/", "anttasks"),
+        ("test/harry/", "harry"), ("test/memory/", "memory"), ("test/anttasks/", "anttasks"), ("pylib/shell/test/", "shell"),
     )
     marker: str = "org/project/"
     code: tuple[str, ...] = (".java", ".py", ".g", ".sh", ".xml", ".yaml")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a finding.
@@ -14,9 +17,10 @@ STOP = (
 ENDINGS = ("ations", "ation", "ings", "ing", "ed", "es", "s")
 #: Severities, worst first.
 SEVERITIES = ("blocker", "major", "minor", "nit")
+#: Words that stand for no name.
 PLACEHOLDERS = ("tbd", "tba", "?", "", "none", "n/a")
 PROJECT = "PROJ"
-#: Trailers that are split out of a commit message.
+#: Trailers that are split out of a commit message.
 TRAILERS = ("co-authored-by", "assisted-by", "generated-by", "signed-off-by")
 
 
@@ -86,10 +90,16 @@ def trailers(message: Column) -> Column:
     return F.filter(pairs, lambda p: p["name"].isin(*TRAILERS))
 
 
+@F.pandas_udf("string")
+def folded(names: pd.Series) -> pd.Series:
+    """Names without accents (compatibility decomposition, marks dropped) and case; null is empty."""
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).casefold()
+    return names.map(plain, na_action=None)
+
+
 def normalise_name(name: Column) -> Column:
-    """Accents off (common Latin ones, by table), case folded, punctuation to spaces, spaces collapsed."""
-    plain = F.translate(F.lower(F.coalesce(name, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\w\s]", " "), r"\s+", " "))
+    """Accents off, case folded, punctuation to spaces, spaces collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(name), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def stem(word: Column) -> Column:
@@ -146,15 +156,25 @@ def plus_one(text: Column) -> Column:
 
 
 def clip(text: Column, n: int) -> Column:
-    """text, cut to n characters with an ellipsis as the last."""
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…")))
+    """text with spaces collapsed, cut to n characters with an ellipsis as the last."""
+    flat = collapsed(text)
+    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 1)), F.lit("…")))
+
+
+def at_word(text: Column, limit: int) -> Column:
+    """text, if longer than limit cut at the last space before it, without punctuation at the end, with an ellipsis; an inline
+    code span that the cut would leave open goes as well."""
+    cut = F.regexp_replace(F.substring(text, 1, limit), r" [^ ]*$", "")
+    odd = F.size(F.split(cut, "`")) % 2 == 0
+    cut = F.when(odd, F.regexp_replace(cut, "`[^`]*$", "")).otherwise(cut)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, "[ ,;:]+$", ""), F.lit("…")))
 
 
-def first_sentence(text: Column, limit: int = 140) -> Column:
-    """Up to the first full stop before a space that ends no abbreviation, without end punctuation, clipped."""
+def first_sentence(text: Column, limit: int = 150) -> Column:
+    """Up to the first full stop before a space that ends no abbreviation, without end punctuation, cut at a word."""
     flat = collapsed(text)
-    got = F.regexp_extract(flat, r"^(.*?)(?<!\be\.g)(?<!\bi\.e)(?<!\betc)(?<!\bvs)\.\s", 1)
-    return clip(F.regexp_replace(F.when(got != "", got).otherwise(flat), r"[.;:,]+$", ""), limit)
+    got = F.regexp_extract(flat, r"^(.+?)(?<!e\.g)(?<!i\.e)(?<!etc)(?<!vs)\. ", 1)
+    return at_word(F.regexp_replace(F.when(got != "", got).otherwise(flat), r"[.:;]+$", ""), limit)
 
 
 def clean_title(title: Column, most: int = 80) -> Column:
@@ -163,10 +183,52 @@ def clean_title(title: Column, most: int = 80) -> Column:
     return F.when((flat != "") & (F.length(flat) <= most), flat)
 
 
-def humanise(rule: Column) -> Column:
-    """camelCase to words, the first letter upper-case."""
-    apart = F.lower(F.regexp_replace(rule, "([a-z])([A-Z])", "$1 $2"))
-    return F.concat(F.upper(F.substring(apart, 1, 1)), F.substring(apart, F.lit(2), F.length(apart)))
+def humanise(rule: Column, limit: int = 90) -> Column:
+    """A rule's name as a label: slugs become words, a sentence stays. A longer one loses a parenthesis at its end, then what
+    follows a colon, and is cut at a word only then."""
+    r = collapsed(rule)
+    r = F.when(r.contains(" "), r).otherwise(F.regexp_replace(r, "[_-]+", " "))
+    r = F.when(F.length(r) > limit, F.regexp_replace(r, r"\s*\([^()]*\)\s*$", "")).otherwise(r)
+    r = F.when(F.length(r) > limit, F.trim(F.split_part(r, F.lit(":"), F.lit(1)))).otherwise(r)
+    cut = F.concat(F.regexp_replace(F.regexp_replace(F.substring(r, 1, limit), " [^ ]*$", ""), "[ ,;:]+$", ""), F.lit("…"))
+    r = F.when(F.length(r) > limit, cut).otherwise(r)
+    return F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, F.lit(2), F.length(r)))
+
+
+def short_location(location: Column) -> Column:
+    """name:line of a location, else the first file name in it, else its words."""
+    line = F.regexp_extract(location, r"([^/\s:()]+:[0-9]+)", 1)
+    file = F.regexp_extract(location, r"([^/\s:()]+\.\w+)", 1)
+    return F.when(line != "", line).when(file != "", file).otherwise(collapsed(location))
+
+
+def finding_title(title: Column, rule: Column, location: Column) -> Column:
+    """The title where it is short enough, else the rule's label and the short location."""
+    r, place = F.nullif(humanise(rule), F.lit("")), F.nullif(short_location(location), F.lit(""))
+    return F.coalesce(clean_title(title), F.when(r.isNotNull() & place.isNotNull(), F.concat(r, F.lit(" — "), place)), r, place, F.lit("Code review finding"))
+
+
+def sanitise_title(text: Column, limit: int = 80) -> Column:
+    """ASCII letters, digits, spaces and -_.:() only, spaces collapsed, cut."""
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9\s_.:()-]", "")
+    return F.trim(F.substring(F.trim(F.regexp_replace(kept, r"\s+", " ")), 1, limit))
+
+
+def loose_location(text: Column) -> Column:
+    """(path, line) of what begins like a path with an extension; the line may be missing."""
+    rx = r"^\s*([\w./-]+\.\w+)(?::(\d+))?"
+    return F.struct(F.nullif(F.regexp_extract(text, rx, 1), F.lit("")).alias("path"), F.nullif(F.regexp_extract(text, rx, 2), F.lit("")).try_cast("long").alias("line"))
+
+
+def attachment_kind(name: Column) -> Column:
+    """summary, archive or other, by an attachment's name."""
+    low = F.lower(name)
+    return F.when(low.contains("ci_summary") & low.endswith(".html"), "summary").when(low.endswith(".gz") | low.endswith(".zip"), "archive").otherwise("other")
+
+
+def runnable_test(text: Column, bases: tuple[str, ...] = ("UnitBase", "ClusterBase")) -> Column:
+    """Whether a class has something to run: a test or runner annotation, or a known base class."""
+    return text.contains("@Test") | text.contains("@RunWith") | text.rlike(rf"\bextends\s+({'|'.join(bases)})\b")
 
 
 def size_band(lines: Column, bands=((1000, "very large"), (400, "large"), (100, "medium")), rest: str = "small") -> Column:
@@ -189,3 +251,11 @@ def label_key(case: Column, where: Column, problem: Column) -> Column:
 
 def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"\S"))).cast("long")
+
+
+def nonblank_within(texts: DataFrame, ranges: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, lines: lines of each text that aren't blank and lie in one of its ranges (key, begin, end), each once."""
+    spans = ranges.groupBy(key).agg(F.collect_list(F.struct("begin", "end")).alias("_r"))
+    rows = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("t")))
+    inside = F.filter(rows, lambda x: x["t"].rlike(r"\S") & F.exists("_r", lambda r: x["n"].between(r["begin"], r["end"])))
+    return texts.join(spans, key).select(key, F.size(inside).cast("long").alias("lines"))

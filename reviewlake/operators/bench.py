@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: (impact, confidence) to severity; cosmetic findings need no confidence.
-SEVERITY_TABLE = [("data loss", "certain", "blocker"), ("data loss", "likely", "major"), ("wrong result", "certain", "major"), ("wrong result", "likely", "minor"), ("slow", "certain", "minor"), ("slow", "likely", "nit")]
-
-
-def derive_severity(findings: DataFrame, rows: list[tuple[str, str, str]], cosmetic: str = "cosmetic") -> DataFrame:
-    """findings (given, impact, confidence) with severity by the table where it has an entry."""
-    cases = [F.when((F.col("impact") == i) & (F.col("confidence") == c), s) for i, c, s in rows]
-    return findings.withColumn("severity", F.coalesce(F.when(F.col("impact") == cosmetic, "nit"), *cases, F.col("given")))
+#: Severity of each impact for high, medium and low confidence.
+CONFIDENCES = ("high", "medium", "low")
+SEVERITY_TABLE = {
+    "data-loss": ("blocker", "major", "minor"), "crash": ("blocker", "major", "minor"), "hang": ("blocker", "major", "minor"), "mixed-version-break": ("blocker", "major", "minor"),
+    "silent-wrong-result": ("major", "major", "minor"), "performance": ("minor", "minor", "nit"), "cosmetic": ("nit", "nit", "nit"),
+}
+
+
+def derive_severity(findings: DataFrame, table: dict[str, tuple[str, str, str]] = SEVERITY_TABLE, cosmetic: str = "cosmetic") -> DataFrame:
+    """findings (given, impact, confidence) with severity by the table, and corrected: whether that differs from what was given.
+    A finding without an impact, or without a confidence that its impact needs, keeps the given one."""
+    cases = [F.when((F.col("impact") == i) & (F.col("confidence") == c), s) for i, row in table.items() for c, s in zip(CONFIDENCES, row, strict=True)]
+    bare = F.when((F.col("impact") == cosmetic) & F.col("confidence").isNull(), table[cosmetic][0])
+    out = findings.withColumn("severity", F.coalesce(bare, *cases, F.col("given")))
+    return out.withColumn("corrected", F.col("severity") != F.col("given"))
 
 
 def location_matches(findings: DataFrame, known: DataFrame, margin: int = 15) -> DataFrame:

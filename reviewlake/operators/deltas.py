@@ -76,18 +76,20 @@ def coverage_totals(states: DataFrame) -> DataFrame:
 
 
 def tail(k: int, mu: float) -> float:
-    """P(X >= k) of a Poisson count, summed from k up, so that a tiny tail keeps its digits."""
+    """P(X >= k) of a Poisson count. Above the mean it is summed from k up, so that a tiny tail keeps its digits; below it is what
+    the sum from k - 1 down leaves of 1. Either way terms shrink from the first, so the sum ends by its precision."""
     if k <= 0:
         return 1.0
     if mu <= 0:
         return 0.0
-    term = math.exp(k * math.log(mu) - mu - math.lgamma(k + 1))
-    total, j = term, k
-    while term > total * 1e-17 or j < mu:
-        j += 1
-        term *= mu / j
+    up = k >= mu
+    j = k if up else k - 1
+    term = math.exp(j * math.log(mu) - mu - math.lgamma(j + 1))
+    total = term
+    while term > total * 1e-17 and (up or j > 0):
+        j, term = (j + 1, term * mu / (j + 1)) if up else (j - 1, term * j / mu)
         total += term
-    return min(total, 1.0)
+    return min(total, 1.0) if up else max(0.0, 1.0 - total)
 
 
 @F.pandas_udf(T.DoubleType())

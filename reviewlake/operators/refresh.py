@@ -50,10 +50,22 @@ def baseline_for(wanted: DataFrame, built: DataFrame, days: int = 7) -> DataFram
 
 
 def run_status(runs: DataFrame) -> DataFrame:
-    """runs with status, by precedence. Columns: compile_errors, selected, ran, failures, timeouts, artifacts, flaky, timed_out."""
+    """runs with status and reason, by precedence: a build that fails with errors has failed, one without is unknown (a missing
+    artifact, the harness or the network are named); then failures, timeouts, environment artifacts, flaky tests, a run that failed
+    without results or without a failing test, and missing coverage; only what is left passes.
+
+    Columns: build_rc (null: no build), compile_errors, missing_artifact, harness, network, failures, timed_out, timeouts, artifacts,
+    flaky, ran_tests, test_rc, run, coverage."""
     c = F.col
-    s = F.when(c("compile_errors") > 0, "build-failed").when(c("selected") == 0, "no-tests").when(c("timed_out"), "timeout").when(c("failures") > 0, "tests-failed").when(c("timeouts") > 0, "tests-timed-out").when(c("ran") == 0, "unknown")
-    return runs.withColumn("status", s.when(c("artifacts") > 0, "pass-with-artifacts").when(c("flaky") > 0, "pass-flaky").otherwise("pass"))
+    broken, bad_rc = F.coalesce(c("build_rc") != 0, F.lit(False)), c("ran_tests") & F.coalesce(c("test_rc") != 0, F.lit(False))
+    cases = [
+        (broken & (c("compile_errors") > 0), "build-failed", "compile error"), (broken & c("missing_artifact"), "unknown", "an artifact was not found"), (broken & c("harness"), "unknown", "the harness refused the run"), (broken & c("network"), "unknown", "a resource could not be reached"),
+        (broken, "unknown", "the build failed without a compile error"), (c("failures") > 0, "tests-failed", "failing tests"), (c("timed_out"), "timeout", "the run hit its time limit"), (c("timeouts") > 0, "timeout", "test classes timed out"),
+        (c("artifacts") > 0, "unknown", "failures of the environment"), (c("flaky") > 0, "unknown", "failed once and passed on retry"), (bad_rc & (c("run") == 0), "unknown", "failed before any result"), (bad_rc, "unknown", "failed without a failing test"),
+        (c("ran_tests") & ~c("coverage"), "unknown", "no coverage report"),
+    ]
+    pick = lambda k: F.coalesce(*[F.when(case[0], case[k]) for case in cases], F.lit("pass") if k == 1 else F.when(c("ran_tests"), "tests passed").otherwise("no tests were selected"))
+    return runs.withColumn("status", pick(1)).withColumn("reason", pick(2))
 
 
 def flaky_split(first: DataFrame, again: DataFrame) -> DataFrame:

@@ -73,15 +73,16 @@ def agg22_set5_synthesised_findings(t):
     return f.filter("declines AND NOT must").select("pr", "lens", F.lit("declined without a must-fix finding").alias("problem"))
 
 
-IMPACT = "CASE idx % 4 WHEN 0 THEN 'data loss' WHEN 1 THEN 'wrong result' WHEN 2 THEN 'slow' ELSE 'cosmetic' END"
-SURE = "CASE pr % 3 WHEN 0 THEN 'certain' WHEN 1 THEN 'likely' ELSE NULL END"
+IMPACT = "CASE idx % 8 WHEN 0 THEN 'data-loss' WHEN 1 THEN 'crash' WHEN 2 THEN 'hang' WHEN 3 THEN 'mixed-version-break' WHEN 4 THEN 'silent-wrong-result' WHEN 5 THEN 'performance' WHEN 6 THEN 'cosmetic' END"
+SURE = "CASE CAST(pr / 12 AS INT) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END"
 
 
-@query(f"""WITH f AS (SELECT id, severity, {IMPACT} AS impact, {SURE} AS confidence FROM {{findings}}), t(impact, confidence, s) AS (VALUES ('data loss', 'certain', 'blocker'), ('data loss', 'likely', 'major'), ('wrong result', 'certain', 'major'), ('wrong result', 'likely', 'minor'), ('slow', 'certain', 'minor'), ('slow', 'likely', 'nit'))
-SELECT id, coalesce(CASE WHEN f.impact = 'cosmetic' THEN 'nit' END, t.s, severity) AS severity, coalesce(CASE WHEN f.impact = 'cosmetic' THEN 'nit' END, t.s, severity) <> severity AS corrected FROM f LEFT JOIN t ON f.impact = t.impact AND f.confidence = t.confidence""")
+@query(f"""WITH f AS (SELECT id, severity AS given, {IMPACT} AS impact, {SURE.replace('CAST(pr / 12 AS INT)', '(pr // 12)')} AS confidence FROM {{findings}}), s AS (SELECT id, given, CASE WHEN impact IN ('data-loss', 'crash', 'hang', 'mixed-version-break') THEN CASE confidence WHEN 'high' THEN 'blocker' WHEN 'medium' THEN 'major' WHEN 'low' THEN 'minor' END
+ WHEN impact = 'silent-wrong-result' THEN CASE WHEN confidence = 'low' THEN 'minor' WHEN confidence IS NOT NULL THEN 'major' END WHEN impact = 'performance' THEN CASE WHEN confidence = 'low' THEN 'nit' WHEN confidence IS NOT NULL THEN 'minor' END WHEN impact = 'cosmetic' THEN 'nit' END AS t FROM f)
+SELECT id, coalesce(t, given) AS severity, coalesce(t, given) <> given AS corrected FROM s""")
 def prj21_derived_severity(t):
     f = t("findings").selectExpr("id", "severity AS given", f"{IMPACT} AS impact", f"{SURE} AS confidence")
-    return B.derive_severity(f, B.SEVERITY_TABLE).select("id", "severity", (F.col("severity") != F.col("given")).alias("corrected"))
+    return B.derive_severity(f).select("id", "severity", "corrected")
 
 
 KNOWN_SQL = """k AS (SELECT item_id AS issue, item_id % 2 = 0 AS hard, concat('File', CAST(item_id % 3 AS VARCHAR), '.java') AS file, (item_id * 7 % 40) AS b, (item_id * 7 % 40) + 6 AS e, text AS term FROM benchmark)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import checks as C
 from ..operators import deltas as D
 from ..operators import findings as N
@@ -135,8 +136,7 @@ def snk2_latest(t):
 @query("SELECT seq, CASE WHEN seq % 3 = 0 THEN 'summary' WHEN seq % 3 = 1 THEN 'archive' ELSE 'other' END AS kind FROM {ci_runs}")
 def prj15_attachment_kind(t):
     name = F.when(F.col("seq") % 3 == 0, "CI_Summary.HTML").when(F.col("seq") % 3 == 1, "results.tar.gz").otherwise("x.log")
-    low = F.lower(name)
-    return t("ci_runs").select("seq", F.when(low.contains("ci_summary") & low.endswith(".html"), "summary").when(low.endswith(".gz") | low.endswith(".zip"), "archive").otherwise("other").alias("kind"))
+    return t("ci_runs").select("seq", X.attachment_kind(name).alias("kind"))
 
 
 @query(FACT_SQL + " SELECT pr, have, need::BIGINT AS need, have >= need AS enough FROM fx")
@@ -145,9 +145,14 @@ def prj31_votes_needed(t):
     return facts(t).select("pr", have.alias("have"), need.alias("need"), (have >= need).alias("enough"))
 
 
-@query("SELECT doc_id, contains(text, 'token = ') OR regexp_matches(text, '\\bnti\\w+\\b') AS runnable FROM documents")
+CLASSES = "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN concat('class ', p_brand, ' { @Test public void a() {} }') WHEN 1 THEN concat('@RunWith(Parameterized.class) class ', p_brand) WHEN 2 THEN concat('class ', p_brand, ' extends  UnitBase {}') WHEN 3 THEN concat('abstract class UnitBaseless extends ', p_brand, ' {}') WHEN 4 THEN concat('class ', p_brand, ' extends UnitBases {}') ELSE p_name END AS text FROM part"
+
+
+@query(r"SELECT id, contains(text, '@Test') OR contains(text, '@RunWith') OR regexp_matches(text, 'extends\s+UnitBase\b') AS runnable FROM (" + CLASSES + ")")
 def prj33_runnable(t):
-    return t("documents").select("doc_id", (F.col("text").contains("token = ") | F.col("text").rlike(r"\bnti\w+\b")).alias("runnable"))
+    part = t("part")
+    kinds = CLASSES.partition("AS id, ")[2].rpartition(" AS text")[0]
+    return part.select(F.col("p_partkey").alias("id"), F.expr(kinds).alias("text")).select("id", X.runnable_test(F.col("text")).alias("runnable"))
 
 
 @query("""WITH o AS (SELECT DISTINCT l_orderkey AS block, l_partkey AS file_id, l_linenumber * 10 AS line, l_linenumber * 10 + 4 AS endline FROM lineitem), m AS (SELECT o.*, EXISTS (SELECT 1 FROM {ranges} r WHERE r.file_id = o.file_id AND r.begin_line <= o.endline AND r.end_line >= o.line) AS hit, file_id % 4 = 0 AS fresh FROM o)

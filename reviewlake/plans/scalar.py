@@ -70,9 +70,12 @@ def src2_trailers(t):
     return t("commits").select("seq", F.transform(X.trailers(F.col("message")), lambda p: F.concat_ws("=", p["name"], p["value"])).alias("trailers"))
 
 
-@query(r"""SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(lower(strip_accents(c_name)), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM customer""")
+ACCENTED = "CASE c_custkey % 3 WHEN 0 THEN concat('Zoë  Ünal-', c_name) WHEN 1 THEN concat('ÉLODIE O''Neil ', c_name) ELSE c_name END"
+
+
+@query(rf"""SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(lower(strip_accents({ACCENTED})), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM customer""")
 def prj11_normalise_name(t):
-    return t("customer").select(F.col("c_custkey").alias("id"), X.normalise_name(F.col("c_name")).alias("name"))
+    return t("customer").selectExpr("c_custkey AS id", f'{ACCENTED.replace("O\'\'Neil", "O\\\'Neil")} AS n').select("id", X.normalise_name(F.col("n")).alias("name"))
 
 
 @query(r"""WITH v AS (SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN '4.x' WHEN 1 THEN '3.11.2' WHEN 2 THEN '3.x' WHEN 3 THEN '9.9' WHEN 4 THEN 'later' WHEN 5 THEN '4.0-beta' ELSE '3' END AS version FROM supplier)
@@ -116,21 +119,38 @@ def prj19_jaccard(t):
     return t("findings").select("id", X.jaccard(X.words(F.col("problem")), X.words(F.col("fix"))).alias("score"))
 
 
-@query(r"SELECT id, nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 2), '') AS BIGINT) AS line FROM {findings}")
+PLACED = "SELECT id, CASE WHEN idx % 4 = 0 THEN location WHEN idx % 4 = 1 THEN replace(location, ':', ' line ') WHEN idx % 4 = 2 THEN concat('  ', location, ' (see below)') ELSE 'no place' END AS location FROM {findings}"
+
+
+@query(rf"SELECT id, nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 2), '') AS BIGINT) AS line, nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 1), '') AS loose_path, TRY_CAST(nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 2), '') AS BIGINT) AS loose_line FROM ({PLACED})")
 def prj20_location(t):
-    return t("findings").select("id", X.location(F.col("location")).alias("l")).select("id", "l.*")
+    f = t("findings")
+    x = f.sparkSession.sql(PLACED, findings=f)
+    return x.select("id", X.location(F.col("location")).alias("l"), X.loose_location(F.col("location")).alias("m")).select("id", "l.*", F.col("m.path").alias("loose_path"), F.col("m.line").alias("loose_line"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), f AS (SELECT doc_id, flat, CASE WHEN regexp_matches(flat, '\.\s') THEN regexp_extract(flat, '^(.*?)\.\s', 1) ELSE flat END AS one FROM s),
-g AS (SELECT doc_id, flat, regexp_replace(CASE WHEN one = '' THEN flat ELSE one END, '[.;:,]+$', '') AS one FROM f)
-SELECT doc_id, CASE WHEN length(one) <= 140 THEN one ELSE rtrim(substr(one, 1, 139)) || '…' END AS sentence, CASE WHEN flat <> '' AND length(flat) <= 80 THEN flat END AS title FROM g""")
+@query(r"""WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), f AS (SELECT doc_id, text, flat, regexp_replace(CASE WHEN strpos(flat, '. ') > 1 THEN substr(flat, 1, strpos(flat, '. ') - 1) ELSE flat END, '[.:;]+$', '') AS one FROM s),
+c AS (SELECT *, regexp_replace(substr(one, 1, 150), ' [^ ]*$', '') AS cut FROM f), o AS (SELECT *, CASE WHEN (length(cut) - length(replace(cut, '`', ''))) % 2 = 1 THEN regexp_replace(cut, '`[^`]*$', '') ELSE cut END AS even FROM c)
+SELECT doc_id, CASE WHEN length(one) <= 150 THEN one ELSE regexp_replace(even, '[ ,;:]+$', '') || '…' END AS sentence, CASE WHEN flat <> '' AND length(flat) <= 80 THEN flat END AS title, CASE WHEN length(flat) <= 60 THEN flat ELSE rtrim(substr(flat, 1, 59)) || '…' END AS clipped,
+ trim(substr(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s_.:()-]', '', 'g'), '\s+', ' ', 'g')), 1, 80)) AS sanitised FROM o""")
 def prj22_prj24_prj25_sentences(t):
-    return t("documents").select("doc_id", X.first_sentence(F.col("text")).alias("sentence"), X.clean_title(F.col("text")).alias("title"))
+    x = F.col("text")
+    return t("documents").select("doc_id", X.first_sentence(x).alias("sentence"), X.clean_title(x).alias("title"), X.clip(x, 60).alias("clipped"), X.sanitise_title(x).alias("sanitised"))
+
 
+LABELLED = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_-') WHEN 1 THEN repeat(concat(p_name, '  '), 14) WHEN 2 THEN concat(p_name, ' ', p_type, ' (', repeat(p_type, 20), ')') ELSE concat(p_name, ': ', repeat(concat(p_type, ' '), 20)) END AS rule,
+ CASE p_partkey % 3 WHEN 0 THEN concat('src/a/', replace(p_name, ' ', ''), '.java:', CAST(p_size AS STRING), ' (note)') WHEN 1 THEN concat('in src/b/', p_brand, '.java') ELSE concat('  ', p_name) END AS location, CASE p_partkey % 5 WHEN 0 THEN concat(' The  ', p_name) WHEN 1 THEN repeat(p_name, 30) ELSE NULL END AS title FROM {part}"""
 
-@query("SELECT DISTINCT rule, 'Rule' || substr(rule, 5) AS words FROM {violations}")
-def prj23_humanise(t):
-    return t("violations").select("rule", X.humanise(F.col("rule")).alias("words")).distinct()
+
+@query(rf"""WITH l AS ({LABELLED.replace("{part}", "part")}), a AS (SELECT *, trim(regexp_replace(rule, '\s+', ' ', 'g')) AS r0 FROM l), b AS (SELECT *, CASE WHEN contains(r0, ' ') THEN r0 ELSE regexp_replace(r0, '[_-]+', ' ', 'g') END AS r1 FROM a), c AS (SELECT *, CASE WHEN length(r1) > 90 THEN regexp_replace(r1, '\s*\([^()]*\)\s*$', '') ELSE r1 END AS r2 FROM b),
+d AS (SELECT *, CASE WHEN length(r2) > 90 THEN trim(split_part(r2, ':', 1)) ELSE r2 END AS r3 FROM c), e AS (SELECT *, CASE WHEN length(r3) > 90 THEN regexp_replace(regexp_replace(substr(r3, 1, 90), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' ELSE r3 END AS r4 FROM d), f AS (SELECT id, upper(substr(r4, 1, 1)) || substr(r4, 2) AS words, title,
+ CASE WHEN regexp_matches(location, '[^/\s:()]+:\d+') THEN regexp_extract(location, '([^/\s:()]+:\d+)', 1) WHEN regexp_matches(location, '[^/\s:()]+\.\w+') THEN regexp_extract(location, '([^/\s:()]+\.\w+)', 1) ELSE trim(location) END AS place, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) AS t FROM e)
+SELECT id, words, place, CASE WHEN t <> '' AND length(t) <= 80 THEN t ELSE words || ' — ' || place END AS title FROM f""")
+def prj23_labels(t):
+    part = t("part")
+    x = part.sparkSession.sql(LABELLED, part=part)
+    rule, place = F.col("rule"), F.col("location")
+    return x.select("id", X.humanise(rule).alias("words"), X.short_location(place).alias("place"), X.finding_title(F.col("title"), rule, place).alias("title"))
 
 
 @query("""SELECT pr, path, score, CASE WHEN score >= 30 THEN 'darkred' WHEN score >= 15 THEN 'red' WHEN score >= 10 THEN 'yellow' ELSE 'green' END AS band, CASE WHEN score % 5 = 0 THEN 'new' WHEN score > 25 THEN 'worse' WHEN score < 25 THEN 'better' ELSE 'same' END AS change FROM {violations} JOIN {paths} USING (file_id)""")
@@ -154,3 +174,14 @@ def prj30_issue_text(t):
 @query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\x0b\x0c]')))::BIGINT AS lines FROM documents")
 def prj32_nonblank_lines(t):
     return t("documents").select("doc_id", X.nonblank_lines(F.col("text")).alias("lines"))
+
+
+SPANS = "SELECT doc_id, 1 AS begin, 3 AS finish FROM {documents} UNION ALL SELECT doc_id, doc_id % 5 + 2, doc_id % 5 + 6 FROM {documents}"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents), r AS ({SPANS.format(documents='documents')})
+SELECT doc_id, (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id AND regexp_matches(line, '[^ \t\r\x0b\x0c]') AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND n BETWEEN begin AND finish)) AS lines FROM documents d""")
+def prj32_nonblank_within(t):
+    docs = t("documents")
+    spans = docs.selectExpr("doc_id", "inline(array(struct(1L AS begin, 3L AS end), struct(doc_id % 5 + 2 AS begin, doc_id % 5 + 6 AS end)))")
+    return X.nonblank_within(docs, spans, "doc_id")

@@ -117,10 +117,16 @@ def win7_baseline(t):
     return R.baseline_for(want, built)
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'build-failed' WHEN event_id % 11 = 0 THEN 'no-tests' WHEN event_id % 7 = 0 THEN 'timeout' WHEN user_id % 5 = 0 THEN 'tests-failed' WHEN user_id % 9 = 0 THEN 'tests-timed-out' WHEN event_id % 17 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'pass-with-artifacts' WHEN event_id % 2 = 0 THEN 'pass-flaky' ELSE 'pass' END AS status FROM events""")
+RUNS = """SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 0 END AS build_rc, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS compile_errors, user_id % 3 = 0 AS missing_artifact, user_id % 4 = 0 AS harness, user_id % 5 = 0 AS network, CASE WHEN user_id % 7 = 0 THEN 2 ELSE 0 END AS failures, event_id % 23 = 0 AS timed_out,
+ CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS timeouts, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS artifacts, CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS flaky, event_id % 5 <> 0 AS ran_tests, CASE WHEN event_id % 17 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 0 END AS test_rc, user_id % 6 AS run, event_id % 31 <> 0 AS coverage FROM {events}"""
+
+
+@query(f"""SELECT event_id, CASE WHEN build_rc = 1 THEN CASE WHEN compile_errors = 1 THEN 'build-failed' ELSE 'unknown' END WHEN failures > 0 THEN 'tests-failed' WHEN timed_out OR timeouts > 0 THEN 'timeout' WHEN artifacts > 0 OR flaky > 0 OR (ran_tests AND (coalesce(test_rc, 0) <> 0 OR NOT coverage)) THEN 'unknown' ELSE 'pass' END AS status,
+ CASE WHEN build_rc = 1 THEN CASE WHEN compile_errors = 1 THEN 'compile error' WHEN missing_artifact THEN 'an artifact was not found' WHEN harness THEN 'the harness refused the run' WHEN network THEN 'a resource could not be reached' ELSE 'the build failed without a compile error' END WHEN failures > 0 THEN 'failing tests' WHEN timed_out THEN 'the run hit its time limit' WHEN timeouts > 0 THEN 'test classes timed out'
+ WHEN artifacts > 0 THEN 'failures of the environment' WHEN flaky > 0 THEN 'failed once and passed on retry' WHEN ran_tests AND test_rc = 1 THEN CASE WHEN run = 0 THEN 'failed before any result' ELSE 'failed without a failing test' END WHEN ran_tests AND NOT coverage THEN 'no coverage report' WHEN ran_tests THEN 'tests passed' ELSE 'no tests were selected' END AS reason FROM ({RUNS.format(events='events')})""")
 def agg19_run_status(t):
-    e = t("events").selectExpr("event_id", "CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS compile_errors", "event_id % 11 AS selected", "event_id % 17 AS ran", "CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS failures", "CASE WHEN user_id % 9 = 0 THEN 1 ELSE 0 END AS timeouts", "CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS artifacts", "CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS flaky", "event_id % 7 = 0 AS timed_out")
-    return R.run_status(e).select("event_id", "status")
+    e = t("events")
+    return R.run_status(e.sparkSession.sql(RUNS, events=e)).select("event_id", "status", "reason")
 
 
 @query("""WITH f AS (SELECT DISTINCT user_id AS cls, event_id % 40 AS test FROM events WHERE event_type = 'error'), a AS (SELECT user_id AS cls, event_id % 40 AS test, event_type <> 'view' AS ok FROM events WHERE user_id % 2 = 0)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -27,6 +28,12 @@ def test_poisson_tail():
     assert deltas.tail(0, 5.0) == 1.0 and deltas.tail(1, 0.0) == 0.0
     assert 0 < deltas.tail(60, 1.0) < 1e-60
     assert abs(deltas.tail(5, 200.0) - 1) < 1e-9
+    assert deltas.tail(1, 760.0) == 1.0 and deltas.tail(5, 800.0) == 1.0 and abs(deltas.tail(760, 800.0) - 0.925) < 0.003
+    for k, mu in ((1, 0.5), (3, 7.0), (7, 7.0), (30, 20.0), (10, 40.0)):
+        p = [math.exp(-mu)]
+        for i in range(1, k):
+            p.append(p[-1] * mu / i)
+        assert abs(deltas.tail(k, mu) - (1 - math.fsum(p))) < 1e-12
 
 
 def test_rate_is_judged(spark):
