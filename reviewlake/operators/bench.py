@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -24,49 +24,68 @@ def derive_severity(findings: DataFrame, table: dict[str, tuple[str, str, str]]
     return out.withColumn("corrected", F.col("severity") != F.col("given"))
 
 
-def location_matches(findings: DataFrame, known: DataFrame, margin: int = 15) -> DataFrame:
-    """(id, issue): the finding's file ends in the issue's, and its line is within the range or the margin around it.
+def in_place(locations: Column, files: Column, begin: Column, end: Column, margin: int = 15) -> Column:
+    """Whether one of an issue's locations is where a known issue lies: a path that ends in one of its files, or the other way round,
+    and a line within the margin of its range; a missing line or range fits, and so does everything where no file is known."""
+    at = F.transform(locations, lambda x: X.loose_location(x))
+    near = lambda line: begin.isNull() | line.isNull() | line.between(begin - margin, end + margin)
+    fits = F.exists(at, lambda x: x["path"].isNotNull() & F.exists(files, lambda f: x["path"].endswith(f) | f.endswith(x["path"])) & near(x["line"]))
+    return (F.size(files) == 0) | F.coalesce(fits, F.lit(False))
 
-    Both sides meet by the last part of the path and by buckets of lines wider than any range with its margins needs.
-    """
-    at = X.location(F.col("location"))
-    f = findings.select("id", at["path"].alias("path"), at["line"].alias("line")).filter("path IS NOT NULL")
-    size = 64
-    f = f.withColumn("_n", F.element_at(F.split("path", "/"), -1)).withColumn("_k", F.floor(F.col("line") / size))
-    k = known.withColumn("_n", F.element_at(F.split("file", "/"), -1)).withColumn("_k", F.explode(F.sequence(F.floor((F.col("b") - margin) / size), F.floor((F.col("e") + margin) / size))))
-    return f.join(k, ["_n", "_k"]).filter(F.col("path").endswith(F.col("file")) & F.col("line").between(F.col("b") - margin, F.col("e") + margin)).select("id", "issue")
+
+def says(text: Column, terms: Column, any_of: Column) -> Column:
+    """Whether a lower-case text holds all terms and, where there are such, one of any_of."""
+    return F.forall(terms, lambda t: text.contains(t)) & ((F.size(any_of) == 0) | F.exists(any_of, lambda t: text.contains(t)))
 
 
-def text_matches(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, issue): the text holds the issue's term.
+def matches(issues: DataFrame, known: DataFrame, margin: int = 15) -> DataFrame:
+    """(case_id, run, id, issue): the issues that are a known issue of their case, by place and by words.
 
-    A term's words but for its first and last stand whole in any text that holds it, so texts and terms meet by the longest
-    of those, and what meets is compared. Terms of one or two words have no such word and are compared with all texts; they
-    are a stated set that goes round, as far as it is small.
+    issues: case_id, run, id, locations, text (lower-case); known: case_id, issue, files, begin, end, terms, any_of. Both meet by
+    case, of which each has a panel's issues and a few known ones; every pair is looked at once, in the join's own condition.
     """
-    spaces = r"[ \t\n\x0b\f\r]+"
-    parts = F.split("term", spaces)
-    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    k = known.select("issue", "term", longest.alias("_anchor"))
-    anchors = k.filter("_anchor IS NOT NULL")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", spaces))).alias("_anchor"))
-    met = words.join(anchors.select("issue", "_anchor"), "_anchor").select("doc_id", "issue")
-    checked = met.join(anchors.select("issue", "term"), "issue").join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("term"))).select("doc_id", "issue")
-    few = k.filter("_anchor IS NULL").select("issue", "term")
-    if few.isEmpty():
-        return checked
-    return checked.unionByName(docs.select("doc_id", "text").join(few, F.col("text").contains(F.col("term"))).select("doc_id", "issue"))
+    j = issues.join(known.select("case_id", "issue", "files", "begin", "end", "terms", "any_of"), "case_id")
+    hit = in_place(F.col("locations"), F.col("files"), F.col("begin"), F.col("end"), margin) & says(F.col("text"), F.col("terms"), F.col("any_of"))
+    return j.filter(hit).select("case_id", "run", "id", "issue")
 
 
 def recall(known: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Found over possible (issue and run) pairs, of hard issues, soft ones and all."""
-    n = runs.count()
-    hits = found.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-    j = known.select("issue", "hard").join(hits, "issue", "left")
-    agg = j.cube("hard").agg(F.grouping("hard").alias("g"), (F.count(F.lit(1)) * n).alias("possible"), F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
-    kind = F.when(F.col("g") == 1, "all").when(F.col("hard"), "hard").otherwise("soft")
-    return agg.select(kind.alias("class"), "possible", "found", F.round(F.col("found") / F.col("possible"), 6).alias("recall"))
+    """class, possible, found, recall: found over possible (known issue and run of its case) pairs, of all, hard, soft and major or
+    worse ones; recall is null for a class without any. known: case_id, issue, hard, severity; found: case_id, run, issue."""
+    n = runs.select("case_id", "run").distinct().groupBy("case_id").agg(F.count(F.lit(1)).alias("runs"))
+    hits = found.select("case_id", "run", "issue").distinct().groupBy("case_id", "issue").agg(F.count(F.lit(1)).alias("hits"))
+    j = known.join(n, "case_id").join(hits, ["case_id", "issue"], "left").fillna(0, ["hits"])
+    bad = F.col("severity").isin("blocker", "major")
+    classes = F.filter(F.array(F.lit("all"), F.when(F.col("hard"), "hard").otherwise("soft"), F.when(bad, "major+")), lambda c: c.isNotNull())
+    every = j.select(F.explode(classes).alias("class"), "runs", "hits").groupBy("class").agg(F.sum("runs").alias("possible"), F.sum("hits").alias("found"))
+    names = known.sparkSession.createDataFrame([(c,) for c in ("all", "hard", "soft", "major+")], "class string")
+    out = names.join(every, "class", "left").fillna(0, ["possible", "found"])
+    return out.withColumn("recall", F.round(F.try_divide("found", "possible"), 6))
+
+
+def lens_shares(issues: DataFrame) -> DataFrame:
+    """Per lens: issues it reports, those it reports alone, and their share. issues: lenses."""
+    x = issues.select(F.explode("lenses").alias("lens"), (F.size("lenses") == 1).alias("alone"))
+    return x.groupBy("lens").agg(F.count(F.lit(1)).alias("issues"), F.count(F.when(F.col("alone"), 1)).alias("alone")).withColumn("share", F.round(F.col("alone") / F.col("issues"), 6))
+
+
+def panel_scores(issues: DataFrame, raw: DataFrame, found: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per case: runs, and lists in their order of raw findings, issues, must-fix issues, known issues found, unmatched issues that
+    nobody labelled, tokens and seconds; and the duplicate rate over all.
+
+    issues: case_id, run, id, severity, key; raw: case_id, run, findings; runs: case_id, run, tokens, seconds; labels: key.
+    """
+    open_ = issues.join(found.select("case_id", "run", "id").distinct(), ["case_id", "run", "id"], "left_anti").join(labels.select("key").distinct(), "key", "left_anti")
+    must = F.col("severity").isin("blocker", "major")
+    j = runs.join(raw, ["case_id", "run"], "left")
+    j = j.join(issues.groupBy("case_id", "run").agg(F.count(F.lit(1)).alias("issues"), F.count(F.when(must, 1)).alias("must_fix")), ["case_id", "run"], "left")
+    j = j.join(found.groupBy("case_id", "run").agg(F.count_distinct("issue").alias("found")), ["case_id", "run"], "left")
+    j = j.join(open_.groupBy("case_id", "run").agg(F.count(F.lit(1)).alias("unlabelled")), ["case_id", "run"], "left").fillna(0)
+    names = ["findings", "issues", "must_fix", "found", "unlabelled", "tokens", "seconds"]
+    row = F.array_sort(F.collect_list(F.struct("run", *names)))
+    g = j.groupBy("case_id").agg(row.alias("r"))
+    rate = 1 - F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["issues"]) / F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["findings"])
+    return g.select("case_id", F.size("r").cast("long").alias("runs"), *[F.transform("r", lambda x, n=n: x[n]).alias(n) for n in names], F.round(rate, 6).alias("duplicate_rate"))
 
 
 def unique_finds(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from .joins import bag_match, label, overlapping
 
 
@@ -34,17 +35,44 @@ def last_introduced(head: DataFrame, counts: DataFrame, by: list[str], order: li
     return rows.withColumn("is_new", F.col("_k") > F.col("now") - F.col("introduced")).drop("_k")
 
 
-def method_delta(base: DataFrame, head: DataFrame, threshold: int = 15) -> DataFrame:
-    """Head scores against base scores of the same (file, class, method), else of the only method of that signature in the file,
-    with the kind of change. base, head: file_id, cls, sig, score, one row per method."""
-    exact = base.select("file_id", "cls", "sig", F.col("score").alias("_exact"))
-    unique = base.groupBy("file_id", "sig").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_alone")).filter("_n = 1").drop("_n")
-    moved = base.groupBy("sig").agg(F.count_distinct("file_id").alias("_files"), F.min("file_id").alias("_file"))
-    j = head.join(exact, ["file_id", "cls", "sig"], "left").join(unique, ["file_id", "sig"], "left").join(moved, "sig", "left")
-    before = F.coalesce("_exact", "_alone")
-    elsewhere = (F.col("_files") > 1) | (F.col("_file") != F.col("file_id"))
-    kind = F.when(before.isNotNull(), label(F.col("score"), before, F.lit(threshold), F.lit(True))).when(elsewhere, "moved").otherwise("introduced-new-method")
-    level = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "signature")
+def introduced_rules(base: DataFrame, head: DataFrame, files: DataFrame, ranges: DataFrame, order: list[str]) -> DataFrame:
+    """head violations (file_id, rule, line, ...) with is_new: all of a new file; where the file has a line map, those whose line was
+    added; else, by count, the last ones of each rule. files: file_id, base_file, new_file, mapped; ranges: added lines."""
+    j = head.join(files, "file_id")
+    whole, mapped = j.filter("new_file").withColumn("is_new", F.lit(True)), j.filter("NOT new_file AND mapped")
+    at = mapped.select("file_id", "line").distinct()
+    hit = touched(at, ranges).withColumn("is_new", F.lit(True))
+    mapped = mapped.join(hit, ["file_id", "line"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    rest = j.filter("NOT new_file AND NOT mapped")
+    before = files.select("file_id", "base_file").join(base.select(F.col("file_id").alias("base_file"), "rule"), "base_file").select("file_id", "rule")
+    counted = last_introduced(rest, rule_counts(before, rest, ["file_id", "rule"]), ["file_id", "rule"], order)
+    columns = [*head.columns, "is_new"]
+    return whole.select(columns).unionByName(mapped.select(columns)).unionByName(counted.select(columns))
+
+
+def method_delta(base: DataFrame, head: DataFrame, files: DataFrame, base_bodies: DataFrame, head_bodies: DataFrame, threshold: int = 15) -> DataFrame:
+    """Head scores against those of the base file, which renames give, with the kind of change.
+
+    A method's base score is that of the same class and signature there, else of the only method of that signature. Without one it
+    existed (score 0) when the base file has at least as many bodies of its name as the head file: in its class, or at all where
+    that class has none. Else it moved when a base file has the signature, else it is new; all in new files are.
+    base, head: file_id, cls, name, sig, score (head also touched), one row per method; files: file_id, base_file (null: none),
+    new_file; bodies: file_id, cls, name, one row each.
+    """
+    j = head.join(files.select("file_id", "base_file", "new_file"), "file_id")
+    at = F.col("file_id").alias("base_file")
+    j = j.join(base.select(at, "cls", "sig", F.col("score").alias("_exact")), ["base_file", "cls", "sig"], "left")
+    j = j.join(base.groupBy(at, "sig").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_alone")).filter("_n = 1").drop("_n"), ["base_file", "sig"], "left")
+    j = j.join(base_bodies.groupBy(at, "cls", "name").agg(F.count(F.lit(1)).alias("_in_class")), ["base_file", "cls", "name"], "left")
+    j = j.join(base_bodies.groupBy(at, "name").agg(F.count(F.lit(1)).alias("_in_file")), ["base_file", "name"], "left")
+    j = j.join(head_bodies.groupBy("file_id", "cls", "name").agg(F.count(F.lit(1)).alias("_here")), ["file_id", "cls", "name"], "left")
+    j = j.join(base.select("sig", F.lit(True).alias("_elsewhere")).distinct(), "sig", "left")
+    found = F.coalesce("_exact", "_alone")
+    existed = F.col("base_file").isNotNull() & found.isNull() & (F.coalesce("_in_class", "_in_file", F.lit(0)) >= F.coalesce("_here", F.lit(0)))
+    before = F.coalesce(found, F.when(existed, 0))
+    other = F.when(F.col("base_file").isNotNull() & F.coalesce("_elsewhere", F.lit(False)), "moved").otherwise("introduced-new-method")
+    kind = F.when(F.col("new_file"), "introduced-new-file").when(before.isNull(), other).otherwise(label(F.col("score"), before, F.lit(threshold), F.col("touched")))
+    level = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "signature").when(existed, "existed")
     return j.select("file_id", "cls", "sig", "score", before.alias("base"), kind.alias("kind"), level.alias("matched"))
 
 
@@ -63,9 +91,12 @@ def added_lines(ranges: DataFrame, begin: str = "begin_line", end: str = "end_li
 
 
 def line_coverage(lines: DataFrame, counters: DataFrame) -> DataFrame:
-    """Per added line: missed, partial, covered, or nonexec where the report has no counter. counters: file_id, line, mi, ci, mb, cb."""
+    """Per added line: missed, partial, covered, or nonexec where the report has no counter, and in_report: whether it has the
+    file at all. counters: file_id, line, mi, ci, mb, cb."""
     state = F.when(F.col("ci").isNull(), "nonexec").when((F.col("ci") == 0) & (F.col("cb") == 0), "missed").when((F.col("mi") > 0) | (F.col("mb") > 0), "partial").otherwise("covered")
-    return lines.join(counters, ["file_id", "line"], "left").select("file_id", "line", state.alias("state"))
+    known = counters.select("file_id", F.lit(True).alias("_in")).distinct()
+    j = lines.join(counters, ["file_id", "line"], "left").join(known, "file_id", "left")
+    return j.select("file_id", "line", state.alias("state"), F.coalesce("_in", F.lit(False)).alias("in_report"))
 
 
 def coverage_totals(states: DataFrame) -> DataFrame:
@@ -106,6 +137,37 @@ def judged(rates: DataFrame, usual_from: float = 0.01) -> DataFrame:
     return out.withColumn("usual", F.coalesce(F.col("p") >= usual_from, F.lit(False)))
 
 
+def branch_baseline(violations: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per branch and rule: files_hit, violations; per branch: scanned files, loc, their lines that aren't blank).
+    violations: branch, file, rule; files: branch, file, text."""
+    rules = violations.groupBy("branch", "rule").agg(F.count_distinct("file").alias("files_hit"), F.count(F.lit(1)).alias("violations"))
+    return rules, files.groupBy("branch").agg(F.count_distinct("file").alias("scanned"), F.sum(X.nonblank_lines(F.col("text"))).alias("loc"))
+
+
+def rule_section(found: DataFrame, rules: DataFrame, branch: DataFrame, added: int, needs_types: list[str], house_from: float = 0.25) -> DataFrame:
+    """One row per rule that fires: introduced, in_tests, production and pre_existing violations, category, share of the branch's
+    files it hits, house (style of the house), expected and p of its production count, usual, needs_types and class: untyped,
+    house, usual or counted, of which each rule is one.
+
+    found: rule, category, in_test, is_new; rules, branch: a baseline of one branch (see branch_baseline); added: production lines.
+    """
+    new = F.col("is_new")
+    n = found.groupBy("rule").agg(F.min("category").alias("category"), F.count(F.when(new, 1)).alias("introduced"), F.count(F.when(new & F.col("in_test"), 1)).alias("in_tests"), F.count(F.when(~new, 1)).alias("pre_existing"))
+    base = rules.join(F.broadcast(branch), "branch").select("rule", "violations", "loc", (F.col("files_hit") / F.col("scanned")).alias("share"))  # one row per branch
+    j = n.join(base, "rule", "left").fillna(0, ["violations", "loc", "share"]).withColumn("production", F.col("introduced") - F.col("in_tests"))
+    j = judged(j.withColumn("observed", F.col("production")).withColumn("added", F.lit(added))).withColumn("house", F.col("share") >= house_from).withColumn("needs_types", F.col("rule").isin(*needs_types))
+    kind = F.when(F.col("needs_types"), "untyped").when(F.col("house"), "house").when(F.col("usual"), "usual").otherwise("counted")
+    return j.withColumn("class", kind).drop("observed", "added", "violations", "loc")
+
+
+def category_rollup(section: DataFrame) -> DataFrame:
+    """Per category and in all (category null): introduced violations, rules with any, and how many of both are house style, usual or
+    counted; rules that need types are left out."""
+    x = section.filter("class <> 'untyped' AND introduced > 0")
+    of = lambda k: [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("introduced"))), F.lit(0)).alias(k), F.count(F.when(F.col("class") == k, 1)).alias(f"{k}_rules")]
+    return x.rollup("category").agg(F.sum("introduced").alias("introduced"), F.count(F.lit(1)).alias("rules"), *of("house"), *of("usual"), *of("counted"))
+
+
 def house_rules(violations: DataFrame, files: DataFrame, share_from: float = 0.25) -> DataFrame:
     """Per side and rule: files hit, violations, share of files scanned, and whether that makes it house style."""
     scanned = files.groupBy("side").agg(F.count_distinct("file_id").alias("scanned"))

@@ -35,6 +35,15 @@ def issue_text(findings: DataFrame) -> DataFrame:
     return findings.groupBy("pr").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["t"])).alias("text"))
 
 
+def panel_verdict(findings: DataFrame, panel: list[str]) -> DataFrame:
+    """Per change: counts of each severity, must_fix, complete (all of the panel ran) and approved (complete, all approve, nothing to
+    fix). findings: pr, lens, severity, approves."""
+    counts = [F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in X.SEVERITIES]
+    ran = F.count_distinct(F.when(F.col("lens").isin(*panel), F.col("lens")))
+    g = findings.groupBy("pr").agg(*counts, (ran == len(panel)).alias("complete"), F.bool_and("approves").alias("_all")).withColumn("must_fix", F.col("blocker") + F.col("major"))
+    return g.withColumn("approved", F.col("complete") & F.col("_all") & (F.col("must_fix") == 0)).drop("_all")
+
+
 def token_sets(findings: DataFrame) -> DataFrame:
     """pr, idx, lens and the sets that scoring needs; texts stay behind."""
     at = X.location(F.col("location"))

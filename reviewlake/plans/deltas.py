@@ -9,33 +9,32 @@ from ..operators import identity as I
 from ..operators import joins as J
 from .catalog import query
 
-METHODS = "SELECT l_partkey % 50 AS file_id, concat('C', CAST(l_linenumber AS STRING)) AS cls, concat('m', CAST(l_suppkey % 40 AS STRING)) AS sig, CAST(max(l_quantity) AS INT) AS score FROM lineitem WHERE l_linestatus = '{0}' AND l_orderkey % 5 < {1} GROUP BY 1, 2, 3"
-METHOD_SQL = f"WITH b AS ({METHODS.format('F', 3)}), h AS ({METHODS.format('O', 4)})"
+METHOD_SQL = "WITH b AS (SELECT file_id, cls, name, sig, score FROM {methods} WHERE side = 'base'), h AS (SELECT file_id, cls, name, sig, score, touched FROM {methods} WHERE side = 'head'), bc AS (SELECT file_id, cls, name, count(*) AS n FROM {bodies} WHERE side = 'base' GROUP BY ALL), bn AS (SELECT file_id, name, count(*) AS n FROM {bodies} WHERE side = 'base' GROUP BY ALL), hc AS (SELECT file_id, cls, name, count(*) AS n FROM {bodies} WHERE side = 'head' GROUP BY ALL)"
 
 
-def methods(t, status, most):
-    li = t("lineitem").filter(f"l_linestatus = '{status}' AND l_orderkey % 5 < {most}")
-    return li.groupBy((F.col("l_partkey") % 50).alias("file_id"), F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("cls"), F.concat(F.lit("m"), (F.col("l_suppkey") % 40).cast("string")).alias("sig")).agg(F.max("l_quantity").cast("int").alias("score"))
+def sides(t, view="methods"):
+    return [t(view).filter(F.col("side") == s).drop("side") for s in ("base", "head")]
 
 
-LABEL_SQL = "CASE WHEN base IS NULL THEN CASE WHEN elsewhere THEN 'moved' ELSE 'introduced-new-method' END WHEN score < base THEN 'pre-existing-improved' WHEN score = base THEN 'pre-existing-touched' WHEN score >= 15 THEN CASE WHEN base >= 15 THEN 'introduced-worsened' ELSE 'introduced-crossed' END ELSE 'pre-existing-touched' END"
-
-
-@query(METHOD_SQL + f""", u AS (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1), m AS (SELECT h.*, b.score AS ex, u.s AS al, EXISTS (SELECT 1 FROM b x WHERE x.sig = h.sig AND x.file_id <> h.file_id) AS elsewhere FROM h LEFT JOIN b USING (file_id, cls, sig) LEFT JOIN u USING (file_id, sig)), n AS (SELECT *, coalesce(ex, al) AS base FROM m)
-SELECT file_id, cls, sig, score, base, {LABEL_SQL} AS kind, CASE WHEN ex IS NOT NULL THEN 'exact' WHEN al IS NOT NULL THEN 'signature' END AS matched FROM n""")
+@query(METHOD_SQL + """, u AS (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1), j AS (SELECT h.*, r.base_file, r.new_file, e.score AS ex, u.s AS al, coalesce(bc.n, bn.n, 0) >= coalesce(hc.n, 0) AS enough, h.sig IN (SELECT sig FROM b) AS elsewhere FROM h JOIN {renames} r ON r.file_id = h.file_id LEFT JOIN b e ON e.file_id = base_file AND e.cls = h.cls AND e.sig = h.sig LEFT JOIN u ON u.file_id = base_file AND u.sig = h.sig
+ LEFT JOIN bc ON bc.file_id = base_file AND bc.cls = h.cls AND bc.name = h.name LEFT JOIN bn ON bn.file_id = base_file AND bn.name = h.name LEFT JOIN hc ON hc.file_id = h.file_id AND hc.cls = h.cls AND hc.name = h.name), k AS (SELECT *, coalesce(ex, al, CASE WHEN base_file IS NOT NULL AND enough THEN 0 END) AS base FROM j)
+SELECT file_id, cls, sig, score, base, CASE WHEN new_file THEN 'introduced-new-file' WHEN base IS NULL THEN CASE WHEN base_file IS NOT NULL AND elsewhere THEN 'moved' ELSE 'introduced-new-method' END WHEN score < base THEN 'pre-existing-improved' WHEN score = base THEN CASE WHEN touched THEN 'pre-existing-touched' ELSE 'pre-existing' END WHEN score < 15 THEN 'pre-existing-touched' WHEN base >= 15 THEN 'introduced-worsened' ELSE 'introduced-crossed' END AS kind,
+ CASE WHEN ex IS NOT NULL THEN 'exact' WHEN al IS NOT NULL THEN 'signature' WHEN base_file IS NOT NULL AND enough THEN 'existed' END AS matched FROM k""")
 def jon11_jon12_method_delta(t):
-    return D.method_delta(methods(t, "F", 3), methods(t, "O", 4))
+    return D.method_delta(*sides(t), t("renames"), *sides(t, "bodies"))
 
 
 @query(METHOD_SQL + " SELECT file_id, cls, sig, score FROM b WHERE score >= 15 AND NOT EXISTS (SELECT 1 FROM h WHERE h.score >= 15 AND h.sig = b.sig AND ((h.file_id = b.file_id AND h.cls = b.cls) OR h.file_id <> b.file_id))")
 def jon13_fixed(t):
-    return D.fixed_methods(methods(t, "F", 3), methods(t, "O", 4))
+    base, head = sides(t)
+    return D.fixed_methods(base, head).select("file_id", "cls", "sig", "score")
 
 
 @query(METHOD_SQL + """, j AS (SELECT h.file_id, h.cls, h.sig, b.score AS e, u.s FROM h LEFT JOIN b USING (file_id, cls, sig) LEFT JOIN (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1) u USING (file_id, sig))
 SELECT file_id, cls, sig, coalesce(e, s) AS base, CASE WHEN e IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 END AS level FROM j""")
 def jon11_cascade(t):
-    out = J.cascade(methods(t, "O", 4).drop("score"), methods(t, "F", 3), [["file_id", "cls", "sig"], ["file_id", "sig"]], "score", "base")
+    base, head = sides(t)
+    out = J.cascade(head.select("file_id", "cls", "sig"), base.select("file_id", "cls", "sig", "score"), [["file_id", "cls", "sig"], ["file_id", "sig"]], "score", "base")
     return out.select("file_id", "cls", "sig", "base", "level")
 
 
@@ -63,22 +62,28 @@ def jon10_nearest_preceding(t):
     return J.nearest(t("violations").select("file_id", "line").distinct(), t("ranges").withColumn("line", F.col("begin_line")), ["file_id"], "line", F.col("begin_line"), "declared")
 
 
-@query("""WITH c AS (SELECT file_id, rule, count(*) FILTER (side = 'head') AS now, greatest(0, count(*) FILTER (side = 'head') - count(*) FILTER (side = 'base')) AS introduced FROM {violations} GROUP BY ALL),
-h AS (SELECT file_id, rule, pr, line, message, score, row_number() OVER (PARTITION BY file_id, rule ORDER BY line, pr, message, score) AS k FROM {violations} WHERE side = 'head')
-SELECT file_id, rule, pr, line, message, score, k > now - introduced AS is_new FROM h JOIN c USING (file_id, rule)""")
-def jon16_introduced_by_count(t):
+NEW_SQL = """WITH j AS (SELECT v.file_id, rule, pr, line, message, score, base_file, new_file, mapped FROM {violations} v JOIN {renames} r ON r.file_id = v.file_id WHERE side = 'head'), bs AS (SELECT file_id, rule, count(*) AS n FROM {violations} WHERE side = 'base' GROUP BY ALL),
+w AS (SELECT j.*, row_number() OVER (PARTITION BY j.file_id, j.rule ORDER BY line, pr, message, score) AS k, count(*) OVER (PARTITION BY j.file_id, j.rule) AS now, coalesce(bs.n, 0) AS before FROM j LEFT JOIN bs ON bs.file_id = base_file AND bs.rule = j.rule),
+nw AS (SELECT file_id, rule, pr, line, message, score, CASE WHEN new_file THEN true WHEN mapped THEN EXISTS (SELECT 1 FROM {ranges} r WHERE r.file_id = w.file_id AND w.line BETWEEN begin_line AND end_line) ELSE k > now - greatest(0, now - before) END AS is_new FROM w)"""
+
+
+def introduced(t):
     v = t("violations")
     base, head = (v.filter(F.col("side") == s).drop("side") for s in ("base", "head"))
-    by = ["file_id", "rule"]
-    return D.last_introduced(head, D.rule_counts(base, head, by), by, ["line", "pr", "message", "score"]).select("file_id", "rule", "pr", "line", "message", "score", "is_new")
+    return D.introduced_rules(base, head.select("file_id", "rule", "pr", "line", "message", "score"), t("renames"), t("ranges"), ["line", "pr", "message", "score"])
+
 
+@query(NEW_SQL + " SELECT * FROM nw")
+def jon16_introduced_rules(t):
+    return introduced(t)
 
-COUNTERS = "SELECT l_partkey AS file_id, l_linenumber * 10 + l_suppkey % 10 AS line, min(l_suppkey % 3) AS mi, max(CAST(l_quantity AS INT) % 3) AS ci, min(l_orderkey % 2) AS mb, min(l_orderkey % 4) AS cb FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2"
-STATE_SQL = f"WITH a AS (SELECT DISTINCT file_id, unnest(range(begin_line, end_line + 1)) AS line FROM {{ranges}}), c AS ({COUNTERS}), s AS (SELECT file_id, line, CASE WHEN ci IS NULL THEN 'nonexec' WHEN ci = 0 AND cb = 0 THEN 'missed' WHEN mi > 0 OR mb > 0 THEN 'partial' ELSE 'covered' END AS state FROM a LEFT JOIN c USING (file_id, line))"
+
+COUNTERS = "SELECT l_partkey AS file_id, l_linenumber * 10 + l_suppkey % 10 AS line, min(l_suppkey % 3) AS mi, max(CAST(l_quantity AS INT) % 3) AS ci, min(l_orderkey % 2) AS mb, min(l_orderkey % 4) AS cb FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY 1, 2"
+STATE_SQL = f"WITH a AS (SELECT DISTINCT file_id, unnest(range(begin_line, end_line + 1)) AS line FROM {{ranges}}), c AS ({COUNTERS}), s AS (SELECT file_id, line, CASE WHEN ci IS NULL THEN 'nonexec' WHEN ci = 0 AND cb = 0 THEN 'missed' WHEN mi > 0 OR mb > 0 THEN 'partial' ELSE 'covered' END AS state, file_id IN (SELECT file_id FROM c) AS in_report FROM a LEFT JOIN c USING (file_id, line))"
 
 
 def states(t):
-    li = t("lineitem").filter("l_orderkey % 10 = 0")
+    li = t("lineitem").filter("l_shipdate >= TIMESTAMP '1994-01-01'")
     c = li.groupBy(F.col("l_partkey").alias("file_id"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("line")).agg(F.min(F.expr("l_suppkey % 3")).alias("mi"), F.max(F.expr("CAST(l_quantity AS INT) % 3")).alias("ci"), F.min(F.expr("l_orderkey % 2")).alias("mb"), F.min(F.expr("l_orderkey % 4")).alias("cb"))
     return D.line_coverage(D.added_lines(t("ranges")), c)
 
@@ -88,7 +93,7 @@ def src19_added_lines(t):
     return D.added_lines(t("ranges"))
 
 
-@query(STATE_SQL + " SELECT file_id, line, state FROM s")
+@query(STATE_SQL + " SELECT file_id, line, state, in_report FROM s")
 def jon17_line_coverage(t):
     return states(t)
 
@@ -118,10 +123,49 @@ def agg13_rate_test(t):
     return out.select("rule", "observed", "violations", "loc", "added", F.round("expected", 6).alias("expected"), F.round("p", 6).alias("p"), "usual")
 
 
-@query("WITH b AS (SELECT side, rule, count(*) AS n FROM {violations} GROUP BY ALL), c AS (SELECT *, CASE WHEN rule IN ('Rule1', 'Rule2', 'Rule3') THEN 'design' WHEN rule LIKE 'Rule1%' THEN 'style' ELSE 'other' END AS category FROM b) SELECT coalesce(category, 'total') AS category, sum(n)::BIGINT AS violations, count(DISTINCT rule) AS rules FROM c GROUP BY GROUPING SETS ((category), ())")
+FILED = "SELECT source AS branch, doc_id AS file, text FROM documents"
+RULED = "SELECT source AS branch, doc_id AS file, unnest(['Rule' || (n_chars % 17), 'Rule' || (doc_id % 5), 'Rule' || (doc_id % 5)]) AS rule FROM documents"
+
+
+def baseline(t):
+    d = t("documents")
+    rule = lambda c: F.concat(F.lit("Rule"), c.cast("string"))
+    rules = F.array(rule(F.col("n_chars") % 17), rule(F.col("doc_id") % 5), rule(F.col("doc_id") % 5))
+    return D.branch_baseline(d.select(F.col("source").alias("branch"), F.col("doc_id").alias("file"), F.explode(rules).alias("rule")), d.select(F.col("source").alias("branch"), F.col("doc_id").alias("file"), "text"))
+
+
+BASE_SQL = f"br AS (SELECT branch, rule, count(DISTINCT file) AS files_hit, count(*) AS violations FROM ({RULED}) GROUP BY ALL), bb AS (SELECT branch, count(DISTINCT file) AS scanned, sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\x0b\\x0c]'))))::BIGINT AS loc FROM ({FILED}) GROUP BY branch)"
+
+
+@query(f"WITH {BASE_SQL} SELECT branch, rule, files_hit, violations, scanned, loc FROM br JOIN bb USING (branch)")
+def agg10_branch_baseline(t):
+    rules, branch = baseline(t)
+    return rules.join(branch, "branch")
+
+
+CATEGORY = "CASE WHEN rule IN ('Rule1', 'Rule2', 'Rule3') THEN 'design' WHEN rule LIKE 'Rule1%' THEN 'style' ELSE 'errorprone' END"
+SECTION_SQL = NEW_SQL + f""", {BASE_SQL}, fd AS (SELECT rule, {CATEGORY} AS category, starts_with(path, 'test/') AS in_test, is_new FROM nw JOIN {{paths}} USING (file_id)), ct AS (SELECT rule, min(category) AS category, count(*) FILTER (is_new) AS introduced, count(*) FILTER (is_new AND in_test) AS in_tests, count(*) FILTER (NOT is_new) AS pre_existing FROM fd GROUP BY rule),
+jj AS (SELECT ct.*, introduced - in_tests AS production, coalesce(violations, 0) AS violations, coalesce(loc, 0) AS loc, coalesce(files_hit::DOUBLE / scanned, 0) AS share FROM ct LEFT JOIN (SELECT * FROM br JOIN bb USING (branch) WHERE branch = 'src1') USING (rule)), ex AS (SELECT *, CASE WHEN loc > 0 THEN violations::DOUBLE / loc * 500 ELSE 0 END AS expected FROM jj),
+pp AS (SELECT *, CASE WHEN production > 0 AND violations > 0 AND loc > 0 THEN 1 - list_sum(list_transform(range(production), lambda i: exp(-expected + i * ln(expected) - CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END))) END AS p0 FROM ex), sc AS (SELECT rule, category, introduced, in_tests, production, pre_existing, share, share >= 0.25 AS house, expected, p0, coalesce(p0 >= 0.01, false) AS usual, rule IN ('Rule5', 'Rule6') AS needs_types FROM pp),
+se AS (SELECT *, CASE WHEN needs_types THEN 'untyped' WHEN house THEN 'house' WHEN usual THEN 'usual' ELSE 'counted' END AS class FROM sc)"""
+
+
+def section(t):
+    found = introduced(t).join(t("paths"), "file_id").select("rule", F.expr(CATEGORY).alias("category"), F.col("path").startswith("test/").alias("in_test"), "is_new")
+    rules, branch = baseline(t)
+    return D.rule_section(found, rules.filter("branch = 'src1'"), branch.filter("branch = 'src1'"), 500, ["Rule5", "Rule6"])
+
+
+@query(SECTION_SQL + " SELECT rule, category, introduced, in_tests, production, pre_existing, round(share, 6) AS share, house, round(expected, 6) AS expected, round(p0, 6) AS p, usual, needs_types, class FROM se")
+def agg14_set6_rule_section(t):
+    s = section(t)
+    return s.select("rule", "category", "introduced", "in_tests", "production", "pre_existing", F.round("share", 6).alias("share"), "house", F.round("expected", 6).alias("expected"), (F.round("p", 6) + 0.0).alias("p"), "usual", "needs_types", "class")
+
+
+@query(SECTION_SQL + """ SELECT coalesce(category, 'total') AS category, sum(introduced)::BIGINT AS introduced, count(*) AS rules, coalesce(sum(introduced) FILTER (class = 'house'), 0)::BIGINT AS house, count(*) FILTER (class = 'house') AS house_rules, coalesce(sum(introduced) FILTER (class = 'usual'), 0)::BIGINT AS usual, count(*) FILTER (class = 'usual') AS usual_rules,
+ coalesce(sum(introduced) FILTER (class = 'counted'), 0)::BIGINT AS counted, count(*) FILTER (class = 'counted') AS counted_rules FROM se WHERE class <> 'untyped' AND introduced > 0 GROUP BY GROUPING SETS ((category), ())""")
 def agg15_category_rollup(t):
-    c = F.when(F.col("rule").isin("Rule1", "Rule2", "Rule3"), "design").when(F.col("rule").startswith("Rule1"), "style").otherwise("other")
-    return t("violations").withColumn("category", c).rollup("category").agg(F.count(F.lit(1)).alias("violations"), F.count_distinct("rule").alias("rules")).withColumn("category", F.coalesce("category", F.lit("total")))
+    return D.category_rollup(section(t)).withColumn("category", F.coalesce("category", F.lit("total")))
 
 
 @query("SELECT rule, b.n AS before, h.n AS after FROM (SELECT rule, count(*) AS n FROM {violations} WHERE side = 'base' GROUP BY rule) b FULL JOIN (SELECT rule, count(*) AS n FROM {violations} WHERE side = 'head' GROUP BY rule) h USING (rule) WHERE b.n IS DISTINCT FROM h.n")

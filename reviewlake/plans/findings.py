@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bench as B
 from ..operators import findings as D
+from ..operators import refresh as R
 from ..operators.ranking import top_k
 from .catalog import query
 from .scalar import identifiers_sql, words_sql
@@ -85,57 +86,95 @@ def prj21_derived_severity(t):
     return B.derive_severity(f).select("id", "severity", "corrected")
 
 
-KNOWN_SQL = """k AS (SELECT item_id AS issue, item_id % 2 = 0 AS hard, concat('File', CAST(item_id % 3 AS VARCHAR), '.java') AS file, (item_id * 7 % 40) AS b, (item_id * 7 % 40) + 6 AS e, text AS term FROM benchmark)"""
+def known(t):
+    k = t("known_issues")
+    words = lambda c: F.filter(F.split(c, ","), lambda w: w != "")
+    return k.select("case_id", "issue", "severity", "hard", words("files").alias("files"), F.col("first_line").alias("begin"), (F.col("first_line") + 6).alias("end"), words("terms").alias("terms"), words("any_of").alias("any_of"))
 
 
-@query("WITH " + KNOWN_SQL + r""", l AS (SELECT id, nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^(.*\.\w+):(\d+)$', 2), '') AS BIGINT) AS line FROM {findings})
-SELECT id, issue FROM l JOIN k ON ends_with(path, file) AND line BETWEEN b - 15 AND e + 15""")
-def jon22_location_match(t):
-    return B.location_matches(t("findings"), known(t))
+def reported(t):
+    """The findings as the issues of runs: case_id is the change, the lens the run."""
+    f = t("findings")
+    return f.select(F.col("pr").alias("case_id"), F.col("lens").alias("run"), "id", "severity", F.array("location").alias("locations"), F.lower(F.concat_ws(" ", "rule", "problem", "fix")).alias("text"))
 
 
-def known(t):
-    return t("benchmark").selectExpr("item_id AS issue", "item_id % 2 = 0 AS hard", "concat('File', CAST(item_id % 3 AS STRING), '.java') AS file", "item_id * 7 % 40 AS b", "item_id * 7 % 40 + 6 AS e", "text AS term")
+FOUND_SQL = r"""WITH kn AS (SELECT case_id, issue, severity, hard, list_filter(string_split(files, ','), lambda w: w <> '') AS files, first_line AS b, first_line + 6 AS e, list_filter(string_split(terms, ','), lambda w: w <> '') AS terms, list_filter(string_split(any_of, ','), lambda w: w <> '') AS any_of FROM {known_issues}),
+rp AS (SELECT pr AS case_id, lens AS run, id, severity, location, nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 2), '') AS BIGINT) AS line, lower(concat_ws(' ', rule, problem, fix)) AS text FROM {findings}),
+pl AS (SELECT rp.case_id, run, id, issue, len(files) = 0 OR (path IS NOT NULL AND len(list_filter(files, lambda f: ends_with(path, f) OR ends_with(f, path))) > 0 AND (b IS NULL OR line IS NULL OR line BETWEEN b - 15 AND e + 15)) AS place, len(list_filter(terms, lambda w: NOT contains(text, w))) = 0 AND (len(any_of) = 0 OR len(list_filter(any_of, lambda w: contains(text, w))) > 0) AS words FROM rp JOIN kn ON kn.case_id = rp.case_id),
+fd AS (SELECT case_id, run, id, issue FROM pl WHERE place AND words)"""
 
 
-@query("WITH " + KNOWN_SQL + " SELECT doc_id, issue FROM documents JOIN k ON contains(text, term)")
-def jon23_text_match(t):
-    return B.text_matches(t("documents"), known(t))
+@query(FOUND_SQL + " SELECT case_id, run, id, issue FROM pl WHERE place")
+def jon22_location_match(t):
+    k = known(t).withColumn("terms", F.array().cast("array<string>")).withColumn("any_of", F.array().cast("array<string>"))
+    return B.matches(reported(t), k)
 
 
-FOUND_SQL = "WITH " + KNOWN_SQL + """, f AS (SELECT DISTINCT source AS run, issue FROM documents JOIN k ON contains(text, term)), r AS (SELECT DISTINCT source AS run FROM documents)"""
+@query(FOUND_SQL + " SELECT case_id, run, id, issue FROM pl WHERE words")
+def jon23_text_match(t):
+    return B.matches(reported(t), known(t).withColumn("files", F.array().cast("array<string>")))
 
 
-@query(FOUND_SQL + """ SELECT CASE WHEN GROUPING(hard) = 1 THEN 'all' WHEN hard THEN 'hard' ELSE 'soft' END AS class, count(*) AS possible, count(f.issue) AS found, round(count(f.issue)::DOUBLE / count(*), 6) AS recall FROM k CROSS JOIN r LEFT JOIN f ON f.run = r.run AND f.issue = k.issue GROUP BY GROUPING SETS ((hard), ())""")
+@query(FOUND_SQL + """, rn AS (SELECT case_id, count(DISTINCT run) AS runs FROM rp GROUP BY case_id), ht AS (SELECT case_id, issue, count(DISTINCT run) AS hits FROM fd GROUP BY ALL), al AS (SELECT hard, severity, runs, coalesce(hits, 0) AS hits FROM kn JOIN rn USING (case_id) LEFT JOIN ht USING (case_id, issue)),
+cl AS (SELECT 'all' AS class, runs, hits FROM al UNION ALL SELECT CASE WHEN hard THEN 'hard' ELSE 'soft' END, runs, hits FROM al UNION ALL SELECT 'major+', runs, hits FROM al WHERE severity IN ('blocker', 'major'))
+SELECT c.class, coalesce(sum(runs), 0)::BIGINT AS possible, coalesce(sum(hits), 0)::BIGINT AS found, round(sum(hits)::DOUBLE / sum(runs), 6) AS recall FROM (VALUES ('all'), ('hard'), ('soft'), ('major+')) c(class) LEFT JOIN cl USING (class) GROUP BY c.class""")
 def agg26_recall(t):
-    k = known(t)
-    found = B.text_matches(t("documents"), k).join(t("documents").select("doc_id", F.col("source").alias("run")), "doc_id").select("run", "issue").distinct()
-    return B.recall(k, found, t("documents").select(F.col("source").alias("run")).distinct())
+    r = reported(t)
+    return B.recall(known(t), B.matches(r, known(t)), r.select("case_id", "run"))
 
 
-@query(FOUND_SQL + " SELECT issue, min(run) AS run FROM f GROUP BY issue HAVING count(*) = 1")
+@query(FOUND_SQL + " SELECT issue, min(run) AS run FROM fd GROUP BY issue HAVING count(DISTINCT run) = 1")
 def agg27_unique_finds(t):
-    k = known(t)
-    found = B.text_matches(t("documents"), k).join(t("documents").select("doc_id", F.col("source").alias("run")), "doc_id").select("run", "issue").distinct()
-    return B.unique_finds(found)
+    return B.unique_finds(B.matches(reported(t), known(t)).select("issue", "run").distinct())
+
 
+@query("WITH i AS (SELECT pr, location, list(DISTINCT lens) AS lenses FROM {findings} GROUP BY ALL), x AS (SELECT unnest(lenses) AS lens, len(lenses) = 1 AS alone FROM i) SELECT lens, count(*) AS issues, count(*) FILTER (alone) AS alone, round(count(*) FILTER (alone)::DOUBLE / count(*), 6) AS share FROM x GROUP BY lens")
+def agg27_lens_shares(t):
+    return B.lens_shares(t("findings").groupBy("pr", "location").agg(F.collect_set("lens").alias("lenses")))
 
-@query(FOUND_SQL + " SELECT 'src0' AS only_by, issue FROM f WHERE run = 'src0' AND issue NOT IN (SELECT issue FROM f WHERE run = 'src1') UNION ALL SELECT 'src1', issue FROM f WHERE run = 'src1' AND issue NOT IN (SELECT issue FROM f WHERE run = 'src0')")
+
+KEY = "substr(sha1(concat_ws('|', CAST(case_id AS VARCHAR), location, '')), 1, 16)"
+
+
+@query(FOUND_SQL + f""", si AS (SELECT case_id, run, min(id) AS id, location, min(severity) AS severity, {KEY} AS key FROM rp GROUP BY case_id, run, location), lb AS (SELECT key FROM si WHERE id % 3 = 0), f2 AS (SELECT fd.* FROM fd JOIN si USING (case_id, run, id)),
+rn AS (SELECT case_id, run, count(*) AS findings, sum(length(text))::BIGINT AS tokens, count(*) * 7 AS seconds FROM rp GROUP BY ALL), ic AS (SELECT case_id, run, count(*) AS issues, count(*) FILTER (severity IN ('blocker', 'major')) AS must_fix FROM si GROUP BY ALL), fc AS (SELECT case_id, run, count(DISTINCT issue) AS found FROM f2 GROUP BY ALL),
+un AS (SELECT case_id, run, count(*) AS unlabelled FROM si WHERE (case_id, run, id) NOT IN (SELECT (case_id, run, id) FROM f2) AND key NOT IN (SELECT key FROM lb) GROUP BY ALL), al AS (SELECT rn.*, issues, must_fix, coalesce(found, 0) AS found, coalesce(unlabelled, 0) AS unlabelled FROM rn JOIN ic USING (case_id, run) LEFT JOIN fc USING (case_id, run) LEFT JOIN un USING (case_id, run))
+SELECT case_id, count(*) AS runs, {', '.join(f"array_to_string(list({c} ORDER BY run), '|') AS {c}" for c in ('findings', 'issues', 'must_fix', 'found', 'unlabelled', 'tokens', 'seconds'))}, round(1 - sum(issues)::DOUBLE / sum(findings), 6) AS duplicate_rate FROM al GROUP BY case_id""")
+def agg28_set4_panel_scores(t):
+    r = reported(t)
+    key = X.label_key(F.col("case_id").cast("string"), F.col("location"), F.lit(""))
+    one = r.withColumn("location", F.col("locations")[0]).groupBy("case_id", "run", "location").agg(F.min("id").alias("id"), F.min("severity").alias("severity")).withColumn("key", key)
+    found = B.matches(r, known(t)).join(one.select("case_id", "run", "id"), ["case_id", "run", "id"], "left_semi")
+    runs = r.groupBy("case_id", "run").agg(F.count(F.lit(1)).alias("findings"), F.sum(F.length("text")).alias("tokens"), (F.count(F.lit(1)) * 7).alias("seconds"))
+    out = B.panel_scores(one, runs.select("case_id", "run", "findings"), found, runs.drop("findings"), one.filter("id % 3 = 0").select("key"))
+    bars = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("findings", "issues", "must_fix", "found", "unlabelled", "tokens", "seconds")}
+    return out.withColumns(bars)
+
+
+@query(FOUND_SQL + ", f AS (SELECT DISTINCT run, issue FROM fd) SELECT 'src0' AS only_by, issue FROM f WHERE run = 'src0' AND issue NOT IN (SELECT issue FROM f WHERE run = 'src1') UNION ALL SELECT 'src1', issue FROM f WHERE run = 'src1' AND issue NOT IN (SELECT issue FROM f WHERE run = 'src0')")
 def set1_compare_panels(t):
-    k = known(t)
-    found = B.text_matches(t("documents"), k).join(t("documents").select("doc_id", F.col("source").alias("run")), "doc_id").select("run", "issue").distinct()
-    return B.compare(found, "src0", "src1")
+    return B.compare(B.matches(reported(t), known(t)).select("run", "issue").distinct(), "src0", "src1")
 
 
-@query("WITH " + KNOWN_SQL + " SELECT issue FROM k WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, term))")
+@query(FOUND_SQL + " SELECT case_id, issue FROM kn WHERE (case_id, issue) NOT IN (SELECT (case_id, issue) FROM fd)")
 def set4_unmatched(t):
     k = known(t)
-    return k.select("issue").join(B.text_matches(t("documents"), k).select("issue").distinct(), "issue", "left_anti")
+    return k.select("case_id", "issue").join(B.matches(reported(t), k).select("case_id", "issue").distinct(), ["case_id", "issue"], "left_anti")
+
+
+@query("SELECT pr, count(*) FILTER (severity IN ('blocker', 'major')) AS must_fix, count(DISTINCT lens) FILTER (lens IN ('src0', 'src1', 'src2')) = 3 AS complete, count(DISTINCT lens) FILTER (lens IN ('src0', 'src1', 'src2')) = 3 AND bool_and(idx % 5 <> 4) AND count(*) FILTER (severity IN ('blocker', 'major')) = 0 AS approved FROM {findings} GROUP BY pr")
+def agg21_verdict_of_panel(t):
+    f = t("findings").select("pr", "lens", "severity", (F.col("idx") % 5 != 4).alias("approves"))
+    return D.panel_verdict(f, ["src0", "src1", "src2"]).select("pr", "must_fix", "complete", "approved")
+
+
+TURNS = "SELECT conv_id, turn, CASE WHEN turn % 7 <> 6 THEN DATE '2024-01-01' + INTERVAL '1' DAY * CAST(conv_id % 20 + turn AS INT) END AS day, text FROM conversations"
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 2000) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS rank FROM conversations QUALIFY rank <= 8")
+@query(f"SELECT conv_id, turn, substr(text, 1, 2000) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY day DESC, turn DESC, text) AS rank FROM ({TURNS}) WHERE day <= DATE '2024-01-15' QUALIFY rank <= 8")
 def jon33_cutoff_context(t):
-    c = top_k(t("conversations"), ["conv_id"], [F.col("turn").desc(), F.col("text").asc()], 8)
+    c = t("conversations").withColumn("day", F.when(F.col("turn") % 7 != 6, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 20 + F.col("turn")).cast("int"))))
+    c = top_k(R.as_of(c, F.col("day"), "2024-01-15"), ["conv_id"], [F.col("day").desc(), F.col("turn").desc(), F.col("text").asc()], 8)
     return c.select("conv_id", "turn", F.substring("text", 1, 2000).alias("text"), "rank")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks as C
-from ..operators import deltas as D
 from ..operators import findings as N
 from ..operators import joins as J
 from ..operators.ranking import ranked
@@ -186,15 +185,6 @@ def agg12_fallback_density(t):
     return s.join(b, "rule", "left").select("rule", F.coalesce("b", "s").alias("violations"), F.when(F.col("b").isNotNull(), "baseline").otherwise("sample").alias("source"))
 
 
-@query("""WITH h AS (SELECT side, rule, count(DISTINCT file_id)::DOUBLE / (SELECT count(DISTINCT file_id) FROM {violations} WHERE side = 'base') AS share FROM {violations} WHERE side = 'base' GROUP BY ALL), o AS (SELECT rule, count(*) FILTER (pr % 40 = 0) AS introduced, count(*) FILTER (pr % 40 <> 0) AS pre_existing FROM {violations} WHERE side = 'head' GROUP BY rule)
-SELECT rule, introduced, pre_existing, share, coalesce(share >= 0.25, false) AS house FROM o LEFT JOIN h USING (rule)""")
-def agg14_rule_section(t):
-    v = t("violations")
-    house = D.house_rules(v.filter("side = 'base'"), v.filter("side = 'base'").select("side", "file_id")).select("rule", "share", "house")
-    o = v.filter("side = 'head'").groupBy("rule").agg(F.count(F.when(F.col("pr") % 40 == 0, 1)).alias("introduced"), F.count(F.when(F.col("pr") % 40 != 0, 1)).alias("pre_existing"))
-    return o.join(house, "rule", "left").select("rule", "introduced", "pre_existing", "share", F.coalesce("house", F.lit(False)).alias("house"))
-
-
 @query("WITH m AS (SELECT pr, file_id, rule, max(score) AS top FROM {violations} GROUP BY ALL), c AS (SELECT pr, file_id, rule, top AS score, CASE WHEN file_id % 5 = 0 THEN 'new' WHEN top > 40 THEN 'worse' WHEN top < 10 THEN 'better' ELSE 'same' END AS change FROM m) SELECT pr, file_id, rule, score, change, row_number() OVER (PARTITION BY pr ORDER BY change NOT IN ('new', 'worse'), score DESC, file_id, rule) AS place FROM c")
 def agg16_complexity_table(t):
     x = t("violations").groupBy("pr", "file_id", "rule").agg(F.max("score").alias("score"))
@@ -202,12 +192,6 @@ def agg16_complexity_table(t):
     return ranked(x, ["pr"], [(~F.col("change").isin("new", "worse")).asc(), F.col("score").desc(), F.col("file_id").asc(), F.col("rule").asc()], "place")
 
 
-@query("SELECT lens AS panel, pr AS run, count(*) AS raw, count(DISTINCT location) AS issues, count(*) FILTER (severity IN ('blocker', 'major')) AS must_fix, round(1 - count(DISTINCT location)::DOUBLE / count(*), 6) AS duplicate_rate FROM {findings} GROUP BY ALL")
-def agg28_panel_scores(t):
-    g = t("findings").groupBy(F.col("lens").alias("panel"), F.col("pr").alias("run")).agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("location").alias("issues"), F.count(F.when(F.col("severity").isin("blocker", "major"), 1)).alias("must_fix"))
-    return g.withColumn("duplicate_rate", F.round(1 - F.col("issues") / F.col("raw"), 6))
-
-
 @query("WITH k AS (SELECT CAST(ts AS DATE) AS day, unnest(regexp_extract_all(message, '(?i)PROJ-\\d+')) AS key FROM {commits}) SELECT upper(key) AS key, min(day) AS day FROM k GROUP BY 1")
 def agg35_first_linked_day(t):
     k = t("commits").select(F.col("ts").cast("date").alias("day"), F.explode(F.regexp_extract_all("message", F.lit(r"(?i)PROJ-\d+"), F.lit(0))).alias("key"))

@@ -153,12 +153,6 @@ def set2_missing_branches(t):
     return want.subtract(c.select("pr", F.col("base").alias("missing")))
 
 
-@query("SELECT CASE WHEN rule IN ('Rule1', 'Rule2') THEN 'untyped' WHEN rule LIKE 'Rule1%' THEN 'house' ELSE 'counted' END AS class, count(DISTINCT rule) AS rules, count(*) AS violations FROM {violations} GROUP BY 1")
-def set6_rule_partition(t):
-    k = F.when(F.col("rule").isin("Rule1", "Rule2"), "untyped").when(F.col("rule").startswith("Rule1"), "house").otherwise("counted")
-    return t("violations").groupBy(k.alias("class")).agg(F.count_distinct("rule").alias("rules"), F.count(F.lit(1)).alias("violations"))
-
-
 @query("SELECT pr, replace(to_json({'pr': pr, 'title': title}), '<', '\\u003c') AS doc FROM {changes} WHERE title IS NOT NULL")
 def snk1_model_json(t):
     return t("changes").filter("title IS NOT NULL").select("pr", S.model_json("pr", "title").alias("doc"))
