@@ -69,6 +69,10 @@ def lens_shares(issues: DataFrame) -> DataFrame:
     return x.groupBy("lens").agg(F.count(F.lit(1)).alias("issues"), F.count(F.when(F.col("alone"), 1)).alias("alone")).withColumn("share", F.round(F.col("alone") / F.col("issues"), 6))
 
 
+def field(name: str):
+    return lambda x: x[name]
+
+
 def panel_scores(issues: DataFrame, raw: DataFrame, found: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per case: runs, and lists in their order of raw findings, issues, must-fix issues, known issues found, unmatched issues that
     nobody labelled, tokens and seconds; and the duplicate rate over all.
@@ -85,7 +89,7 @@ def panel_scores(issues: DataFrame, raw: DataFrame, found: DataFrame, runs: Data
     row = F.array_sort(F.collect_list(F.struct("run", *names)))
     g = j.groupBy("case_id").agg(row.alias("r"))
     rate = 1 - F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["issues"]) / F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["findings"])
-    return g.select("case_id", F.size("r").cast("long").alias("runs"), *[F.transform("r", lambda x, n=n: x[n]).alias(n) for n in names], F.round(rate, 6).alias("duplicate_rate"))
+    return g.select("case_id", F.size("r").cast("long").alias("runs"), *[F.transform("r", field(n)).alias(n) for n in names], F.round(rate, 6).alias("duplicate_rate"))
 
 
 def unique_finds(found: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import text as X
 from .joins import tags
-from .ranking import latest
+from .ranking import budgeted, latest, ranked, top_k
 
 
 def guess_branch(texts: list[Column], hints: list[tuple[str, str]]) -> Column:
@@ -107,6 +109,42 @@ def triage_rating(s: DataFrame, cfg: Triage = Triage()) -> DataFrame:
     return s.withColumn("rating", rating).withColumn("split", F.col("prod_lines") > cfg.split_lines)
 
 
+def split_advice(files: DataFrame, bound: int = 1000, k: int = 5, rules: P.PathRules = P.RULES) -> DataFrame:
+    """pr, path, lines, rank: the k largest counted files of changes with more than `bound` changed production lines."""
+    p, n = F.col("path"), F.col("additions") + F.col("deletions")
+    f = files.filter(P.counted(p, F.col("bin"), rules))
+    big = f.groupBy("pr").agg(F.sum(F.when(P.is_prod(p, rules), n)).alias("_prod")).filter(F.col("_prod") > bound).select("pr")
+    return top_k(f.groupBy("pr", "path").agg(F.sum(n).alias("lines")).join(big, "pr", "left_semi"), ["pr"], [F.col("lines").desc(), p.asc()], k)
+
+
+def selected_parts(parts: DataFrame, files: DataFrame, budget: int, by: str = "pr", tie: str = "start", rules: P.PathRules = P.RULES) -> DataFrame:
+    """parts (files, or hunks of files) with rank, taken and skipped: of each change the first `budget` by production first, the
+    largest file first, then path and place. files: pr, path, additions, deletions."""
+    size = files.groupBy(by, "path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("_size"))
+    j = parts.join(size, [by, "path"], "left").fillna(0, ["_size"])
+    order = [P.is_prod(F.col("path"), rules).desc(), F.col("_size").desc(), F.col("path").asc(), *([F.col(tie).asc()] if tie in parts.columns else [])]
+    return budgeted(j, [by], order, budget).drop("_size")
+
+
+def capped_tests(scored: DataFrame, by: str, own: str, floor: int = 15, cap: int = 25, cap_own: int = 30) -> DataFrame:
+    """scored (by, test, score, own: whether the change brings the test) with rank: tests of at least `floor` points, the best `cap`
+    of each change, or `cap_own` where it brings tests of its own."""
+    most = F.when(F.bool_or(F.col(own)).over(W.partitionBy(by)), cap_own).otherwise(cap)
+    x = scored.withColumn("_most", most).filter(F.col("score") >= floor)
+    return ranked(x, [by], [F.col("score").desc(), F.col("test").asc()]).filter(F.col("rank") <= F.col("_most")).drop("_most")
+
+
+def text_budget(lines: Column, most: int = 1500, limits: tuple[int, ...] = (300, 200, 140, 100, 60)) -> tuple[Column, Column]:
+    """(limit, body) of a list of lines: the longest limit that, each line clipped to it, makes a body of at most `most` characters;
+    nulls where even the shortest is too long."""
+    bodies = [F.array_join(F.transform(lines, _clipped(n)), "\n") for n in limits]
+    return F.coalesce(*[F.when(F.length(b) <= most, n) for n, b in zip(limits, bodies, strict=True)]), F.coalesce(*[F.when(F.length(b) <= most, b) for b in bodies])
+
+
+def _clipped(n: int):
+    return lambda x: X.clip(x, n)
+
+
 def review_tier(files: DataFrame, rules: P.PathRules = P.RULES) -> DataFrame:
     """pr, lines and tier from changed lines outside tests: none, small under 50, large over 1000, else medium."""
     p = F.col("path")
@@ -121,7 +159,5 @@ def risk_ranked(files: DataFrame, cfg: Triage = Triage(), k: int = 15, rules: P.
     p = F.col("path")
     weight = 1 + F.when(F.size(tags(p, list(cfg.surfaces))) > 0, 2.0).otherwise(0.0) + F.when(P.starts(p, cfg.concurrent), 1.5).otherwise(0.0) + F.when(p.rlike(cfg.serial), 2.0).otherwise(0.0)
     sized = files.filter(P.is_code(p, rules)).groupBy("pr", "path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines"))
-    from .ranking import ranked
-
     out = ranked(sized.withColumn("risk", F.bround(F.col("lines") * weight, 1)), ["pr"], [F.col("risk").desc(), F.col("path").asc()])
     return out.withColumn("focus", F.col("rank") <= k)

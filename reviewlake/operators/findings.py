@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,33 +136,72 @@ def issues(findings: DataFrame, membership: DataFrame) -> DataFrame:
     return out.withColumn("issue", F.concat(F.lit("issue-"), F.row_number().over(w).cast("string"))).drop("_r", "_first")
 
 
-def connected(e: DataFrame, rounds: int = 30) -> DataFrame:
-    """(pr, idx, root) of unconstrained components, by least label spreading; checkpointed each round."""
+def issues_of(findings: DataFrame, stored: DataFrame, cfg: Merge = Merge()) -> DataFrame:
+    """pr, issue, primary: the stored issues of a change, else those its findings make."""
+    rest = findings.join(stored.select("pr").distinct(), "pr", "left_anti")
+    return stored.select("pr", "issue", "primary").unionByName(issues(rest, clusters(rest, cfg)).select("pr", "issue", "primary"))
+
+
+def connected(e: DataFrame) -> DataFrame:
+    """(pr, idx, root) of unconstrained components: each round takes the least label around and then that label's own, so labels
+    travel ever further, until none moves; checkpointed each round."""
     both = checkpointed(e.select("pr", "i", "j").unionByName(e.select("pr", F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     labels = both.select("pr", "i", F.col("i").alias("root")).distinct()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select("pr", F.col("i").alias("j"), "root"), ["pr", "j"]).groupBy("pr", "i").agg(F.min("root").alias("near"))
-        new = checkpointed(labels.join(near, ["pr", "i"]).select("pr", "i", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")))
+        low = labels.join(near, ["pr", "i"]).select("pr", "i", "root", F.least("root", "near").alias("low"))
+        jump = low.select("pr", F.col("i").alias("low"), F.col("low").alias("far"))
+        new = checkpointed(low.join(jump, ["pr", "low"]).select("pr", "i", F.least("low", "far").alias("root"), (F.least("low", "far") < F.col("root")).alias("moved")))
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             return labels.withColumnRenamed("i", "idx")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of k token hashes, from a running sum: each costs two look-ups, whatever k is."""
+    n = len(tokens)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up, dtype=np.uint64)])
+        x = (total[k:] - total[:-k]) * down[: n - k + 1]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
 
 
 def duplicate_blocks(docs: DataFrame, k: int = 100, group: str | None = None) -> DataFrame:
-    """Maximal runs of at least k equal tokens between two documents: doc_a, doc_b (a < b), start_a, start_b, tokens.
+    """Runs of at least k equal tokens: doc_a, start_a, doc_b, start_b, tokens, where a is the first holder (by document, then
+    position) of what b, later or in the same document, repeats.
 
-    Token windows are hashed; the window hash, not the text, is shuffled. Of the documents that share a window each one
-    is compared with the first that has it, never all with all, so one passage in many documents gives as many rows as
-    it has documents. Runs grow where windows follow each other on both sides.
+    Of the places that share a window each is compared with the first alone, never all with all, so one passage in many documents
+    gives as many rows as it has copies; all copies of a passage name the same first holder. Runs grow where windows follow each
+    other on both sides, and part where the first holder changes. Only hashes are shuffled, not texts.
     """
-    tokens = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    t = docs.select(*([group] if group else []), "doc_id", F.transform(tokens, lambda x: F.xxhash64(x)).alias("t")).filter(F.size("t") >= k)
-    windows = F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i + 1, k)).alias("h")))
-    by = ["h", *([group] if group else [])]
-    w = t.select(*([group] if group else []), "doc_id", F.explode(windows).alias("w")).select(*([group] if group else []), "doc_id", "w.pos", "w.h")
-    first = w.groupBy(*by).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hits = w.join(first, by).filter("doc_id > a.doc_id").select(F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("a.pos").alias("pos_a"), "pos")
+    by = [group] if group else []
+    t = docs.select(*by, "doc_id", F.transform(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: F.xxhash64(x)).alias("t")).filter(F.size("t") >= k)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields if f.name != "t"] + ["pos int", "h long"])
+    names = [f.name for f in t.schema.fields if f.name != "t"]
+
+    def windows(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                h = window_hashes(one.column(one.schema.get_field_index("t"))[0].values.to_numpy().view(np.uint64), k)
+                same = pa.array(np.zeros(len(h), np.int32))
+                yield pa.RecordBatch.from_arrays([one.column(one.schema.get_field_index(c)).take(same) for c in names] + [pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], names=[*names, "pos", "h"])
+
+    w = t.mapInArrow(windows, schema)
+    first = w.groupBy("h", *by).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = F.struct("doc_id", "pos") > F.col("a")
+    hits = w.join(first, ["h", *by]).filter(later).select(F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("a.pos").alias("pos_a"), "pos")
     near = W.partitionBy("doc_a", "doc_b", F.col("pos_a") - F.col("pos")).orderBy("pos")
     island = hits.withColumn("run", F.col("pos") - F.row_number().over(near))
     return island.groupBy("doc_a", "doc_b", F.expr("pos_a - pos").alias("shift"), "run").agg(F.min("pos_a").alias("start_a"), F.min("pos").alias("start_b"), (F.count(F.lit(1)) + k - 1).alias("tokens")).drop("shift", "run")

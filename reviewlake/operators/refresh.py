@@ -35,6 +35,26 @@ def as_of(rows: DataFrame, day: Column, cutoff: str) -> DataFrame:
     return rows.filter(day.isNotNull() & (day <= F.lit(cutoff).cast("date")))
 
 
+def as_of_tickets(tickets: DataFrame, changelog: DataFrame, created: DataFrame, cutoff: str) -> DataFrame:
+    """tickets as they could have looked on the day: comments and attachments dated after it, or undated, go, as do remote links and
+    the outcome fields; a link stays when the change log first shows it by then or, if it shows nothing, when the linked ticket was
+    created by then.
+
+    tickets: key, comments and attachments (arrays of structs with day), links (array of keys), remotelinks, resolution, status,
+    fix_versions; changelog: key, linked, day; created: key, day.
+    """
+    day = F.lit(cutoff).cast("date")
+    until = lambda c: F.filter(c, lambda x: x["day"].isNotNull() & (x["day"] <= day))
+    added = changelog.groupBy("key", "linked").agg(F.min("day").alias("_added"))
+    made = created.groupBy(F.col("key").alias("linked")).agg(F.min("day").alias("_made"))
+    links = tickets.select("key", F.explode("links").alias("linked")).join(added, ["key", "linked"], "left").join(made, "linked", "left")
+    kept = links.filter(F.coalesce("_added", "_made") <= day).groupBy("key").agg(F.array_sort(F.collect_set("linked")).alias("_links"))
+    t = tickets.join(kept, "key", "left")
+    gone = lambda c: F.lit(None).cast(tickets.schema[c].dataType).alias(c)
+    new = {"comments": until("comments").alias("comments"), "attachments": until("attachments").alias("attachments"), "links": F.coalesce("_links", F.array().cast(tickets.schema["links"].dataType)).alias("links")}
+    return t.select(*[new[c] if c in new else gone(c) if c in ("remotelinks", "resolution", "status", "fix_versions") else F.col(c) for c in tickets.columns])
+
+
 def freshness(fetched: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """name, state of the newest copy of each dimension: ok, stale (older, or the last try failed), unavailable. fetched: name, at, ok."""
     good = fetched.groupBy("name").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("at"), F.max("at").alias("tried"))

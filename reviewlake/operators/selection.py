@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..functions.paths import any_of
 from .joins import bounded
 from .ranking import top_k
 
@@ -75,11 +77,22 @@ def subtypes(sources: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def scenarios(files: DataFrame, rules: list[dict], most: int = 3) -> DataFrame:
-    """pr, scenario, priority, lines, files, rank: rules (scenario, pattern, keywords, exclude, min_lines, priority) that cover enough
-    changed lines; a change that none covers gets the smoke scenario. files: pr, path, lines, title."""
+    """pr, scenario, priority, lines, files, rank: rules that cover enough changed lines; a change that none covers gets the smoke
+    scenario. A rule fits a file by one of prefixes, a pattern, being sensitive, or one of its surfaces, where the change's text has a
+    word of keywords, if there are such, and none of exclude.
+
+    files: pr, path, lines, title (text of the change), and, where rules ask for them, sensitive (boolean) and surfaces (array).
+    rules: id, scenario, priority, min_lines, and any of prefixes, pattern, sensitive, surfaces, keywords, exclude.
+    """
     hits = None
     for r in rules:
-        hit = F.col("path").rlike(r["pattern"])
+        hit = any_of(F.col("path").startswith(p) for p in r.get("prefixes") or ())
+        if r.get("pattern"):
+            hit |= F.col("path").rlike(r["pattern"])
+        if r.get("sensitive"):
+            hit |= F.coalesce("sensitive", F.lit(False))
+        if r.get("surfaces"):
+            hit |= F.coalesce(F.arrays_overlap("surfaces", F.array(*[F.lit(x) for x in r["surfaces"]])), F.lit(False))
         if r.get("keywords"):
             hit &= F.coalesce(F.col("title").rlike(f"(?i){r['keywords']}"), F.lit(False))
         if r.get("exclude"):
@@ -94,9 +107,17 @@ def scenarios(files: DataFrame, rules: list[dict], most: int = 3) -> DataFrame:
     return top_k(s.unionByName(rest), ["pr"], [F.col("priority").desc(), F.col("lines").desc(), F.col("scenario").asc()], most)
 
 
-def ineligible(kinds: dict[str, Column], n_prod: Column, most: int) -> Column:
-    """Why a change gets no scenario: the first of kinds (reason: all files are such) that holds, or too many files; else null."""
-    return F.coalesce(*[F.when(c, r) for r, c in kinds.items()], F.when(n_prod > most, "too many files"))
+DEPENDENCIES = r"^(lib/|\.build/(build-resolve|parent-pom-template|deps-template|build-deps-template)\.xml)"
+
+
+def ineligible_changes(files: DataFrame, most: int, home: str = "src/java/") -> DataFrame:
+    """pr, reason: why a change gets no plan: documents only; without server code, tests, dependencies, build or generated files only;
+    or too many server files; else null. files: pr, path."""
+    p = F.col("path")
+    server = p.startswith(home) & ~P.is_test(p) & P.counted(p, F.lit(False))
+    k = files.groupBy("pr").agg(F.bool_and(P.is_doc(p)).alias("d"), F.bool_and(P.is_test(p) | P.is_test_resource(p)).alias("t"), F.bool_and(p.rlike(DEPENDENCIES)).alias("l"), F.bool_and(P.is_build(p)).alias("b"), F.bool_and(P.is_generated(p)).alias("g"), F.count_distinct(F.when(server, p)).alias("n"))
+    without = F.when(F.col("t"), "tests only").when(F.col("l"), "dependencies only").when(F.col("b"), "build only").when(F.col("g"), "generated files only").otherwise("no server code")
+    return k.select("pr", F.when(F.col("d"), "documents only").when(F.col("n") == 0, without).when(F.col("n") > most, "too many files").alias("reason"))
 
 
 def banned_lines(lines: DataFrame, rules: list[tuple[str, str]], permit: str = "permit") -> DataFrame:

@@ -35,6 +35,9 @@ VIEWS = {
     "ci_runs": "SELECT event_id AS seq, concat('project-', CASE event_id % 5 WHEN 0 THEN '3.0' WHEN 1 THEN '3.11' WHEN 2 THEN '4.0' WHEN 3 THEN '4.1' ELSE 'x' END) AS ref, CAST(floor(value * 10) AS BIGINT) % 400 AS pr, ts AS created, CASE WHEN event_id % 4 = 0 THEN NULL ELSE md5(CAST(CAST(floor(value * 10) AS BIGINT) % 400 AS STRING)) END AS sha, CAST(floor(value) AS BIGINT) % 7 AS failed, 100 + user_id AS passed FROM {events}",
     "findings": """SELECT doc_id AS id, doc_id - doc_id % 12 AS pr, source AS lens, doc_id % 12 AS idx, CASE doc_id % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'blocker' WHEN 2 THEN 'nit' ELSE 'major' END AS severity,
  CASE WHEN doc_id % 7 = 3 THEN 'general' ELSE concat('src/File', CAST(doc_id % 3 AS STRING), '.java:', CAST(n_chars % 40 AS STRING)) END AS location, substr(text, 1, CAST(floor(length(text) / 2) AS INT)) AS problem, substr(text, CAST(floor(length(text) / 2) AS INT) + 1) AS fix, concat('rule', CAST(doc_id % 5 AS STRING)) AS rule FROM {documents}""",
+    "panel": """SELECT l_orderkey * 100 + idx AS id, l_orderkey AS pr, concat('lens', CAST(l_linenumber % 4 AS STRING)) AS lens, idx, CASE l_returnflag WHEN 'A' THEN 'major' WHEN 'R' THEN 'nit' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'minor' ELSE 'blocker' END END AS severity,
+ CASE WHEN l_suppkey % 5 = 0 THEN 'general' ELSE concat('src/File', CAST(l_suppkey % 2 AS STRING), '.java:', CAST(l_partkey % 12 AS STRING)) END AS location, concat('The result of ', topic, ' is ignored when ', CASE l_partkey % 3 WHEN 0 THEN 'closing streams' WHEN 1 THEN 'the directory fails' ELSE 'flushing' END, ' in ', topic2) AS problem, concat('check what ', topic, ' gives', CASE WHEN l_partkey % 2 = 0 THEN ' and log it' ELSE '' END) AS fix, concat('rule', CAST(l_suppkey % 5 AS STRING)) AS rule
+ FROM (SELECT *, CASE l_suppkey % 3 WHEN 0 THEN 'FileUtils.deleteIfExists' WHEN 1 THEN 'commitLog.syncAll' ELSE 'readBuffer' END AS topic, CASE l_partkey % 2 WHEN 0 THEN 'TableReader.closeAll' ELSE 'writeHandler' END AS topic2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS idx FROM {lineitem}) AS topics""",
     "violations": "SELECT l_partkey AS file_id, l_orderkey AS pr, l_linenumber * 10 AS line, concat('Rule', CAST(l_suppkey % 17 AS STRING)) AS rule, l_returnflag AS message, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side, CAST(l_quantity AS INT) AS score FROM {lineitem}",
     "diffs": """SELECT o_orderkey AS pr, concat('diff --git a/f', CAST(o_orderkey % 7 AS STRING), '.java b/f', CAST(o_orderkey % 7 AS STRING), '.java', chr(10), CASE WHEN o_orderkey % 5 = 0 THEN concat('new file mode 100644', chr(10), '--- /dev/null') ELSE concat('--- a/f', CAST(o_orderkey % 7 AS STRING), '.java') END, chr(10), '+++ ', CASE WHEN o_orderkey % 5 = 1 THEN '/dev/null' ELSE concat('b/f', CAST(o_orderkey % 7 AS STRING), '.java') END, chr(10),
  CASE WHEN o_orderkey % 5 = 0 THEN concat('@@ -0,0 +1,2 @@', chr(10), '+++ first', chr(10), '+', CAST(o_custkey AS STRING)) WHEN o_orderkey % 5 = 1 THEN concat('@@ -1,2 +0,0 @@', chr(10), '-gone', chr(10), '--- gone')
@@ -54,7 +57,7 @@ VIEWS = {
     "touched": """SELECT l_orderkey AS pr, CASE (l_partkey + l_suppkey * 3 + l_linenumber) % 60 WHEN 0 THEN 'conf/project.yaml' WHEN 1 THEN 'conf/project_latest.yaml' WHEN 2 THEN 'src/java/org/project/config/Config.java' WHEN 3 THEN 'CHANGES.txt' WHEN 4 THEN 'src/java/org/project/net/Verb.java' WHEN 5 THEN 'src/java/org/project/tools/admin/Status.java' WHEN 6 THEN 'test/resources/admin/help/status'
  WHEN 7 THEN 'src/antlr/Cql.g' WHEN 8 THEN 'lib/a.jar' WHEN 9 THEN 'src/java/org/project/io/table/format/BigFormat.java' WHEN 10 THEN 'test/microbench/B.java' WHEN 11 THEN 'src/java/org/project/hints/HintsDescriptor.java' WHEN 12 THEN 'src/java/org/project/db/RowSerializer.java' WHEN 13 THEN 'src/java/org/project/metrics/TableMBean.java' WHEN 14 THEN 'src/java/org/project/schema/SchemaKeyspace.java' WHEN 15 THEN 'CHANGES.txt' ELSE path END AS path,
  CAST(l_quantity AS INT) AS additions, l_linenumber AS deletions, path LIKE '%.bin' AS bin, l_returnflag = 'A' AS new_file, l_suppkey AS k, l_linenumber AS n FROM {lineitem} JOIN {paths} ON l_partkey = file_id""",
-    "added": """SELECT t.pr, path, n * 3 AS line_no, new_file, CASE (k + n) % 11 WHEN 0 THEN 'int n = Integer.getInteger("n");' WHEN 1 THEN '// System.getProperty("n")' WHEN 2 THEN '@Deprecated' WHEN 3 THEN 'class S implements Comparable<S>, VersionedSerializer<S>' WHEN 4 THEN concat(' * Tidy up (PROJ-', CAST(1000 + o_custkey AS STRING), ')')
+    "added": """SELECT t.pr, path, n * 100000 + k AS line_no, new_file, CASE (k + n) % 11 WHEN 0 THEN 'int n = Integer.getInteger("n");' WHEN 1 THEN '// System.getProperty("n")' WHEN 2 THEN '@Deprecated' WHEN 3 THEN 'class S implements Comparable<S>, VersionedSerializer<S>' WHEN 4 THEN concat(' * Tidy up (PROJ-', CAST(1000 + o_custkey AS STRING), ')')
  WHEN 5 THEN ' * Other work (PROJ-777)' WHEN 6 THEN 'import junit.Assert; // permit' WHEN 7 THEN 'import sun.misc.Unsafe;' WHEN 8 THEN 'Licensed to the project' ELSE 'return 0;' END AS text FROM {touched} AS t JOIN {orders} ON t.pr = o_orderkey""",
     "change_commits": """SELECT l_orderkey AS pr, l_linenumber - 1 AS idx, CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN concat('Tidy', chr(10), chr(10), 'patch by Ann; reviewed by Bob for PROJ-', CAST(1000 + o_custkey AS STRING)) WHEN 1 THEN concat('PROJ-', CAST(1000 + o_custkey AS STRING), ' tidy') WHEN 2 THEN 'patch by Ann, reviewed by Kim for PROJ-555'
  WHEN 3 THEN concat('fixup! tidy', chr(10), 'Assisted-by: tool') WHEN 4 THEN concat('work', chr(10), 'Co-authored-by: Copilot <x@y>') ELSE 'work' END AS message, CASE l_suppkey % 3 WHEN 0 THEN 'test/microbench/B.java' WHEN 1 THEN 'src/java/org/project/A.java' ELSE 'doc/x.md' END AS path FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",

@@ -83,15 +83,10 @@ def agg1_agg2_triage(t):
     return rated(t).select("pr", "lines", "files", "prod_lines", "subsystems", "surfaces", "has_tests", "points", "rating", "split")
 
 
-@query(f"""WITH f AS (SELECT pr, path, sum(additions + deletions)::BIGINT AS lines FROM {{changed_files}} WHERE {COUNTED_SQL} GROUP BY ALL), b AS (SELECT pr FROM {{changed_files}} WHERE {COUNTED_SQL} AND {PROD_SQL} GROUP BY pr HAVING sum(additions + deletions) > 100)
+@query(f"""WITH x AS (SELECT pr, path, additions * 20 + deletions AS n, bin FROM {{changed_files}}), f AS (SELECT pr, path, sum(n)::BIGINT AS lines FROM x WHERE {COUNTED_SQL} GROUP BY ALL), b AS (SELECT pr FROM x WHERE {COUNTED_SQL} AND {PROD_SQL} GROUP BY pr HAVING sum(n) > 1000)
 SELECT pr, path, lines, row_number() OVER (PARTITION BY pr ORDER BY lines DESC, path) AS rank FROM f JOIN b USING (pr) QUALIFY rank <= 5""")
 def agg3_win1_split_advice(t):
-    p = F.col("path")
-    files = t("changed_files").filter(P.counted(p, F.col("bin")))
-    n = F.col("additions") + F.col("deletions")
-    big = files.groupBy("pr").agg(F.sum(F.when(P.is_prod(p), n)).alias("prod")).filter("prod > 100").select("pr")
-    sized = files.groupBy("pr", "path").agg(F.sum(n).alias("lines")).join(big, "pr", "left_semi")
-    return R.top_k(sized, ["pr"], [F.col("lines").desc(), p.asc()], 5)
+    return C.split_advice(t("changed_files").withColumn("additions", F.col("additions") * 20))
 
 
 @query(r"WITH s AS (SELECT pr, coalesce(sum(additions + deletions) FILTER (regexp_matches(path, '\.(java|py|g|sh|xml|yaml)$') AND NOT starts_with(path, 'test/')), 0)::BIGINT AS lines FROM {changed_files} GROUP BY pr) SELECT pr, lines, CASE WHEN lines = 0 THEN 'none' WHEN lines < 50 THEN 'small' WHEN lines > 1000 THEN 'large' ELSE 'medium' END AS tier FROM s")
@@ -114,10 +109,25 @@ def agg7_test_ratio(t):
     return files.groupBy("pr").agg(F.coalesce(F.sum(F.when(P.is_prod(p), n)), F.lit(0)).alias("prod"), F.coalesce(F.sum(F.when(P.file_kind(p) == "test", n)), F.lit(0)).alias("test"), F.count_distinct(F.when(P.test_suite(p) == "unit", p)).alias("unit"), F.count_distinct(F.when(P.test_suite(p) == "distributed", p)).alias("distributed"))
 
 
-@query("SELECT pr, path, n, row_number() OVER (PARTITION BY pr ORDER BY prod DESC, n DESC, path) AS rank, rank <= 2 AS taken, greatest(0, count(*) OVER (PARTITION BY pr) - 2) AS skipped FROM (SELECT pr, path, sum(additions)::BIGINT AS n, regexp_matches(path, '^(src/java|pylib)/') AS prod FROM {changed_files} GROUP BY pr, path)")
-def win3_budgeted_selection(t):
-    files = t("changed_files").groupBy("pr", "path").agg(F.sum("additions").alias("n")).withColumn("prod", P.is_prod(F.col("path")))
-    return R.budgeted(files, ["pr"], [F.col("prod").desc(), F.col("n").desc(), F.col("path").asc()], 2).drop("prod")
+PARTS = "SELECT user_id AS pr, concat(CASE event_type WHEN 'view' THEN 'src/java/' WHEN 'click' THEN 'test/' ELSE 'doc/' END, CAST(event_id % 40 AS STRING)) AS path, CAST(event_id AS BIGINT) AS start, CAST(event_id % 9 AS INT) AS additions, 1 AS deletions FROM {events}"
+PART_SQL = f"WITH p AS ({PARTS.replace('{events}', 'events')}), s AS (SELECT pr, path, sum(additions + deletions) AS size FROM p GROUP BY ALL), {{0}} SELECT *, rank <= {{1}} AS taken, greatest(0, count(*) OVER (PARTITION BY pr) - {{1}}) AS skipped FROM r"
+
+
+def parts(t):
+    e = t("events")
+    return e.sparkSession.sql(PARTS, events=e)
+
+
+@query(PART_SQL.format("r AS (SELECT p.pr, p.path, start, row_number() OVER (PARTITION BY p.pr ORDER BY starts_with(p.path, 'src/java/') DESC, size DESC, p.path, start) AS rank FROM p JOIN s ON p.pr = s.pr AND p.path = s.path)", 300))
+def win3_hunks(t):
+    p = parts(t)
+    return C.selected_parts(p.select("pr", "path", "start"), p, 300)
+
+
+@query(PART_SQL.format("r AS (SELECT pr, path, row_number() OVER (PARTITION BY pr ORDER BY starts_with(path, 'src/java/') DESC, size DESC, path) AS rank FROM s)", 25))
+def win3_files(t):
+    p = parts(t)
+    return C.selected_parts(p.select("pr", "path").distinct(), p, 25)
 
 
 @query("""WITH c AS (SELECT pr, rule, count(*) AS n FROM {violations} GROUP BY ALL), w AS (SELECT *, coalesce(sum(least(3, n)) OVER (PARTITION BY pr ORDER BY rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
@@ -133,15 +143,18 @@ def win8_keep_newest(t):
     return out.withColumn("pruned", F.col("rank") > 5)
 
 
-@query("SELECT state, pr, rank FROM (SELECT state, pr, author, row_number() OVER (PARTITION BY author ORDER BY updated_at DESC, pr) AS rank, CASE WHEN bool_or(draft) OVER (PARTITION BY author) THEN 3 ELSE 2 END AS cap FROM {changes}) WHERE rank <= cap")
-def win9_capped_selection(t):
-    from pyspark.sql import Window as W
+@query("WITH s AS (SELECT user_id AS pr, event_id AS test, event_id * 7 % 100 AS score, user_id % 2 = 0 AND event_type = 'view' AS own FROM events), w AS (SELECT *, bool_or(own) OVER (PARTITION BY pr) AS brings FROM s) SELECT pr, test, score, row_number() OVER (PARTITION BY pr ORDER BY score DESC, test) AS rank FROM w WHERE score >= 15 QUALIFY rank <= CASE WHEN brings THEN 30 ELSE 25 END")
+def win9_capped_tests(t):
+    s = t("events").selectExpr("user_id AS pr", "event_id AS test", "event_id * 7 % 100 AS score", "user_id % 2 = 0 AND event_type = 'view' AS own")
+    return C.capped_tests(s, "pr", "own").select("pr", "test", "score", "rank")
+
 
-    c = t("changes").withColumn("cap", F.when(F.bool_or("draft").over(W.partitionBy("author")), 3).otherwise(2))
-    return R.ranked(c, ["author"], [F.col("updated_at").desc(), F.col("pr").asc()]).filter("rank <= cap").select("state", "pr", "rank")
+FLAT = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
+BUDGETS = ", ".join(f"array_to_string(list_transform(lines, lambda x: CASE WHEN length({FLAT}) <= {n} THEN {FLAT} ELSE rtrim(substr({FLAT}, 1, {n - 1})) || '…' END), chr(10)) AS b{n}" for n in (300, 200, 140, 100, 60))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN 300 WHEN least(length(text), 200) * 3 <= 600 THEN 200 WHEN least(length(text), 140) * 4 <= 600 THEN 140 END AS most FROM documents")
+@query(f"WITH d AS (SELECT lang, doc_id // 40 AS g, list(text ORDER BY doc_id) AS lines FROM documents GROUP BY ALL), b AS (SELECT lang, g, {BUDGETS} FROM d) SELECT lang, g, {{0}}::INT AS most, md5({{1}}) AS body FROM b".replace("{0}", "CASE " + " ".join(f"WHEN length(b{n}) <= 1500 THEN {n}" for n in (300, 200, 140, 100, 60)) + " END").replace("{1}", "CASE " + " ".join(f"WHEN length(b{n}) <= 1500 THEN b{n}" for n in (300, 200, 140, 100, 60)) + " END"))
 def win16_text_budget(t):
-    n = F.length("text")
-    return t("documents").select("doc_id", F.coalesce(F.when(n <= 300, 300), F.when(F.least(n, F.lit(200)) * 3 <= 600, 200), F.when(F.least(n, F.lit(140)) * 4 <= 600, 140)).alias("most"))
+    d = t("documents").groupBy("lang", F.expr("doc_id div 40").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("lines"))
+    most, body = C.text_budget(F.col("lines"))
+    return d.select("lang", "g", most.alias("most"), F.md5(body.cast("binary")).alias("body"))

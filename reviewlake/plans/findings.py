@@ -12,41 +12,39 @@ from ..operators.ranking import top_k
 from .catalog import query
 from .scalar import identifiers_sql, words_sql
 
-#: generated prose has few identifiers, so words weigh most here
-WORDS = D.Merge(problem_identifiers=0.1, problem_words=0.8, fix_identifiers=0.1)
-PAIR_SQL = f"""WITH s AS MATERIALIZED (SELECT pr, idx, lens, {identifiers_sql('problem')} AS pi, {words_sql('problem')} AS pw, {identifiers_sql('fix')} AS fi, nullif(regexp_extract(location, '^(.*\\.\\w+):(\\d+)$', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^(.*\\.\\w+):(\\d+)$', 2), '') AS BIGINT) AS line FROM {{findings}}),
+PAIR_SQL = f"""WITH s AS MATERIALIZED (SELECT pr, idx, lens, {identifiers_sql('problem')} AS pi, {words_sql('problem')} AS pw, {identifiers_sql('fix')} AS fi, nullif(regexp_extract(location, '^(.*\\.\\w+):(\\d+)$', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^(.*\\.\\w+):(\\d+)$', 2), '') AS BIGINT) AS line FROM {{panel}}),
 jn AS (SELECT a.pr, a.idx AS i, b.idx AS j, a.pi AS pi, b.pi AS pi2, a.pw AS pw, b.pw AS pw2, a.fi AS fi, b.fi AS fi2, a.path AS pa, b.path AS pb, abs(a.line - b.line) AS far FROM s a JOIN s b ON a.pr = b.pr AND a.idx < b.idx AND a.lens <> b.lens),
 j3 AS (SELECT *, len(list_intersect(pi, pi2)) AS xi, len(list_intersect(pw, pw2)) AS xw, len(list_intersect(fi, fi2)) AS xf FROM jn),
-sc AS (SELECT pr, i, j, 0.1::DOUBLE * CASE WHEN len(pi) + len(pi2) = 0 THEN 0 ELSE xi::DOUBLE / (len(pi) + len(pi2) - xi) END + 0.8::DOUBLE * CASE WHEN len(pw) + len(pw2) = 0 THEN 0 ELSE xw::DOUBLE / (len(pw) + len(pw2) - xw) END + 0.1::DOUBLE * CASE WHEN len(fi) + len(fi2) = 0 THEN 0 ELSE xf::DOUBLE / (len(fi) + len(fi2) - xf) END AS tx,
+sc AS (SELECT pr, i, j, 0.4::DOUBLE * CASE WHEN len(pi) + len(pi2) = 0 THEN 0 ELSE xi::DOUBLE / (len(pi) + len(pi2) - xi) END + 0.3::DOUBLE * CASE WHEN len(pw) + len(pw2) = 0 THEN 0 ELSE xw::DOUBLE / (len(pw) + len(pw2) - xw) END + 0.3::DOUBLE * CASE WHEN len(fi) + len(fi2) = 0 THEN 0 ELSE xf::DOUBLE / (len(fi) + len(fi2) - xf) END AS tx,
  CASE WHEN pa IS NULL OR pb IS NULL THEN 0.1::DOUBLE WHEN pa <> pb THEN 0 WHEN far <= 3 THEN 0.3::DOUBLE WHEN far <= 10 THEN 0.15::DOUBLE ELSE 0 END AS bonus, xi + xw + xf AS shared FROM j3),
 ps AS (SELECT pr, i, j, round(tx, 9) AS text, round(tx + bonus, 9) AS total FROM sc WHERE shared > 0)"""
 
 
 @query(PAIR_SQL + " SELECT pr, i, j, text, total FROM ps")
 def jon24_fuz1_pair_scores(t):
-    return D.pair_scores(t("findings"), WORDS)
+    return D.pair_scores(t("panel"))
 
 
 @query(PAIR_SQL + " SELECT pr, i, j, total FROM ps WHERE text >= 0.18 AND total >= 0.4")
 def fuz2_edges(t):
-    return D.edges(D.pair_scores(t("findings"), WORDS)).select("pr", "i", "j", "total")
+    return D.edges(D.pair_scores(t("panel"))).select("pr", "i", "j", "total")
 
 
 @query("WITH RECURSIVE " + PAIR_SQL[5:] + """, e AS (SELECT pr, i AS a, j AS b FROM ps WHERE text >= 0.18 AND total >= 0.4 UNION SELECT pr, j, i FROM ps WHERE text >= 0.18 AND total >= 0.4), r AS (SELECT pr, a AS idx, a AS reach FROM e UNION SELECT r.pr, r.idx, e.b FROM r JOIN e ON e.pr = r.pr AND e.a = r.reach)
 SELECT pr, idx, min(reach) AS root FROM r GROUP BY pr, idx""")
 def fuz3_connected(t):
-    return D.connected(D.edges(D.pair_scores(t("findings"), WORDS)))
+    return D.connected(D.edges(D.pair_scores(t("panel"))))
 
 
 @query()
 def fuz3_clusters(t):
-    return D.clusters(t("findings"), WORDS)
+    return D.clusters(t("panel"))
 
 
 @query()
 def fuz4_win10_win11_issues(t):
-    f = t("findings")
-    return D.issues(f, D.clusters(f, WORDS))
+    f = t("panel")
+    return D.issues(f, D.clusters(f))
 
 
 @query()
@@ -57,10 +55,12 @@ def fuz6_duplicate_blocks(t):
 SEV = "CASE severity WHEN 'blocker' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END"
 
 
-@query(f"SELECT pr, first(id ORDER BY {SEV}, idx) AS primary, list_distinct(list(lens))::VARCHAR IS NOT NULL AS known, count(DISTINCT lens) AS lenses FROM {{findings}} GROUP BY pr")
+@query(f"""WITH f AS (SELECT *, {SEV} AS r, len({identifiers_sql("concat_ws(' ', problem, fix)")}) AS n, lower(trim(fix)) AS lf FROM {{panel}}), l AS (SELECT pr, lens, min(idx) AS first_idx FROM f GROUP BY ALL), o AS (SELECT pr, location, min(idx) AS first_idx FROM f GROUP BY ALL), x AS (SELECT pr, lf, min(idx) AS first_idx FROM f GROUP BY ALL)
+SELECT pr, first(id ORDER BY r, -n, idx) AS primary, (SELECT array_to_string(list(lens ORDER BY first_idx), '|') FROM l WHERE l.pr = f.pr) AS lenses, (SELECT array_to_string(list(location ORDER BY first_idx), '|') FROM o WHERE o.pr = f.pr) AS locations, (SELECT count(*) - 1 FROM x WHERE x.pr = f.pr)::INT AS other_fixes FROM f GROUP BY pr""")
 def win10_win12_primary(t):
-    f = t("findings").withColumn("r", X.severity_rank(F.col("severity")))
-    return f.groupBy("pr").agg(F.min_by("id", F.struct("r", "idx")).alias("primary"), F.lit(True).alias("known"), F.count_distinct("lens").alias("lenses"))
+    f = t("panel")
+    one = f.select("pr", "idx", F.lit(0).cast("long").alias("cluster"))  # all of a change as one cluster
+    return D.issues(f, one).select("pr", "primary", F.array_join("lenses", "|").alias("lenses"), F.array_join("locations", "|").alias("locations"), "other_fixes")
 
 
 @query("""SELECT pr, count(*) FILTER (severity = 'blocker') AS blocker, count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'minor') AS minor, count(*) FILTER (severity = 'nit') AS nit, count(*) FILTER (severity IN ('blocker', 'major')) AS must_fix FROM {findings} GROUP BY pr""")

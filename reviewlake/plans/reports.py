@@ -211,10 +211,9 @@ def win13_group_order(t):
 
 @query()
 def fuz5_stored_or_merged_issues(t):
-    f = t("findings")
-    stored = f.filter("pr % 24 = 0").select("pr", F.lit("stored").alias("issue"), F.col("id").alias("primary")).groupBy("pr").agg(F.min("issue").alias("issue"), F.min("primary").alias("primary"))
-    rest = f.join(stored.select("pr"), "pr", "left_anti")
-    return stored.unionByName(N.issues(rest, N.clusters(rest, N.Merge(problem_identifiers=0.1, problem_words=0.8, fix_identifiers=0.1))).select("pr", "issue", "primary"))
+    f = t("panel")
+    stored = f.filter("pr % 24 = 0").groupBy("pr").agg(F.lit("stored").alias("issue"), F.min("id").alias("primary"))
+    return N.issues_of(f, stored).select("pr", "issue", "primary")
 
 
 @query("SELECT pr, path, CASE WHEN file_id % 3 = 0 THEN 'trunk' ELSE 'merge base' END AS read_from FROM (SELECT DISTINCT pr, path FROM {changed_files}) JOIN {paths} USING (path)")

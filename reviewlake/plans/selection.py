@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths as P
 from ..operators import checks as C
+from ..operators import facts as K
+from ..operators import joins as J
 from ..operators import selection as S
 from ..sources import diffs as D
 from .catalog import query
-from .gates import RESULT_SQL, facts, reviews_of
+from .gates import RESULT_SQL, SENSITIVE_SQL, SURFACE_SQL, facts, reviews_of
 from .verdicts import VERDICT_SQL
 
-INDEX = "# Aspects\n## words\n**Diff signals**\n- `the` `tion*` `that`\n- `tion (x)`\nplain\n- `never`\n## tables\n**Diff signals:**\n- `with` `from` `this()`\n- `onth.x`\n## none\ntext\n"
+INDEXES = """SELECT p_partkey AS doc, concat('# Aspects', chr(10), '## ', p_brand, chr(10), '**Diff signals**', chr(10), '- `', p_type, '` `', lower(p_type), '*` `abc`', chr(10), '- `', p_name, ' (x)`', chr(10), 'plain', chr(10), '- `never`', chr(10), '## size ', CAST(p_size AS STRING), chr(10), '**Diff signals:**', chr(10), '- `run', CAST(p_size AS STRING), '()` `on.', lower(p_type), '`', chr(10), '## none', chr(10), 'text') AS text FROM {part}"""
 
 
-@query("SELECT * FROM (VALUES ('words', '\\btion\\w*'), ('words', '\\bthat\\b'), ('tables', '\\bwith\\b'), ('tables', '\\bfrom\\b'), ('tables', '\\bthis\\b'), ('tables', '\\bonth\\.x\\b')) v(category, pattern) WHERE EXISTS (SELECT 1 FROM part)")
+@query(r"""WITH w AS (SELECT *, regexp_extract_all(p_name, '[A-Za-z_][A-Za-z0-9_]*') AS ids FROM part), l AS (SELECT *, list_filter(ids, lambda i: length(i) >= 5) AS longs FROM w), x AS (SELECT p_brand AS category, '\b' || p_type || '\b' AS pattern FROM l WHERE regexp_full_match(p_type, '[A-Za-z_][\w.]*') AND length(p_type) >= 4 UNION ALL SELECT p_brand, '\b' || lower(p_type) || '\w*' FROM l WHERE regexp_full_match(p_type, '[A-Za-z_][\w.]*') AND length(p_type) >= 3
+ UNION ALL SELECT p_brand, '\b' || longs[1] || '\b' FROM l WHERE len(longs) = 1 UNION ALL SELECT 'size ' || p_size, '\brun' || p_size || '\b' FROM l UNION ALL SELECT 'size ' || p_size, '\bon\.' || lower(p_type) || '\b' FROM l WHERE regexp_full_match(p_type, '[A-Za-z_][\w.]*')) SELECT DISTINCT category, pattern FROM x""")
 def src28_signal_patterns(t):
-    one = t("part").limit(1).select(F.lit(1).alias("doc"), F.lit(INDEX).alias("text"))
-    return S.signal_patterns(one)
+    part = t("part")
+    return S.signal_patterns(part.sparkSession.sql(INDEXES, part=part))
 
 
 def patterns(t):
@@ -74,24 +76,32 @@ def jon28_subtypes(t):
     return S.subtypes(src, spark.createDataFrame([("SMALL",), ("LARGE",)], "cls string"))
 
 
-RULES = [{"id": "r1", "scenario": "net", "pattern": r"/net/", "keywords": "proj", "exclude": None, "min_lines": 10, "priority": 2}, {"id": "r2", "scenario": "disk", "pattern": r"/db/", "keywords": None, "exclude": "tidy", "min_lines": 20, "priority": 3}, {"id": "r3", "scenario": "net", "pattern": r"/concurrent/", "keywords": None, "exclude": None, "min_lines": 5, "priority": 1}]
+RULES = [
+    {"id": "r1", "scenario": "net", "prefixes": ["src/java/org/project/net/"], "keywords": "proj", "min_lines": 10, "priority": 2}, {"id": "r2", "scenario": "disk", "pattern": r"/db/", "exclude": "tidy", "min_lines": 20, "priority": 3},
+    {"id": "r3", "scenario": "net", "pattern": r"/concurrent/", "min_lines": 5, "priority": 1}, {"id": "r4", "scenario": "upgrade", "sensitive": True, "min_lines": 1, "priority": 4}, {"id": "r5", "scenario": "tools", "surfaces": ["admin tool", "metrics", "JMX"], "min_lines": 1, "priority": 2},
+]
 
 
-@query("""WITH f AS (SELECT pr, path, sum(additions + deletions)::BIGINT AS lines, any_value(title) AS title FROM {changed_files} JOIN {changes} USING (pr) GROUP BY pr, path),
-x AS (SELECT *, 'r1' AS rule, 'net' AS scenario, 2 AS priority, 10 AS need FROM f WHERE contains(path, '/net/') AND regexp_matches(title, '(?i)proj') UNION ALL SELECT *, 'r2', 'disk', 3, 20 FROM f WHERE contains(path, '/db/') AND NOT coalesce(regexp_matches(title, '(?i)tidy'), false) UNION ALL SELECT *, 'r3', 'net', 1, 5 FROM f WHERE contains(path, '/concurrent/')),
+@query(f"""WITH t AS (SELECT pr, path, sum(additions + deletions)::BIGINT AS lines, any_value(title) AS title FROM {{touched}} JOIN {{subjects}} USING (pr) GROUP BY pr, path), f AS (SELECT t.*, (pr, path) IN (SELECT (pr, path) FROM ({SENSITIVE_SQL})) AS sens, EXISTS (SELECT 1 FROM {SURFACE_SQL} WHERE surface IN ('admin tool', 'metrics', 'JMX') AND regexp_matches(path, rx)) AS tool FROM t),
+x AS (SELECT *, 'r1' AS rule, 'net' AS scenario, 2 AS priority, 10 AS need FROM f WHERE starts_with(path, 'src/java/org/project/net/') AND regexp_matches(title, '(?i)proj') UNION ALL SELECT *, 'r2', 'disk', 3, 20 FROM f WHERE contains(path, '/db/') AND NOT coalesce(regexp_matches(title, '(?i)tidy'), false) UNION ALL SELECT *, 'r3', 'net', 1, 5 FROM f WHERE contains(path, '/concurrent/')
+ UNION ALL SELECT *, 'r4', 'upgrade', 4, 1 FROM f WHERE sens UNION ALL SELECT *, 'r5', 'tools', 2, 1 FROM f WHERE tool),
 e AS (SELECT pr, rule FROM x GROUP BY pr, rule HAVING sum(lines) >= any_value(need)), g AS (SELECT pr, scenario, path, max(lines) AS lines, max(priority) AS priority FROM x JOIN e USING (pr, rule) GROUP BY ALL), s AS (SELECT pr, scenario, max(priority) AS priority, sum(lines)::BIGINT AS lines, count(*) AS files FROM g GROUP BY ALL),
-a AS (SELECT * FROM s UNION ALL SELECT pr, 'smoke', 0, sum(lines)::BIGINT, count(*) FROM f WHERE pr NOT IN (SELECT pr FROM s) GROUP BY pr) SELECT *, row_number() OVER (PARTITION BY pr ORDER BY priority DESC, lines DESC, scenario) AS rank FROM a""")
+a AS (SELECT * FROM s UNION ALL SELECT pr, 'smoke', 0, sum(lines)::BIGINT, count(*) FROM f WHERE pr NOT IN (SELECT pr FROM s) GROUP BY pr) SELECT *, row_number() OVER (PARTITION BY pr ORDER BY priority DESC, lines DESC, scenario) AS rank FROM a QUALIFY rank <= 3""")
 def jon29_agg31_scenarios(t):
-    f = t("changed_files").groupBy("pr", "path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines")).join(t("changes").select("pr", "title"), "pr")
-    return S.scenarios(f, RULES)
+    files = t("touched")
+    sens = K.sensitive_files(files, t("added")).withColumn("sensitive", F.lit(True))
+    f = files.groupBy("pr", "path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines")).join(t("subjects").select("pr", "title"), "pr").join(sens, ["pr", "path"], "left")
+    return S.scenarios(f.withColumn("surfaces", J.tags(F.col("path"), K.SURFACES)), RULES)
 
 
-@query(r"""WITH k AS (SELECT pr, bool_and(regexp_matches(path, '^doc/') OR (regexp_matches(path, '\.(adoc|md)$') AND NOT starts_with(path, 'src/'))) AS d, bool_and(starts_with(path, 'test/')) AS t, bool_and(regexp_matches(path, '^src/gen-java/|/gen/|\.(db|bin)$')) AS g, count(DISTINCT path) FILTER (regexp_matches(path, '^(src/java|pylib)/')) AS n FROM {changed_files} GROUP BY pr)
-SELECT pr, CASE WHEN d THEN 'documents only' WHEN t THEN 'tests only' WHEN g THEN 'generated files only' WHEN n = 0 THEN 'no server code' WHEN n > 3 THEN 'too many files' END AS reason FROM k""")
+@query(r"""WITH k AS (SELECT pr, bool_and(regexp_matches(path, '^doc/') OR (regexp_matches(path, '\.(adoc|md)$') AND NOT starts_with(path, 'src/'))) AS d, bool_and(starts_with(path, 'test/')) AS t, bool_and(regexp_matches(path, '^(lib/|\.build/(build-resolve|parent-pom-template|deps-template|build-deps-template)\.xml)')) AS l, bool_and(regexp_matches(path, '^(\.build/|\.circleci/|\.jenkins/|build\.xml|ide/|\.github/)')) AS b,
+ bool_and(regexp_matches(path, '^src/gen-java/|/gen/|\.(db|bin)$')) AS g, count(DISTINCT path) FILTER (starts_with(path, 'src/java/') AND NOT bin) AS n FROM (SELECT pr, path, path LIKE '%.bin' AS bin FROM {touched} UNION ALL SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '.build/run.sh' WHEN 1 THEN 'lib/b.jar' ELSE 'src/gen-java/X.java' END, false FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1)) GROUP BY pr)
+SELECT pr, CASE WHEN d THEN 'documents only' WHEN n = 0 THEN CASE WHEN t THEN 'tests only' WHEN l THEN 'dependencies only' WHEN b THEN 'build only' WHEN g THEN 'generated files only' ELSE 'no server code' END WHEN n > 3 THEN 'too many files' END AS reason FROM k""")
 def agg32_ineligible(t):
     p = F.col("path")
-    k = t("changed_files").groupBy("pr").agg(F.bool_and(P.is_doc(p)).alias("d"), F.bool_and(P.is_test(p)).alias("t"), F.bool_and(P.is_generated(p)).alias("g"), F.count_distinct(F.when(P.is_prod(p), p)).alias("n"))
-    return k.select("pr", S.ineligible({"documents only": F.col("d"), "tests only": F.col("t"), "generated files only": F.col("g"), "no server code": F.col("n") == 0}, F.col("n"), 3).alias("reason"))
+    few = t("lineitem").filter("l_linenumber > 1").selectExpr("l_orderkey AS o_orderkey").distinct()
+    more = t("orders").join(few, "o_orderkey", "left_anti").selectExpr("o_orderkey AS pr", "CASE o_orderkey % 3 WHEN 0 THEN '.build/run.sh' WHEN 1 THEN 'lib/b.jar' ELSE 'src/gen-java/X.java' END AS path")
+    return S.ineligible_changes(t("touched").select("pr", "path").unionByName(more), 3).select("pr", "reason")
 
 
 @query("""SELECT o_orderkey AS "by", 'f' || (o_orderkey % 7) || '.java' AS path, (o_custkey + 42)::BIGINT AS line_no, 'r-ins' AS rule FROM orders WHERE o_orderkey % 5 > 1 UNION ALL SELECT o_orderkey, 'f' || (o_orderkey % 7) || '.java', o_custkey + 11, 'r-new' FROM orders WHERE o_orderkey % 5 > 1 AND o_custkey % 10 = 3""")

@@ -102,6 +102,22 @@ def snap1_as_of(t):
     return R.as_of(t("events"), F.to_date("ts"), "2024-01-10").select("event_id", "user_id")
 
 
+DATED = "SELECT concat('PROJ-', CAST(user_id AS STRING)) AS key, CAST(event_id AS BIGINT) AS n, CASE WHEN event_id % 9 <> 0 THEN CAST(ts AS DATE) END AS day, event_type AS kind, concat('PROJ-', CAST(event_id % 60 AS STRING)) AS linked FROM {events}"
+
+
+@query(f"""WITH d AS ({DATED.replace('{events}', 'events')}), k AS (SELECT DISTINCT key FROM d), l AS (SELECT DISTINCT key, linked FROM d WHERE n % 2 = 0), g AS (SELECT key, linked, min(day) AS added FROM d WHERE n % 3 = 0 GROUP BY ALL), m AS (SELECT key AS linked, min(day) AS made FROM d GROUP BY key)
+SELECT key, coalesce((SELECT list_sort(list(n)) FROM d WHERE d.key = k.key AND kind = 'view' AND day <= DATE '2024-01-10'), [])::VARCHAR AS comments, (SELECT count(*) FROM d WHERE d.key = k.key AND kind = 'click' AND day <= DATE '2024-01-10') AS attachments,
+ coalesce((SELECT array_to_string(list_sort(list(linked)), '|') FROM (SELECT l.linked FROM l LEFT JOIN g USING (key, linked) LEFT JOIN m ON m.linked = l.linked WHERE l.key = k.key AND coalesce(added, made) <= DATE '2024-01-10')), '') AS links, NULL::VARCHAR AS status FROM k""")
+def snap1_as_of_tickets(t):
+    e = t("events")
+    d = e.sparkSession.sql(DATED, events=e)
+    item = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "day")))
+    tickets = d.groupBy("key").agg(item("view").alias("comments"), item("click").alias("attachments"), F.collect_set(F.when(F.col("n") % 2 == 0, F.col("linked"))).alias("links"), F.collect_set("kind").alias("remotelinks"), F.max("kind").alias("resolution"), F.max("kind").alias("status"), F.collect_set("kind").alias("fix_versions"))
+    out = R.as_of_tickets(tickets, d.filter("n % 3 = 0").select("key", "linked", "day"), d.select("key", "day"), "2024-01-10")
+    shown = F.concat(F.lit("["), F.array_join(F.array_sort(F.transform("comments", lambda c: c["n"])).cast("array<string>"), ", "), F.lit("]"))
+    return out.select("key", shown.alias("comments"), F.size("attachments").cast("long").alias("attachments"), F.array_join("links", "|").alias("links"), "status")
+
+
 @query("""WITH f AS (SELECT 'd' || user_id AS name, ts AS ta, event_type <> 'error' AS ok FROM events), g AS (SELECT name, max(ta) FILTER (ok) AS ta, max(ta) AS tried FROM f GROUP BY name)
 SELECT name, CASE WHEN ta IS NULL THEN 'unavailable' WHEN ta >= TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR AND tried = ta THEN 'ok' ELSE 'stale' END AS state FROM g""")
 def snap2_freshness(t):

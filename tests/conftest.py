@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
