@@ -39,30 +39,23 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 STANDING = "pr long, head string, has_results boolean, seq long, updated_at timestamp"
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
-    """Numbers of the versions under target, in order."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
-    return sorted(int(n[1:]) for n in names if n.startswith("v"))
-
-
-def standing(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of the standing reports; empty before the first."""
-    last = versions(spark, target)[-1:]
-    return spark.read.schema(STANDING).parquet(*[f"{target}/v{v}" for v in last]) if last else spark.createDataFrame([], STANDING)
+def standing(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The newest version of the standing reports, or the newest before a batch; a version is a partition of one folder."""
+    every = spark.read.schema(f"{STANDING}, version int").parquet(target)
+    some = every if before is None else every.filter(F.col("version") < before)
+    last = some.agg(F.max("version")).first()[0]
+    return some.filter(F.col("version").eqNullSafe(last)).drop("version")
 
 
 def upsert(target: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the standing report of each change under target/v<batch>: the last state and the batch's
+    """A batch writer that keeps the standing report of each change under target/version=<batch>: the last state and the batch's
     arrivals, in order. A batch that is written again gives the same version, so a restart does no harm."""
 
     def write(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions(spark, target) if v < number]
         rows = batch.select("pr", "head", "has_results", "seq", "updated_at")
-        if before:
-            rows = spark.read.schema(STANDING).parquet(f"{target}/v{before[-1]}").unionByName(rows)
-        keep_richer(rows).write.mode("overwrite").parquet(f"{target}/v{number}")
+        if number > 0:
+            rows = standing(spark, target, number).unionByName(rows)
+        keep_richer(rows).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return write
 
