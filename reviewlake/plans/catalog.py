@@ -43,7 +43,7 @@ VIEWS = {
  CASE WHEN o_orderkey % 5 = 0 THEN concat('@@ -0,0 +1,2 @@', chr(10), '+++ first', chr(10), '+', CAST(o_custkey AS STRING)) WHEN o_orderkey % 5 = 1 THEN concat('@@ -1,2 +0,0 @@', chr(10), '-gone', chr(10), '--- gone')
  ELSE concat('@@ -', CAST(10 + o_custkey AS STRING), ',3 +', CAST(10 + o_custkey AS STRING), ',4 @@ void f()', chr(10), ' context', chr(10), '-old ', CAST(o_custkey AS STRING), chr(10), '+new ', CAST(o_custkey AS STRING), chr(10), '+more', chr(10), ' context', chr(10), '@@ -', CAST(40 + o_custkey AS STRING), ',0 +', CAST(42 + o_custkey AS STRING), ' @@', chr(10), '+inserted') END) AS diff FROM {orders}""",
     "ranges": "SELECT DISTINCT l_partkey AS file_id, l_linenumber * 10 - CAST(l_quantity AS INT) % 5 AS begin_line, l_linenumber * 10 + CAST(l_quantity AS INT) % 12 AS end_line FROM {lineitem}",
-    "methods": "SELECT l_partkey AS file_id, concat('C', CAST(l_linenumber % 3 AS STRING)) AS cls, concat('m', CAST(l_suppkey % 4 AS STRING)) AS name, concat('m', CAST(l_suppkey % 4 AS STRING), '(', l_returnflag, CAST(l_partkey % 97 AS STRING), ')') AS sig, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side, max(CAST(l_quantity AS INT)) AS score, max(l_linenumber) % 2 = 0 AS touched FROM {lineitem} GROUP BY l_partkey, l_linenumber % 3, l_suppkey % 4, l_returnflag, l_partkey % 97, l_linestatus",
+    "methods": "SELECT l_partkey AS file_id, concat('C', CAST(l_linenumber % 3 AS STRING)) AS cls, concat('m', CAST(l_suppkey % 4 AS STRING)) AS name, concat('m', CAST(l_suppkey % 4 AS STRING), '(', l_returnflag, CAST(l_partkey % 9973 AS STRING), ')') AS sig, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side, max(CAST(l_quantity AS INT)) AS score, max(l_linenumber) % 2 = 0 AS touched FROM {lineitem} GROUP BY l_partkey, l_linenumber % 3, l_suppkey % 4, l_returnflag, l_partkey % 9973, l_linestatus",
     "bodies": "SELECT l_partkey AS file_id, concat('C', CAST(l_linenumber % 3 AS STRING)) AS cls, concat('m', CAST(l_suppkey % 4 AS STRING)) AS name, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side FROM {lineitem}",
     "renames": "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN p_partkey + 1 ELSE p_partkey END AS base_file, p_partkey % 11 = 0 AND p_partkey % 2 = 0 AS new_file, p_partkey % 3 <> 0 AS mapped FROM {part}",
     "known_issues": """SELECT pr AS case_id, id AS issue, severity, id % 4 = 0 AS hard, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'File1.java' WHEN 2 THEN 'repo/src/File2.java' ELSE 'src/File0.java,src/File1.java' END AS files, CASE WHEN id % 3 > 0 THEN id % 40 END AS first_line, lower(concat(split_part(problem, ' ', 2), ',', split_part(problem, ' ', 4))) AS terms,
