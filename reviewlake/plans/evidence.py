@@ -78,8 +78,8 @@ def src8_src9_ci_pages(t):
 
 @query("SELECT 'f' || (event_id % 20) AS path, md5(CAST(user_id AS VARCHAR)) || '00000000' AS sha, count(*) AS lines FROM events GROUP BY ALL")
 def src22_blame(t):
-    rows = t("events").groupBy(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("path"))
-    text = rows.agg(F.concat_ws("\n", F.collect_list(F.concat(F.md5(F.col("user_id").cast("string").cast("binary")), F.lit("00000000 1 2\nauthor Someone\n\tcode line")))).alias("porcelain"))
+    porcelain = F.concat(F.md5(F.col("user_id").cast("string").cast("binary")), F.lit("00000000 1 2\nauthor Someone\n\tcode line"))
+    text = t("events").select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("path"), porcelain.alias("porcelain"))
     return D.blame(text)
 
 

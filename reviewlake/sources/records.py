@@ -101,7 +101,7 @@ def ci_page(lines: Column) -> Column:
     return F.struct(layout.alias("layout"), F.regexp_extract(head, r"^CI results for ([^:]+)", 1).alias("ref"), F.when(failed == 0, "PASS").when(failed.isNotNull(), "FAIL").alias("overall"), passed.alias("passed"), failed.alias("failed"), error.alias("error"))
 
 
-SUITE = "_name string, `system-out` string, `system-err` string, testcase array<struct<_classname:string,_name:string,error:struct<_VALUE:string,_message:string>,failure:struct<_VALUE:string,_message:string>>>"
+SUITE = "_name string, `system-out` string, `system-err` string, testcase array<struct<_classname:string,_name:string,error:struct<_VALUE:string,_message:string>,failure:struct<_VALUE:string,_message:string>,skipped:struct<_VALUE:string,_message:string>>>"
 RULE_FILE = "_name string, violation array<struct<_beginline:int,_endline:int,_rule:string,_ruleset:string,_class:string,_method:string,_VALUE:string>>"
 STYLE_FILE = "_name string, error array<struct<_line:int,_source:string,_message:string>>"
 COVERED_PACKAGE = "_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:int,_ci:int,_mb:int,_cb:int>>>>"
@@ -121,20 +121,21 @@ def xml_texts(df: DataFrame, text: str, schema: str) -> DataFrame:
 
 
 def junit(suites: DataFrame) -> DataFrame:
-    """suite, test, kind (error or failure), message (the first line that isn't blank, 300 characters at most), bucket: environment,
-    timeout, failure or passed. suites: records of SUITE."""
+    """suite, cls, test, kind (error, failure or skipped), message (the first line that isn't blank, 300 characters at most), bucket: environment,
+    timeout, failure, skipped or passed. suites: records of SUITE."""
     x = suites.select(F.col("_name").alias("suite"), F.concat_ws("\n", "`system-out`", "`system-err`").alias("console"), F.explode("testcase").alias("t"))
     body = F.coalesce(F.col("t.error._VALUE"), F.col("t.failure._VALUE"), F.lit(""))
     text = F.coalesce(F.col("t.error._message"), F.col("t.failure._message"), F.try_element_at(F.filter(F.split(body, "\n"), lambda s: F.trim(s) != ""), F.lit(1)), F.lit(""))
     env = F.concat_ws("\n", "console", body).rlike("(?i)operation not permitted|address already in use")
-    kind = F.when(F.col("t.error").isNotNull(), "error").when(F.col("t.failure").isNotNull(), "failure")
-    bucket = F.when(kind.isNull(), "passed").when(env, "environment").when(F.concat_ws("\n", text, body).contains("Timeout occurred"), "timeout").otherwise("failure")
-    return x.select("suite", F.col("t._name").alias("test"), kind.alias("kind"), F.substring(F.trim(text), 1, 300).alias("message"), bucket.alias("bucket"))
+    kind = F.when(F.col("t.error").isNotNull(), "error").when(F.col("t.failure").isNotNull(), "failure").when(F.col("t.skipped").isNotNull(), "skipped")
+    bucket = F.when(kind.isNull(), "passed").when(kind == "skipped", "skipped").when(env, "environment").when(F.concat_ws("\n", text, body).contains("Timeout occurred"), "timeout").otherwise("failure")
+    return x.select("suite", F.coalesce("t._classname", "suite").alias("cls"), F.col("t._name").alias("test"), kind.alias("kind"), F.substring(F.trim(text), 1, 300).alias("message"), bucket.alias("bucket"))
 
 
 def junit_totals(tests: DataFrame) -> DataFrame:
-    """Per suite: tests run and how many fell in each bucket."""
-    return tests.groupBy("suite").agg(F.count(F.lit(1)).alias("run"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("failure", "timeout", "environment", "passed")])
+    """Per suite: tests run, classes, failed and errors (real failures of either kind), skipped, and how many fell in other buckets."""
+    real = lambda k: F.count(F.when((F.col("bucket") == "failure") & (F.col("kind") == k), 1))
+    return tests.groupBy("suite").agg(F.count(F.lit(1)).alias("run"), F.count_distinct("cls").alias("classes"), real("failure").alias("failed"), real("error").alias("errors"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("skipped", "timeout", "environment", "passed")])
 
 
 def rule_report(files: DataFrame) -> DataFrame:
