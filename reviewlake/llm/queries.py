@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, jpeg, lm, pieces, pii, quality, sharding, simhash, urls, warc
+from . import decontaminate, divergence, fim, jpeg, lm, pieces, pii, quality, rules, sharding, simhash, urls, warc
 from .common import is_training_row, read_table
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -63,5 +63,17 @@ def op10_cross_entropy_difference(spark, sf_dir):
     return lm.score(read_table(spark, sf_dir, "documents"), F.col("source").isin(*TARGET_SOURCES))
 
 
-QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op3_progressive_jpeg, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf, op10_cross_entropy_difference)}
-ORACLE_SQL = {"op2_url_reputation": urls.SQL, "op4_warc_revisits": warc.SQL, "op6_extendible_hashing": sharding.SQL}
+def op11_line_rules(spark, sf_dir):
+    return rules.measures(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gam_quality, op2_url_reputation, op3_progressive_jpeg, op4_warc_revisits, op5_sentencepiece, op6_extendible_hashing, op7_wu_manber, op8_simhash, op9_skip_chain_crf, op10_cross_entropy_difference, op11_line_rules, op12_fill_in_middle, op13_source_divergence)}
+ORACLE_SQL = {"op2_url_reputation": urls.SQL, "op4_warc_revisits": warc.SQL, "op6_extendible_hashing": sharding.SQL, "op11_line_rules": rules.SQL, "op12_fill_in_middle": fim.SQL, "op13_source_divergence": divergence.SQL}
