@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -52,48 +52,65 @@ def token_sets(findings: DataFrame) -> DataFrame:
     return findings.select("pr", "idx", "lens", X.identifiers(F.col("problem")).alias("pi"), X.words(F.col("problem")).alias("pw"), X.identifiers(F.col("fix")).alias("fi"), at["path"].alias("path"), at["line"].alias("line"))
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(pr, i, j) of different lenses, i before j, that share a word or identifier; others score 0 in text and never pass.
+SET_NAMES = ("pi", "pw", "fi", "path", "line")
 
-    An inverted index on (change, token): pairs meet only where they share something.
+
+def candidate_pairs(sets: DataFrame, few: int = 64) -> DataFrame:
+    """(pr, i, j, lens_i, lens_j, and the sets of both as a_*, b_*) of different lenses, i before j, that share a word or identifier;
+    others score 0 in text and never pass.
+
+    Changes of up to `few` findings compare each with each, at most few² / 2 pairs; in larger ones findings meet by an inverted index on
+    (change, token), only where they share something. The pairs are the same either way.
     """
-    tokens = F.array_distinct(F.concat(F.transform("pi", lambda x: F.concat(F.lit("p"), x)), F.transform("pw", lambda x: F.concat(F.lit("w"), x)), F.transform("fi", lambda x: F.concat(F.lit("f"), x))))
-    index = sets.select("pr", "idx", "lens", F.explode(F.transform(tokens, lambda t: F.xxhash64(t))).alias("token"))
-    a, b = index, index.select("pr", "token", F.col("idx").alias("j"), F.col("lens").alias("lens_j"))
-    return a.join(b, ["pr", "token"]).filter((F.col("idx") < F.col("j")) & (F.col("lens") != F.col("lens_j"))).select("pr", F.col("idx").alias("i"), "j").distinct()
-
-
-def pair_scores(findings: DataFrame, cfg: Merge = Merge()) -> DataFrame:
-    """pr, i, j, text and total score of every candidate pair, rounded to nine digits so that ties are ties."""
-    sets = materialise(token_sets(findings), "token-sets")  # read three times below
-    names = ["pi", "pw", "fi", "path", "line"]
-    left = sets.select("pr", F.col("idx").alias("i"), *[F.col(n).alias(f"a_{n}") for n in names])
-    right = sets.select("pr", F.col("idx").alias("j"), *[F.col(n).alias(f"b_{n}") for n in names])
-    p = candidate_pairs(sets).join(left, ["pr", "i"]).join(right, ["pr", "j"])
+    sizes = sets.groupBy("pr").agg(F.count(F.lit(1)).alias("_n"))
+    sized = sets.join(sizes, "pr")
+    end = lambda x, k, p, more=(): x.select("pr", F.col("idx").alias(k), F.col("lens").alias(f"lens_{k}"), *[F.col(n).alias(f"{p}_{n}") for n in SET_NAMES], *more)
+    small = sized.filter(F.col("_n") <= few)
+    apart = (F.col("i") < F.col("j")) & (F.col("lens_i") != F.col("lens_j"))
+    share = F.arrays_overlap("a_pi", "b_pi") | F.arrays_overlap("a_pw", "b_pw") | F.arrays_overlap("a_fi", "b_fi")
+    near = end(small, "i", "a").join(end(small, "j", "b"), "pr").filter(apart & F.coalesce(share, F.lit(False)))
+
+    large = sized.filter(F.col("_n") > few).drop("_n")
+    marked = lambda c, m: F.transform(c, lambda x: F.concat(F.lit(m), x))
+    tokens = F.concat(marked("pi", "p"), marked("pw", "w"), marked("fi", "f"))
+    index = large.select("pr", "idx", "lens", F.explode(F.transform(F.array_distinct(tokens), lambda t: F.xxhash64(t))).alias("token"))
+    met = index.select("pr", "token", F.col("idx").alias("i"), F.col("lens").alias("lens_i")).join(index.select("pr", "token", F.col("idx").alias("j"), F.col("lens").alias("lens_j")), ["pr", "token"])
+    far = met.filter(apart).select("pr", "i", "j").distinct().join(end(large, "i", "a"), ["pr", "i"]).join(end(large, "j", "b"), ["pr", "j"])
+    return near.unionByName(far)
+
+
+def scored(findings: DataFrame, cfg: Merge, few: int = 64) -> DataFrame:
+    """pr, i, j, lens_i, lens_j, text and total score of every candidate pair, rounded to nine digits so that ties are ties."""
+    sets = materialise(token_sets(findings), "token-sets")  # read several times
+    p = candidate_pairs(sets, few)
     text = cfg.problem_identifiers * X.jaccard(F.col("a_pi"), F.col("b_pi")) + cfg.problem_words * X.jaccard(F.col("a_pw"), F.col("b_pw")) + cfg.fix_identifiers * X.jaccard(F.col("a_fi"), F.col("b_fi"))
     far = F.abs(F.col("a_line") - F.col("b_line"))
     bonus = F.when(F.col("a_path").isNull() | F.col("b_path").isNull(), cfg.elsewhere).when(F.col("a_path") != F.col("b_path"), 0.0).when(far <= cfg.near_lines, cfg.near).when(far <= cfg.mid_lines, cfg.mid).otherwise(0.0)
-    return p.select("pr", "i", "j", F.round(text, 9).alias("text"), F.round(text + bonus, 9).alias("total"))
+    return p.select("pr", "i", "j", "lens_i", "lens_j", F.round(text, 9).alias("text"), F.round(text + bonus, 9).alias("total"))
+
+
+def pair_scores(findings: DataFrame, cfg: Merge = Merge(), few: int = 64) -> DataFrame:
+    """pr, i, j, text and total score of every candidate pair."""
+    return scored(findings, cfg, few).drop("lens_i", "lens_j")
 
 
 def edges(scores: DataFrame, cfg: Merge = Merge()) -> DataFrame:
     return scores.filter((F.col("text") >= cfg.text_floor) & (F.col("total") >= cfg.total_floor))
 
 
-def clusters(findings: DataFrame, cfg: Merge = Merge()) -> DataFrame:
-    """pr, idx, cluster (the least idx in it): pairs join strongest first, but never two findings of one lens.
+JOINED = "pr long, idx long, cluster long"
+
 
-    The order of joins matters, so each change's edges are walked in one task. Findings of a change are what a panel of
-    reviewers wrote about it, a bounded group; texts and token sets are not in it, only indexes, lenses and scores.
+def walked(e: DataFrame) -> DataFrame:
+    """(pr, idx, cluster) of the ends of edges (pr, i, j, lens_i, lens_j, total), each change's walked strongest first.
+
+    Edges are sorted within partitions and walked as they stream by, many changes a batch; held is one number and the lenses for
+    each finding of the change that is being walked.
     """
-    e = edges(pair_scores(findings, cfg), cfg).select("pr", "i", "j", "total")
-    linked = e.select("pr", F.explode(F.array("i", "j")).alias("idx")).distinct()
-    nodes = findings.select("pr", "idx", "lens")
-    rows = e.join(nodes.select("pr", F.col("idx").alias("i"), F.col("lens").alias("lens_i")), ["pr", "i"]).join(nodes.select("pr", F.col("idx").alias("j"), F.col("lens").alias("lens_j")), ["pr", "j"])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-        lenses: dict[int, set] = {}
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parent, lenses, bits = None, {}, {}, {}
+        out: tuple[list, list, list] = ([], [], [])
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -101,21 +118,78 @@ def clusters(findings: DataFrame, cfg: Merge = Merge()) -> DataFrame:
                 x = parent[x]
             return x
 
-        for r in pdf.itertuples():
-            for x, lens in ((r.i, r.lens_i), (r.j, r.lens_j)):
-                parent.setdefault(x, x)
-                lenses.setdefault(x, {lens})
-        for r in pdf.sort_values(["total", "i", "j"], ascending=[False, True, True]).itertuples():
-            a, b = root(r.i), root(r.j)
-            if a != b and not lenses[a] & lenses[b]:
-                a, b = min(a, b), max(a, b)
-                parent[b] = a
-                lenses[a] |= lenses[b]
-        return pd.DataFrame({"pr": pdf["pr"].iloc[0], "idx": list(parent), "cluster": [root(x) for x in parent]})
-
-    grouped = rows.groupBy("pr").applyInPandas(walk, "pr long, idx long, cluster long")
-    alone = nodes.select("pr", "idx").join(linked, ["pr", "idx"], "left_anti").select("pr", F.col("idx").cast("long").alias("idx"), F.col("idx").cast("long").alias("cluster"))
-    return grouped.unionByName(alone)
+        def close() -> None:
+            out[0].extend([now] * len(parent))
+            out[1].extend(parent)
+            out[2].extend(map(root, list(parent)))
+
+        def given() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["pr", "idx", "cluster"])
+            for x in out:
+                x.clear()
+            return batch
+
+        for batch in batches:
+            for pr, i, j, lens_i, lens_j in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if pr != now:
+                    close()
+                    now, parent, lenses, bits = pr, {}, {}, {}
+                for x, lens in ((i, lens_i), (j, lens_j)):
+                    if x not in parent:
+                        parent[x], lenses[x] = x, 1 << bits.setdefault(lens, len(bits))
+                a, b = root(i), root(j)
+                if a != b and not lenses[a] & lenses[b]:
+                    a, b = min(a, b), max(a, b)
+                    parent[b] = a
+                    lenses[a] |= lenses[b]
+            yield given()
+        close()
+        yield given()
+
+    x = e.select(F.col("pr").cast("long"), F.col("i").cast("long"), F.col("j").cast("long"), "lens_i", "lens_j", "total").repartition("pr").sortWithinPartitions("pr", F.desc("total"), "i", "j")
+    return x.drop("total").mapInArrow(walk, JOINED)
+
+
+def dominant(e: DataFrame) -> DataFrame:
+    """What walked gives, by rounds over all changes at once, so that no change need fit into a task.
+
+    An edge that is the strongest at both of its clusters comes before all others there, so walking it first changes nothing: all such
+    edges join in one round. Edges within a cluster, and between clusters with a lens in common, which stays so, are dropped. The edges
+    of a round are a matching, and the strongest edge of all is always in it; each round's state is written.
+    """
+    ends = [e.select("pr", F.col(k).cast("long").alias("idx"), F.col(f"lens_{k}").alias("lens")) for k in "ij"]
+    member = materialise(ends[0].unionByName(ends[1]).distinct().select("pr", "idx", F.col("idx").alias("cluster"), F.array("lens").alias("lenses")), "members")
+    live = e.select("pr", F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"), F.struct(F.col("total").alias("t"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j")).alias("rank"))
+    while True:
+        state = member.groupBy("pr", "cluster").agg(F.array_distinct(F.flatten(F.collect_list("lenses"))).alias("l"))
+        la, lb = (state.select("pr", F.col("cluster").alias(k), F.col("l").alias(f"l{k}")) for k in "ab")
+        open_ = live.join(la, ["pr", "a"]).join(lb, ["pr", "b"]).filter((F.col("a") != F.col("b")) & ~F.arrays_overlap("la", "lb"))
+        live = materialise(open_.select("pr", "a", "b", "rank"), "live-edges")
+        if live.isEmpty():
+            return member.select(F.col("pr").cast("long").alias("pr"), "idx", "cluster")
+        at = live.select("pr", F.col("a").alias("c"), "rank").unionByName(live.select("pr", F.col("b").alias("c"), "rank")).groupBy("pr", "c").agg(F.max("rank").alias("best"))
+        ba, bb = (at.select("pr", F.col("c").alias(k), F.col("best").alias(f"best_{k}")) for k in "ab")
+        first = live.join(ba, ["pr", "a"]).join(bb, ["pr", "b"]).filter((F.col("rank") == F.col("best_a")) & (F.col("rank") == F.col("best_b")))
+        moved = checkpointed(first.select("pr", F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new")))
+        to = lambda c: moved.select("pr", F.col("old").alias(c), F.col("new").alias(f"new_{c}"))
+        member = materialise(member.join(to("cluster"), ["pr", "cluster"], "left").select("pr", "idx", F.coalesce("new_cluster", "cluster").alias("cluster"), "lenses"), "members")
+        live = live.join(to("a"), ["pr", "a"], "left").join(to("b"), ["pr", "b"], "left").select("pr", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b"), "rank")
+
+
+def clusters(findings: DataFrame, cfg: Merge = Merge(), most: int = 1 << 20, few: int = 64) -> DataFrame:
+    """pr, idx, cluster (the least idx in it): pairs join strongest first, but never two findings of one lens.
+
+    The order of joins matters. Changes of up to `most` edges are walked, many in a batch; the edges of larger ones join in rounds of
+    locally strongest ones (see dominant). Both give what a walk of all edges in order gives. Findings without an edge stay alone.
+    """
+    e = materialise(edges(scored(findings, cfg, few), cfg).select("pr", "i", "j", "lens_i", "lens_j", "total"), "edges")
+    large = checkpointed(e.groupBy("pr").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("pr"))
+    if large.isEmpty():
+        joined = walked(e)
+    else:
+        joined = walked(e.join(large, "pr", "left_anti")).unionByName(dominant(e.join(large, "pr", "left_semi")))
+    own = findings.select("pr", "idx")
+    return own.join(joined, ["pr", "idx"], "left").select("pr", F.col("idx").cast("long").alias("idx"), F.coalesce("cluster", F.col("idx").cast("long")).alias("cluster"))
 
 
 def issues(findings: DataFrame, membership: DataFrame) -> DataFrame:

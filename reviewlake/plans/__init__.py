@@ -19,6 +19,7 @@ for _name, _kinds in {
     "agg35_first_linked_day": {"days": ("day",)},
     "agg40_emails": {"lists": ("emails",)},
     "agg41_provenance": {"lists": ("models",), "times": ("newest",)},
+    "fuz4_win10_win11_issues": {"lists": ("spread", "lenses", "locations", "members")},
     "jon20_author_keys": {"lists": ("authors",)},
     "win7_baseline": {"days": ("day",)},
     "win8_keep_newest": {"times": ("ts",)},

@@ -36,12 +36,23 @@ def fuz3_connected(t):
     return D.connected(D.edges(D.pair_scores(t("panel"))))
 
 
-@query()
+# greedy joins as a recursion over each change's edges, strongest first; c holds the cluster of each finding, l its lens
+CLUSTER_SQL = "WITH RECURSIVE " + PAIR_SQL[5:] + """, e AS MATERIALIZED (SELECT pr, i, j, row_number() OVER (PARTITION BY pr ORDER BY total DESC, i, j) AS k FROM ps WHERE text >= 0.18 AND total >= 0.4), b AS (SELECT pr, list(lens ORDER BY idx) AS l, list(idx ORDER BY idx) AS c FROM s GROUP BY pr),
+walk AS (SELECT pr, 0 AS k, l, c FROM b WHERE pr IN (SELECT pr FROM e)
+ UNION ALL SELECT pr, k + 1, l, CASE WHEN list_has_any(list_filter(l, lambda x, y: c[y] = ci), list_filter(l, lambda x, y: c[y] = cj)) THEN c ELSE list_transform(c, lambda x: CASE WHEN x = greatest(ci, cj) THEN least(ci, cj) ELSE x END) END FROM (SELECT w.pr, w.k, l, c, c[i + 1] AS ci, c[j + 1] AS cj FROM walk w JOIN e ON e.pr = w.pr AND e.k = w.k + 1) AS step),
+last AS (SELECT pr, arg_max(c, k) AS c FROM walk GROUP BY pr), clusters AS (SELECT s.pr, s.idx::BIGINT AS idx, coalesce(c[s.idx + 1], s.idx)::BIGINT AS cluster FROM s LEFT JOIN last USING (pr))"""
+ISSUE_SQL = CLUSTER_SQL + f""", f AS (SELECT p.*, cluster, CASE severity WHEN 'blocker' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'nit' THEN 3 ELSE 4 END AS r, len({identifiers_sql("concat_ws(' ', problem, fix)")}) AS n, lower(trim(fix)) AS lf FROM {{panel}} p JOIN clusters USING (pr, idx)),
+o AS (SELECT pr, cluster, list(location ORDER BY begins) AS locations FROM (SELECT pr, cluster, location, min(idx) AS begins FROM f GROUP BY ALL) AS places GROUP BY ALL),
+g AS (SELECT pr, cluster, first(id ORDER BY r, -n, idx) AS primary, first(severity ORDER BY r, -n, idx) AS severity, first(rule ORDER BY r, -n, idx) AS rule, list(severity ORDER BY r, severity) AS spread, list(lens ORDER BY idx) AS lenses, list(id ORDER BY r, -n, idx) AS members, (count(DISTINCT lf) - 1)::INT AS other_fixes, min(r) AS r, min(idx) AS begins FROM f GROUP BY ALL),
+issues AS (SELECT g.* EXCLUDE (r, begins), locations, 'issue-' || row_number() OVER (PARTITION BY pr ORDER BY r, -len(lenses), begins) AS issue FROM g JOIN o USING (pr, cluster))"""
+
+
+@query(CLUSTER_SQL + " SELECT * FROM clusters")
 def fuz3_clusters(t):
     return D.clusters(t("panel"))
 
 
-@query()
+@query(ISSUE_SQL + " SELECT * FROM issues")
 def fuz4_win10_win11_issues(t):
     f = t("panel")
     return D.issues(f, D.clusters(f))

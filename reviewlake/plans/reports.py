@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators.ranking import ranked
 from ..sources import records as S
 from .catalog import query
+from .findings import ISSUE_SQL
 from .gates import FACT_SQL, facts
 
 
@@ -201,7 +202,7 @@ def win13_group_order(t):
     return k.groupBy("pr").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "kind"))), lambda x: x["kind"]).alias("groups"))
 
 
-@query()
+@query(ISSUE_SQL + " SELECT pr, issue, \"primary\" FROM issues WHERE pr % 24 <> 0 UNION ALL SELECT pr, 'stored', min(id) FROM {panel} WHERE pr % 24 = 0 GROUP BY pr")
 def fuz5_stored_or_merged_issues(t):
     f = t("panel")
     stored = f.filter("pr % 24 = 0").groupBy("pr").agg(F.lit("stored").alias("issue"), F.min("id").alias("primary"))

@@ -79,13 +79,17 @@ def test_findings_merge_by_topic_not_by_line(spark):
     assert got["1-1"].issue == "issue-1" and got["1-1"].severity == "blocker" and got["1-1"].lenses == ["correctness", "resources"] and got["1-1"].spread == ["blocker", "major"]
 
 
-def test_clusters_equal_greedy_walk(spark):
+@pytest.mark.parametrize(("most", "few"), [(1 << 20, 64), (0, 64), (4, 3)])
+def test_clusters_equal_greedy_walk(spark, most, few):
+    """Walked, in rounds, and both; pairs of small changes and by the index."""
     rng = random.Random(11)
     words = ["alphaBeta", "GAmma", "delta", "epsilon", "zetaEta", "theta", "iotaKappa", "lambda", "sigma"]
     f = [finding(pr, i, f"l{rng.randrange(3)}", " ".join(rng.choices(words, k=4)), " ".join(rng.choices(words, k=3)), f"src/F.java:{rng.randrange(12)}") for pr in range(12) for i in range(rng.randint(1, 9))]
     df = spark.createDataFrame(f, SCHEMA)
     edges = findings.edges(findings.pair_scores(df)).collect()
-    got = {(r.pr, r.idx): r.cluster for r in findings.clusters(df).collect()}
+    assert rows(findings.pair_scores(df, few=few), "pr", "i", "j", "total") == rows(findings.pair_scores(df, few=0), "pr", "i", "j", "total")
+    got = {(r.pr, r.idx): r.cluster for r in findings.clusters(df, most=most, few=few).collect()}
+    assert len(got) == len(f)
     for pr in range(12):
         mine = [x for x in f if x[0] == pr]
         want = plain_clusters(len(mine), [x[2] for x in mine], [(e.i, e.j, e.total) for e in edges if e.pr == pr])
