@@ -6,6 +6,8 @@ blocks of a pigeonhole search would be three or four bits wide, so bands of mini
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -96,18 +98,25 @@ def alike(percent: int) -> F.Column:
     return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
 
 
-def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets have the similarity. Sets are worked out for one row of each node that a pair names, and join
-    the spread side of the stars first, so that a hot centre meets large rows, which Spark splits."""
-    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def sets_of(named: DataFrame, slim: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the named nodes, worked out for one row of each and written."""
     row = materialise(nodes.join(named, "node").select("node", F.col("row.id").alias("id_"), F.col("row.th").alias("th_")), "near-named")
     texts = slim.join(row, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
-    sets = materialise(add_set(texts.select("node", "text"), "text", k).groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    return materialise(add_set(texts.select("node", "text"), "text", k).groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity. Sets join the spread side of the stars first, so that a hot centre meets large
+    rows, which Spark splits."""
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
     same = F.size(F.array_intersect("set_u", "set_v"))
     return both.filter(same * (100 + percent) >= (F.size("set_u") + F.size("set_v")) * percent).select("u", "v")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+
 def close_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) by SimHash: nodes of one fingerprint with the smallest of it, and the smallest of linked fingerprints."""
     heads = nodes.filter("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
@@ -124,57 +133,60 @@ def pairs_within(blocks: DataFrame, percent: int) -> DataFrame:
     return u.join(v, "key").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & alike(percent) & resembling(percent)).select("u", "v")
 
 
-def large_pairs(large: DataFrame, sigs: DataFrame, percent: int, heads: int, deal: int, turn: int) -> DataFrame:
-    """Pairs (u, v) of large blocks (key, node, n, root, members) across components: each member with some heads of its block, and
-    with the about `deal` members that it is dealt together with. In the first turn heads are the members of most large blocks,
-    which lie in the middle of a group, then any. Blocks are never sorted or spelt out in pairs: heads are an aggregate."""
-    x = large.join(sigs, "node")
-    if turn == 0:
-        x = x.join(large.groupBy("node").agg(F.count(F.lit(1)).alias("_w")), "node")
-    else:
-        x = x.withColumn("_w", F.xxhash64("node", F.lit(turn)))
-    x = materialise(x, "near-large")  # read four times below
-    top = x.groupBy("key", F.pmod(F.xxhash64("node", F.lit(-turn - 1)), F.lit(heads)).alias("_h")).agg(F.max(F.struct("_w", "node", "n", "root", "sig")).alias("h"))
-    top = top.select("key", *[F.col(f"h.{c}").alias(f"{c}_u" if c != "node" else "u") for c in ("node", "n", "root", "sig")])
-    member = x.select("key", F.col("node").alias("v"), *[F.col(c).alias(f"{c}_v") for c in ("n", "root", "sig")])
-    stars = member.join(top, "key").filter((F.col("u") != F.col("v")) & (F.col("root_u") != F.col("root_v")) & alike(percent) & resembling(percent))
-    stars = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    part = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("members") / deal))
-    return stars.unionByName(pairs_within(x.withColumn("key", F.xxhash64("key", part)), percent))
-
-
-def edges(slim: DataFrame, nodes: DataFrame, k: int, percent: int, hot: int, heads: int = 12, deal: int = 24, turns: int = 1) -> DataFrame:
-    """Links (u, v) between nodes; their closure is that of the candidates that have the similarity.
-
-    First each member of a block is compared with the block's smallest, and pairs by SimHash are. Where that leaves a block of up
-    to `hot` members in several components, all its pairs across them are compared. In larger blocks, whose members agree in a
-    whole band of minima, members are compared with heads and with some others, anew in each turn (see large_pairs): what a
-    group has in common links its members to those in its middle, and what two members have beyond it puts them in smaller blocks.
+def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of a crowd (node, n, root), across components, that may have the similarity: all that exact prefix filtering leaves.
+
+    In any one order of all shingles, two sets of the similarity share one among the first of each: of a set of n as large as the
+    other or larger the first n - ceil(t n) + 1, of the smaller only n - ceil(2 t n / (1 + t)) + 1. The order is: shingles that lie in one
+    component alone and so can join no two, then the rarest in the crowd. What a crowd has in common comes last; members that
+    share no more than that have no such shingle in common and never meet. Where the holders of a shingle are mostly of one
+    component, these meet the others, not each other.
+    """
+    held = crowd.join(sets, "node").select("node", "n", "root", F.explode("set").alias("s"))
+    joining = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("s", "df")
+    useful = held.join(joining, "s").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("some"))
+    free = F.col("n") - F.size("some")  # shingles before these
+    ahead = lambda num, den: F.greatest(F.lit(0), F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}").cast("int") + 1 - free)
+    first = useful.withColumn("probe", ahead(percent, 100)).withColumn("index", ahead(2 * percent, 100 + percent))
+    first = first.select("node", "n", "root", "index", F.posexplode(F.slice("some", F.lit(1), F.col("probe"))).alias("at", "x"))
+    first = materialise(first.select(F.col("x.s").alias("s"), "node", "n", "root", (F.col("at") < F.col("index")).alias("indexed")), "near-prefixes")
+    major = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    first = first.join(major.drop("roots"), "s").withColumn("main", F.col("root") == F.col("major"))
+    x = first.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("n_u"), F.col("root").alias("root_x"), "main")
+    y = first.select("s", F.col("node").alias("y"), F.col("n").alias("n_v"), F.col("root").alias("root_y"), F.col("main").alias("main_y"))
+    fits = (F.col("n_u") <= F.col("n_v")) & (F.col("root_x") != F.col("root_y")) & alike(percent)
+    met = [x.filter("NOT main").join(y, "s").filter(fits), x.filter("main").join(y.filter("NOT main_y"), "s").filter(fits)]
+    return reduce(DataFrame.unionByName, [m.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")) for m in met]).distinct()
+
+
+def edges(slim: DataFrame, nodes: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
+    """Links (u, v) between nodes; their closure is that of all candidates that have the similarity.
+
+    First each member of a block is compared with the block's smallest, and pairs by SimHash are. Where that leaves a block in several
+    components, its pairs across them are compared: all of a block of up to `hot` members. Members of larger ones are a crowd, of
+    which those pairs meet that exact prefix filtering leaves.
     """
     blocked = nodes.select("node", "n", F.explode("bands").alias("key"))
     firsts = blocked.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = materialise(blocked.join(firsts, "key").select("key", "node", "n", "head", "members"), "near-blocks")
     stars = blocks.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), F.col("n").alias("n_v")).filter(F.col("u") < F.col("v")).filter(alike(percent))
     sigs = nodes.select("node", "sig")
-    stars = stars.select("u", "v").unionByName(close_pairs(nodes, percent)).distinct()
-    stars = stars.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v").filter(resembling(percent)).select("u", "v")
-    tried = materialise(stars, "near-stars")
-    links_so_far = checkpointed(verified(tried, slim, nodes, k, percent))
-    blocks = blocks.drop("head")
-    for turn in range(turns):
-        rooted = blocks.join(components(links_so_far), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        rest = materialise(rooted.join(split, "key"), "near-rest")
-        more = large_pairs(rest.filter(F.col("members") > hot), sigs, percent, heads, deal, turn)
-        if turn == 0:
-            small = materialise(rest.filter(F.col("members") <= hot).join(sigs, "node"), "near-small")
-            more = more.unionByName(pairs_within(small, percent))
-        more = materialise(more.distinct().join(tried, ["u", "v"], "left_anti"), "near-more")
-        if more.isEmpty():
-            break
-        tried = tried.unionByName(more)
-        links_so_far = checkpointed(links_so_far.unionByName(verified(more, slim, nodes, k, percent)))
-    return links_so_far
+    like = lambda pairs: pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v").filter(resembling(percent)).select("u", "v")
+    tried = materialise(like(stars.select("u", "v").unionByName(close_pairs(nodes, percent)).distinct()), "near-stars")
+    found = checkpointed(verified(tried, sets_of(ends_of(tried), slim, nodes, k), percent))
+
+    rooted = blocks.drop("head").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    rest = materialise(rooted.join(split, "key"), "near-rest")
+    small = materialise(rest.filter(F.col("members") <= hot).join(sigs, "node"), "near-small")
+    pairs = pairs_within(small, percent)
+    crowd = materialise(rest.filter(F.col("members") > hot).select("node", "n", "root").distinct(), "near-crowd")
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(like(prefix_pairs(crowd, sets_of(crowd.select("node"), slim, nodes, k), percent)))
+    more = materialise(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "near-more")
+    if more.isEmpty():
+        return found
+    return found.unionByName(verified(more, sets_of(ends_of(more), slim, nodes, k), percent))
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:

@@ -78,3 +78,44 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     rows = planted(random.Random(6))
     got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(rows[min(g)][0] for g in plain_groups(rows))
+
+
+def test_pairs_in_a_hot_family(spark):
+    """1,000 texts that share boilerplate and resemble each other by some 0.75; 60 of them have a partner by 0.82, which must be found."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [word() for _ in range(257)]
+    rows, partner = [], {}
+    for i in range(1000):
+        rows.append((i, " ".join(common + [word() for _ in range(43)])))
+    for i in range(0, 960, 16):
+        base = rows[i][1].split()
+        for at in rng.sample(range(300), 6):
+            base[at] = word()
+        partner[i] = len(rows)
+        rows.append((len(rows), " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in near.keep_one(docs).collect()}
+    sets = [plain_set(t) for _, t in rows]
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.7 < similar(0, 1) < 0.8 and all(similar(a, b) >= 0.8 for a, b in partner.items())
+    assert set(range(1000)) <= kept
+    lost = [b for b in partner.values() if b in kept]
+    assert len(lost) <= 0.1 * len(partner), f"recall {1 - len(lost) / len(partner)}"
+    assert not lost, "prefix filtering is exact"
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_prefix_pairs_lose_nothing(spark, percent):
+    rng = random.Random(percent)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        for _ in range(12):
+            sets.append(sorted({v for v in base if rng.random() > 0.12} | {rng.randrange(10**6) for _ in range(rng.randint(0, 6))} | set(range(7)) or {1}))
+    rows = [(i, len(x), rng.choice([i, i, i // 12 * 12]), x) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, n int, root long, set array<long>")
+    got = {(r.u, r.v) for r in near.prefix_pairs(df.drop("set"), df.select("node", "set"), percent).collect()}
+    link = lambda a, b: len(set(a) & set(b)) * 100 >= percent * len(set(a) | set(b))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if rows[i][2] != rows[j][2] and link(sets[i], sets[j])}
+    assert want and want <= got and len(got) < len(sets) ** 2 / 4
