@@ -138,7 +138,8 @@ def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In any one order of all shingles, two sets of the similarity share one among the first of each: of a set of n as large as the
     other or larger the first n - ceil(t n) + 1, of the smaller only n - ceil(2 t n / (1 + t)) + 1. The order is: shingles that lie in one
-    component alone and so can join no two, then the rarest in the crowd. What a crowd has in common comes last; members that
+    component alone and so can join no two, then the rarest in the crowd. From the first shared one on both must have as many left as the
+    similarity takes; later ones have fewer, so this can be asked of each. What a crowd has in common comes last; members that
     share no more than that have no such shingle in common and never meet. Where the holders of a shingle are mostly of one
     component, these meet the others, not each other.
     """
@@ -148,23 +149,42 @@ def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     free = F.col("n") - F.size("some")  # shingles before these
     ahead = lambda num, den: F.greatest(F.lit(0), F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}").cast("int") + 1 - free)
     first = useful.withColumn("probe", ahead(percent, 100)).withColumn("index", ahead(2 * percent, 100 + percent))
-    first = first.select("node", "n", "root", "index", F.posexplode(F.slice("some", F.lit(1), F.col("probe"))).alias("at", "x"))
-    first = materialise(first.select(F.col("x.s").alias("s"), "node", "n", "root", (F.col("at") < F.col("index")).alias("indexed")), "near-prefixes")
+    first = first.select("node", "n", "root", "index", free.alias("free"), F.posexplode(F.slice("some", F.lit(1), F.col("probe"))).alias("at", "x"))
+    first = materialise(first.select(F.col("x.s").alias("s"), "node", "n", "root", (F.col("n") - F.col("free") - F.col("at")).alias("left"), (F.col("at") < F.col("index")).alias("indexed")), "near-prefixes")
     major = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     first = first.join(major.drop("roots"), "s").withColumn("main", F.col("root") == F.col("major"))
-    x = first.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("n_u"), F.col("root").alias("root_x"), "main")
-    y = first.select("s", F.col("node").alias("y"), F.col("n").alias("n_v"), F.col("root").alias("root_y"), F.col("main").alias("main_y"))
-    fits = (F.col("n_u") <= F.col("n_v")) & (F.col("root_x") != F.col("root_y")) & alike(percent)
+    x = first.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("n_u"), F.col("root").alias("root_x"), F.col("left").alias("left_x"), "main")
+    y = first.select("s", F.col("node").alias("y"), F.col("n").alias("n_v"), F.col("root").alias("root_y"), F.col("left").alias("left_y"), F.col("main").alias("main_y"))
+    enough = F.least("left_x", "left_y") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
+    fits = (F.col("n_u") <= F.col("n_v")) & (F.col("root_x") != F.col("root_y")) & alike(percent) & enough
     met = [x.filter("NOT main").join(y, "s").filter(fits), x.filter("main").join(y.filter("NOT main_y"), "s").filter(fits)]
     return reduce(DataFrame.unionByName, [m.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")) for m in met]).distinct()
 
 
+def split_blocks(blocks: DataFrame, links_so_far: DataFrame, name: str) -> DataFrame:
+    """The blocks (key, node, n, members) that lie in several components of the links, with each node's root."""
+    rooted = blocks.drop("root").join(components(links_so_far), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return materialise(rooted.join(split, "key"), name)
+
+
+def central_stars(large: DataFrame, percent: int, heads: int = 3) -> DataFrame:
+    """Pairs (u, v) of each member of a large block with some of its members that are in most large blocks, and so in the middle of
+    a group. Only a help: what a group's middle links needs no comparing of its members with each other."""
+    x = large.join(large.groupBy("node").agg(F.count(F.lit(1)).alias("w")), "node")
+    top = x.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(heads)).alias("_h")).agg(F.max(F.struct("w", "node", "n", "root")).alias("h"))
+    top = top.select("key", F.col("h.node").alias("u"), F.col("h.n").alias("n_u"), F.col("h.root").alias("root_u"))
+    member = large.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
+    met = member.join(top, "key").filter((F.col("root_u") != F.col("root_v")) & alike(percent))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def edges(slim: DataFrame, nodes: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
     """Links (u, v) between nodes; their closure is that of all candidates that have the similarity.
 
     First each member of a block is compared with the block's smallest, and pairs by SimHash are. Where that leaves a block in several
-    components, its pairs across them are compared: all of a block of up to `hot` members. Members of larger ones are a crowd, of
-    which those pairs meet that exact prefix filtering leaves.
+    components, its pairs across them are compared: all of a block of up to `hot` members. Members of larger ones are compared with
+    central ones; of those in blocks that are still split, the crowd, the pairs meet that exact prefix filtering leaves.
     """
     blocked = nodes.select("node", "n", F.explode("bands").alias("key"))
     firsts = blocked.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -175,14 +195,16 @@ def edges(slim: DataFrame, nodes: DataFrame, k: int, percent: int, hot: int) ->
     tried = materialise(like(stars.select("u", "v").unionByName(close_pairs(nodes, percent)).distinct()), "near-stars")
     found = checkpointed(verified(tried, sets_of(ends_of(tried), slim, nodes, k), percent))
 
-    rooted = blocks.drop("head").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rest = materialise(rooted.join(split, "key"), "near-rest")
-    small = materialise(rest.filter(F.col("members") <= hot).join(sigs, "node"), "near-small")
-    pairs = pairs_within(small, percent)
-    crowd = materialise(rest.filter(F.col("members") > hot).select("node", "n", "root").distinct(), "near-crowd")
-    if not crowd.isEmpty():
-        pairs = pairs.unionByName(like(prefix_pairs(crowd, sets_of(crowd.select("node"), slim, nodes, k), percent)))
+    rest = split_blocks(blocks.drop("head"), found, "near-rest")
+    pairs = pairs_within(materialise(rest.filter(F.col("members") <= hot).join(sigs, "node"), "near-small"), percent)
+    large = rest.filter(F.col("members") > hot)
+    if not large.isEmpty():
+        sets = sets_of(large.select("node").distinct(), slim, nodes, k)
+        central = materialise(like(central_stars(large, percent)), "near-central")
+        found = checkpointed(found.unionByName(verified(central, sets, percent)))
+        crowd = split_blocks(large, found, "near-crowd").select("node", "n", "root").distinct()
+        pairs = pairs.unionByName(like(prefix_pairs(crowd, sets, percent)))
+        tried = tried.unionByName(central)
     more = materialise(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "near-more")
     if more.isEmpty():
         return found

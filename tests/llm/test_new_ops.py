@@ -67,7 +67,7 @@ def test_line_faults(spark, line, fault):
 
 
 def test_documents_that_lose_too_much_go(spark):
-    prose = "\n".join(f"This is sentence {i} of a text, and it says {i * 7} things that none before it said." for i in range(20))
+    prose = "\n".join(" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(20))
     menu = "\n".join(f"Home{i} | News{i} | Sport{i} | More{i} | Contact{i} | Help{i}" for i in range(60))
     df = spark.createDataFrame([(1, prose), (2, prose + "\n\nHome | News | More\nAll rights reserved."), (3, prose + "\n" + menu), (4, menu)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in rules.cleaned(df).collect()} == {1: prose, 2: prose + "\n"}
