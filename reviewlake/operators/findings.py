@@ -251,31 +251,106 @@ def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def duplicate_blocks(docs: DataFrame, k: int = 100, group: str | None = None) -> DataFrame:
-    """Runs of at least k equal tokens: doc_a, start_a, doc_b, start_b, tokens, where a is the first holder (by document, then
-    position) of what b, later or in the same document, repeats.
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def tokens_of(docs: DataFrame, k: int, *by: str) -> DataFrame:
+    """(*by, doc_id, words, t) of the texts with k tokens or more: the tokens, and a hash of each."""
+    words = F.split(F.trim(F.regexp_replace("text", BLANKS, " ")), " ")
+    return docs.select(*by, "doc_id", words.alias("words")).filter(F.size("words") >= k).withColumn("t", F.transform("words", lambda x: F.xxhash64(x)))
+
+
+def minimisers(tokens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last): of each run of windows of k tokens that have one and the same minimiser, its hash and the places of its windows.
+    The minimiser of a window is the least hash among its runs of k // 2 tokens, so equal windows have equal ones."""
+    half = max(1, k // 2)
+    g = window_hashes(tokens, half)
+    span = k - half + 1
+    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+    first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
+    return g[at[first]], first, np.concatenate([first[1:], [len(at)]]) - 1
+
+
+def earlier(h: np.ndarray) -> np.ndarray:
+    """For each place the one before it with the same value, else -1."""
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.full(len(h), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
-    Of the places that share a window each is compared with the first alone, never all with all, so one passage in many documents
-    gives as many rows as it has copies; all copies of a passage name the same first holder. Runs grow where windows follow each
-    other on both sides, and part where the first holder changes. Only hashes are shuffled, not texts.
-    """
-    by = [group] if group else []
-    t = docs.select(*by, "doc_id", F.transform(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: F.xxhash64(x)).alias("t")).filter(F.size("t") >= k)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields if f.name != "t"] + ["pos int", "h long"])
-    names = [f.name for f in t.schema.fields if f.name != "t"]
 
-    def windows(batches):
+def each_row(df: DataFrame, names: list[str], schema: str, make):
+    """df's columns `names`, repeated for the rows that make(row's arrays) gives as a list of columns for each row of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                h = window_hashes(one.column(one.schema.get_field_index("t"))[0].values.to_numpy().view(np.uint64), k)
-                same = pa.array(np.zeros(len(h), np.int32))
-                yield pa.RecordBatch.from_arrays([one.column(one.schema.get_field_index(c)).take(same) for c in names] + [pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], names=[*names, "pos", "h"])
-
-    w = t.mapInArrow(windows, schema)
-    first = w.groupBy("h", *by).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = F.struct("doc_id", "pos") > F.col("a")
-    hits = w.join(first, ["h", *by]).filter(later).select(F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("a.pos").alias("pos_a"), "pos")
-    near = W.partitionBy("doc_a", "doc_b", F.col("pos_a") - F.col("pos")).orderBy("pos")
-    island = hits.withColumn("run", F.col("pos") - F.row_number().over(near))
-    return island.groupBy("doc_a", "doc_b", F.expr("pos_a - pos").alias("shift"), "run").agg(F.min("pos_a").alias("start_a"), F.min("pos").alias("start_b"), (F.count(F.lit(1)) + k - 1).alias("tokens")).drop("shift", "run")
+                more = make({c: one.column(i)[0] for i, c in enumerate(one.schema.names)})
+                same = pa.array(np.zeros(len(more[0]), np.int32))
+                yield pa.RecordBatch.from_arrays([one.column(one.schema.get_field_index(c)).take(same) for c in names] + [pa.array(m) for m in more], names=[*names, *[x.split()[0] for x in schema.split(", ")]])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+    return df.mapInArrow(run, f"{kept}, {schema}")
+
+
+def duplicate_blocks(docs: DataFrame, k: int = 100, group: str | None = None) -> DataFrame:
+    """Runs of at least k equal tokens: doc_a, start_a, doc_b, start_b, tokens.
+
+    Each place at which k tokens stand that stand earlier too is compared with one earlier place: the one before it in its own document,
+    else the first in the first document that has them, never all with all; so a passage in many documents gives a row for each, and all
+    of them name the same first holder (holders gives them together). A run is as long as the tokens of both agree, wherever other
+    documents stop agreeing. With `group`, only places of one group are compared.
+
+    Of each text only minimisers are shuffled, two for some 52 windows at k = 100. Windows are made where a minimiser is found twice, and
+    meet by their hash; then the tokens themselves are compared outwards from there to both ends, so a chance collision gives no
+    row. Frequent passages need no pruning, as none is compared with more than one other.
+    """
+    by = [group] if group else []
+    names = [*by, "doc_id"]
+    t = tokens_of(docs, k, *by)
+    marks = each_row(t.drop("words"), names, "m long, from int, to int", lambda r: [x.view(np.int64) if n == 0 else x.astype(np.int32) for n, x in enumerate(minimisers(r["t"].values.to_numpy().view(np.uint64), k))])
+    marks = materialise(marks, "minimisers")
+    twice = marks.groupBy("m", *by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    spans = marks.join(twice, ["m", *by], "left_semi").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    held = materialise(t.join(spans, names), "token-rows")  # the documents with anything twice
+
+    def windows(r: dict) -> list:
+        h = window_hashes(r["t"].values.to_numpy().view(np.uint64), k)
+        spans = r["spans"].values.flatten()
+        at = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(spans[0].to_pylist(), spans[1].to_pylist(), strict=True)]))
+        before = earlier(h[at])
+        return [h[at].view(np.int64), at.astype(np.int32), np.where(before < 0, -1, at[before]).astype(np.int32)]
+
+    w = materialise(each_row(held.drop("words"), names, "h long, pos int, before int", windows), "windows")
+    first = w.filter("before < 0")
+    heads = first.groupBy("h", *by).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    across = first.join(heads, ["h", *by]).filter(F.col("doc_id") > F.col("a.doc_id")).select(*by, F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), (F.col("a.pos") - F.col("pos")).alias("shift"), "pos")
+    within = w.filter("before >= 0").select(*by, F.col("doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), (F.col("before") - F.col("pos")).alias("shift"), "pos")
+    by_shift = W.partitionBy(*by, "doc_a", "doc_b", "shift").orderBy("pos")
+    hits = across.unionByName(within).withColumn("run", F.col("pos") - F.row_number().over(by_shift))
+    seeds = hits.groupBy(*by, "doc_a", "doc_b", "shift", "run").agg(F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"))
+
+    # both sides from where the later text begins, or the earlier one, to where either ends: no longer than the later text
+    side = lambda c: held.select(*by, F.col("doc_id").alias(f"doc_{c}"), F.col("words").alias(f"words_{c}"))
+    both = seeds.join(side("b"), [*by, "doc_b"]).join(side("a"), [*by, "doc_a"])
+    start = F.greatest(F.lit(0), -F.col("shift"))
+    long = F.least(F.size("words_b"), F.size("words_a") - F.col("shift")) - start
+    cut = both.withColumn("start", start).withColumn("a", F.slice("words_a", start + F.col("shift") + 1, long)).withColumn("b", F.slice("words_b", start + 1, long)).drop("words_a", "words_b")
+    unlike = F.filter(F.transform(F.zip_with("a", "b", lambda x, y: x == y), lambda same, i: F.when(~same, i)), lambda i: i.isNotNull())
+    lo, hi = F.col("lo") - F.col("start"), F.col("hi") - F.col("start")
+    left = F.coalesce(F.array_max(F.filter("unlike", lambda i: i < lo)) + 1, F.lit(0))
+    right = F.coalesce(F.array_min(F.filter("unlike", lambda i: i >= lo)), F.size("b"))
+    grown = cut.withColumn("unlike", unlike).filter(~F.exists("unlike", lambda i: (i >= lo) & (i < hi)))
+    out = grown.select("doc_a", (left + F.col("start") + F.col("shift")).alias("start_a"), "doc_b", (left + F.col("start")).alias("start_b"), (right - left).alias("tokens"))
+    return out.distinct()
+
+
+def holders(blocks: DataFrame) -> DataFrame:
+    """(doc_a, start_a, tokens, doc_id, start, copies): every place of each passage that blocks name, the first holder's too, and how many there are."""
+    passage = ["doc_a", "start_a", "tokens"]
+    copies = blocks.select(*passage, F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"))
+    first = blocks.select(*passage).distinct().select(*passage, F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"))
+    n = blocks.groupBy(*passage).agg((F.count(F.lit(1)) + 1).alias("copies"))
+    return copies.unionByName(first).join(n, passage)

@@ -9,6 +9,7 @@ from ..operators import bench as B
 from ..operators import findings as D
 from ..operators import refresh as R
 from ..operators.ranking import top_k
+from ..shared import materialise
 from .catalog import query
 from .scalar import identifiers_sql, words_sql
 
@@ -58,11 +59,24 @@ def fuz4_win10_win11_issues(t):
     return D.issues(f, D.clusters(f))
 
 
-@query()
+BLOCK_SQL = r"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, len(t) - 98)) AS pos FROM t WHERE len(t) >= 100),
+w AS MATERIALIZED (SELECT doc_id, pos - 1 AS pos, md5(array_to_string(t[pos:pos + 99], ' ')) AS h FROM p), v AS (SELECT *, lag(pos) OVER (PARTITION BY h, doc_id ORDER BY pos) AS before, first_value(doc_id) OVER f AS doc_a, first_value(pos) OVER f AS pos_a FROM w WINDOW f AS (PARTITION BY h ORDER BY doc_id, pos)),
+hits AS MATERIALIZED (SELECT CASE WHEN before IS NULL THEN doc_a ELSE doc_id END AS doc_a, doc_id AS doc_b, coalesce(before, pos_a) - pos AS shift, pos FROM v WHERE before IS NOT NULL OR doc_id > doc_a), c AS (SELECT DISTINCT doc_a, doc_b, shift FROM hits),
+e AS (SELECT c.*, b.pos, b.pos - row_number() OVER (PARTITION BY c.doc_a, c.doc_b, shift ORDER BY b.pos) AS run FROM c JOIN w b ON b.doc_id = doc_b JOIN w a ON a.doc_id = c.doc_a AND a.pos = b.pos + shift AND a.h = b.h),
+r AS (SELECT doc_a, doc_b, shift, min(pos) AS lo, max(pos) AS hi FROM e GROUP BY doc_a, doc_b, shift, run), blocks AS (SELECT doc_a, (lo + shift)::INT AS start_a, doc_b, lo::INT AS start_b, (hi - lo + 100)::INT AS tokens FROM r WHERE EXISTS (SELECT 1 FROM hits x WHERE x.doc_a = r.doc_a AND x.doc_b = r.doc_b AND x.shift = r.shift AND x.pos BETWEEN lo AND hi))"""
+
+
+@query(BLOCK_SQL + " SELECT * FROM blocks")
 def fuz6_duplicate_blocks(t):
     return D.duplicate_blocks(t("documents"))
 
 
+@query(BLOCK_SQL + """, n AS (SELECT doc_a, start_a, tokens, count(*) + 1 AS copies FROM blocks GROUP BY ALL)
+SELECT doc_a, start_a, tokens, doc_b AS doc_id, start_b AS start, copies FROM blocks JOIN n USING (doc_a, start_a, tokens) UNION ALL SELECT doc_a, start_a, tokens, doc_a, start_a, copies FROM n""")
+def fuz6_holders(t):
+    return D.holders(materialise(D.duplicate_blocks(t("documents")), "blocks"))
+
+
 SEV = "CASE severity WHEN 'blocker' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END"
 
 

@@ -99,11 +99,76 @@ def test_clusters_equal_greedy_walk(spark, most, few):
             assert len(lenses) == len(set(lenses))
 
 
+def plain_blocks(docs, k):
+    """Every place of k tokens against one earlier place, grown while the tokens of both agree."""
+    tokens = {i: t.split() for i, t in docs if t and len(t.split()) >= k}
+    places = {}
+    for i in sorted(tokens):
+        for p in range(len(tokens[i]) - k + 1):
+            places.setdefault(tuple(tokens[i][p : p + k]), []).append((i, p))
+    out = set()
+    for found in places.values():
+        for n, (i, p) in enumerate(found[1:], 1):
+            a, s = found[n - 1] if found[n - 1][0] == i else found[0]
+            x, y, m = tokens[a], tokens[i], k
+            while s and p and x[s - 1] == y[p - 1]:
+                s, p, m = s - 1, p - 1, m + 1
+            while s + m < len(x) and p + m < len(y) and x[s + m] == y[p + m]:
+                m += 1
+            out.add((a, s, i, p, m))
+    return sorted(out)
+
+
+BLOCK = ("doc_a", "start_a", "doc_b", "start_b", "tokens")
+
+
 def test_duplicate_blocks_are_maximal(spark):
     shared = [f"s{k}" for k in range(30)]
     docs = [(1, " ".join(["a", "b", *shared, "c"])), (2, " ".join(["x", *shared, "y", "z"])), (3, " ".join(["q"] * 8)), (4, " ".join(["m", *shared[:12]]))]
     got = findings.duplicate_blocks(spark.createDataFrame(docs, "doc_id long, text string"), k=10)
-    assert rows(got, "doc_a", "doc_b", "start_a", "start_b", "tokens") == [(1, 2, 2, 1, 30), (1, 4, 2, 1, 12)]
+    assert rows(got, *BLOCK) == [(1, 2, 2, 1, 30), (1, 2, 4, 1, 12)]
+
+
+@pytest.mark.parametrize("k", [2, 10, 25])
+def test_duplicate_blocks_equal_brute_force(spark, k):
+    """A hundred documents of shared passages, repeats inside one, periodic texts, texts of exactly k tokens, copies."""
+    rng = random.Random(k)
+    passages = [[f"p{n}x{i}" for i in range(rng.randint(k, 4 * k))] for n in range(12)]
+    docs = [(1, None), (2, ""), (3, "w " * 200), (4, "w  w\t" * 60), (5, "a b c " * 50), (6, " ".join(passages[0][:k])), (7, " ".join(passages[0][: k - 1]))]
+    for i in range(8, 100):
+        text = []
+        for _ in range(rng.randint(1, 6)):
+            p = rng.choice(passages)
+            cut = rng.randint(0, len(p) // 2)
+            text += p[cut : rng.randint(cut, len(p))] + [f"u{rng.randrange(40)}" for _ in range(rng.randint(0, 4))] + (p[:k] * rng.randint(0, 1))
+        docs.append((i, " ".join(text)))
+    docs.append((100, docs[50][1]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(findings.duplicate_blocks(df, k=k), *BLOCK)
+    assert got == plain_blocks(docs, k)
+    members = findings.holders(findings.duplicate_blocks(df, k=k)).collect()
+    assert len(members) == len(got) + len({g[:2] + g[4:] for g in got}) and all(m.copies >= 2 for m in members)
+    assert findings.duplicate_blocks(df.limit(0), k=k).count() == 0
+
+
+def test_chance_collisions_give_no_block(spark, monkeypatch):
+    """All windows hashed alike: the tokens are compared all the same."""
+    real = findings.window_hashes
+    monkeypatch.setattr(findings, "window_hashes", lambda t, k: real(t, k) % 3)
+    docs = [(i, " ".join(f"t{(i * 7 + j * j) % 50}" for j in range(30))) for i in range(6)] + [(9, " ".join(f"t{j * j % 50}" for j in range(25)))]
+    got = rows(findings.duplicate_blocks(spark.createDataFrame(docs, "doc_id long, text string"), k=10), *BLOCK)
+    assert all(docs_equal(dict(docs), r) for r in got)
+
+
+def docs_equal(texts, r):
+    x, y = (texts[d].split()[s : s + r[4]] for d, s in ((r[0], r[1]), (r[2], r[3])))
+    return x == y and len(x) == r[4] >= 10
+
+
+def test_blocks_within_groups(spark):
+    text = " ".join(f"s{i}" for i in range(20))
+    df = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "a", text)], "doc_id long, g string, text string")
+    assert rows(findings.duplicate_blocks(df, k=10, group="g"), *BLOCK) == [(1, 0, 3, 0, 20)]
 
 
 # -- joins and rankings
