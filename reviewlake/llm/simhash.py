@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -48,39 +49,53 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", k: int
     return add_columns(docs, text, [(out, T.LongType())], make)
 
 
-def block_keys(fp: str, distance: int) -> F.Column:
-    """Keys of which two fingerprints at most `distance` bits apart share one at least.
+#: A block is not split on when its members can differ in so few bits only: it then has 2^LAST of them at most.
+LAST = 8
 
-    The 64 bits are cut in distance + 2 parts; two of those parts at least are equal in a close pair, so every choice
-    of two parts makes a key.
+
+def choices(fixed: int, distance: int) -> list[int]:
+    """Masks of the bits that blocks within a block are equal in, its own being `fixed`.
+
+    The other bits are cut in distance + 2 parts; two of those at least are equal in a close pair, so every choice of two
+    parts, with what is fixed, makes a mask.
     """
+    rest = [b for b in range(64) if not fixed >> b & 1]
     n = distance + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    part = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return F.array(*[F.struct(F.lit(a * n + b).cast("int").alias("pair"), part[a].alias("lo"), part[b].alias("hi")) for a, b in combinations(range(n), 2)])
+    edges = [round(len(rest) * i / n) for i in range(n + 1)]
+    part = [sum(1 << b for b in rest[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [fixed | x | y for x, y in combinations(part, 2)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
-    """Edges (u, v), u < v, between distinct fingerprints; their transitive closure is that of all pairs within distance.
+    """All pairs (u, v), u < v, of distinct fingerprints at most `distance` (up to 3) bits apart. fps has one row for each distinct `fp`.
 
-    fps has one row for each distinct `fp`. Blocks of up to `hot` members are joined with themselves and each pair is
-    verified, so no close pair in them is lost. Larger blocks never form pairs: each member is linked to the smallest
-    member that shares one of its one-bit variants. Members sharing a variant are within two bits of each other, and
-    any two members within two bits share one, so what is connected stays so (this way is exact for distance 2).
+    Fingerprints that agree in two of distance + 2 parts are a block, and pairs within a block are verified. A block of over `hot`
+    members is split the same way by its other bits, and so on: each close pair of it shares one of the smaller blocks. The last
+    ones leave LAST bits open and so have 256 members at most.
     """
-    if distance != 2:
-        raise ValueError("blocks above `hot` members are split by one-bit variants, which fits a distance of 2 only")
-    blocked = fps.select("fp", F.explode(block_keys("fp", distance)).alias("key"))
-    sizes = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    blocked = blocked.join(sizes, "key")
-    few = blocked.filter(F.col("members") <= hot)
-    pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").filter("u < v").select("u", "v")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(np.int64(np.uint64(1 << b)).item()).cast("long") for b in range(64)])
-    many = blocked.filter(F.col("members") > hot).select("fp").distinct()
-    variants = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    heads = variants.groupBy("variant").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("variant", "u")
-    stars = variants.join(heads, "variant").select("u", F.col("fp").alias("v")).filter("u < v")
-    return pairs.unionByName(stars).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).distinct()
+    if distance > 3:
+        raise ValueError("blocks of more than five parts would be split into too many kinds")
+    live, masks, found = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], []
+    while True:
+        into = {m: choices(m, distance) for m in masks}
+        masks = sorted({x for some in into.values() for x in some})
+        last = [m for m in masks if 64 - m.bit_count() <= LAST]
+        finer = F.create_map(*[x for m, some in into.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in some]))])
+        blocked = live.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct().withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = blocked.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        blocked = materialise(blocked.join(sizes, ["mask", "key"]), "simhash-blocks")
+        done = (F.col("members") <= hot) | F.col("mask").isin([signed(m) for m in last])
+        few = blocked.filter(done)
+        met = few.select("mask", "key", F.col("fp").alias("u")).join(few.select("mask", "key", F.col("fp").alias("v")), ["mask", "key"])
+        found.append(met.filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v"))
+        live = blocked.filter(~done).select("fp", "mask").distinct()
+        masks = [m for m in masks if m not in last]
+        if not masks or live.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
