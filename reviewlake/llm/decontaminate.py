@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,52 +21,122 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+class Table:
+    """Shifts and buckets of all windows of m words; a block is two words, or one in windows of one.
+
+    A block's shift is how far the search may move when it ends at the current word: the least distance from where the block ends
+    in a window to the window's end, and `most` for blocks of no window. Windows are in buckets by the hash of their last
+    and first block. All are sorted arrays, of some 40 bytes a word.
+    """
+
+    def __init__(self, words: np.ndarray, mine: np.ndarray, begin: np.ndarray, m: int, size: int):
+        self.m, self.b = m, min(2, m)
+        self.most, self.size = m - self.b + 1, size
+        at = np.nonzero(mine)[0]  # words of items with windows of m; `begin` is where a word's item begins
+        ends = at[at - begin[at] + 1 >= self.b] + 1
+        keys, shift = self.block(words, ends), np.maximum(0, m - (ends - begin[ends - 1]))
+        order = np.lexsort((shift, keys))
+        keys, shift = keys[order], shift[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        self.keys, self.shift = keys[first], shift[first].astype(np.int16)
+        full = ends[ends - begin[ends - 1] >= m]
+        hashes = mixed(self.block(words, full), self.block(words, full - m + self.b))
+        order = np.argsort(hashes, kind="stable")
+        self.buckets, self.ends = hashes[order], full[order].astype(np.int32)
+
+    def block(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        last = words[ends - 1].astype(np.int64)
+        return last if self.b == 1 else words[ends - 2].astype(np.int64) * self.size + last
+
+    def found(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end in text, end in words) of every occurrence of a window."""
+        none = np.zeros(0, np.int64)
+        if len(text) < self.m or not len(self.keys):
+            return none, none
+        ends = np.arange(self.b, len(text) + 1)
+        keys = self.block(text, ends)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        known &= (text[ends - 1] >= 0) & (text[ends - self.b] >= 0)
+        shift = np.where(known, self.shift[at], self.most)
+        if shift.min() > 0:
+            return none, none
+        shift = shift.tolist()
+        stops, end, n = [], self.m, len(text)
+        while end <= n:
+            move = shift[end - self.b]
+            if not move:
+                stops.append(end)
+                move = 1
+            end += move
+        stop = np.array(stops, np.int64)
+        key = mixed(self.block(text, stop), self.block(text, stop - self.m + self.b))
+        lo, hi = np.searchsorted(self.buckets, key), np.searchsorted(self.buckets, key, side="right")
+        out = []
+        for a, z in chunks(hi - lo):
+            k = np.repeat(np.arange(a, z), (hi - lo)[a:z])
+            mine = self.ends[lo[k] + np.arange(len(k)) - np.repeat(np.cumsum((hi - lo)[a:z]) - (hi - lo)[a:z], (hi - lo)[a:z])].astype(np.int64)
+            here = stop[k]
+            for j in range(1, self.m + 1):  # word by word, those that differ go
+                same = text[here - j] == words[mine - j]
+                here, mine = here[same], mine[same]
+            out.append((here, mine))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
+
+
+def chunks(counts: np.ndarray, limit: int = 1 << 20):
+    """Slices of counts that add up to about `limit`; a larger count goes alone."""
+    part = np.cumsum(counts) // limit
+    cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(counts)]
+    return [(a, z) for a, z in zip(cuts, cuts[1:], strict=False) if a < z]
+
+
 class WuManber:
-    """Search for windows of words. One table set per window length, so that a short window doesn't shorten all shifts.
+    """Search for windows of words: one table for each window length, so that a short window doesn't shorten all shifts.
 
-    shift[block] is how far the search may move when `block` (two words, or one in windows of one) ends at the current
-    word; blocks of no window allow the largest shift. Where it is 0, the windows that end in the block are selected by
-    their first block and then compared word by word.
+    Words of the items are numbers, one after the other; words of no item are -1 in a text and fit no block.
     """
 
     def __init__(self, items: list[tuple[str | None, bytes]], length: int = 13):
-        windows: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = words_of(text)
-            m = min(length, len(words))
-            for at in range(len(words) - m + 1 if words else 0):
-                windows[m][tuple(words[at : at + m])].update([] if item is None else [item])
-        self.tables = []
-        for m, patterns in sorted(windows.items()):
-            b = min(2, m)
-            shift: dict[tuple, int] = {}
-            buckets: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-            for p, ids in patterns.items():
-                for end in range(b, m + 1):
-                    block = p[end - b : end]
-                    shift[block] = min(shift.get(block, m), m - end)
-                buckets[p[m - b :]][p[:b]].append((p, sorted(ids)))
-            self.tables.append((m, b, m - b + 1, shift, {k: dict(v) for k, v in buckets.items()}))
+        self.number: dict[bytes, int] = {}
+        numbers, begin, owner, sizes, names = [], [], [], [], []
+        start = 0
+        for k, (item, text) in enumerate(items):
+            some = words_of(text)
+            numbers.append(np.fromiter((self.number.setdefault(w, len(self.number)) for w in some), np.int32, len(some)))
+            n = len(some)
+            begin.append(np.full(n, start, np.int32))
+            owner.append(np.full(n, k, np.int32))
+            sizes.append(np.full(n, min(length, n), np.int16))
+            names.append(item)
+            start += n
+        join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+        self.words, self.owner, self.names = join(numbers, np.int32), join(owner, np.int32), names
+        self.begin, size = join(begin, np.int32), join(sizes, np.int16)
+        self.tables = [Table(self.words, size == m, self.begin, int(m), len(self.number) + 1) for m in np.unique(size)]
+
+    def nbytes(self) -> int:
+        """Memory of the arrays, and of the words by estimate."""
+        arrays = [self.words, self.owner, self.begin, *[x for t in self.tables for x in (t.keys, t.shift, t.buckets, t.ends)]]
+        return sum(x.nbytes for x in arrays) + sum(len(w) + 150 for w in self.number)
 
     def search(self, words: list[bytes]) -> tuple[list[int], set[str]]:
         """Merged word spans [start, end, start, end, ...] and the items with an occurring window."""
-        found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        n = len(words)
-        for m, b, most, shift, buckets in self.tables:
-            end = m
-            while end <= n:
-                block = tuple(words[end - b : end])
-                move = shift.get(block, most)
-                if not move:
-                    start = end - m
-                    for p, ids in buckets[block].get(tuple(words[start : start + b]), ()):
-                        if p == tuple(words[start:end]):
-                            found.append((start, end))
-                            items.update(ids)
-                    move = 1
-                end += move
-        return merge(sorted(found)), items
+        text = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        spans: list[tuple[int, int]] = []
+        items: set[int] = set()
+        for t in self.tables:
+            here, there = t.found(self.words, text)
+            spans += [(e - t.m, e) for e in np.unique(here).tolist()]
+            items.update(np.unique(self.owner[there - 1]).tolist())
+        return merge(sorted(spans)), {self.names[k] for k in items if self.names[k] is not None}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -101,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     without an id hit words, but the item isn't named or counted; items of the same text count each. Rows are judged one by
     one, so repeated rows get equal values. Clashing column names give way.
 
-    A benchmark of at most block_bytes is searched for in one pass. A larger one goes round in such blocks, one in memory at a
+    A benchmark of at most block_bytes is searched for in one pass; its tables take some ten times that in each worker. A larger one goes round in such blocks, one in memory at a
     time: rows are numbered in a written copy, each block's pass writes the hits of the rows that have any, and these meet
     the rows by number.
     """
