@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 SPACE = "▁"
+#: Characters of a part that is worth remembering.
+LONGEST = 200
 NONE = 1 << 60
 #: Runs of letters after at most one mark, and single other characters.
 RUNS = re.compile(f"{SPACE}?[^\\W\\d_{SPACE}]+|.", re.S)
@@ -126,8 +128,6 @@ class Encoder:
         last: list = [None] * n
         last.append(-1)  # before the first character, at index -1
         fits = self.fits
-        if len(fits) > 2 * self.remember:
-            fits.clear()
         done = -1
         for end, (i, size) in self.auto.iter(text):
             if end != done:
@@ -140,6 +140,8 @@ class Encoder:
                         if not fits[key]:
                             continue
                     else:
+                        if len(fits) > 2 * self.remember:
+                            fits.clear()
                         ok = fits[key] = self._compatible(before, i)
                         if not ok:
                             continue
@@ -166,9 +168,18 @@ class Encoder:
                 ids = self._table(text)
             else:  # characters that are no piece stand alone
                 ids = [i for x in self.pattern.findall(text) for i in (self._table(x) if x[0] in self.known else self._ids(x))]
-            self.found[key] = ids = (*ids,)
+            ids = (*ids,)
+            self.keep(key, ids)
         return ids
 
+    def keep(self, key: str, ids: tuple[int, ...]) -> None:
+        """Remember a part's ids. Parts of over `LONGEST` characters, hardly met again, are not, and all go when they would be over `remember` entries,
+        so that what is held has a bound whatever the texts are."""
+        if len(key) <= LONGEST:
+            if len(self.found) >= self.remember:
+                self.found.clear()
+            self.found[key] = ids
+
     def segment(self, text: str) -> tuple[int, ...]:
         """Ids of a text, cut where no piece holds the two characters that meet."""
         ids: list[int] = []
@@ -184,16 +195,13 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        found = self.found
-        if len(found) > self.remember:
-            found.clear()
         out: list[int] = []
         words = text.split(" ")
         if "" in words or SPACE in text:
             for part in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)):
                 out += self.segment(part)
             return out
-        get = found.get
+        get = self.found.get
         for w in words:
             ids = get(w)
             if ids is None:
@@ -202,7 +210,7 @@ class Encoder:
                 else:
                     ids = self.segment(SPACE + w)
                     if len(w) <= 12:
-                        found[w] = ids
+                        self.keep(w, ids)
             out += ids
         return out
 
