@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, is_training_row, sampled, without
+from .common import add_columns, is_training_row, materialise, sampled, without
 
 FEATURES = ("log_bytes", "log_words", "mean_word", "long_words", "short_words", "upper", "digits", "symbols", "marks", "stops", "commas", "pipes", "non_ascii", "distinct_words", "repeated_lines", "line_words", "top_word", "ends_in_stop")
 UPPER = bytes(range(65, 91))
@@ -153,13 +153,16 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, pairs:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000) -> Gam:
-    """The model, learnt from about `sample` labelled documents at most, those of the lowest id hashes, and only from rows
-    whose crc32(id) modulo 3 is not 1. Of several labels of one id the smallest counts; null labels don't. Rows that
-    repeat an id and text count once."""
+    """The model, learnt from about `sample` labelled texts at most, those of the lowest hashes among the about `sample` ids of the lowest
+    hashes, and only from rows whose crc32(id) modulo 3 is not 1. Of several labels of one id the smallest counts; null labels
+    don't. Rows that repeat an id and text count once."""
     chosen = labels.filter(is_training_row(id_col) & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_label"))
     chosen = sampled(chosen.withColumn("_i", F.xxhash64(id_col)), "_i", sample).drop("_i")
-    rows = docs.select(id_col, text).join(F.broadcast(chosen), id_col)  # about `sample` rows
-    rows = rows.withColumn("_h", F.xxhash64(id_col, text)).groupBy("_h").agg(F.min(text).alias("_text"), F.min("_label").alias("_label"))
+    rows = docs.select(id_col, text).join(F.broadcast(chosen), id_col)  # about `sample` ids
+    # an id may have any number of texts: of all pairs of id and text those of the lowest hashes
+    rows = rows.select(F.xxhash64(id_col, text).alias("_h"), F.col(text).alias("_text"), "_label")
+    kept = sampled(materialise(rows.groupBy("_h").agg(F.min("_label").alias("_label")), "labelled"), "_h", sample)
+    rows = rows.select("_h", "_text").join(F.broadcast(kept), "_h").groupBy("_h").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
     rows = add_columns(rows, "_text", [("_x", T.ArrayType(T.DoubleType()))], lambda: lambda texts: [[features(t) for t in texts]])
     got = sorted(rows.select("_h", "_x", "_label").collect())
     got = [(r[1], r[2]) for r in got]
