@@ -101,6 +101,26 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert sorted(str(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))) for r in got) == sorted(str((i, *plain_contamination(t, [x for x in items if x[1]]))) for i, t, _ in docs)
 
 
+def test_tables_are_small():
+    """A block of benchmark text makes tables of some ten times its size, not of hundreds of times."""
+    rng = random.Random(4)
+    texts = [(str(k), " ".join(f"w{rng.randrange(60_000)}" for _ in range(400)).encode()) for k in range(400)]
+    made = decontaminate.WuManber(texts)
+    assert made.nbytes() < 20 * sum(len(t) for _, t in texts)
+    spans, items = made.search(decontaminate.words_of(b"x " + texts[7][1] + b" y " + texts[3][1][:300]))
+    assert spans[0:2] == [1, 401] and len(spans) == 4 and items == {"7", "3"}
+
+
+def test_many_windows_with_one_block():
+    """All windows end and begin alike; the words between decide."""
+    rng = random.Random(5)
+    texts = [(str(k), b"a b " + " ".join(rng.choice("cd") for _ in range(9)).encode() + b" e f") for k in range(300)]
+    made = decontaminate.WuManber(texts)
+    for k in (0, 150, 299):
+        spans, items = made.search(decontaminate.words_of(b"q " + texts[k][1] + b" q"))
+        assert spans == [1, 14] and items == {i for i, t in texts if t == texts[k][1]}
+
+
 def test_contamination_of_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination(odd(spark), none).collect()
@@ -108,6 +128,27 @@ def test_contamination_of_odd_rows(spark):
     assert next(r.n_words for r in got if r.doc_id == 7) == 30_000
 
 
+def test_remembered_parts_are_bounded():
+    e = pieces.encoder(MODEL)
+    rng = random.Random(6)
+    e.remember = 1000
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for n in range(300):
+        t = " ".join("".join(rng.choice("abcdefgh+/XYZ0123456789") for _ in range(rng.choice([5, 10_000 if n % 30 == 0 else 50]))) for _ in range(20))
+        assert e.encode(t) == sp.encode(t)
+        assert len(e.found) <= 1000 and max(map(len, e.found), default=0) <= pieces.LONGEST and len(e.fits) <= 2001
+
+
+def test_training_rows_of_an_id_with_many_texts_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"text number {k} of one id, with words.") for k in range(500)] + [(1, "x y z"), (7, "a " * 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (7, 0), (999, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    quality.train(docs, labels, sample=60)
+    assert 20 <= seen[0] <= 120
+
+
 # -- simhash
 
 
@@ -157,6 +198,23 @@ def test_fingerprint_of_slices(monkeypatch):
             assert simhash.fingerprint(t.encode()) % (1 << 64) == plain_fingerprint(t)
 
 
+@pytest.mark.parametrize("distance", [1, 2, 3])
+@pytest.mark.parametrize("hot", [1, 8])
+def test_links_are_all_close_pairs(spark, hot, distance):
+    """A ball around one fingerprint, so that its blocks are split again and again."""
+    rng = random.Random(distance)
+    fps = {rng.getrandbits(64) for _ in range(60)} | {0}
+    for _ in range(240):
+        x = 0
+        for b in rng.sample(range(64), rng.randint(0, 4)):
+            x ^= 1 << b
+        fps.add(x)
+    fps |= {x ^ 1 << rng.randrange(64) for x in list(fps)[:40]}
+    as_long = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(x,) for x in as_long], "fp long"), distance, hot).collect()}
+    assert got == {(u, v) for k, v in enumerate(as_long) for u in as_long[:k] if ((u ^ v) & (1 << 64) - 1).bit_count() <= distance}
+
+
 @pytest.mark.parametrize("hot", [1, 4, 64])
 def test_links_connect_what_brute_force_connects(spark, hot):
     rng = random.Random(hot)
