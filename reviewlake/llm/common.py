@@ -25,12 +25,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """From now on Arrow batches of this session hold 4 MB, not 64, unless the user has set a size: texts are long, and a batch is in memory
+    several times, in the JVM and in Python."""
+    if spark.conf.get(BATCH_KEY, None) in (None, "67108864b", "64MB", "64m"):
+        spark.conf.set(BATCH_KEY, limit)
+
+
 def add_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """df with more columns, computed from one text or binary column by Python code in Arrow batches.
 
     make() runs once in each task and returns the function that turns a list of values (bytes or None) into one list
     per new column. Columns of df that have a new column's name give way, except the input column itself.
     """
+    small_batches(df.sparkSession)
     df = without(df, *[n for n, _ in fields if n.lower() != text.lower()])
     out = T.StructType([f for f in df.schema.fields if f.name.lower() not in {n.lower() for n, _ in fields}] + [T.StructField(n, t) for n, t in fields])
     keep = [f.name for f in out.fields[: len(out.fields) - len(fields)]]

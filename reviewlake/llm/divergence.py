@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 #: Letters become small ones and bytes of other characters stay; what else there is parts terms.
 TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -172,6 +172,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     of terms with near totals, and so with few different counts, give the joint tables of all pairs of groups as products of
     indicator matrices (see block_sums); levels of no occurrences come from margins, so the work follows the cells there are.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     moved = counted(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     kept = moved.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells")).filter(F.col("docs") >= least)

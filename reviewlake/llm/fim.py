@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, without
+from .common import slices, small_batches, without
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of a chunk: a cut falls where the rolling hash of the last 16 bytes has ten zero bits, but not before LEAST and not after MOST.
@@ -163,6 +163,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seed:
     Chunks whose ends depend on content alone are counted once a task for all texts that share them: a memo of `room` bytes keeps
     the counts and the kind of both ends of each, which add up to a text's counts and tell in which chunk a cut lies.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, *[n for n, _ in FIELDS], "_key")
     keyed = docs.withColumn("_key", F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     out = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in FIELDS]])
