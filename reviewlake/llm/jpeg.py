@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, new_path
 
 UNIT = 576
 BLOCKS = 6
@@ -579,9 +579,22 @@ def load(rows: DataFrame, media: str = "media", payload: bool = False, tensor: b
     return add_columns(rows, media, fields, make)
 
 
+def saved(docs: DataFrame, path: str, text: str = "text", out: str = "media", tensors: bool = False) -> DataFrame:
+    """docs with their texts stored as pictures in Parquet files under path, read again; with `tensors` also the full-resolution RGB tensor of
+    each and its shape, stored beside it."""
+    rows = store(docs, text, out)
+    if tensors:
+        rows = load(rows, out, tensor=True)
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every text stored and read back: id, n_bytes (unpadded) and the columns of load(). Null and empty texts are one
-    unit of padding. Texts are stored whole; rows are independent, so repeated rows get equal values and an empty table
-    gives an empty result. Other columns are ignored."""
+    """Every text stored in the shared folder and read back from there: id, n_bytes (unpadded) and the columns of load(). Null and empty
+    texts are one unit of padding. Texts are stored whole; rows are independent, so repeated rows get equal values and an empty
+    table gives an empty result. Other columns are ignored."""
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).cast("binary").alias("_text"))
-    return load(store(rows, "_text", "_media").drop("_text"), "_media").drop("_media")
+    kept = store(rows, "_text", "_media").drop("_text")
+    path = new_path(docs.sparkSession, "media")
+    kept.write.option("compression", "zstd").parquet(path)
+    return load(docs.sparkSession.read.schema(kept.schema).parquet(path), "_media").drop("_media")
