@@ -144,18 +144,19 @@ def branch_baseline(violations: DataFrame, files: DataFrame) -> tuple[DataFrame,
     return rules, files.groupBy("branch").agg(F.count_distinct("file").alias("scanned"), F.sum(X.nonblank_lines(F.col("text"))).alias("loc"))
 
 
-def rule_section(found: DataFrame, rules: DataFrame, branch: DataFrame, added: int, needs_types: list[str], house_from: float = 0.25) -> DataFrame:
-    """One row per rule that fires: introduced, in_tests, production and pre_existing violations, category, share of the branch's
+def rule_section(found: DataFrame, rules: DataFrame, branch: DataFrame, added: int | DataFrame, needs_types: list[str], house_from: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per rule that fires, or per `by` and rule: introduced, in_tests, production and pre_existing violations, category, share of the branch's
     files it hits, house (style of the house), expected and p of its production count, usual, needs_types and class: untyped,
     house, usual or counted, of which each rule is one.
 
-    found: rule, category, in_test, is_new; rules, branch: a baseline of one branch (see branch_baseline); added: production lines.
+    found: rule, category, in_test, is_new; rules, branch: a baseline of one branch (see branch_baseline); added: production lines, or a table of them (*by, added).
     """
     new = F.col("is_new")
-    n = found.groupBy("rule").agg(F.min("category").alias("category"), F.count(F.when(new, 1)).alias("introduced"), F.count(F.when(new & F.col("in_test"), 1)).alias("in_tests"), F.count(F.when(~new, 1)).alias("pre_existing"))
+    n = found.groupBy(*by, "rule").agg(F.min("category").alias("category"), F.count(F.when(new, 1)).alias("introduced"), F.count(F.when(new & F.col("in_test"), 1)).alias("in_tests"), F.count(F.when(~new, 1)).alias("pre_existing"))
     base = rules.join(F.broadcast(branch), "branch").select("rule", "violations", "loc", (F.col("files_hit") / F.col("scanned")).alias("share"))  # one row per branch
     j = n.join(base, "rule", "left").fillna(0, ["violations", "loc", "share"]).withColumn("production", F.col("introduced") - F.col("in_tests"))
-    j = judged(j.withColumn("observed", F.col("production")).withColumn("added", F.lit(added))).withColumn("house", F.col("share") >= house_from).withColumn("needs_types", F.col("rule").isin(*needs_types))
+    j = j.join(added, list(by), "left").fillna(0, ["added"]) if isinstance(added, DataFrame) else j.withColumn("added", F.lit(added))
+    j = judged(j.withColumn("observed", F.col("production"))).withColumn("house", F.col("share") >= house_from).withColumn("needs_types", F.col("rule").isin(*needs_types))
     kind = F.when(F.col("needs_types"), "untyped").when(F.col("house"), "house").when(F.col("usual"), "usual").otherwise("counted")
     return j.withColumn("class", kind).drop("observed", "added", "violations", "loc")
 

@@ -132,10 +132,11 @@ def commit_facts(keyed: DataFrame, commits: DataFrame, c: Project = Project()) -
 
 
 def all_facts(
-    changes: DataFrame, tickets: DataFrame, files: DataFrame, added: DataFrame, runs: DataFrame, commits: DataFrame, builds: DataFrame, static: DataFrame, introduced: DataFrame, voted: DataFrame, banned: list[tuple[str, str]], c: Project = Project()
+    changes: DataFrame, tickets: DataFrame, files: DataFrame, added: DataFrame, runs: DataFrame, commits: DataFrame, builds: DataFrame, static: DataFrame, introduced: list[DataFrame], voted: DataFrame, banned: list[tuple[str, str]], c: Project = Project()
 ) -> DataFrame:
-    """One row per change. changes: pr, draft, base, head, title, branch, body, state; static: pr, status, expected, analyzed;
-    introduced: pr and counts of what analysis found new; voted: see identity.votes. Each table meets the changes once, by pr."""
+    """One row per change. changes: pr, draft, base, head, title, branch, body, state; static: pr, status, expected and of
+    each tool (style, rules, copies) its status and analyzed files, catalog, types; introduced: tables by pr of what analysis found new, see
+    module introduced; voted: see identity.votes. Each table meets the changes once, by pr."""
     none = F.array().cast("array<string>")
     k = changes.withColumn("_k", X.key_struct(F.col("title"), F.col("branch"), F.col("body"), none, c.name))
     keyed = k.select(*changes.columns, F.col("_k.key").alias("key"), F.col("_k.sources").alias("sources"), F.col("_k.conflicts").alias("conflicts"))
@@ -145,7 +146,7 @@ def all_facts(
     style = static.withColumnRenamed("status", "static")
     sens = sensitive_files(files, added, serializer=c.serializer).groupBy("pr").agg(F.array_sort(F.collect_set("path")).alias("sensitive"))
     vote = voted.select("pr", "counted", "others", "author_vote")
-    tables = [file_facts(files, c), line_facts(added, banned, c), branch_facts(keyed, runs), commit_facts(keyed, commits, c), build, style, introduced, sens, vote]
+    tables = [file_facts(files, c), line_facts(added, banned, c), branch_facts(keyed, runs), commit_facts(keyed, commits, c), build, style, *introduced, sens, vote]
     f = reduce(lambda a, b: a.join(b, "pr", "left"), tables, ticket_facts(keyed, tickets, c))
     f = f.withColumn("release", F.col("base").rlike(c.release)).withColumn("strong", strong).withColumn("medium", medium).withColumn("hints", hints)
     ours = F.col("_build_head").eqNullSafe(F.col("head")) & (F.col("build") != "not-built")

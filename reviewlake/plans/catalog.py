@@ -63,7 +63,9 @@ VIEWS = {
  WHEN 3 THEN concat('fixup! tidy', chr(10), 'Assisted-by: tool') WHEN 4 THEN concat('work', chr(10), 'Co-authored-by: Copilot <x@y>') ELSE 'work' END AS message, CASE l_suppkey % 3 WHEN 0 THEN 'test/microbench/B.java' WHEN 1 THEN 'src/java/org/project/A.java' ELSE 'doc/x.md' END AS path FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "builds": """SELECT o_orderkey AS pr, CASE WHEN o_orderkey % 8 = 0 THEN 'old' ELSE md5(CAST(o_orderkey AS STRING)) END AS head, CASE o_orderkey % 9 WHEN 0 THEN 'build-failed' WHEN 1 THEN 'tests-failed' WHEN 2 THEN 'timeout' WHEN 3 THEN 'unknown' WHEN 4 THEN 'not-built' ELSE 'pass' END AS status, o_orderkey % 4 AS compile_errors,
  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 50 END AS run, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 3 ELSE 0 END AS failing, CASE WHEN o_orderkey % 6 = 5 THEN 1 ELSE 0 END AS flaky, CASE WHEN o_orderkey % 14 = 3 THEN 2 ELSE 0 END AS artifacts, CASE WHEN o_orderkey % 15 = 2 THEN NULL ELSE o_orderkey % 4 * 5 END AS executable, o_orderkey % 3 AS missed, CASE WHEN o_orderkey % 21 = 6 THEN 1 ELSE 0 END AS unmeasured FROM {orders} WHERE o_orderkey % 12 <> 7""",
-    "static_runs": "SELECT o_orderkey AS pr, CASE o_orderkey % 10 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'no changed files' ELSE 'ran' END AS status, 3 AS expected, CASE WHEN o_orderkey % 10 = 2 THEN 2 WHEN o_orderkey % 20 = 3 THEN 0 ELSE 3 END AS analyzed FROM {orders} WHERE o_orderkey % 7 <> 0",
+    "static_runs": """SELECT o_orderkey AS pr, CASE o_orderkey % 10 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'no changed files' ELSE 'ran' END AS status, CASE o_orderkey % 11 WHEN 4 THEN 'not-applicable' WHEN 6 THEN 'failed' ELSE 'ran' END AS style_status, CASE WHEN o_orderkey % 10 = 2 THEN 2 WHEN o_orderkey % 20 = 3 THEN 0 ELSE 3 END AS style_analyzed,
+ CASE o_orderkey % 13 WHEN 2 THEN 'failed' ELSE 'ran' END AS rules_status, CASE WHEN o_orderkey % 10 = 4 THEN 2 WHEN o_orderkey % 20 = 5 THEN 0 ELSE 3 END AS rules_analyzed, CASE o_orderkey % 17 WHEN 3 THEN 'skipped' ELSE 'ran' END AS catalog, o_orderkey % 3 = 0 AS types, CASE o_orderkey % 19 WHEN 7 THEN 'not-applicable' ELSE 'ran' END AS copies_status, CASE WHEN o_orderkey % 8 = 6 THEN 1 ELSE 3 END AS copies_analyzed, 3 AS expected FROM {orders} WHERE o_orderkey % 7 <> 0""",
+    "owners": "SELECT l_partkey AS file_id, min(l_orderkey) AS pr, path FROM {lineitem} JOIN {paths} ON l_partkey = file_id GROUP BY l_partkey, path",
     "approvals": "SELECT event_id AS seq, CAST(floor(event_id / 3) AS BIGINT) AS pr, concat('dev', CAST(user_id AS STRING)) AS who, CASE event_id % 2 WHEN 0 THEN 'review' ELSE 'comment' END AS source, ts AS made, event_type <> 'view' AS approved, CASE event_id % 5 WHEN 0 THEN '+1' WHEN 1 THEN 'LGTM (+1)' WHEN 2 THEN '+10 lines' WHEN 3 THEN 'thanks, +1 from me' ELSE 'c++1' END AS body, CASE event_id % 7 WHEN 0 THEN 'MEMBER' WHEN 1 THEN 'OWNER' ELSE 'NONE' END AS association FROM {events}",
     "overrides": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'comment' ELSE 'review' END AS source, concat('dev', CAST(c_custkey AS STRING)) AS who, concat('dev', CAST(c_custkey + 1 AS STRING)) AS id FROM {customer} WHERE c_custkey % 25 < 2",
 }

@@ -16,12 +16,19 @@ def sides(t, view="methods"):
     return [t(view).filter(F.col("side") == s).drop("side") for s in ("base", "head")]
 
 
-@query(METHOD_SQL + """, u AS (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1), j AS (SELECT h.*, r.base_file, r.new_file, e.score AS ex, u.s AS al, coalesce(bc.n, bn.n, 0) >= coalesce(hc.n, 0) AS enough, h.sig IN (SELECT sig FROM b) AS elsewhere FROM h JOIN {renames} r ON r.file_id = h.file_id LEFT JOIN b e ON e.file_id = base_file AND e.cls = h.cls AND e.sig = h.sig LEFT JOIN u ON u.file_id = base_file AND u.sig = h.sig
+def method_delta(t):
+    return D.method_delta(*sides(t), t("renames"), *sides(t, "bodies"))
+
+
+METHOD_DELTA_SQL = (METHOD_SQL + """, u AS (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1), j AS (SELECT h.*, r.base_file, r.new_file, e.score AS ex, u.s AS al, coalesce(bc.n, bn.n, 0) >= coalesce(hc.n, 0) AS enough, h.sig IN (SELECT sig FROM b) AS elsewhere FROM h JOIN {renames} r ON r.file_id = h.file_id LEFT JOIN b e ON e.file_id = base_file AND e.cls = h.cls AND e.sig = h.sig LEFT JOIN u ON u.file_id = base_file AND u.sig = h.sig
  LEFT JOIN bc ON bc.file_id = base_file AND bc.cls = h.cls AND bc.name = h.name LEFT JOIN bn ON bn.file_id = base_file AND bn.name = h.name LEFT JOIN hc ON hc.file_id = h.file_id AND hc.cls = h.cls AND hc.name = h.name), k AS (SELECT *, coalesce(ex, al, CASE WHEN base_file IS NOT NULL AND enough THEN 0 END) AS base FROM j)
 SELECT file_id, cls, sig, score, base, CASE WHEN new_file THEN 'introduced-new-file' WHEN base IS NULL THEN CASE WHEN base_file IS NOT NULL AND elsewhere THEN 'moved' ELSE 'introduced-new-method' END WHEN score < base THEN 'pre-existing-improved' WHEN score = base THEN CASE WHEN touched THEN 'pre-existing-touched' ELSE 'pre-existing' END WHEN score < 15 THEN 'pre-existing-touched' WHEN base >= 15 THEN 'introduced-worsened' ELSE 'introduced-crossed' END AS kind,
  CASE WHEN ex IS NOT NULL THEN 'exact' WHEN al IS NOT NULL THEN 'signature' WHEN base_file IS NOT NULL AND enough THEN 'existed' END AS matched FROM k""")
+
+
+@query(METHOD_DELTA_SQL)
 def jon11_jon12_method_delta(t):
-    return D.method_delta(*sides(t), t("renames"), *sides(t, "bodies"))
+    return method_delta(t)
 
 
 @query(METHOD_SQL + " SELECT file_id, cls, sig, score FROM b WHERE score >= 15 AND NOT EXISTS (SELECT 1 FROM h WHERE h.score >= 15 AND h.sig = b.sig AND ((h.file_id = b.file_id AND h.cls = b.cls) OR h.file_id <> b.file_id))")
@@ -38,13 +45,19 @@ def jon11_cascade(t):
     return out.select("file_id", "cls", "sig", "base", "level")
 
 
-@query("""WITH h AS (SELECT file_id, rule, message, line, row_number() OVER (PARTITION BY file_id, rule, message ORDER BY line) AS k FROM {violations} WHERE side = 'head'), b AS (SELECT file_id, rule, message, line, row_number() OVER (PARTITION BY file_id, rule, message ORDER BY line) AS k FROM {violations} WHERE side = 'base')
-SELECT file_id, rule, message, k, h.line, b.line AS base_line, CASE WHEN h.line IS NULL THEN 'fixed' WHEN b.line IS NULL THEN 'introduced' ELSE 'pre-existing' END AS kind FROM h FULL JOIN b USING (file_id, rule, message, k)""")
-def jon14_style_bag_match(t):
+STYLE_DELTA_SQL = """WITH h AS (SELECT file_id, rule, message, line, row_number() OVER (PARTITION BY file_id, rule, message ORDER BY line) AS k FROM {violations} WHERE side = 'head'), b AS (SELECT file_id, rule, message, line, row_number() OVER (PARTITION BY file_id, rule, message ORDER BY line) AS k FROM {violations} WHERE side = 'base')
+SELECT file_id, rule, message, k, h.line, b.line AS base_line, CASE WHEN h.line IS NULL THEN 'fixed' WHEN b.line IS NULL THEN 'introduced' ELSE 'pre-existing' END AS kind FROM h FULL JOIN b USING (file_id, rule, message, k)"""
+
+
+def style_delta(t):
     v = t("violations").select("file_id", "rule", "message", "line", "side")
     base, head = (v.filter(F.col("side") == s).drop("side") for s in ("base", "head"))
-    out = D.style_delta(base, head, ["file_id", "rule", "message"], ["line"])
-    return out.select("file_id", "rule", "message", F.col("_k").alias("k"), "line", F.col("r_line").alias("base_line"), "kind")
+    return D.style_delta(base, head, ["file_id", "rule", "message"], ["line"])
+
+
+@query(STYLE_DELTA_SQL)
+def jon14_style_bag_match(t):
+    return style_delta(t).select("file_id", "rule", "message", F.col("_k").alias("k"), "line", F.col("r_line").alias("base_line"), "kind")
 
 
 @query("SELECT pr, file_id, line, rule, side FROM (SELECT DISTINCT pr, file_id, line, rule, side FROM {violations}) v WHERE EXISTS (SELECT 1 FROM {ranges} r WHERE r.file_id = v.file_id AND v.line BETWEEN r.begin_line AND r.end_line)")

@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import deltas as D
 from ..operators import facts as K
 from ..operators import identity as I
+from ..operators import introduced as N
 from ..operators import joins as J
+from . import deltas as B
 from .catalog import query
 from .scalar import RESOLVED_SQL
 
@@ -42,18 +45,40 @@ def agg20_jon19_votes(t):
     return voted(t).select("pr", F.size("counted").cast("long").alias("have"), bars(F.transform("counted", lambda c: c["id"])).alias("counted"), bars(shown).alias("evidence"), bars(F.col("others")).alias("others"), "author_vote")
 
 
+COPY_SQL = """WITH o AS (SELECT DISTINCT l_orderkey AS block, l_partkey AS file_id, l_linenumber * 10 AS line, l_linenumber * 10 + 4 AS endline FROM lineitem), m AS (SELECT o.*, EXISTS (SELECT 1 FROM {ranges} r WHERE r.file_id = o.file_id AND r.begin_line <= o.endline AND r.end_line >= o.line) AS hit, file_id % 4 = 0 AS fresh FROM o)
+SELECT block, bool_or(hit) OR bool_and(fresh) AS introduced FROM m GROUP BY block"""
+
+
+def occurrences(t):
+    return t("lineitem").selectExpr("l_orderkey AS block", "l_partkey AS file_id", "l_linenumber * 10 AS line", "l_linenumber * 10 + 4 AS endline").distinct()
+
+
+def introduced_copies(t):
+    o = occurrences(t)
+    hit = J.overlapping(o, t("ranges"), ["file_id"], "line", "endline", "begin_line", "end_line").select("block").distinct().withColumn("hit", F.lit(True))
+    fresh = o.groupBy("block").agg(F.bool_and(F.col("file_id") % 4 == 0).alias("fresh"))
+    return fresh.join(hit, "block", "left").select("block", (F.coalesce("hit", F.lit(False)) | F.col("fresh")).alias("introduced"))
+
+
+UNTYPED = ["Rule5", "Rule6"]
+
+
 def introduced(t):
-    v = t("violations").filter("side = 'head'")
-    n = lambda rule, least: F.count(F.when((F.col("rule") == rule) & (F.col("score") >= least), 1))
-    return v.groupBy("pr").agg(n("Rule1", 20).alias("style_new"), n("Rule2", 15).alias("complex_new"), n("Rule3", 0).alias("bugs_new"), n("Rule4", 10).alias("copies_new"))
+    """What analysis found new in the files of each change: a file belongs to the first change that touches it."""
+    owners = t("owners")
+    found = B.introduced(t).drop("pr").join(owners, "file_id").select("pr", "rule", F.expr(B.CATEGORY).alias("category"), F.col("path").startswith("test/").alias("in_test"), "is_new")
+    rules, branch = B.baseline(t)
+    sections = D.rule_section(found, rules.filter("branch = 'src1'"), branch.filter("branch = 'src1'"), N.added_production(t("touched")), UNTYPED, by=("pr",))
+    places = occurrences(t).select(F.col("block").alias("pr"), "block", F.concat_ws("", F.col("file_id").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit("-"), F.col("endline").cast("string")).alias("place"))
+    return [N.style_facts(B.style_delta(t), owners), N.method_facts(B.method_delta(t), owners), N.rule_facts(sections, t("static_runs").select("pr", "types")), N.copy_facts(places, introduced_copies(t))]
 
 
 def facts(t):
     changes = t("subjects")
     commits = t("change_commits").withColumn("paths", F.array("path"))
     f = K.all_facts(changes, t("tickets"), t("touched"), t("added"), t("ticket_ci"), commits, t("builds"), t("static_runs"), introduced(t), voted(t), BANNED)
-    f = f.withColumn("has_latest", ~F.col("base").isin("project-3.0", "project-3.11")).withColumn("roster_read", F.col("pr") % 23 != 5)
-    return f.fillna(0, ["style_new", "complex_new", "bugs_new", "copies_new"])
+    f = f.withColumn("style_file", F.expr("CASE WHEN base = 'project-3.0' THEN 'missing' WHEN pr % 29 = 4 THEN 'unreadable' ELSE 'read' END")).withColumn("has_latest", ~F.col("base").isin("project-3.0", "project-3.11")).withColumn("roster_read", F.col("pr") % 23 != 5)
+    return f.fillna(0, ["style_new", "style_old", "style_fixed", "complex_new", "complex_tests", "bugs_new", "bugs_other", "copies_new"])
 
 
 SURFACE_SQL = r"""(VALUES ('config', '^(conf/project[^/]*\.yaml|src/java/org/project/config/Config\.java)$'), ('native protocol', '^(src/java/org/project/transport/|doc/native_protocol)'), ('CQL grammar', '^src/antlr/'), ('CQL semantics', '^src/java/org/project/cql3/'), ('messaging', '^src/java/org/project/net/'),
@@ -107,19 +132,35 @@ ul AS (SELECT pr, list_sort(list(path)) AS unlicensed FROM (SELECT pr, path FROM
 cm AS (SELECT pr, count(*) AS commits, count(*) FILTER (named = '' OR coalesce(named <> key OR contains(lower(split_part(message, chr(10), 1)), lower(key)), false)) AS bad, count(*) FILTER (regexp_matches(message, '\n(Assisted|Co-authored)-by: ')) AS trailers, bool_or(regexp_matches(message, '\n(Assisted-by: |Co-authored-by: Copilot)')) AS helped
  FROM (SELECT c.*, kd.key, upper(regexp_extract(message, '(?im)^patch by .+?[;,]\s*reviewed by .+? for (PROJ-\d+)', 1)) AS named FROM {change_commits} c JOIN kd USING (pr)) GROUP BY pr),
 co AS (SELECT pr, min(idx) FILTER (starts_with(path, 'test/microbench/')) AS bench_first, min(idx) FILTER (starts_with(path, 'src/java/')) AS source_first FROM (SELECT *, starts_with(message, 'fixup!') AS fix, bool_and(starts_with(message, 'fixup!')) OVER (PARTITION BY pr) AS all_fix FROM {change_commits}) WHERE NOT fix OR all_fix GROUP BY pr),
-iv AS (SELECT pr, count(*) FILTER (rule = 'Rule1' AND score >= 20) AS style_new, count(*) FILTER (rule = 'Rule2' AND score >= 15) AS complex_new, count(*) FILTER (rule = 'Rule3') AS bugs_new, count(*) FILTER (rule = 'Rule4' AND score >= 10) AS copies_new FROM {violations} WHERE side = 'head' GROUP BY pr), """
+ad AS (SELECT pr, coalesce(sum(additions) FILTER (regexp_matches(path, '^(src/java|pylib)/')), 0)::BIGINT AS added FROM {touched} GROUP BY pr),
+sy AS (WITH q AS ("""
+    + B.STYLE_DELTA_SQL
+    + r""") SELECT pr, count(*) FILTER (kind = 'introduced') AS style_new, count(*) FILTER (kind = 'pre-existing') AS style_old, count(*) FILTER (kind = 'fixed') AS style_fixed, list_slice(list(path || ':' || line || ' ' || rule ORDER BY path, line, rule) FILTER (kind = 'introduced'), 1, 50) AS style_places FROM q JOIN {owners} USING (file_id) GROUP BY pr),
+mt AS (WITH q AS ("""
+    + B.METHOD_DELTA_SQL
+    + r""") SELECT pr, count(*) FILTER (NOT starts_with(path, 'test/')) AS complex_new, count(*) FILTER (starts_with(path, 'test/')) AS complex_tests, list_slice(list(cls || '.' || sig || ' ' || score ORDER BY score DESC, path, cls, sig) FILTER (NOT starts_with(path, 'test/')), 1, 5) AS complex_top FROM q JOIN {owners} USING (file_id) WHERE starts_with(kind, 'introduced') AND score >= 15 GROUP BY pr),
+rn AS ("""
+    + B.NEW_SQL
+    + f""", {B.BASE_SQL}, fd AS (SELECT o.pr, rule, {B.CATEGORY} AS category, starts_with(path, 'test/') AS in_test, is_new FROM nw JOIN {{owners}} o USING (file_id)), c AS (SELECT pr, rule, min(category) AS category, count(*) FILTER (is_new) AS introduced, count(*) FILTER (is_new AND NOT in_test) AS production FROM fd GROUP BY ALL),
+ x AS (SELECT c.*, coalesce(violations, 0) AS violations, coalesce(loc, 0) AS loc, coalesce(files_hit::DOUBLE / scanned, 0) >= 0.25 AS house, coalesce(added, 0) AS added FROM c LEFT JOIN (SELECT * FROM br JOIN bb USING (branch) WHERE branch = 'src1') USING (rule) LEFT JOIN ad USING (pr)), y AS (SELECT *, CASE WHEN loc > 0 THEN violations::DOUBLE / loc * added ELSE 0 END AS expected FROM x)
+ SELECT *, coalesce(CASE WHEN production > 0 AND violations > 0 AND loc > 0 AND added > 0 THEN 1 - list_sum(list_transform(range(production), lambda i: exp(-expected + i * ln(expected) - CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END))) >= 0.01 END, false) AS usual, rule IN ('Rule5', 'Rule6') AS needs_types FROM y),
+rd AS (SELECT rn.*, needs_types AND NOT coalesce(types, false) AS blind, NOT house AND NOT usual AND introduced > 0 AND NOT (needs_types AND NOT coalesce(types, false)) AS counts, category IN ('errorprone', 'multithreading', 'security') AS red FROM rn LEFT JOIN {{static_runs}} USING (pr)),
+"""
+    + r"""bg AS (SELECT pr, coalesce(sum(production) FILTER (counts AND red), 0)::BIGINT AS bugs_new, coalesce(sum(production) FILTER (counts AND NOT red), 0)::BIGINT AS bugs_other, coalesce(list(rule || ' ' || production ORDER BY production DESC, rule) FILTER (counts AND red AND production > 0), []) AS bug_rules, coalesce(list(rule || ' is usual' ORDER BY rule) FILTER (usual AND NOT house AND production > 0), []) AS usual_rules, coalesce(list(rule || ' needs types' ORDER BY rule) FILTER (blind AND NOT house AND introduced > 0), []) AS untyped_rules FROM rd GROUP BY pr),
+cp AS (WITH q AS ("""
+    + COPY_SQL
+    + r""") SELECT block AS pr, 1 AS copies_new, list_slice(list(l_partkey || ':' || n || '-' || (n + 4) ORDER BY l_partkey || ':' || n || '-' || (n + 4)), 1, 50) AS copies FROM q JOIN (SELECT DISTINCT l_orderkey AS block, l_partkey, l_linenumber * 10 AS n FROM lineitem) USING (block) WHERE introduced GROUP BY block), """
     + VOTE_SQL
     + r""", fx AS (SELECT kd.*, lookup, ticket_status, versions, wanted, targets, no_ci, unknown_sha, stale, compared, ci_branches, no_upgrade, ci_failed, uncounted, prod_lines, suites, all_tests, has_prod, protected, grammar, yaml, recent, java, admin, help, surfaces, sensitive, log_lines, entries, banned, deprecated, properties, unlicensed, commits, bad, trailers, helped, bench_first, source_first,
- CASE WHEN bu.head = kd.head AND bu.status <> 'not-built' THEN bu.status END AS build, compile_errors, run, failing, flaky, artifacts, executable, missed, unmeasured, sr.status AS static, expected, analyzed, coalesce(style_new, 0) AS style_new, coalesce(complex_new, 0) AS complex_new, coalesce(bugs_new, 0) AS bugs_new, coalesce(copies_new, 0) AS copies_new, len(ids) + CASE WHEN author_vote IS NOT NULL AND NOT coalesce(all_tests, false) THEN 1 ELSE 0 END AS have, CASE WHEN coalesce(all_tests, false) THEN 1 ELSE 2 END AS need, shown,
+ CASE WHEN bu.head = kd.head AND bu.status <> 'not-built' THEN bu.status END AS build, compile_errors, run, failing, flaky, artifacts, executable, missed, unmeasured, sr.status AS static, expected, style_status, style_analyzed, rules_status, rules_analyzed, copies_status, copies_analyzed, catalog, CASE WHEN kd.base = 'project-3.0' THEN 'missing' WHEN kd.pr % 29 = 4 THEN 'unreadable' ELSE 'read' END AS style_file, coalesce(style_new, 0) AS style_new, coalesce(style_old, 0) AS style_old, coalesce(style_fixed, 0) AS style_fixed, coalesce(style_places, []) AS style_places, coalesce(complex_new, 0) AS complex_new, coalesce(complex_tests, 0) AS complex_tests, coalesce(complex_top, []) AS complex_top, coalesce(bugs_new, 0) AS bugs_new, coalesce(bugs_other, 0) AS bugs_other, bug_rules, usual_rules, untyped_rules, coalesce(copies_new, 0) AS copies_new, copies, len(ids) + CASE WHEN author_vote IS NOT NULL AND NOT coalesce(all_tests, false) THEN 1 ELSE 0 END AS have, CASE WHEN coalesce(all_tests, false) THEN 1 ELSE 2 END AS need, shown, CASE WHEN author_vote IS NOT NULL AND NOT coalesce(all_tests, false) THEN [kd.author || ' as author'] ELSE [] END AS own_vote, list_transform(others, lambda x: x || ' is no committer') AS other_votes,
  kd.pr % 23 <> 5 AS roster_read, kd.base NOT IN ('project-3.0', 'project-3.11') AS has_latest, list_filter([CASE WHEN bench THEN 'benchmark file' END, CASE WHEN label = 'Performance' THEN 'label' END, CASE WHEN component = 'Test/benchmark' THEN 'component' END], lambda x: x IS NOT NULL) AS strong, list_filter([CASE WHEN starts_with(summary, 'Faster') THEN 'title' END, CASE WHEN contains(body, 'JMH') THEN 'body' END], lambda x: x IS NOT NULL) AS medium,
  list_filter([CASE WHEN starts_with(branch, 'codex/') THEN 'branch name' END, CASE WHEN contains(body, 'copilot') THEN 'description' END], lambda x: x IS NOT NULL) AS hints
- FROM kd JOIN tw USING (pr) LEFT JOIN br USING (pr) LEFT JOIN ct ON ct.key = kd.key LEFT JOIN ff USING (pr) LEFT JOIN sf USING (pr) LEFT JOIN sn USING (pr) LEFT JOIN lg USING (pr) LEFT JOIN ul USING (pr) LEFT JOIN cm USING (pr) LEFT JOIN co USING (pr) LEFT JOIN iv USING (pr) LEFT JOIN {builds} bu ON bu.pr = kd.pr LEFT JOIN {static_runs} sr ON sr.pr = kd.pr LEFT JOIN vo ON vo.pr = kd.pr)"""
+ FROM kd JOIN tw USING (pr) LEFT JOIN br USING (pr) LEFT JOIN ct ON ct.key = kd.key LEFT JOIN ff USING (pr) LEFT JOIN sf USING (pr) LEFT JOIN sn USING (pr) LEFT JOIN lg USING (pr) LEFT JOIN ul USING (pr) LEFT JOIN cm USING (pr) LEFT JOIN co USING (pr) LEFT JOIN sy USING (pr) LEFT JOIN mt USING (pr) LEFT JOIN bg USING (pr) LEFT JOIN cp USING (pr) LEFT JOIN {builds} bu ON bu.pr = kd.pr LEFT JOIN {static_runs} sr ON sr.pr = kd.pr LEFT JOIN vo ON vo.pr = kd.pr)"""
 )
 SOURCE = "WHEN key IS NULL AND NOT release THEN 'not-applicable' WHEN key IS NULL OR lookup IN ('unavailable', 'not found') THEN 'unknown'"
 TICKET = "WHEN lookup = 'unavailable' THEN 'unknown' WHEN lookup IS DISTINCT FROM 'found' THEN 'not-applicable'"
-GATE = "WHEN static IS NULL THEN 'unknown' WHEN static = 'no changed files' THEN 'not-applicable' WHEN static <> 'ran' THEN 'unknown' WHEN {0} THEN 'unknown'"
-WHOLE, SOME = GATE.format("analyzed < expected"), GATE.format("analyzed < expected AND analyzed = 0")
-STYLED = "static = 'ran' AND analyzed = expected"
+GATE = "WHEN static IS NULL THEN 'unknown' WHEN static = 'no changed files' THEN 'not-applicable' WHEN static <> 'ran' THEN 'unknown' WHEN {0}_status = 'not-applicable' THEN 'not-applicable' WHEN {0}_status <> 'ran' THEN 'unknown' WHEN {0}_analyzed < expected{1} THEN 'unknown'"
+STYLED = "static IS NOT NULL AND style_status = 'ran'"
 #: id, owner, blocking, status, whether action is required, blocking where it differs, evidence
 RULES = [
     ("jira.key-present", "contributor", True, "CASE WHEN key IS NOT NULL THEN 'pass' WHEN release THEN 'fail' ELSE 'warn' END", None, "key IS NOT NULL OR release", "[]"),
@@ -141,11 +182,11 @@ RULES = [
     ("build.tests-pass", "contributor", True, "CASE WHEN build IS NULL OR build = 'build-failed' THEN 'not-applicable' WHEN build = 'timeout' OR run IS NULL OR build = 'unknown' THEN 'unknown' WHEN failing > 0 OR (build = 'tests-failed' AND artifacts = 0) THEN 'fail' WHEN artifacts > 0 OR flaky > 0 OR run = 0 THEN 'unknown' ELSE 'pass' END",
      None, "NOT coalesce(build <> 'build-failed' AND (build IN ('timeout', 'unknown') OR run IS NULL OR ((failing = 0 AND NOT (build = 'tests-failed' AND artifacts = 0)) AND (artifacts > 0 OR flaky > 0 OR run = 0)) OR (run = 0 AND failing > 0 AND build = 'pass' AND artifacts = 0 AND flaky = 0)), false)", "[]"),
     ("build.changed-line-coverage", "contributor", False, "CASE WHEN build IS NULL OR build = 'build-failed' OR executable = 0 THEN 'not-applicable' WHEN executable IS NULL THEN 'unknown' WHEN missed > 0 THEN 'warn' WHEN unmeasured > 0 THEN 'unknown' ELSE 'pass' END", "false", None, "[]"),
-    ("static.checkstyle", "contributor", False, f"CASE {WHOLE} WHEN style_new > 0 THEN 'warn' ELSE 'pass' END", None, None, "[]"),
-    ("static.complexity", "contributor", False, f"CASE {SOME} WHEN complex_new > 0 THEN 'warn' WHEN analyzed < expected THEN 'unknown' ELSE 'pass' END", "false", None, "[]"),
-    ("static.pmd-rules", "contributor", False, f"CASE {SOME} WHEN bugs_new > 0 THEN 'warn' WHEN analyzed < expected THEN 'unknown' ELSE 'pass' END", "false", None, "[]"),
-    ("static.duplication", "contributor", False, f"CASE {WHOLE} WHEN copies_new > 0 THEN 'warn' ELSE 'pass' END", "false", None, "[]"),
-    ("static.banned-api", "contributor", False, f"CASE WHEN {STYLED} THEN 'not-applicable' WHEN banned IS NOT NULL THEN 'warn' ELSE 'pass' END", None, None, "banned"),
+    ("static.checkstyle", "contributor", False, f"CASE {GATE.format('style', '')} WHEN style_new > 0 THEN 'warn' ELSE 'pass' END", None, None, "list_concat(style_places, [style_old || ' pre-existing, ' || style_fixed || ' fixed'])"),
+    ("static.complexity", "contributor", False, f"CASE {GATE.format('rules', ' AND rules_analyzed = 0')} WHEN complex_new > 0 THEN 'warn' WHEN rules_analyzed < expected THEN 'unknown' ELSE 'pass' END", "false", None, "list_concat(complex_top, CASE WHEN complex_tests > 0 THEN [complex_tests || ' in tests'] ELSE [] END)"),
+    ("static.pmd-rules", "contributor", False, f"CASE {GATE.format('rules', ' AND rules_analyzed = 0')} WHEN catalog <> 'ran' THEN 'unknown' WHEN bugs_new > 0 THEN 'warn' WHEN rules_analyzed < expected THEN 'unknown' ELSE 'pass' END", "false", None, "list_concat(list_concat(bug_rules, usual_rules), untyped_rules)"),
+    ("static.duplication", "contributor", False, f"CASE {GATE.format('copies', '')} WHEN copies_new > 0 THEN 'warn' ELSE 'pass' END", "false", None, "copies"),
+    ("static.banned-api", "contributor", False, f"CASE WHEN {STYLED} THEN 'not-applicable' WHEN style_file = 'missing' THEN 'not-applicable' WHEN style_file <> 'read' THEN 'unknown' WHEN banned IS NOT NULL THEN 'warn' ELSE 'pass' END", None, None, "banned"),
     ("static.license-header", "contributor", False, "CASE WHEN unlicensed IS NOT NULL THEN 'warn' ELSE 'pass' END", None, None, "unlicensed"),
     ("static.protected-paths", "contributor", False, f"CASE WHEN {has('protected')} OR {has('grammar')} THEN 'warn' ELSE 'pass' END", has("protected"), None, "list_concat(protected, grammar)"),
     ("static.deprecated-since", "contributor", False, f"CASE WHEN {STYLED} THEN 'not-applicable' WHEN deprecated IS NOT NULL THEN 'warn' ELSE 'pass' END", None, None, "deprecated"),
@@ -153,7 +194,7 @@ RULES = [
     ("compat.system-properties", "contributor", False, "CASE WHEN properties IS NOT NULL THEN 'warn' ELSE 'pass' END", None, None, "properties"),
     ("compat.command-help", "contributor", False, f"CASE WHEN NOT {has('admin')} THEN 'not-applicable' WHEN help > 0 THEN 'pass' ELSE 'warn' END", "false", None, "admin"),
     ("compat.surfaces", "reviewer", False, "CASE WHEN surfaces IS NULL THEN 'pass' ELSE 'warn' END", "false", None, "surfaces"),
-    ("votes.committer-plus-ones", "reviewer", True, "CASE WHEN have >= need THEN 'pass' WHEN NOT roster_read AND have = 0 THEN 'unknown' ELSE 'fail' END", None, None, "shown"),
+    ("votes.committer-plus-ones", "reviewer", True, "CASE WHEN have >= need THEN 'pass' WHEN NOT roster_read AND have = 0 THEN 'unknown' ELSE 'fail' END", None, None, "list_concat(list_concat(shown, own_vote), other_votes)"),
 ]
 RESULT_SQL = FACT_SQL + ", re AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT pr, '{i}' AS check_id, {s} AS status, {b if o is None else o} AS blocking, '{w}' AS owner, ({'NULL' if r is None else r})::BOOLEAN AS required, coalesce({e}, []) AS evidence FROM fx" for i, w, b, s, r, o, e in RULES) + "), rs AS (SELECT pr, check_id, status, blocking, owner, coalesce(required AND status IN ('fail', 'warn'), status IN ('fail', 'warn')) AS action_required, evidence FROM re)"
 

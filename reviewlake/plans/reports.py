@@ -12,7 +12,7 @@ from ..operators.ranking import ranked
 from ..sources import records as S
 from .catalog import query
 from .findings import ISSUE_SQL
-from .gates import FACT_SQL, facts
+from .gates import COPY_SQL, FACT_SQL, facts, introduced_copies
 
 
 SUITE_SQL = "WITH c AS (SELECT 'S' || user_id AS suite, 'c' || (event_id % 3) AS cls, 't' || event_id AS test, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'failure' WHEN event_id % 4 = 0 THEN 'skipped' END AS kind, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'Timeout occurred' WHEN event_id % 3 = 1 THEN 'address already in use' ELSE 'boom ' || event_id END WHEN 'view' THEN 'bad ' || event_id ELSE '' END AS message FROM events), b AS (SELECT *, CASE WHEN kind IS NULL THEN 'passed' WHEN kind = 'skipped' THEN 'skipped' WHEN message = 'address already in use' THEN 'environment' WHEN message = 'Timeout occurred' THEN 'timeout' ELSE 'failure' END AS bucket FROM c)"
@@ -147,13 +147,9 @@ def prj33_runnable(t):
     return part.select(F.col("p_partkey").alias("id"), F.expr(kinds).alias("text")).select("id", X.runnable_test(F.col("text")).alias("runnable"))
 
 
-@query("""WITH o AS (SELECT DISTINCT l_orderkey AS block, l_partkey AS file_id, l_linenumber * 10 AS line, l_linenumber * 10 + 4 AS endline FROM lineitem), m AS (SELECT o.*, EXISTS (SELECT 1 FROM {ranges} r WHERE r.file_id = o.file_id AND r.begin_line <= o.endline AND r.end_line >= o.line) AS hit, file_id % 4 = 0 AS fresh FROM o)
-SELECT block, bool_or(hit) OR bool_and(fresh) AS introduced FROM m GROUP BY block""")
+@query(COPY_SQL)
 def jon15_introduced_duplication(t):
-    o = t("lineitem").selectExpr("l_orderkey AS block", "l_partkey AS file_id", "l_linenumber * 10 AS line", "l_linenumber * 10 + 4 AS endline").distinct()
-    hit = J.overlapping(o, t("ranges"), ["file_id"], "line", "endline", "begin_line", "end_line").select("block").distinct().withColumn("hit", F.lit(True))
-    fresh = o.groupBy("block").agg(F.bool_and(F.col("file_id") % 4 == 0).alias("fresh"))
-    return fresh.join(hit, "block", "left").select("block", (F.coalesce("hit", F.lit(False)) | F.col("fresh")).alias("introduced"))
+    return introduced_copies(t)
 
 
 @query("SELECT pr, list_sort(list(DISTINCT login)) AS authors FROM (SELECT pr, author AS login FROM {changes} UNION SELECT pr, login FROM {reviews} WHERE kind = 'purchase' AND pr IN (SELECT pr FROM {changes})) GROUP BY pr")

@@ -213,7 +213,9 @@ FACTS = {
     "targets": ("array<string>", ["project-4.1"]), "no_ci": ("array<string>", []), "unknown_sha": ("array<string>", []), "stale": ("array<string>", []), "compared": ("long", 1), "ci_branches": ("array<string>", ["project-4.1"]), "no_upgrade": ("array<string>", []), "ci_failed": ("long", 0), "uncounted": ("array<string>", []),
     "sensitive": ("array<string>", None), "commits": ("long", 1), "bad_messages": ("long", 0), "trailers": ("long", 0), "helped": ("boolean", False), "hints": ("array<string>", []), "has_prod": ("boolean", True), "log_lines": ("long", 1), "log_entries": ("array<string>", [" * x (PROJ-1)"]), "strong": ("array<string>", []), "medium": ("array<string>", []),
     "bench_first": ("int", None), "source_first": ("int", 0), "prod_lines": ("long", 10), "suites": ("array<string>", ["unit"]), "all_tests": ("boolean", False), "build": ("string", "pass"), "compile_errors": ("int", 0), "run": ("int", 5), "failing": ("int", 0), "flaky": ("int", 0), "artifacts": ("int", 0), "executable": ("int", 4), "missed": ("int", 0),
-    "unmeasured": ("int", 0), "static": ("string", "ran"), "expected": ("int", 3), "analyzed": ("int", 3), "style_new": ("long", 0), "complex_new": ("long", 0), "bugs_new": ("long", 0), "copies_new": ("long", 0), "banned": ("array<string>", None), "deprecated": ("array<string>", None), "properties": ("array<string>", None), "unlicensed": ("array<string>", None),
+    "unmeasured": ("int", 0), "static": ("string", "ran"), "expected": ("int", 3), "style_status": ("string", "ran"), "style_analyzed": ("int", 3), "rules_status": ("string", "ran"), "rules_analyzed": ("int", 3), "copies_status": ("string", "ran"), "copies_analyzed": ("int", 3), "catalog": ("string", "ran"), "style_file": ("string", "read"),
+    "style_new": ("long", 0), "style_old": ("long", 0), "style_fixed": ("long", 0), "style_places": ("array<string>", None), "complex_new": ("long", 0), "complex_tests": ("long", 0), "complex_top": ("array<string>", None), "bugs_new": ("long", 0), "bugs_other": ("long", 0), "bug_rules": ("array<string>", []), "usual_rules": ("array<string>", []), "untyped_rules": ("array<string>", []), "copies_new": ("long", 0), "copies": ("array<string>", None), "author": ("string", "me"), "others": ("array<string>", []),
+    "banned": ("array<string>", None), "deprecated": ("array<string>", None), "properties": ("array<string>", None), "unlicensed": ("array<string>", None),
     "protected": ("array<string>", []), "grammar": ("array<string>", []), "config_yaml": ("boolean", False), "config_latest": ("boolean", False), "config_java": ("boolean", False), "has_latest": ("boolean", True), "admin_files": ("array<string>", []), "admin_help": ("long", 0), "surfaces": ("array<string>", []),
     "counted": ("array<struct<id:string,who:string,source:string,rule:string>>", [("a", "a", "review", "address"), ("b", "b", "review", "address")]), "author_vote": ("string", None), "roster_read": ("boolean", True),
 }
@@ -223,7 +225,9 @@ SAID = [
     ("jira.fix-version", {"lookup": None, "ticket_status": None}, "not-applicable", False, False), ("jira.fix-version", {"release": False}, "not-applicable", False, False), ("jira.fix-version", {"versions": [], "wanted": []}, "warn", True, False), ("ci.freshness", {"unknown_sha": ["x"]}, "warn", False, False), ("ci.freshness", {"unknown_sha": ["x"], "stale": ["y"]}, "warn", True, False),
     ("ci.failures", {"uncounted": ["x"]}, "unknown", False, False), ("ci.failures", {"uncounted": ["x"], "ci_failed": 2}, "warn", True, False), ("commits.message-format", {"bad_messages": 1}, "warn", False, False), ("build.compiles", {"build": "timeout"}, "unknown", False, False), ("build.compiles", {"build": None}, "not-applicable", False, True),
     ("build.tests-pass", {"flaky": 1}, "unknown", False, False), ("build.tests-pass", {"build": "tests-failed", "failing": 1}, "fail", True, True), ("build.changed-line-coverage", {"unmeasured": 1}, "unknown", False, False), ("build.changed-line-coverage", {"missed": 1, "unmeasured": 1}, "warn", False, False), ("build.changed-line-coverage", {"build": "build-failed"}, "not-applicable", False, False),
-    ("static.checkstyle", {"style_new": 3, "analyzed": 2}, "unknown", False, False), ("static.complexity", {"complex_new": 1, "analyzed": 2}, "warn", False, False), ("static.complexity", {"analyzed": 2}, "unknown", False, False), ("static.license-header", {"unlicensed": ["a"]}, "warn", True, False), ("static.protected-paths", {"grammar": ["g"]}, "warn", False, False), ("static.protected-paths", {"protected": ["l"], "grammar": ["g"]}, "warn", True, False),
+    ("static.checkstyle", {"style_new": 3, "style_analyzed": 2}, "unknown", False, False), ("static.checkstyle", {"style_new": 3, "rules_analyzed": 2}, "warn", True, False), ("static.checkstyle", {"style_status": "not-applicable"}, "not-applicable", False, False), ("static.complexity", {"complex_new": 1, "complex_top": ["m"], "rules_analyzed": 2}, "warn", False, False), ("static.complexity", {"rules_analyzed": 2}, "unknown", False, False),
+    ("static.complexity", {"complex_new": 1, "complex_top": ["m"], "rules_analyzed": 0}, "unknown", False, False), ("static.pmd-rules", {"catalog": "skipped", "bugs_new": 2}, "unknown", False, False), ("static.pmd-rules", {"bugs_new": 2}, "warn", False, False), ("static.duplication", {"copies_new": 1, "copies_status": "failed"}, "unknown", False, False),
+    ("static.banned-api", {"style_analyzed": 1, "banned": ["x"]}, "not-applicable", False, False), ("static.banned-api", {"style_status": "failed", "banned": ["x"]}, "warn", True, False), ("static.banned-api", {"static": None, "style_status": None, "style_file": "missing"}, "not-applicable", False, False), ("static.banned-api", {"static": None, "style_status": None, "style_file": "unreadable"}, "unknown", False, False), ("static.deprecated-since", {"static": None, "style_status": None, "deprecated": ["x"]}, "warn", True, False), ("static.license-header", {"unlicensed": ["a"]}, "warn", True, False), ("static.protected-paths", {"grammar": ["g"]}, "warn", False, False), ("static.protected-paths", {"protected": ["l"], "grammar": ["g"]}, "warn", True, False),
     ("compat.config-pairing", {"config_yaml": True}, "fail", True, True), ("compat.config-pairing", {"config_latest": True}, "pass", False, True), ("compat.config-pairing", {"config_java": True}, "warn", False, True), ("compat.config-pairing", {"config_yaml": True, "has_latest": False}, "not-applicable", False, True), ("compat.command-help", {"admin_files": ["a"]}, "warn", False, False), ("compat.surfaces", {"surfaces": ["x"]}, "warn", False, False),
     ("votes.committer-plus-ones", {"counted": [("a", "a", "review", "x")]}, "fail", True, True), ("votes.committer-plus-ones", {"counted": [("a", "a", "review", "x")], "author_vote": "c"}, "pass", False, True), ("votes.committer-plus-ones", {"counted": [("a", "a", "review", "x")], "all_tests": True}, "pass", False, True), ("votes.committer-plus-ones", {"counted": [], "author_vote": "c", "all_tests": True}, "fail", True, True),
 ]
