@@ -34,8 +34,8 @@ def in_place(locations: Column, files: Column, begin: Column, end: Column, margi
 
 
 def says(text: Column, terms: Column, any_of: Column) -> Column:
-    """Whether a lower-case text holds all terms and, where there are such, one of any_of."""
-    return F.forall(terms, lambda t: text.contains(t)) & ((F.size(any_of) == 0) | F.exists(any_of, lambda t: text.contains(t)))
+    """Whether a lower-case text holds all terms, in any case, and, where there are such, one of any_of."""
+    return F.forall(terms, lambda t: text.contains(F.lower(t))) & ((F.size(any_of) == 0) | F.exists(any_of, lambda t: text.contains(F.lower(t))))
 
 
 def matches(issues: DataFrame, known: DataFrame, margin: int = 15) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,27 +55,68 @@ def without_hubs(refs: DataFrame, n_tests: int, share: float = 0.08) -> DataFram
     return refs.join(hubs, "cls", "left_anti")
 
 
-def scored_tests(tests: DataFrame, refs: DataFrame, classes: DataFrame, changed: DataFrame, least: int = 15, cap: int = 25, cap_own: int = 30) -> DataFrame:
-    """test, score, rank: 1000 for tests the change brings, 500 for a class's own test, 15 for its prefix, two per reference up to
-    30; the best by score and name, more of them when the change brings tests."""
-    name = F.regexp_extract("test", r"([^/]+)$", 1)
-    t = tests.select("test", name.alias("name"))
-    own = changed.select("test", F.lit(1000).alias("points"))
-    exact = t.join(classes.select(F.concat("cls", F.lit("Test")).alias("name")).distinct(), "name").select("test", F.lit(500).alias("points"))
-    stem = t.withColumn("cls", F.regexp_extract("name", r"^(\w+?)[A-Z]\w*Test$", 1)).join(classes.select("cls").distinct(), "cls").select("test", F.lit(15).alias("points"))
-    by_ref = refs.groupBy("test").agg(F.least(F.lit(30), 2 * F.sum("refs")).cast("int").alias("points"))
-    s = own.unionByName(exact).unionByName(stem).unionByName(by_ref).groupBy("test").agg(F.sum("points").alias("score"))
-    most = cap if changed.isEmpty() else cap_own
-    return s.filter(F.col("score") >= least).orderBy(F.desc("score"), "test").limit(most)
+#: What an abstract base of tests hasn't.
+RUNS = r"@Test|extends CQLTester|@RunWith"
+EXTENDS = r"\b(?:class|interface|enum)\s+(\w+)[^{;]*?\b(?:extends|implements)\s+([^{]+)\{"
 
 
 def subtypes(sources: DataFrame, classes: DataFrame) -> DataFrame:
-    """sub, cls: classes that extend or implement a changed class and are none themselves, one hop."""
-    rx = r"class (\w+) (?:extends|implements) ([\w, ]+)"
-    e = sources.select(F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("m"))
-    e = e.select(F.regexp_extract("m", rx, 1).alias("sub"), F.explode(F.regexp_extract_all(F.regexp_extract("m", rx, 2), F.lit(r"(\w+)"), F.lit(1))).alias("cls")).distinct()
-    c = classes.select("cls").distinct()
-    return e.join(c, "cls").join(c.select(F.col("cls").alias("sub")), "sub", "left_anti").select("sub", "cls")
+    """(pr, sub): classes that extend or implement a class that the change pr changes and that it doesn't change itself, one hop. Type
+    parameters are no supertypes. sources: text; classes: pr, cls."""
+    e = sources.select(F.explode(F.regexp_extract_all("text", F.lit(EXTENDS), F.lit(0))).alias("m"))
+    above = F.regexp_extract_all(F.regexp_replace(F.regexp_extract("m", EXTENDS, 2), "<[^>]*>", ""), F.lit(r"(\w+)"), F.lit(1))
+    hop = e.select(F.regexp_extract("m", EXTENDS, 1).alias("sub"), F.explode(above).alias("cls")).distinct()
+    c = classes.select("pr", "cls").distinct()
+    return hop.join(c, "cls").select("pr", "sub").distinct().join(c.withColumnRenamed("cls", "sub"), ["pr", "sub"], "left_anti")
+
+
+def counted_tokens(tests: DataFrame, pattern: str, out: str) -> DataFrame:
+    """(test, out, n): how often each test's text has each match of the pattern's group."""
+    return tests.select("test", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias(out)).groupBy("test", out).agg(F.count(F.lit(1)).alias("n"))
+
+
+def named_first(rows: DataFrame, name: str, each: int, most: int, order: int, says: str) -> DataFrame:
+    """pr, test, points (`each` a hit, `most` at most) and the reason: the three names hit most."""
+    worst = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(name).alias("name")))), 1, 3)
+    g = rows.groupBy("pr", "test").agg(F.sum("n").alias("hits"), worst.alias("w"))
+    return g.select("pr", "test", F.least(F.lit(most), each * F.col("hits")).cast("long").alias("points"), F.lit(order).alias("k"), F.concat(F.lit(says), F.array_join(F.transform("w", lambda x: x["name"]), ",")).alias("reason"))
+
+
+def scored_tests(tests: DataFrame, classes: DataFrame, methods: DataFrame, subs: DataFrame, changed: DataFrame, least: int = 15, cap: int = 25, cap_own: int = 30, most_methods: int = 60, hub_share: float = 0.08) -> DataFrame:
+    """(pr, test, score, reasons, rank) of the tests worth running for each change, the best `cap` by score and name, `cap_own` for a change
+    that brings tests.
+
+    Points: 1000 for tests of the change, 500 for a class's own test, 15 for its name as a prefix; two for each mention of a changed class
+    up to 30, but not of names of three letters or fewer or of hubs, that over `hub_share` of all tests mention; where there is such a
+    mention, five for each call of a changed method up to 30, unless the change has `most_methods` methods or more; one for each mention of
+    a subtype up to 15. Tests that run nothing themselves go. reasons say what gave points, in that order.
+
+    tests: test (a path), text; classes: pr, cls; methods: pr, method; subs: pr, sub; changed: pr, test. Texts are cut in tokens once,
+    for all changes; changes meet tests where a token is equal, never as a product.
+    """
+    name = F.regexp_extract("test", r"([^/]+?)(?:\.java)?$", 1)
+    runs = tests.filter(F.col("text").rlike(RUNS)).select("test", name.alias("name"))
+    c = classes.select("pr", "cls").distinct()
+    words = counted_tokens(tests, r"(\w+)", "word")
+    hubs = words.groupBy("word").agg(F.count(F.lit(1)).alias("tests")).join(tests.agg(F.count(F.lit(1)).alias("_all"))).filter(F.col("tests") > hub_share * F.col("_all")).select("word")  # one row to each
+    refs = c.filter(F.length("cls") > 3).join(words.join(hubs, "word", "left_anti").withColumnRenamed("word", "cls"), "cls")
+    own = changed.select("pr", "test").distinct()
+    some = methods.select("pr", "method").distinct()
+    few = some.groupBy("pr").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") < most_methods).select("pr")
+    calls = some.join(few, "pr").join(counted_tokens(tests, r"[.\s](\w+)\s*\(", "method"), "method").join(refs.select("pr", "test").distinct(), ["pr", "test"])
+    called = calls.groupBy("pr", "test").agg(F.sum("n").alias("h")).select("pr", "test", F.least(F.lit(30), 5 * F.col("h")).cast("long").alias("points"), F.lit(4).alias("k"), F.concat(F.lit("calls changed methods: "), F.col("h").cast("string")).alias("reason"))
+    stems = F.filter(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.when(F.substring("name", i + 1, F.length("name")).rlike(r"^[A-Z]\w*Test$"), F.substring("name", F.lit(1), i))), lambda x: x.isNotNull())
+    prefix = runs.filter(F.length("name") > 1).select("test", F.explode(stems).alias("cls")).join(c, "cls")
+    exact = runs.filter(F.col("name").endswith("Test")).withColumn("cls", F.expr("substring(name, 1, length(name) - 4)")).join(c, "cls")
+    row = lambda df, points, k, reason: df.select("pr", "test", F.lit(points).cast("long").alias("points"), F.lit(k).alias("k"), reason.alias("reason"))
+    signals = [
+        row(own, 1000, 1, F.lit("changed")), row(exact, 500, 2, F.concat(F.lit("own test of "), "cls")), row(prefix, 15, 2, F.concat(F.lit("name begins with "), "cls")), named_first(refs, "cls", 2, 30, 3, "mentions "), called,
+        named_first(subs.select("pr", "sub").distinct().join(words.withColumnRenamed("word", "sub"), "sub"), "sub", 1, 15, 5, "mentions subtype "),
+    ]
+    s = reduce(DataFrame.unionByName, signals).groupBy("pr", "test").agg(F.sum("points").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("k", "reason"))), lambda x: x["reason"]).alias("reasons"))
+    s = s.filter(F.col("score") >= least).join(runs.select("test"), "test", "left_semi")
+    best = top_k(s, ["pr"], [F.col("score").desc(), F.col("test").asc()], max(cap, cap_own))
+    return best.join(own.select("pr", F.lit(True).alias("_own")).distinct(), "pr", "left").filter(F.col("rank") <= F.when(F.col("_own"), cap_own).otherwise(cap)).drop("_own")
 
 
 def scenarios(files: DataFrame, rules: list[dict], most: int = 3) -> DataFrame:

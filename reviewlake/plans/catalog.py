@@ -46,8 +46,8 @@ VIEWS = {
     "methods": "SELECT l_partkey AS file_id, concat('C', CAST(l_linenumber % 3 AS STRING)) AS cls, concat('m', CAST(l_suppkey % 4 AS STRING)) AS name, concat('m', CAST(l_suppkey % 4 AS STRING), '(', l_returnflag, CAST(l_partkey % 9973 AS STRING), ')') AS sig, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side, max(CAST(l_quantity AS INT)) AS score, max(l_linenumber) % 2 = 0 AS touched FROM {lineitem} GROUP BY l_partkey, l_linenumber % 3, l_suppkey % 4, l_returnflag, l_partkey % 9973, l_linestatus",
     "bodies": "SELECT l_partkey AS file_id, concat('C', CAST(l_linenumber % 3 AS STRING)) AS cls, concat('m', CAST(l_suppkey % 4 AS STRING)) AS name, CASE l_linestatus WHEN 'F' THEN 'base' ELSE 'head' END AS side FROM {lineitem}",
     "renames": "SELECT p_partkey AS file_id, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN p_partkey + 1 ELSE p_partkey END AS base_file, p_partkey % 11 = 0 AND p_partkey % 2 = 0 AS new_file, p_partkey % 3 <> 0 AS mapped FROM {part}",
-    "known_issues": """SELECT pr AS case_id, id AS issue, severity, id % 4 = 0 AS hard, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'File1.java' WHEN 2 THEN 'repo/src/File2.java' ELSE 'src/File0.java,src/File1.java' END AS files, CASE WHEN id % 3 > 0 THEN id % 40 END AS first_line, lower(concat(split_part(problem, ' ', 2), ',', split_part(problem, ' ', 4))) AS terms,
- CASE WHEN id % 2 = 0 THEN lower(concat(split_part(fix, ' ', 2), ',', split_part(fix, ' ', 3))) ELSE '' END AS any_of FROM {findings} WHERE idx % 3 = 0""",
+    "known_issues": """SELECT pr AS case_id, id AS issue, severity, id % 4 = 0 AS hard, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'File1.java' WHEN 2 THEN 'repo/src/File2.java' ELSE 'src/File0.java,src/File1.java' END AS files, CASE WHEN id % 3 > 0 THEN id % 40 END AS first_line, concat(split_part(problem, ' ', 2), ',', split_part(problem, ' ', 4)) AS terms,
+ CASE WHEN id % 2 = 0 THEN concat(split_part(fix, ' ', 2), ',', split_part(fix, ' ', 3)) ELSE '' END AS any_of FROM {findings} WHERE idx % 3 = 0""",
     "subjects": """SELECT pr, author, state, CASE WHEN pr % 13 = 0 THEN 'feature/index' ELSE base END AS base, updated_at, draft, head, title, CASE WHEN pr % 19 = 0 THEN concat('codex/', branch) ELSE branch END AS branch,
  CASE WHEN pr % 17 = 0 THEN 'made with copilot, see the JMH run' ELSE body END AS body, CASE pr % 6 WHEN 0 THEN 'MEMBER' ELSE 'NONE' END AS association FROM {changes}""",
     "tickets": """SELECT concat('PROJ-', CAST(1000 + c_custkey AS STRING)) AS key, c_custkey % 9 <> 1 AS reached, CASE c_custkey % 5 WHEN 0 THEN 'Resolved' WHEN 1 THEN 'Closed' ELSE 'Open' END AS status, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '4.1' WHEN 2 THEN '3.11,4.0' ELSE '4.x,9.9,later' END AS fix_versions,
@@ -65,6 +65,12 @@ VIEWS = {
  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderkey % 50 END AS run, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 3 ELSE 0 END AS failing, CASE WHEN o_orderkey % 6 = 5 THEN 1 ELSE 0 END AS flaky, CASE WHEN o_orderkey % 14 = 3 THEN 2 ELSE 0 END AS artifacts, CASE WHEN o_orderkey % 15 = 2 THEN NULL ELSE o_orderkey % 4 * 5 END AS executable, o_orderkey % 3 AS missed, CASE WHEN o_orderkey % 21 = 6 THEN 1 ELSE 0 END AS unmeasured FROM {orders} WHERE o_orderkey % 12 <> 7""",
     "static_runs": """SELECT o_orderkey AS pr, CASE o_orderkey % 10 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'no changed files' ELSE 'ran' END AS status, CASE o_orderkey % 11 WHEN 4 THEN 'not-applicable' WHEN 6 THEN 'failed' ELSE 'ran' END AS style_status, CASE WHEN o_orderkey % 10 = 2 THEN 2 WHEN o_orderkey % 20 = 3 THEN 0 ELSE 3 END AS style_analyzed,
  CASE o_orderkey % 13 WHEN 2 THEN 'failed' ELSE 'ran' END AS rules_status, CASE WHEN o_orderkey % 10 = 4 THEN 2 WHEN o_orderkey % 20 = 5 THEN 0 ELSE 3 END AS rules_analyzed, CASE o_orderkey % 17 WHEN 3 THEN 'skipped' ELSE 'ran' END AS catalog, o_orderkey % 3 = 0 AS types, CASE o_orderkey % 19 WHEN 7 THEN 'not-applicable' ELSE 'ran' END AS copies_status, CASE WHEN o_orderkey % 8 = 6 THEN 1 ELSE 3 END AS copies_analyzed, 3 AS expected FROM {orders} WHERE o_orderkey % 7 <> 0""",
+    "unit_tests": """SELECT p_partkey AS k, concat('org/', CASE p_partkey % 5 WHEN 0 THEN concat('Class', CAST(p_partkey AS STRING), 'Test') WHEN 1 THEN concat('Class', CAST(p_partkey - 1 AS STRING), 'ExtraFlagTest') ELSE concat('Other', CAST(p_partkey AS STRING), 'Test') END, '.java') AS test,
+ concat(CASE WHEN p_partkey % 17 = 3 THEN '' ELSE '@Test ' END, 'void a() ', chr(123), ' new Class', CAST(p_partkey AS STRING), '(); Class', CAST(p_partkey AS STRING), '.run', CAST(p_partkey % 9 AS STRING), '(1); Class', CAST(p_partkey + 1 AS STRING), ' x; x.stop', CAST(p_partkey % 7 AS STRING), ' (2); HubClass h; Abc a; Sub', CAST(p_partkey AS STRING), ' s; Kind', CAST(p_partkey + 2 AS STRING), ' t; t = Kind', CAST(p_partkey + 2 AS STRING), '.X; ', chr(125)) AS text FROM {part}""",
+    "changed_classes": "SELECT o_orderkey AS pr, concat('Class', CAST(o_custkey AS STRING)) AS cls FROM {orders} UNION ALL SELECT o_orderkey AS pr, CASE o_orderkey % 4 WHEN 0 THEN 'HubClass' WHEN 1 THEN 'Abc' WHEN 2 THEN concat('Class', CAST(o_custkey + 5 AS STRING)) ELSE concat('Class', CAST(o_custkey AS STRING), 'Extra') END AS cls FROM {orders}",
+    "changed_methods": "SELECT o_orderkey AS pr, concat('run', CAST(o_orderkey % 9 AS STRING)) AS method FROM {orders} UNION ALL SELECT o_orderkey AS pr, concat('stop', CAST(o_custkey % 7 AS STRING)) AS method FROM {orders} UNION ALL SELECT o_orderkey AS pr, concat('many', CAST(n_nationkey AS STRING), 'x', CAST(r_regionkey AS STRING)) AS method FROM {orders} CROSS JOIN {nation} CROSS JOIN {region} WHERE o_orderkey % 50 = 7",
+    "changed_tests": "SELECT o_orderkey AS pr, test FROM {orders} JOIN {unit_tests} ON k = o_custkey AND o_orderkey % 6 = 0",
+    "class_sources": "SELECT c_custkey AS k, concat('public class Sub', CAST(c_custkey AS STRING), '<T extends Comparable<T>> extends Base<Class', CAST(c_custkey AS STRING), '> implements Class', CAST(c_custkey + 1 AS STRING), ', Other ', chr(123), chr(10), 'enum Kind', CAST(c_custkey AS STRING), chr(10), ' implements Class', CAST(c_custkey AS STRING), '<String> ', chr(123), ' A; ', chr(125), chr(10), 'class Class', CAST(c_custkey + 5 AS STRING), ' extends Class', CAST(c_custkey AS STRING), ' ', chr(123), ' ', chr(125)) AS text FROM {customer}",
     "owners": "SELECT l_partkey AS file_id, min(l_orderkey) AS pr, path FROM {lineitem} JOIN {paths} ON l_partkey = file_id GROUP BY l_partkey, path",
     "approvals": "SELECT event_id AS seq, CAST(floor(event_id / 3) AS BIGINT) AS pr, concat('dev', CAST(user_id AS STRING)) AS who, CASE event_id % 2 WHEN 0 THEN 'review' ELSE 'comment' END AS source, ts AS made, event_type <> 'view' AS approved, CASE event_id % 5 WHEN 0 THEN '+1' WHEN 1 THEN 'LGTM (+1)' WHEN 2 THEN '+10 lines' WHEN 3 THEN 'thanks, +1 from me' ELSE 'c++1' END AS body, CASE event_id % 7 WHEN 0 THEN 'MEMBER' WHEN 1 THEN 'OWNER' ELSE 'NONE' END AS association FROM {events}",
     "overrides": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'comment' ELSE 'review' END AS source, concat('dev', CAST(c_custkey AS STRING)) AS who, concat('dev', CAST(c_custkey + 1 AS STRING)) AS id FROM {customer} WHERE c_custkey % 25 < 2",

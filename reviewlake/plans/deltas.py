@@ -91,13 +91,12 @@ def jon16_introduced_rules(t):
     return introduced(t)
 
 
-COUNTERS = "SELECT l_partkey AS file_id, l_linenumber * 10 + l_suppkey % 10 AS line, min(l_suppkey % 3) AS mi, max(CAST(l_quantity AS INT) % 3) AS ci, min(l_orderkey % 2) AS mb, min(l_orderkey % 4) AS cb FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY 1, 2"
+COUNTERS = "SELECT CASE WHEN l_partkey % 9 = 0 THEN -l_partkey ELSE l_partkey END AS file_id, l_linenumber * 10 + l_suppkey % 10 AS line, min(l_suppkey % 3) AS mi, max(CAST(l_quantity AS INT) % 3) AS ci, min(l_orderkey % 2) AS mb, min(l_orderkey % 4) AS cb FROM lineitem GROUP BY 1, 2"
 STATE_SQL = f"WITH a AS (SELECT DISTINCT file_id, unnest(range(begin_line, end_line + 1)) AS line FROM {{ranges}}), c AS ({COUNTERS}), s AS (SELECT file_id, line, CASE WHEN ci IS NULL THEN 'nonexec' WHEN ci = 0 AND cb = 0 THEN 'missed' WHEN mi > 0 OR mb > 0 THEN 'partial' ELSE 'covered' END AS state, file_id IN (SELECT file_id FROM c) AS in_report FROM a LEFT JOIN c USING (file_id, line))"
 
 
 def states(t):
-    li = t("lineitem").filter("l_shipdate >= TIMESTAMP '1994-01-01'")
-    c = li.groupBy(F.col("l_partkey").alias("file_id"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("line")).agg(F.min(F.expr("l_suppkey % 3")).alias("mi"), F.max(F.expr("CAST(l_quantity AS INT) % 3")).alias("ci"), F.min(F.expr("l_orderkey % 2")).alias("mb"), F.min(F.expr("l_orderkey % 4")).alias("cb"))
+    c = t("lineitem").groupBy(F.expr("CASE WHEN l_partkey % 9 = 0 THEN -l_partkey ELSE l_partkey END").alias("file_id"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("line")).agg(F.min(F.expr("l_suppkey % 3")).alias("mi"), F.max(F.expr("CAST(l_quantity AS INT) % 3")).alias("ci"), F.min(F.expr("l_orderkey % 2")).alias("mb"), F.min(F.expr("l_orderkey % 4")).alias("cb"))
     return D.line_coverage(D.added_lines(t("ranges")), c)
 
 
@@ -123,17 +122,17 @@ def src13_agg10_agg11_house_rules(t):
     return D.house_rules(t("violations"), t("violations").select("side", "file_id"))
 
 
-RATES = "SELECT rule, count(*) FILTER (side = 'head' AND pr % 40 = 0) AS observed, count(*) FILTER (side = 'base') AS violations, 40 * count(*) FILTER (side = 'base') + 100 AS loc, count(*) FILTER (side = 'head' AND pr % 40 < 2) AS added FROM {violations} GROUP BY rule"
+RATES = "SELECT rule, part, observed, violations, loc, 2 * observed + part AS added FROM (SELECT rule, pr % 40 AS part, count(*) AS observed FROM {violations} WHERE side = 'head' GROUP BY ALL) h JOIN (SELECT rule, count(*) AS violations, 40 * count(*) + 100 AS loc FROM {violations} WHERE side = 'base' GROUP BY rule) b USING (rule)"
 
 
 @query(f"""WITH r AS ({RATES}), e AS (SELECT *, violations::DOUBLE / loc * added AS expected FROM r), p AS (SELECT *, 1 - list_sum(list_transform(range(observed), lambda i: exp(-expected + i * ln(expected) - CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END))) AS p0 FROM e)
-SELECT rule, observed, violations, loc, added, round(expected, 6) AS expected, round(p0, 6) AS p, p0 >= 0.01 AS usual FROM p WHERE observed > 0 AND added > 0""")
+SELECT rule, part, observed, violations, loc, added, round(expected, 6) AS expected, round(p0, 6) AS p, p0 >= 0.01 AS usual FROM p""")
 def agg13_rate_test(t):
     v = t("violations")
-    head, base = F.col("side") == "head", F.col("side") == "base"
-    r = v.groupBy("rule").agg(F.count(F.when(head & (F.col("pr") % 40 == 0), 1)).alias("observed"), F.count(F.when(base, 1)).alias("violations"), (F.count(F.when(base, 1)) * 40 + 100).alias("loc"), F.count(F.when(head & (F.col("pr") % 40 < 2), 1)).alias("added"))
-    out = D.judged(r).filter("observed > 0 AND added > 0")
-    return out.select("rule", "observed", "violations", "loc", "added", F.round("expected", 6).alias("expected"), F.round("p", 6).alias("p"), "usual")
+    head = v.filter("side = 'head'").groupBy("rule", (F.col("pr") % 40).alias("part")).agg(F.count(F.lit(1)).alias("observed"))
+    base = v.filter("side = 'base'").groupBy("rule").agg(F.count(F.lit(1)).alias("violations")).withColumn("loc", F.col("violations") * 40 + 100)
+    out = D.judged(head.join(base, "rule").withColumn("added", 2 * F.col("observed") + F.col("part")))
+    return out.select("rule", "part", "observed", "violations", "loc", "added", F.round("expected", 6).alias("expected"), F.round("p", 6).alias("p"), "usual")
 
 
 FILED = "SELECT source AS branch, doc_id AS file, text FROM documents"

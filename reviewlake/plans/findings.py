@@ -125,7 +125,7 @@ def reported(t):
 
 FOUND_SQL = r"""WITH kn AS (SELECT case_id, issue, severity, hard, list_filter(string_split(files, ','), lambda w: w <> '') AS files, first_line AS b, first_line + 6 AS e, list_filter(string_split(terms, ','), lambda w: w <> '') AS terms, list_filter(string_split(any_of, ','), lambda w: w <> '') AS any_of FROM {known_issues}),
 rp AS (SELECT pr AS case_id, lens AS run, id, severity, location, nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 1), '') AS path, TRY_CAST(nullif(regexp_extract(location, '^\s*([\w./-]+\.\w+)(?::(\d+))?', 2), '') AS BIGINT) AS line, lower(concat_ws(' ', rule, problem, fix)) AS text FROM {findings}),
-pl AS (SELECT rp.case_id, run, id, issue, len(files) = 0 OR (path IS NOT NULL AND len(list_filter(files, lambda f: ends_with(path, f) OR ends_with(f, path))) > 0 AND (b IS NULL OR line IS NULL OR line BETWEEN b - 15 AND e + 15)) AS place, len(list_filter(terms, lambda w: NOT contains(text, w))) = 0 AND (len(any_of) = 0 OR len(list_filter(any_of, lambda w: contains(text, w))) > 0) AS words FROM rp JOIN kn ON kn.case_id = rp.case_id),
+pl AS (SELECT rp.case_id, run, id, issue, len(files) = 0 OR (path IS NOT NULL AND len(list_filter(files, lambda f: ends_with(path, f) OR ends_with(f, path))) > 0 AND (b IS NULL OR line IS NULL OR line BETWEEN b - 15 AND e + 15)) AS place, len(list_filter(terms, lambda w: NOT contains(text, lower(w)))) = 0 AND (len(any_of) = 0 OR len(list_filter(any_of, lambda w: contains(text, lower(w)))) > 0) AS words FROM rp JOIN kn ON kn.case_id = rp.case_id),
 fd AS (SELECT case_id, run, id, issue FROM pl WHERE place AND words)"""
 
 

@@ -56,24 +56,25 @@ def agg30_without_hubs(t):
     return S.without_hubs(refs(t), t("documents").count())
 
 
-TESTS = "SELECT DISTINCT concat('unit/', CASE p_partkey % 4 WHEN 0 THEN p_type ELSE concat(p_type, substr(p_brand, 1, 1), 'x') END, 'Test') AS test FROM part"
+SUB_SQL = r"""sx AS (SELECT regexp_extract(m, '(?:class|interface|enum)\s+(\w+)', 1) AS sub, regexp_replace(regexp_extract(m, '\b(?:class|interface|enum)\s+\w+[^{;]*?\b(?:extends|implements)\s+([^{]+)\{', 1), '<[^>]*>', '', 'g') AS above FROM (SELECT unnest(regexp_extract_all(text, '\b(?:class|interface|enum)\s+\w+[^{;]*?\b(?:extends|implements)\s+[^{]+\{')) AS m FROM {class_sources})),
+cc AS (SELECT DISTINCT pr, cls FROM {changed_classes}), sp AS (SELECT DISTINCT sub, unnest(regexp_extract_all(above, '\w+')) AS cls FROM sx), sb AS (SELECT DISTINCT pr, sub FROM sp JOIN cc USING (cls) WHERE (pr, sub) NOT IN (SELECT (pr, cls) FROM cc))"""
 
 
-@query(f"""WITH t AS (SELECT test, regexp_extract(test, '([^/]+)$', 1) AS name FROM ({TESTS})), c(cls) AS (VALUES ('SMALL'), ('LARGE'), ('PROMO')), p AS (SELECT test, 1000 AS points FROM t WHERE test = 'unit/PROMOTest' UNION ALL SELECT test, 500 FROM t JOIN c ON name = cls || 'Test' UNION ALL SELECT test, 15 FROM t JOIN c ON regexp_extract(name, '^(\\w+?)[A-Z]\\w*Test$', 1) = cls),
-s AS (SELECT test, sum(points)::BIGINT AS score FROM p GROUP BY test) SELECT test, score FROM s WHERE score >= 15 ORDER BY score DESC, test LIMIT 30""")
-def agg29_scored_tests(t):
-    spark = t("part").sparkSession
-    tests = t("part").selectExpr("concat('unit/', CASE p_partkey % 4 WHEN 0 THEN p_type ELSE concat(p_type, substr(p_brand, 1, 1), 'x') END, 'Test') AS test").distinct()
-    c = spark.createDataFrame([("SMALL",), ("LARGE",), ("PROMO",)], "cls string")
-    none = spark.createDataFrame([], "test string, cls string, refs long")
-    return S.scored_tests(tests, none, c, tests.filter("test = 'unit/PROMOTest'"))
+@query(f"WITH {SUB_SQL} SELECT pr, sub FROM sb")
+def jon28_subtypes(t):
+    return S.subtypes(t("class_sources"), t("changed_classes"))
 
 
-@query("SELECT 'S' || p_type AS sub, p_type AS cls FROM (SELECT DISTINCT p_type FROM part WHERE p_type IN ('SMALL', 'LARGE'))")
-def jon28_subtypes(t):
-    spark = t("part").sparkSession
-    src = t("part").select(F.concat(F.lit("public class S"), "p_type", F.lit(" extends "), "p_type", F.lit(", Other {}\nclass SMALL implements LARGE {}")).alias("text"))
-    return S.subtypes(src, spark.createDataFrame([("SMALL",), ("LARGE",)], "cls string"))
+@query(f"WITH {SUB_SQL}" + r""", u AS (SELECT test, text, regexp_extract(test, '([^/]+)\.java$', 1) AS name, contains(text, '@Test') AS ok FROM {unit_tests}), w AS (SELECT test, x, count(*) AS n FROM (SELECT test, unnest(regexp_extract_all(text, '\w+')) AS x FROM u) GROUP BY ALL),
+hub AS (SELECT x FROM w GROUP BY x HAVING count(*) > 0.08 * (SELECT count(*) FROM u)), rf AS (SELECT pr, test, cls, n FROM cc JOIN w ON x = cls WHERE length(cls) > 3 AND x NOT IN (SELECT x FROM hub)), mm AS (SELECT pr, method FROM (SELECT DISTINCT pr, method FROM {changed_methods}) QUALIFY count(*) OVER (PARTITION BY pr) < 60),
+cn AS (SELECT test, method, count(*) AS n FROM (SELECT test, unnest(regexp_extract_all(text, '[.\s](\w+)\s*\(', 1)) AS method FROM u) GROUP BY ALL), mh AS (SELECT pr, test, sum(n)::BIGINT AS h FROM mm JOIN cn USING (method) WHERE (pr, test) IN (SELECT (pr, test) FROM rf) GROUP BY ALL), pf AS (SELECT test, substr(name, 1, i) AS cls FROM (SELECT test, name, unnest(range(1, length(name))) AS i FROM u) WHERE regexp_full_match(substr(name, i + 1), '[A-Z]\w*Test')),
+own AS (SELECT DISTINCT pr, test FROM {changed_tests}), sg AS (SELECT pr, test, 1000 AS points, 1 AS k, 'changed' AS reason FROM own UNION ALL SELECT pr, test, 500, 2, 'own test of ' || cls FROM cc JOIN u ON name = cls || 'Test' UNION ALL SELECT pr, test, 15, 2, 'name begins with ' || cls FROM cc JOIN pf USING (cls)
+ UNION ALL SELECT pr, test, least(30, 2 * sum(n)), 3, 'mentions ' || array_to_string(list(cls ORDER BY n DESC, cls)[1:3], ',') FROM rf GROUP BY pr, test UNION ALL SELECT pr, test, least(30, 5 * h), 4, 'calls changed methods: ' || h FROM mh UNION ALL SELECT pr, test, least(15, sum(n)), 5, 'mentions subtype ' || array_to_string(list(sub ORDER BY n DESC, sub)[1:3], ',') FROM sb JOIN w ON x = sub GROUP BY pr, test),
+sc AS (SELECT pr, test, sum(points)::BIGINT AS score, list(reason ORDER BY k, reason) AS reasons FROM sg JOIN u USING (test) WHERE ok GROUP BY pr, test HAVING sum(points) >= 15), rk AS (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY score DESC, test)::INT AS rank FROM sc) SELECT pr, test, score, array_to_string(reasons, '; ') AS reasons, rank FROM rk WHERE rank <= CASE WHEN pr IN (SELECT pr FROM own) THEN 30 ELSE 25 END""")
+def agg29_scored_tests(t):
+    classes = t("changed_classes")
+    out = S.scored_tests(t("unit_tests").select("test", "text"), classes, t("changed_methods"), S.subtypes(t("class_sources"), classes), t("changed_tests"))
+    return out.select("pr", "test", "score", F.array_join("reasons", "; ").alias("reasons"), "rank")
 
 
 RULES = [
