@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import diffs as D
+from ..shared import new_path
+from ..sources import landing as L
 from ..sources import records as S
 from .catalog import query
 
@@ -59,9 +61,15 @@ def src7_lookup_keys(t):
     return keys.join(t("people").select("login", "display"), "login")
 
 
-@query("SELECT sha256(CAST(user_id AS VARCHAR)) AS request, arg_max(props, {'a': ts, 'b': props}) AS body FROM events GROUP BY user_id")
+@query("""SELECT sha256(CAST(c_custkey AS VARCHAR)) AS request, body, CASE WHEN n IS NULL THEN 'never landed' END AS error FROM customer LEFT JOIN (SELECT user_id, arg_max(props, {'a': ts, 'b': event_id}) AS body, count(*) AS n FROM events GROUP BY user_id) AS l ON user_id = c_custkey""")
 def src30_landed(t):
-    return S.landed(t("events").selectExpr("CAST(user_id AS STRING) AS request", "props AS body", "ts AS fetched_at"))
+    """Two batches land, one of them twice; every customer's request is then replayed."""
+    e = t("events").select(L.request_key(F.col("user_id").cast("string")).alias("request"), F.col("props").alias("body"), F.col("ts").alias("fetched_at"), "event_id")
+    path = new_path(t.spark, "landing")
+    for turn in (1, 0, 1):
+        L.land(e.filter(F.col("event_id") % 2 == turn), path, ["request"], ["fetched_at", "event_id"], 8)
+    asked = t("customer").select(L.request_key(F.col("c_custkey").cast("string")).alias("request"))
+    return L.replay(asked, path, ["request"], 8).select("request", "body", "error")
 
 
 @query()

@@ -9,6 +9,8 @@ from ..operators import checks as C
 from ..operators import findings as N
 from ..operators import joins as J
 from ..operators.ranking import ranked
+from ..shared import new_path
+from ..sources import landing as L
 from ..sources import records as S
 from .catalog import query
 from .findings import ISSUE_SQL
@@ -94,11 +96,26 @@ def src27_banned_rules(t):
     return S.banned_rules(S.xml_texts(p.select(mods.alias("x")), "x", S.MODULE))
 
 
-@query("SELECT 'PROJ-' || c_custkey AS key, c_name AS summary, c_mktsegment AS platform FROM customer")
+TICKET_TEXT = '''CASE WHEN c_custkey % 41 = 3 THEN '{broken' ELSE concat('{"key": "PROJ-', c_custkey, '", "fields": {"summary": ', CASE WHEN c_custkey % 6 = 1 THEN 'null' ELSE concat('"', c_name, '"') END, ', "status": {"name": "', CASE c_custkey % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'Resolved' ELSE 'Closed' END, '"}, "resolution": ', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '{"name": "Fixed"}' END,
+ ', "components": [{"name": "', c_mktsegment, '"}, {"value": "Core"}, "odd", {"name": "", "value": "Tools"}], "labels": ["a', c_custkey % 5, '", 7, "b"], "fixVersions": ', CASE WHEN c_custkey % 4 = 0 THEN '{"name": "4.1"}' ELSE '[{"name": "4.0"}, {"name": "4.1"}]' END, ', "assignee": {"name": "dev', c_custkey, '", "displayName": "', c_name, '"}',
+ ', "', CASE WHEN c_custkey % 2 = 0 THEN 'customfield_77' ELSE 'customfield_5' END, '": [{"name": "ann", "displayName": "Ann"}, {"key": "u', c_custkey, '"}], "', CASE WHEN c_custkey % 2 = 0 THEN 'customfield_78' ELSE 'customfield_77' END, '": ', CASE c_custkey % 5 WHEN 0 THEN '"plain plan"' WHEN 1 THEN '12' WHEN 2 THEN '[{"value": "unit"}, {"name": "dtest"}]' ELSE 'null' END,
+ ', "comment": {"comments": [{"id": "', c_custkey * 10, '", "author": {"name": "ann", "displayName": "Ann"}, "created": "2024-01-01", "body": "see"}, {"id": "', c_custkey * 10 + 1, '", "body": null}]}, "attachment": [{"id": "1", "filename": "f.txt", "size": ', c_custkey, '}], "issuelinks": [{"type": {"name": "Relates", "outward": "blocks", "inward": "is blocked by"}, ', CASE WHEN c_custkey % 2 = 0 THEN '"outwardIssue"' ELSE '"inwardIssue"' END, ': {"key": "PROJ-', c_custkey + 1, '", "fields": {"status": {"name": "Open"}}}}]}}') END'''
+
+
+@query('''WITH c AS (SELECT *, c_custkey % 41 = 3 AS bad, 'PROJ-' || c_custkey AS k FROM customer) SELECT CASE WHEN NOT bad THEN k END AS key, CASE WHEN NOT bad THEN 'https://tracker/browse/' || k END AS url, CASE WHEN bad OR c_custkey % 6 = 1 THEN '' ELSE c_name END AS summary, CASE WHEN NOT bad THEN CASE c_custkey % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'Resolved' ELSE 'Closed' END END AS status, CASE WHEN NOT bad AND c_custkey % 3 > 0 THEN 'Fixed' END AS resolution,
+ CASE WHEN bad THEN '' ELSE c_mktsegment || '|Core|Tools' END AS components, CASE WHEN bad THEN '' ELSE 'a' || (c_custkey % 5) || '|b' END AS labels, CASE WHEN bad THEN '' WHEN c_custkey % 4 = 0 THEN '4.1' ELSE '4.0|4.1' END AS fix_versions, CASE WHEN bad THEN '' ELSE 'ann|u' || c_custkey END AS reviewers, CASE WHEN bad THEN '' ELSE 'dev' || c_custkey || ' ' || c_name END AS assignee,
+ CASE WHEN bad THEN '' ELSE CASE c_custkey % 5 WHEN 0 THEN 'plain plan' WHEN 1 THEN '12' WHEN 2 THEN 'unit, dtest' ELSE '' END END AS test_doc_plan, CASE WHEN bad THEN '' ELSE c_custkey * 10 || ' ann see|' || (c_custkey * 10 + 1) || ' - ' END AS comments, CASE WHEN bad THEN '' ELSE 'f.txt ' || c_custkey END AS attachments, CASE WHEN bad THEN '' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'blocks' ELSE 'is blocked by' END || ' PROJ-' || (c_custkey + 1) || ' Open' END AS issuelinks,
+ 'a title' AS remotelinks, 'none' AS impacts, CASE WHEN bad THEN 'unreadable' END AS error FROM c''')
 def src5_tickets(t):
-    raw = t("customer").selectExpr("""concat('{"key": "PROJ-', c_custkey, '", "fields": {"summary": "', c_name, '", "customfield_77": "', c_mktsegment, '"}}') AS value""")
-    fields = raw.sparkSession.createDataFrame([("customfield_77", "Platform"), ("customfield_78", "Other")], "id string, name string")
-    return S.tickets(raw, fields, {"summary": "summary", "platform": "Platform"})
+    c = t("customer")
+    raw = c.selectExpr("CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS tracker", f"{TICKET_TEXT} AS value", '''concat('[{"object": {"title": "a title", "url": "u"}}]') AS remote''')
+    fields = c.sparkSession.createDataFrame([("first", "customfield_77", "Reviewers"), ("first", "customfield_78", "Test and Documentation Plan"), ("second", "customfield_5", "Reviewers"), ("second", "customfield_77", "Test and Documentation Plan"), ("second", "customfield_6", "Other")], "tracker string, id string, name string")
+    r = S.tickets(raw, fields, "https://tracker", remote="remote")
+    bars = lambda c, *of: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in of])) if of else F.col(c), "|")
+    return r.select(
+        "key", "url", "summary", "status", "resolution", bars("components").alias("components"), bars("labels").alias("labels"), bars("fix_versions").alias("fix_versions"), bars("reviewers", "name").alias("reviewers"), bars("assignee", "name", "display").alias("assignee"), "test_doc_plan", bars("comments", "id", "author", "body").alias("comments"),
+        bars("attachments", "filename", "size").alias("attachments"), bars("issuelinks", "relation", "key", "status").alias("issuelinks"), bars("remotelinks", "title").alias("remotelinks"), F.when(F.size("impacts") == 0, "none").alias("impacts"), "error",
+    )
 
 
 @query("SELECT event_id, v FROM (SELECT event_id, unnest(['{\"a\": ' || event_id || '}', '1', '\"x\"']) AS v FROM events)")
@@ -119,10 +136,15 @@ def src25_cases(t):
     return S.selected_cases(c, "all")
 
 
-@query("SELECT user_id AS pr, arg_max(md5(CAST(event_id AS VARCHAR)), {'a': ts, 'b': md5(CAST(event_id AS VARCHAR))}) AS head FROM events GROUP BY user_id")
+@query("SELECT user_id AS pr, arg_max(md5(CAST(event_id AS VARCHAR)), {'a': ts, 'b': md5(CAST(event_id AS VARCHAR))}) AS head, count(*) AS heads FROM events GROUP BY user_id")
 def snk2_latest(t):
-    e = t("events").select(F.col("user_id").alias("pr"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("head"), F.col("ts").alias("fetched_at"))
-    return S.latest(e).select("pr", "head")
+    """Bundles written in two turns, under every head and as the latest, and read again."""
+    e = t("events").select(F.col("user_id").alias("pr"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("head"), F.col("ts").alias("fetched_at"), "event_id")
+    path = new_path(t.spark, "bundles")
+    for turn in (1, 0):
+        L.write_bundles(e.filter(F.col("event_id") % 2 == turn).drop("event_id"), path, 8)
+    heads = L.read(t.spark, f"{path}/heads").groupBy("pr").agg(F.count(F.lit(1)).alias("heads"))
+    return L.read(t.spark, f"{path}/latest").join(heads, "pr").select("pr", "head", "heads")
 
 
 @query("SELECT seq, CASE WHEN seq % 3 = 0 THEN 'summary' WHEN seq % 3 = 1 THEN 'archive' ELSE 'other' END AS kind FROM {ci_runs}")

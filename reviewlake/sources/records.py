@@ -43,10 +43,6 @@ def link(outward: Column, inward: Column, out_name: Column, in_name: Column) ->
     return F.when(outward.isNotNull(), F.struct(out_name.alias("relation"), outward.alias("key"))).otherwise(F.struct(in_name.alias("relation"), inward.alias("key")))
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """request, body: the last body of each request hash; ties by the greater body."""
-    return df.groupBy(F.sha2(F.col("request").cast("binary"), 256).alias("request")).agg(F.max_by("body", F.struct("fetched_at", "body")).alias("body"))
-
 
 class _Lines(HTMLParser):
     block = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "section", "article", "footer", "nav", "header", "title"}
@@ -189,17 +185,79 @@ def banned_rules(modules: DataFrame) -> DataFrame:
     return line.unionByName(imports).unionByName(listed("IllegalInstantiation", "classes", r"new ", r"\b"))
 
 
-def tickets(df: DataFrame, fields: DataFrame, wanted: dict[str, str], text: str = "value") -> DataFrame:
-    """key and the wanted fields of landed tickets; a custom field is found by its name through the (id, name) dimension.
+#: Our names of custom fields, and theirs; trackers give them ids of their own.
+FIELD_NAMES = {"reviewers": "Reviewers", "authors": "Authors", "test_doc_plan": "Test and Documentation Plan", "impacts": "Impacts", "since_versions": "Since Version", "source_control_link": "Source Control Link"}
+
+
+def at(v: Column, path: str | Column, kind: str = "string") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def kind_of(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def items(v: Column) -> Column:
+    """The elements of a list, or a single object as a list of one; anything else has none."""
+    none = F.array().cast("array<variant>")
+    return F.when(kind_of(v, "ARRAY"), at(v, "$", "array<variant>")).when(kind_of(v, "OBJECT"), F.array(v)).otherwise(none)
+
+
+def objects(v: Column) -> Column:
+    return F.filter(items(v), lambda x: kind_of(x, "OBJECT"))
+
+
+def first_text(v: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.nullif(at(v, p), F.lit("")) for p in paths])
+
+
+def names(v: Column) -> Column:
+    return F.transform(objects(v), lambda x: first_text(x, "$.name", "$.value"))
 
-    wanted: output column to field name or id. The dimension has one row per field of the tracker.
+
+def users(v: Column) -> Column:
+    return F.transform(objects(v), lambda x: F.struct(first_text(x, "$.name", "$.key").alias("name"), at(x, "$.displayName").alias("display")))
+
+
+def plain_text(v: Column) -> Column:
+    """A scalar as text, a list or object as its names, nothing as ''."""
+    nested = kind_of(v, "ARRAY") | kind_of(v, "OBJECT")
+    return F.when(nested, F.array_join(names(v), ", ")).otherwise(F.coalesce(at(v, "$"), F.lit("")))
+
+
+def tickets(df: DataFrame, fields: DataFrame, base: str, text: str = "value", remote: str | None = None, wanted: dict[str, str] = FIELD_NAMES) -> DataFrame:
+    """Landed tickets (tracker, text) as rows: key, url, summary, description, status, resolution, issuetype, components, labels, fix_versions,
+    since_versions, reviewers, authors, assignee, test_doc_plan, impacts, source_control_link, comments, attachments, issuelinks and
+    remotelinks, and error for a text that is no ticket, with nulls.
+
+    A document is read once, as a Variant, whatever fields it has. Custom fields are found by name: fields (tracker, id, name) gives each
+    tracker's ids, one row a tracker after grouping, and a field is read at the path of its id. remote: a column with the landed
+    list of remote links.
     """
-    t = df.select(F.from_json(text, "key string, fields map<string,string>").alias("t")).select("t.key", "t.fields")
-    ids = fields.select("id", F.lower("name").alias("name")).filter(F.col("name").isin(*[w.lower() for w in wanted.values()]))
-    one = ids.agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))  # one row, as many entries as wanted fields
-    t = t.join(F.broadcast(one))
-    cols = [F.coalesce(F.try_element_at("fields", F.try_element_at("_ids", F.lit(w.lower()))), F.try_element_at("fields", F.lit(w))).alias(c) for c, w in wanted.items()]
-    return t.select("key", *cols)
+    low = fields.filter(F.col("name").isin(*wanted.values())).groupBy("tracker").agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))
+    t = df.join(low, "tracker", "left").withColumn("_v", F.try_parse_json(text))
+    v = F.col("_v")
+    f = lambda path, kind="variant": at(v, f"$.fields.{path}", kind)
+    custom = lambda name: at(v, F.concat(F.lit("$.fields['"), F.coalesce(F.try_element_at("_ids", F.lit(wanted[name])), F.lit("-")), F.lit("']")), "variant")
+    url = lambda key: F.concat(F.lit(f"{base}/browse/"), key)
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    key = at(v, "$.key")
+    comment = lambda c: F.struct(at(c, "$.id").alias("id"), at(c, "$.author.name").alias("author"), at(c, "$.author.displayName").alias("display"), at(c, "$.created").alias("created"), empty(at(c, "$.body")).alias("body"), F.concat(url(key), F.lit("?focusedCommentId="), at(c, "$.id")).alias("url"))
+    attachment = lambda a: F.struct(at(a, "$.id").alias("id"), at(a, "$.filename").alias("filename"), at(a, "$.size", "bigint").alias("size"), at(a, "$.created").alias("created"), at(a, "$.author.name").alias("author"), at(a, "$.content").alias("url"))
+
+    def link(x: Column) -> Column:
+        out = at(x, "$.outwardIssue.key").isNotNull()
+        side = lambda path: F.when(out, at(x, f"$.outwardIssue.{path}")).otherwise(at(x, f"$.inwardIssue.{path}"))
+        relation = F.coalesce(F.when(out, at(x, "$.type.outward")).otherwise(at(x, "$.type.inward")), at(x, "$.type.name"))
+        return F.struct(relation.alias("relation"), side("key").alias("key"), empty(side("fields.summary")).alias("summary"), side("fields.status.name").alias("status"), url(side("key")).alias("url"))
+
+    links = F.try_parse_json(remote) if remote else F.lit(None).cast("variant")
+    return t.select(
+        key.alias("key"), url(key).alias("url"), empty(f("summary", "string")).alias("summary"), empty(f("description", "string")).alias("description"), f("status.name", "string").alias("status"), f("resolution.name", "string").alias("resolution"), f("issuetype.name", "string").alias("issuetype"),
+        names(f("components")).alias("components"), F.transform(F.filter(items(f("labels")), lambda x: kind_of(x, "STRING")), lambda x: at(x, "$")).alias("labels"), names(f("fixVersions")).alias("fix_versions"), names(custom("since_versions")).alias("since_versions"), users(custom("reviewers")).alias("reviewers"), users(custom("authors")).alias("authors"),
+        users(f("assignee")).alias("assignee"), plain_text(custom("test_doc_plan")).alias("test_doc_plan"), names(custom("impacts")).alias("impacts"), plain_text(custom("source_control_link")).alias("source_control_link"), F.transform(items(f("comment.comments")), comment).alias("comments"), F.transform(items(f("attachment")), attachment).alias("attachments"),
+        F.transform(items(f("issuelinks")), link).alias("issuelinks"), F.transform(items(links), lambda r: F.struct(at(r, "$.object.title").alias("title"), at(r, "$.object.url").alias("url"))).alias("remotelinks"), F.when(key.isNull(), "unreadable").alias("error"),
+    )
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -247,15 +305,6 @@ def case_error(url: Column, terms: Column, severity: Column, lines: Column) -> C
     return F.coalesce(F.when(~F.coalesce(url.rlike("^https?://"), F.lit(False)), "url"), F.when(F.coalesce(F.size(terms), F.lit(0)) < 1, "terms"), F.when(~severity.isin("blocker", "major", "minor", "nit"), "severity"), F.when(lines.isNotNull() & ((F.size(lines) != 2) | (lines[0] > lines[1])), "lines"))
 
 
-def write_latest(bundles: DataFrame, path: str) -> None:
-    """Write bundles by change and head; the latest of each change is a query over them (see latest)."""
-    bundles.write.mode("append").partitionBy("pr").parquet(path)
-
-
-def latest(bundles: DataFrame) -> DataFrame:
-    return bundles.groupBy("pr").agg(F.max_by(F.struct(*[c for c in bundles.columns if c != "pr"]), F.struct("fetched_at", "head")).alias("b")).select("pr", "b.*")
-
-
 def reviewer_output(text: Column) -> Column:
     """The JSON of a reviewer's reply: the inside of a code fence, else the outermost braces; null where it is none."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
