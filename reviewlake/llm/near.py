@@ -135,6 +135,7 @@ def pairs_within(blocks: DataFrame, percent: int) -> DataFrame:
 
 def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of a crowd (node, n, root), across components, that may have the similarity: all that exact prefix filtering leaves.
+    Where the crowd has signatures too (sig), pairs that these rule out are left out at once.
 
     In any one order of all shingles, two sets of the similarity share one among the first of each: of a set of n as large as the
     other or larger the first n - ceil(t n) + 1, of the smaller only n - ceil(2 t n / (1 + t)) + 1. The order is: shingles that lie in one
@@ -143,7 +144,8 @@ def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share no more than that have no such shingle in common and never meet. Where the holders of a shingle are mostly of one
     component, these meet the others, not each other.
     """
-    held = crowd.join(sets, "node").select("node", "n", "root", F.explode("set").alias("s"))
+    signed = "sig" in crowd.columns
+    held = crowd.drop("sig").join(sets, "node").select("node", "n", "root", F.explode("set").alias("s"))
     joining = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("s", "df")
     useful = held.join(joining, "s").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("some"))
     free = F.col("n") - F.size("some")  # shingles before these
@@ -153,10 +155,15 @@ def prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = materialise(first.select(F.col("x.s").alias("s"), "node", "n", "root", (F.col("n") - F.col("free") - F.col("at")).alias("left"), (F.col("at") < F.col("index")).alias("indexed")), "near-prefixes")
     major = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     first = first.join(major.drop("roots"), "s").withColumn("main", F.col("root") == F.col("major"))
-    x = first.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("n_u"), F.col("root").alias("root_x"), F.col("left").alias("left_x"), "main")
-    y = first.select("s", F.col("node").alias("y"), F.col("n").alias("n_v"), F.col("root").alias("root_y"), F.col("left").alias("left_y"), F.col("main").alias("main_y"))
+    if signed:
+        first = first.join(crowd.select("node", "sig"), "node")
+    sig = lambda k: [F.col("sig").alias(f"sig_{k}")] if signed else []
+    x = first.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("n_u"), F.col("root").alias("root_x"), F.col("left").alias("left_x"), "main", *sig("u"))
+    y = first.select("s", F.col("node").alias("y"), F.col("n").alias("n_v"), F.col("root").alias("root_y"), F.col("left").alias("left_y"), F.col("main").alias("main_y"), *sig("v"))
     enough = F.least("left_x", "left_y") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
     fits = (F.col("n_u") <= F.col("n_v")) & (F.col("root_x") != F.col("root_y")) & alike(percent) & enough
+    if signed:
+        fits &= resembling(percent)
     met = [x.filter("NOT main").join(y, "s").filter(fits), x.filter("main").join(y.filter("NOT main_y"), "s").filter(fits)]
     return reduce(DataFrame.unionByName, [m.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")) for m in met]).distinct()
 
@@ -203,7 +210,7 @@ def edges(slim: DataFrame, nodes: DataFrame, k: int, percent: int, hot: int) ->
         central = materialise(like(central_stars(large, percent)), "near-central")
         found = checkpointed(found.unionByName(verified(central, sets, percent)))
         crowd = split_blocks(large, found, "near-crowd").select("node", "n", "root").distinct()
-        pairs = pairs.unionByName(like(prefix_pairs(crowd, sets, percent)))
+        pairs = pairs.unionByName(prefix_pairs(crowd.join(sigs, "node"), sets, percent))
         tried = tried.unionByName(central)
     more = materialise(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "near-more")
     if more.isEmpty():
