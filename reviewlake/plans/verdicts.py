@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..operators import checks as C
 from ..operators import refresh as R
+from ..operators import report as M
 from ..sources import records as S
 from .catalog import query
+from .changes import TRIAGE_SQL, rated
 from .gates import RESULT_SQL, facts, reviews_of
+from .scalar import KIND_SQL
 
 WORST_SQL = RESULT_SQL + """, ws AS (SELECT pr, split_part(check_id, '.', 1) AS section, coalesce(first(status ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'unknown' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END) FILTER (status IN ('fail', 'unknown', 'warn', 'pass')), 'info') AS status, count(*) AS checks, count(*) FILTER (status = 'pass') AS passed FROM rs GROUP BY ALL)"""
 
@@ -49,16 +53,35 @@ def agg36_progress(t):
     return C.progress(C.worst(C.run_checks(facts(t))))
 
 
-@query("SELECT pr, coalesce(CASE WHEN length(head) <> 32 THEN 'head' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN base NOT LIKE 'project-%' AND base <> 'trunk' THEN 'base' END, CASE WHEN author = '' THEN 'author' END) AS error FROM {changes}")
-def out2_validated(t):
-    c = F.col
-    return t("changes").select("pr", F.coalesce(F.when(~c("head").rlike("^[0-9a-f]{32}$"), "head"), F.when(c("title").isNull(), "title"), F.when(~c("base").rlike("^(project-.*|trunk)$"), "base"), F.when(c("author") == "", "author")).alias("error"))
+def report_model(t):
+    """The nested model of each change from tables bucketed by change: after they are written nothing is shuffled."""
+    results = M.bucketed(C.run_checks(facts(t)), "checks")
+    verdicts = C.recommend(results, M.bucketed(reviews_of(t), "panel_reviews"))
+    files = t("touched").select("pr", "path", "additions", "deletions", P.file_kind(F.col("path")).alias("kind"))
+    commits = t("change_commits").select("pr", "idx", F.split_part("message", F.lit("\n"), F.lit(1)).alias("subject"))
+    approved = t("approvals").filter("source = 'review'").select("pr", "made", "seq", "who")
+    lists = {"files": (M.bucketed(files, "files"), ["path", "additions", "deletions"]), "commits": (M.bucketed(commits, "commits"), ["idx", "subject"]), "reviews": (M.bucketed(approved, "reviews"), ["made", "seq"]), "checks": (results.select("pr", "check_id", "status", "owner", "summary", "action", "evidence"), ["check_id"])}
+    ones = {"triage": M.bucketed(rated(t).select("pr", "rating", "points"), "triage"), "recommendation": verdicts, "build": M.bucketed(t("builds").select("pr", "status"), "builds")}
+    return M.model(M.bucketed(t("subjects").select("pr", "title", "author", "base", "head", "draft"), "subjects"), lists, ones)
+
+
+MODEL_SQL = VERDICT_SQL + f""", m1 AS (SELECT pr, array_to_string(list(path || ' ' || kind || ' +' || additions || '-' || deletions ORDER BY path, additions, deletions), '|') AS files FROM (SELECT *, {KIND_SQL} AS kind FROM {{touched}}) GROUP BY pr), m2 AS (SELECT pr, array_to_string(list(idx || ' ' || split_part(message, chr(10), 1) ORDER BY idx, message), '|') AS commits FROM {{change_commits}} GROUP BY pr),
+m3 AS (SELECT pr, array_to_string(list(who ORDER BY made, seq), '|') AS reviews FROM {{approvals}} WHERE source = 'review' GROUP BY pr), m4 AS (SELECT pr, array_to_string(list(check_id || '=' || status ORDER BY check_id), '|') AS checks FROM rs GROUP BY pr), m5 AS ({TRIAGE_SQL} SELECT pr, CASE WHEN serial THEN 'hard' WHEN points >= 5 AND lines < 50 THEN 'moderate' WHEN points >= 5 THEN 'hard' WHEN points >= 2 THEN 'moderate' ELSE 'easy' END AS rating FROM pt)"""
 
 
-@query("SELECT pr, author, base, n_files, total FROM {changes} JOIN (SELECT pr, count(DISTINCT path) AS n_files, sum(additions + deletions)::BIGINT AS total FROM {changed_files} GROUP BY pr) USING (pr)")
+@query(MODEL_SQL + " SELECT pr, author, base, head, rating, verdict, coalesce(files, '') AS files, coalesce(commits, '') AS commits, coalesce(reviews, '') AS reviews, checks FROM {subjects} LEFT JOIN m1 USING (pr) LEFT JOIN m2 USING (pr) LEFT JOIN m3 USING (pr) LEFT JOIN m4 USING (pr) LEFT JOIN m5 USING (pr) LEFT JOIN wl USING (pr)")
 def out1_report_rows(t):
-    f = t("changed_files").groupBy("pr").agg(F.count_distinct("path").alias("n_files"), F.sum(F.col("additions") + F.col("deletions")).alias("total"))
-    return t("changes").join(f, "pr").select("pr", "author", "base", "n_files", "total")
+    m = report_model(t)
+    bars = lambda c, text: F.array_join(F.transform(c, text), "|").alias(c)
+    return m.select(
+        "pr", "author", "base", "head", "triage.rating", "recommendation.verdict", bars("files", lambda x: F.concat(x["path"], F.lit(" "), x["kind"], F.lit(" +"), x["additions"].cast("string"), F.lit("-"), x["deletions"].cast("string"))), bars("commits", lambda x: F.concat(x["idx"].cast("string"), F.lit(" "), x["subject"])),
+        bars("reviews", lambda x: x["who"]), bars("checks", lambda x: F.concat(x["check_id"], F.lit("="), x["status"])),
+    )
+
+
+@query(f"""WITH m5 AS ({TRIAGE_SQL} SELECT pr FROM pt) SELECT pr, CASE WHEN title IS NULL THEN 'invalid: title' WHEN NOT (length(head) IN (32, 40) AND regexp_full_match(head, '[0-9a-f]+')) THEN 'invalid: head' WHEN pr NOT IN (SELECT pr FROM m5) THEN 'invalid: triage.rating' END AS error FROM {{subjects}}""")
+def out2_validated(t):
+    return M.validated(report_model(t)).select("pr", "error")
 
 
 @query("SELECT metric, max(v) FILTER (panel = 'src1') AS src1, max(v) FILTER (panel = 'src2') AS src2 FROM (UNPIVOT (SELECT lens AS panel, count(*) AS findings, count(DISTINCT pr) AS changes, count(*) FILTER (severity = 'blocker') AS blockers FROM {findings} WHERE lens IN ('src1', 'src2') GROUP BY lens) ON findings, changes, blockers INTO NAME metric VALUE v) GROUP BY metric")
