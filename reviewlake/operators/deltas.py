@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from .joins import bag_match, label, overlapping
+from .ranking import ranked
 
 
 def style_delta(base: DataFrame, head: DataFrame, on: list[str], order: list[str]) -> DataFrame:
@@ -85,6 +86,28 @@ def fixed_methods(base: DataFrame, head: DataFrame, threshold: int = 15) -> Data
     return gone.join(other, (gone.sig == other.sig) & (gone.file_id != other._f), "left_anti")
 
 
+def removed_methods(base: DataFrame, head: DataFrame, files: DataFrame, threshold: int = 15) -> DataFrame:
+    """Base methods with a score whose file has a head side without them: neither the same class and signature nor, as the only one of its
+    signature, another. kind is fixed from the threshold on, else pre-existing-improved; file_id is the head file's."""
+    at = files.filter("base_file IS NOT NULL AND NOT new_file").select("file_id", "base_file")
+    was = base.filter("score > 0").withColumnRenamed("file_id", "base_file").join(at, "base_file")
+    only = head.groupBy("file_id", "sig").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    gone = was.join(head.select("file_id", "cls", "sig"), ["file_id", "cls", "sig"], "left_anti").join(only, ["file_id", "sig"], "left_anti")
+    return gone.select("file_id", "cls", "sig", F.col("score").alias("base"), F.when(F.col("score") >= threshold, "fixed").otherwise("pre-existing-improved").alias("kind"))
+
+
+def complexity_table(delta: DataFrame, removed: DataFrame, owners: DataFrame) -> DataFrame:
+    """pr, path, cls, sig, score, base, change (new, worse, same, better), test, band, removed (how many methods the change takes away) and place:
+    methods that the change adds or makes worse first, then by score, production before tests, file and method. Methods that
+    are neither touched nor of another score aren't listed. delta: see method_delta; owners: file_id, pr, path."""
+    change = X.change_label(F.col("base"), F.col("score"))
+    x = delta.filter("kind <> 'pre-existing'").join(owners, "file_id").withColumn("change", change).withColumn("test", F.col("path").startswith("test/"))
+    gone = removed.join(owners, "file_id").groupBy("pr").agg(F.count(F.lit(1)).alias("removed"))
+    x = x.join(gone, "pr", "left").fillna(0, ["removed"])
+    order = [(~F.col("change").isin("new", "worse")).asc(), F.col("score").desc(), F.col("test").asc(), F.col("path").asc(), F.col("sig").asc(), F.col("cls").asc()]
+    return ranked(x.select("pr", "path", "cls", "sig", "score", "base", "change", "test", X.complexity_band(F.col("score")).alias("band"), "removed"), ["pr"], order, "place")
+
+
 def added_lines(ranges: DataFrame, begin: str = "begin_line", end: str = "end_line") -> DataFrame:
     """One row per line of the ranges, each line once per file."""
     return ranges.select("file_id", F.explode(F.sequence(begin, end)).alias("line")).distinct()

@@ -16,13 +16,13 @@ from .ranking import latest
 from .selection import first_commit, perf_signals, scans
 
 HOME = "^src/java/org/project/"
-#: Compatibility surfaces, by path.
+#: Compatibility surfaces by path, of a made-up project: defaults of our own, for which a caller gives the table of its project.
 SURFACES = [
     ("config", r"^(conf/project[^/]*\.yaml|src/java/org/project/config/Config\.java)$"), ("native protocol", r"^(src/java/org/project/transport/|doc/native_protocol)"), ("CQL grammar", "^src/antlr/"), ("CQL semantics", f"{HOME}cql3/"), ("messaging", f"{HOME}net/"),
     ("sstable format", f"{HOME}io/table/"), ("commitlog / hints", f"{HOME}(db/commitlog|hints)/"), ("schema / system tables", f"{HOME}(schema/|db/SystemKeyspace)"), ("admin tool", f"{HOME}tools/admin/"), ("JMX", r"MBean\.java$"), ("metrics", f"{HOME}metrics/"),
     ("virtual tables", f"{HOME}db/virtual/"), ("guardrails", f"{HOME}db/guardrails/"), ("dependencies", r"^(\.build/(build-resolve|parent-pom-template|deps-template|build-deps-template)\.xml|lib/)"),
 ]
-#: Production paths whose changes need upgrade tests.
+#: Production paths whose changes need upgrade tests, of the same project and for the same use.
 SENSITIVE = [
     r"Serializ\w*\.java$", rf"{HOME}net/(MessagingService|Verb|Message)\.java$", rf"{HOME}io/table/format/[^/]*(Version|Format|Descriptor)[^/]*\.java$", rf"{HOME}io/table/(Descriptor|Component)\.java$", f"{HOME}io/table/metadata/",
     rf"{HOME}db/commitlog/CommitLogDescriptor\.java$", rf"{HOME}hints/HintsDescriptor\.java$", rf"{HOME}(schema/SchemaKeyspace|db/SystemKeyspace)[^/]*\.java$", rf"{HOME}transport/ProtocolVersion\.java$",
@@ -34,7 +34,7 @@ AI_BRANCH = r"(?i)^(claude|copilot|codex)/"
 
 @dataclass(frozen=True)
 class Project:
-    """What the facts need to know of a project; defaults are fixed values of the one reviewed."""
+    """What the facts need to know of a project. The defaults are those of a made-up one."""
 
     name: str = X.PROJECT
     release: str = r"^(trunk|project-\d+\.\d+)$"
@@ -48,6 +48,8 @@ class Project:
     bench: str = "test/microbench/"
     source: str = "src/java/"
     licence: str = "Licensed to"
+    surfaces: tuple[tuple[str, str], ...] = tuple(SURFACES)
+    sensitive: tuple[str, ...] = tuple(SENSITIVE)
 
 
 def sorted_set(condition: Column, value: Column) -> Column:
@@ -69,7 +71,7 @@ def file_facts(files: DataFrame, c: Project = Project()) -> DataFrame:
     return files.groupBy("pr").agg(
         F.coalesce(F.sum(F.when(P.is_prod(p), n)), F.lit(0)).alias("prod_lines"), F.coalesce(F.sum(F.when(test_lines, n)), F.lit(0)).alias("test_lines"), F.array_sort(F.collect_set(P.test_suite(p))).alias("suites"), F.bool_and(P.is_test(p)).alias("all_tests"), F.bool_or(P.is_prod(p)).alias("has_prod"),
         sorted_set(P.starts(p, c.protected), p).alias("protected"), sorted_set(P.starts(p, c.grammar), p).alias("grammar"), F.bool_or(p == yaml).alias("config_yaml"), F.bool_or(p == recent).alias("config_latest"), F.bool_or(p == java).alias("config_java"),
-        sorted_set(p.startswith(c.admin[0]), p).alias("admin_files"), F.count(F.when(p.startswith(c.admin[1]), 1)).alias("admin_help"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(tags(p, SURFACES))))).alias("surfaces"), F.bool_or(p.startswith(c.bench)).alias("bench_files"),
+        sorted_set(p.startswith(c.admin[0]), p).alias("admin_files"), F.count(F.when(p.startswith(c.admin[1]), 1)).alias("admin_help"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(tags(p, list(c.surfaces)))))).alias("surfaces"), F.bool_or(p.startswith(c.bench)).alias("bench_files"),
     )
 
 
@@ -144,7 +146,7 @@ def all_facts(
     hints = F.filter(F.array(F.when(F.col("branch").rlike(AI_BRANCH), "branch name"), F.when(F.col("body").rlike(AI_HINT), "description")), lambda x: x.isNotNull())
     build = builds.withColumnRenamed("head", "_build_head").withColumnRenamed("status", "build")
     style = static.withColumnRenamed("status", "static")
-    sens = sensitive_files(files, added, serializer=c.serializer).groupBy("pr").agg(F.array_sort(F.collect_set("path")).alias("sensitive"))
+    sens = sensitive_files(files, added, list(c.sensitive), c.serializer).groupBy("pr").agg(F.array_sort(F.collect_set("path")).alias("sensitive"))
     vote = voted.select("pr", "counted", "others", "author_vote")
     tables = [file_facts(files, c), line_facts(added, banned, c), branch_facts(keyed, runs), commit_facts(keyed, commits, c), build, style, *introduced, sens, vote]
     f = reduce(lambda a, b: a.join(b, "pr", "left"), tables, ticket_facts(keyed, tickets, c))

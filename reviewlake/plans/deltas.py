@@ -37,6 +37,25 @@ def jon13_fixed(t):
     return D.fixed_methods(base, head).select("file_id", "cls", "sig", "score")
 
 
+REMOVED_SQL = """SELECT r.file_id, b.cls, b.sig, b.score AS base, CASE WHEN b.score >= 15 THEN 'fixed' ELSE 'pre-existing-improved' END AS kind FROM (SELECT * FROM {methods} WHERE side = 'base' AND score > 0) b JOIN (SELECT * FROM {renames} WHERE base_file IS NOT NULL AND NOT new_file) r ON r.base_file = b.file_id
+ WHERE (r.file_id, b.cls, b.sig) NOT IN (SELECT (file_id, cls, sig) FROM {methods} WHERE side = 'head') AND (r.file_id, b.sig) NOT IN (SELECT (file_id, sig) FROM {methods} WHERE side = 'head' GROUP BY file_id, sig HAVING count(*) = 1)"""
+
+
+def removed(t):
+    return D.removed_methods(*sides(t), t("renames"))
+
+
+@query(REMOVED_SQL)
+def jon13_removed(t):
+    return removed(t)
+
+
+@query(f"""WITH q AS ({METHOD_DELTA_SQL}), g AS (SELECT pr, count(*) AS removed FROM ({REMOVED_SQL}) x JOIN {{owners}} USING (file_id) GROUP BY pr), x AS (SELECT o.pr, path, cls, sig, score, base, CASE WHEN base IS NULL THEN 'new' WHEN score > base THEN 'worse' WHEN score = base THEN 'same' ELSE 'better' END AS change, starts_with(path, 'test/') AS test,
+ CASE WHEN score >= 30 THEN 'darkred' WHEN score >= 15 THEN 'red' WHEN score >= 10 THEN 'yellow' ELSE 'green' END AS band, coalesce(removed, 0) AS removed FROM q JOIN {{owners}} o USING (file_id) LEFT JOIN g USING (pr) WHERE kind <> 'pre-existing') SELECT *, row_number() OVER (PARTITION BY pr ORDER BY change NOT IN ('new', 'worse'), score DESC, test, path, sig, cls) AS place FROM x""")
+def agg16_complexity_table(t):
+    return D.complexity_table(method_delta(t), removed(t), t("owners"))
+
+
 @query(METHOD_SQL + """, j AS (SELECT h.file_id, h.cls, h.sig, b.score AS e, u.s FROM h LEFT JOIN b USING (file_id, cls, sig) LEFT JOIN (SELECT file_id, sig, min(score) AS s FROM b GROUP BY ALL HAVING count(*) = 1) u USING (file_id, sig))
 SELECT file_id, cls, sig, coalesce(e, s) AS base, CASE WHEN e IS NOT NULL THEN 0 WHEN s IS NOT NULL THEN 1 END AS level FROM j""")
 def jon11_cascade(t):

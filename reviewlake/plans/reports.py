@@ -8,7 +8,6 @@ from ..functions import text as X
 from ..operators import checks as C
 from ..operators import findings as N
 from ..operators import joins as J
-from ..operators.ranking import ranked
 from ..shared import new_path
 from ..sources import landing as L
 from ..sources import records as S
@@ -196,13 +195,6 @@ def agg12_fallback_density(t):
     return s.join(b, "rule", "left").select("rule", F.coalesce("b", "s").alias("violations"), F.when(F.col("b").isNotNull(), "baseline").otherwise("sample").alias("source"))
 
 
-@query("WITH m AS (SELECT pr, file_id, rule, max(score) AS top FROM {violations} GROUP BY ALL), c AS (SELECT pr, file_id, rule, top AS score, CASE WHEN file_id % 5 = 0 THEN 'new' WHEN top > 40 THEN 'worse' WHEN top < 10 THEN 'better' ELSE 'same' END AS change FROM m) SELECT pr, file_id, rule, score, change, row_number() OVER (PARTITION BY pr ORDER BY change NOT IN ('new', 'worse'), score DESC, file_id, rule) AS place FROM c")
-def agg16_complexity_table(t):
-    x = t("violations").groupBy("pr", "file_id", "rule").agg(F.max("score").alias("score"))
-    x = x.withColumn("change", F.when(F.col("file_id") % 5 == 0, "new").when(F.col("score") > 40, "worse").when(F.col("score") < 10, "better").otherwise("same"))
-    return ranked(x, ["pr"], [(~F.col("change").isin("new", "worse")).asc(), F.col("score").desc(), F.col("file_id").asc(), F.col("rule").asc()], "place")
-
-
 @query("WITH k AS (SELECT CAST(ts AS DATE) AS day, unnest(regexp_extract_all(message, '(?i)PROJ-\\d+')) AS key FROM {commits}) SELECT upper(key) AS key, min(day) AS day FROM k GROUP BY 1")
 def agg35_first_linked_day(t):
     k = t("commits").select(F.col("ts").cast("date").alias("day"), F.explode(F.regexp_extract_all("message", F.lit(r"(?i)PROJ-\d+"), F.lit(0))).alias("key"))
