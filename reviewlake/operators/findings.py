@@ -31,10 +31,21 @@ class Merge:
     total_floor: float = 0.40
 
 
-def issue_text(findings: DataFrame) -> DataFrame:
-    """pr, text: lower-case problem and fix of all findings, in order."""
-    parts = F.array_sort(F.collect_list(F.struct("idx", F.lower(F.concat_ws(" ", "problem", "fix")).alias("t"))))
-    return findings.groupBy("pr").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["t"])).alias("text"))
+def ranked_member(*more: str) -> F.Column:
+    """What members of an issue are sorted by: worst severity, most identifiers, earliest."""
+    idents = F.size(X.identifiers(F.concat_ws(" ", "problem", "fix")))
+    return F.struct(X.severity_rank(F.col("severity")).alias("r"), (-idents).alias("n"), F.col("idx"), *more)
+
+
+def issue_text(findings: DataFrame, membership: DataFrame) -> DataFrame:
+    """pr, cluster, text: all that an issue says, in small letters: rule, problem and fix of its primary finding, fixes of others that differ
+    from those before, and rule, problem and fix of every member."""
+    g = findings.join(membership, ["pr", "idx"]).groupBy("pr", "cluster").agg(F.array_sort(F.collect_list(ranked_member("rule", "problem", "fix"))).alias("m"))
+    key = lambda x: F.lower(F.trim(x["fix"]))
+    new = lambda x, k: (k > 0) & ~F.exists(F.slice("m", F.lit(1), k), lambda y: key(y) == key(x))
+    also = F.transform(F.filter("m", new), lambda x: x["fix"])
+    every = F.flatten(F.transform("m", lambda x: F.array(x["rule"], x["problem"], x["fix"])))
+    return g.select("pr", "cluster", F.lower(F.array_join(F.concat(F.slice(every, 1, 3), also, every), " ")).alias("text"))
 
 
 def panel_verdict(findings: DataFrame, panel: list[str]) -> DataFrame:

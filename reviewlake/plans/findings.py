@@ -59,6 +59,13 @@ def fuz4_win10_win11_issues(t):
     return D.issues(f, D.clusters(f))
 
 
+@query(ISSUE_SQL + """, z AS (SELECT *, row_number() OVER (PARTITION BY pr, cluster ORDER BY r, -n, idx) AS k FROM f), am AS (SELECT pr, cluster, string_agg(fix, ' ' ORDER BY k) AS also FROM (SELECT pr, cluster, lf, min(k) AS k, arg_min(fix, k) AS fix FROM z GROUP BY ALL) WHERE k > 1 GROUP BY pr, cluster),
+zt AS (SELECT pr, cluster, first(rule || ' ' || problem || ' ' || fix ORDER BY k) AS own, string_agg(rule || ' ' || problem || ' ' || fix, ' ' ORDER BY k) AS members FROM z GROUP BY pr, cluster) SELECT pr, cluster, md5(lower(concat_ws(' ', own, also, members))) AS text FROM zt LEFT JOIN am USING (pr, cluster)""")
+def prj30_issue_text(t):
+    f = t("panel")
+    return D.issue_text(f, D.clusters(f)).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 BLOCK_SQL = r"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, len(t) - 98)) AS pos FROM t WHERE len(t) >= 100),
 w AS MATERIALIZED (SELECT doc_id, pos - 1 AS pos, md5(array_to_string(t[pos:pos + 99], ' ')) AS h FROM p), v AS (SELECT *, lag(pos) OVER (PARTITION BY h, doc_id ORDER BY pos) AS before, first_value(doc_id) OVER f AS doc_a, first_value(pos) OVER f AS pos_a FROM w WINDOW f AS (PARTITION BY h ORDER BY doc_id, pos)),
 hits AS MATERIALIZED (SELECT CASE WHEN before IS NULL THEN doc_a ELSE doc_id END AS doc_a, doc_id AS doc_b, coalesce(before, pos_a) - pos AS shift, pos FROM v WHERE before IS NOT NULL OR doc_id > doc_a), c AS (SELECT DISTINCT doc_a, doc_b, shift FROM hits),

@@ -164,13 +164,6 @@ def prj29_label_key(t):
     return t("findings").select("id", X.label_key(F.col("pr").cast("string"), F.col("location"), F.col("problem")).alias("key"))
 
 
-@query("SELECT pr, md5(string_agg(lower(concat_ws(' ', problem, fix)), ' ' ORDER BY idx)) AS text FROM {findings} GROUP BY pr")
-def prj30_issue_text(t):
-    from ..operators.findings import issue_text
-
-    return issue_text(t("findings")).select("pr", F.md5(F.col("text").cast("binary")).alias("text"))
-
-
 @query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\x0b\x0c]')))::BIGINT AS lines FROM documents")
 def prj32_nonblank_lines(t):
     return t("documents").select("doc_id", X.nonblank_lines(F.col("text")).alias("lines"))
