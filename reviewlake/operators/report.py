@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import new_path
+from ..shared import bucketed  # noqa: F401
 from .checks import STATUSES
 
 
-def bucketed(df: DataFrame, name: str, buckets: int | None = None, key: str = "pr") -> DataFrame:
-    """df, written once to the shared folder in buckets of the key, sorted, one file each. Tables of one number of buckets join and group by
-    the key without another shuffle. The number is that of the session's shuffle partitions, unless given."""
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
-
-
 def model(changes: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], ones: dict[str, DataFrame], key: str = "pr") -> DataFrame:
     """changes with a column for each derived table: of `lists` an array of structs in the given order, empty where a change has none, of
     `ones`, which have a row a change, a struct or null. What the list of a change holds is in one row, as the model is."""

@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.operators import facts as K
 from reviewlake.operators import report as M
+from reviewlake.plans import gates
+from reviewlake.plans.catalog import Tables
 
 
 @pytest.fixture()
@@ -41,3 +44,23 @@ def test_the_first_invalid_field_is_named(spark):
     assert [got[k] for k in range(len(cases))] == [f and f"invalid: {f}" for f in cases]
     valid, bad = M.quarantined(df)
     assert [r.pr for r in valid.collect()] == [0] and bad.count() == len(cases) - 1
+
+
+def test_facts_meet_in_one_aggregate(spark):
+    """Twenty tables by change are put together without a join, whose sorts would all be in one task's memory; a change lacks what a table
+    hasn't of it."""
+    tables = [spark.range(k, 40).select(F.col("id").alias("pr"), (F.col("id") * k).alias(f"n{k}"), F.array(F.lit(k)).alias(f"a{k}")) for k in range(20)]
+    got = K.gathered(tables)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.pr: r for r in got.collect()}
+    assert sorted(rows) == list(range(40))
+    assert all((r[f"n{k}"], r[f"a{k}"]) == ((pr * k, [k]) if pr >= k else (None, None)) for pr, r in rows.items() for k in range(20))
+
+
+def test_facts_have_few_joins_in_a_row(spark, sf):
+    """Tickets, what is gathered, builds, runs and votes: five joins follow each other, whatever number of tables is gathered."""
+    node, joins = gates.facts(Tables(spark, sf))._jdf.queryExecution().optimizedPlan(), 0
+    while node.children().size() and node.nodeName() in ("Project", "Join", "Filter"):
+        joins += node.nodeName() == "Join"
+        node = node.children().apply(0)
+    assert 0 < joins <= 5
