@@ -334,3 +334,10 @@ def test_known_issues_are_found_in_their_case(spark):
     issues = [(1, "r", "a", ["A.java:86"], "a leak"), (1, "r", "b", ["src/A.java"], "a leak on close of a file"), (1, "r", "c", ["in src/A.java:84"], "leak"), (1, "r", "d", ["src/A.java:84"], "leak"), (1, "r", "e", ["B.java:100", "x/src/A.java:125"], "leak"), (2, "r", "f", ["A.java:20"], "y x"), (2, "r", "g", ["A.java:22"], "x"), (3, "r", "h", ["A.java:5"], "x")]
     got = bench.matches(spark.createDataFrame(issues, "case_id int, run string, id string, locations array<string>, text string"), spark.createDataFrame(known, "case_id int, issue string, files array<string>, begin int, end int, terms array<string>, any_of array<string>"))
     assert rows(got, "id", "issue") == [("a", "k1"), ("a", "k3"), ("b", "k1"), ("b", "k2"), ("b", "k3"), ("d", "k3"), ("e", "k1"), ("e", "k3"), ("f", "k4")]
+
+
+def test_words_of_patterns_end_at_letters_beyond_ascii(spark):
+    texts = {1: "étionré", 2: "ation", 3: "x tion", 4: "tioné", 5: "_tion", 6: "a\\\\b"}
+    patterns = spark.createDataFrame([("begin", r"\btion"), ("end", r"tion\b"), ("literal", r"\\\\b$")], "category string, pattern string")
+    got = selection.categories(spark.createDataFrame(list(texts.items()), "id long, text string"), patterns, least=1)
+    assert rows(got, "id", "category") == [(1, "begin"), (2, "end"), (3, "begin"), (3, "end"), (4, "begin"), (4, "end"), (5, "end"), (6, "literal")]
