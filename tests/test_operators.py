@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -341,3 +342,14 @@ def test_words_of_patterns_end_at_letters_beyond_ascii(spark):
     patterns = spark.createDataFrame([("begin", r"\btion"), ("end", r"tion\b"), ("literal", r"\\\\b$")], "category string, pattern string")
     got = selection.categories(spark.createDataFrame(list(texts.items()), "id long, text string"), patterns, least=1)
     assert rows(got, "id", "category") == [(1, "begin"), (2, "end"), (3, "begin"), (3, "end"), (4, "begin"), (4, "end"), (5, "end"), (6, "literal")]
+
+
+def test_calls_of_a_method_meet_changes_by_test_too(spark):
+    """A method that every change has and every test calls: each change meets the one test that mentions its class, not all of them."""
+    n = 30
+    tests = spark.createDataFrame([(f"org/T{k}Test.java", f"@Test void a() {{ Klass{k} x; x.run(1); }}") for k in range(n)], "test string, text string")
+    classes = spark.createDataFrame([(k, f"Klass{k}") for k in range(n)], "pr long, cls string")
+    methods = spark.createDataFrame([(k, "run") for k in range(n)], "pr long, method string")
+    out = selection.scored_tests(tests, classes, methods, classes.limit(0).withColumnRenamed("cls", "sub"), spark.createDataFrame([], "pr long, test string"), least=1, hub_share=0.5)
+    assert not re.search(r"Join Inner, \(method#\d+ = method#\d+\)\s*$", out._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    assert rows(out, "pr", "test", "score") == [(k, f"org/T{k}Test.java", 7) for k in range(n)]
