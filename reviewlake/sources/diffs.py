@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+HEADER = re.compile(HUNK, re.ASCII)
+#: Lines of a batch that goes back to Spark.
+AT_ONCE = 20_000
 
 
 def lines_of(df: DataFrame, by: str, text: str) -> DataFrame:
@@ -14,35 +22,57 @@ def lines_of(df: DataFrame, by: str, text: str) -> DataFrame:
     return df.select(by, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
 
 
+def numbered(text: str | None) -> Iterator[tuple]:
+    """pos, line, file, old_path, new_path, hunk, old_line and new_line of each line in a hunk of one diff."""
+    lines, files, file = (text or "").split("\n"), {}, 0
+    for line in lines:
+        file += line.startswith("diff --git ")
+        for side, mark in enumerate(("--- ", "+++ ")):
+            if line.startswith(mark) and (file, side) not in files:
+                files[file, side] = line[4:].removeprefix(("a/", "b/")[side])
+    file = hunk = old = new = 0
+    for pos, line in enumerate(lines):
+        if line.startswith("diff --git "):
+            file, hunk = file + 1, 0
+        if at := HEADER.match(line):
+            # "-40,0" means after line 40: the next base line is 41; the same for the other side
+            hunk, old, new = hunk + 1, int(at[1]) + (at[2] == "0"), int(at[3]) + (at[4] == "0")
+        elif hunk:
+            yield pos, line, file, files.get((file, 0)), files.get((file, 1)), hunk, old, new
+            old += line[:1] in (" ", "-") and line != ""
+            new += line[:1] in (" ", "+", "")
+
+
 def diff_lines(df: DataFrame, by: str = "pr", text: str = "diff") -> DataFrame:
-    """by, pos, line, file (ordinal), old_path, new_path, hunk (ordinal in the diff, null before the first), old_line, new_line.
+    """by, pos, line, file (ordinal), old_path, new_path, hunk (ordinal in the diff's file), old_line, new_line of lines in hunks.
 
     A file begins at its diff header; hunk headers give the first line numbers, and running counts of kept, added and
-    deleted lines give the rest, so one pass over each diff's lines in order numbers all.
+    deleted lines give the rest. A diff is one row, so its lines are numbered where they are, without a sort. Diffs are dealt out by
+    key before they are cut: few compressed splits can hold very many.
     """
-    w = W.partitionBy(by).orderBy("pos")
-    x = lines_of(df, by, text)
-    x = x.withColumn("file", F.sum(F.col("line").startswith("diff --git ").cast("int")).over(w))
-    in_file = W.partitionBy(by, "file").orderBy("pos")
-
-    def path(mark: str, side: str) -> Column:
-        raw = F.when(F.col("line").startswith(mark), F.expr(f"regexp_replace(substring(line, 5), '^{side}/', '')"))
-        return F.first(raw, ignorenulls=True).over(W.partitionBy(by, "file").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-
-    x = x.withColumn("old_path", path("--- ", "a")).withColumn("new_path", path("+++ ", "b"))
-    x = x.withColumn("is_hunk", F.col("line").rlike(HUNK))
-    x = x.withColumn("hunk_no", F.sum(F.col("is_hunk").cast("int")).over(in_file)).withColumn("hunk", F.when(F.col("hunk_no") > 0, F.col("hunk_no")))
-    num = lambda k: F.regexp_extract("line", HUNK, k)
-    # "-40,0" means after line 40: the next base line is 41; the same for the other side
-    start = lambda a, n: F.when(F.col("is_hunk"), num(a).cast("long") + F.when(num(n) == "0", 1).otherwise(0))
-    in_hunk = W.partitionBy(by, "file", "hunk").orderBy("pos")
-    before = in_hunk.rowsBetween(W.unboundedPreceding, -1)
-    body = ~F.col("is_hunk")
-    old = (body & F.col("line").rlike("^[ -]")).cast("int")
-    new = (body & (F.col("line").rlike(r"^[ +]") | (F.col("line") == ""))).cast("int")
-    x = x.withColumn("_o", F.first(start(1, 2), ignorenulls=True).over(in_hunk)).withColumn("_n", F.first(start(3, 4), ignorenulls=True).over(in_hunk))
-    x = x.withColumn("old_line", F.col("_o") + F.coalesce(F.sum(old).over(before), F.lit(0))).withColumn("new_line", F.col("_n") + F.coalesce(F.sum(new).over(before), F.lit(0)))
-    return x.filter(F.col("hunk").isNotNull() & ~F.col("is_hunk")).select(by, "pos", "line", "file", "old_path", "new_path", "hunk", "old_line", "new_line")
+    kinds = [("pos", T.IntegerType()), ("line", T.StringType()), ("file", T.LongType()), ("old_path", T.StringType()), ("new_path", T.StringType()), ("hunk", T.LongType()), ("old_line", T.LongType()), ("new_line", T.LongType())]
+    shape = [(n, {"int": pa.int32(), "bigint": pa.int64()}.get(t.simpleString(), pa.string())) for n, t in kinds]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+
+            def out(batch=batch) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), shape, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[by, *[n for n, _ in shape]])
+
+            for k, diff in enumerate(batch.column(1)):
+                for row in numbered(diff.as_py()):
+                    rows.append(row)
+                    at.append(k)
+                    if len(rows) == AT_ONCE:
+                        yield out()
+                        rows, at = [], []
+            if rows:
+                yield out()
+
+    schema = T.StructType([T.StructField(by, df.schema[by].dataType), *[T.StructField(n, t) for n, t in kinds]])
+    return df.select(by, F.col(text).cast("string").alias("_text")).repartition(by).mapInArrow(number, schema)
 
 
 def added_lines(lines: DataFrame, by: str = "pr") -> DataFrame:

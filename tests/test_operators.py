@@ -353,3 +353,13 @@ def test_calls_of_a_method_meet_changes_by_test_too(spark):
     out = selection.scored_tests(tests, classes, methods, classes.limit(0).withColumnRenamed("cls", "sub"), spark.createDataFrame([], "pr long, test string"), least=1, hub_share=0.5)
     assert not re.search(r"Join Inner, \(method#\d+ = method#\d+\)\s*$", out._jdf.queryExecution().optimizedPlan().toString(), re.M)
     assert rows(out, "pr", "test", "score") == [(k, f"org/T{k}Test.java", 7) for k in range(n)]
+
+
+def test_diff_lines_need_no_sort(spark):
+    """A diff is numbered where it is: whole diffs are dealt out, and no task sorts its lines."""
+    d = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -40,0 +41,2 @@ f\n+one\n+two\n@@ -50,2 +53 @@\n k\n-gone"
+    lines = diffs.diff_lines(spark.createDataFrame([(1, d), (1, d), (2, "@@ -1 +1 @@\n--- gone"), (3, None)], "pr long, diff string"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
+    one = [(1, "+one", 41, 41), (1, "+two", 41, 42), (1, " k", 50, 53), (1, "-gone", 51, 54)]
+    assert rows(lines, "pr", "line", "old_line", "new_line") == sorted([*one, *one, (2, "--- gone", 1, 1)])
