@@ -363,3 +363,13 @@ def test_diff_lines_need_no_sort(spark):
     assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
     one = [(1, "+one", 41, 41), (1, "+two", 41, 42), (1, " k", 50, 53), (1, "-gone", 51, 54)]
     assert rows(lines, "pr", "line", "old_line", "new_line") == sorted([*one, *one, (2, "--- gone", 1, 1)])
+
+
+def test_lines_of_ranges_meet_as_bits(spark):
+    some = [(1, 1, 3), (1, 2, 5), (1, 60, 200), (1, 64, 127), (2, 63, 63), (2, 5, 2), (3, -70, -60), (4, None, 3), (4, 3, None), (None, 7, 8)]
+    want = sorted({(f, n) for f, a, b in some if a is not None and b is not None for n in range(min(a, b), max(a, b) + 1)}, key=repr)
+    got = deltas.added_lines(spark.createDataFrame(some, "file_id long, begin_line int, end_line int"))
+    assert got.schema["line"].dataType.simpleString() == "int"
+    assert sorted(((r.file_id, r.line) for r in got.collect()), key=repr) == want
+    groups = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
+    assert len(groups) == 1 and "line" not in groups[0].split("]")[0]  # no single line is a key
