@@ -373,3 +373,11 @@ def test_lines_of_ranges_meet_as_bits(spark):
     assert sorted(((r.file_id, r.line) for r in got.collect()), key=repr) == want
     groups = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
     assert len(groups) == 1 and "line" not in groups[0].split("]")[0]  # no single line is a key
+
+
+def test_subtypes_keep_no_set_of_changed_classes(spark):
+    sources = spark.createDataFrame([("class Sub extends Base { }",), ("class Own extends Base { }",)], "text string")
+    classes = spark.createDataFrame([(1, "Base"), (1, "Base"), (2, "Base"), (2, "Own"), (2, "Own")], "pr long, cls string")
+    got = selection.subtypes(sources, classes)
+    assert rows(got, "pr", "sub") == [(1, "Own"), (1, "Sub"), (2, "Sub")]
+    assert not re.search(r"Aggregate \[pr#\d+L?, cls#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
