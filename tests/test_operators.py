@@ -381,3 +381,47 @@ def test_subtypes_keep_no_set_of_changed_classes(spark):
     got = selection.subtypes(sources, classes)
     assert rows(got, "pr", "sub") == [(1, "Own"), (1, "Sub"), (2, "Sub")]
     assert not re.search(r"Aggregate \[pr#\d+L?, cls#\d+\]", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_each_text_is_worked_on_once(spark):
+    """Issues and pair scores parse a text where it is distinct, and join what comes of it: no pattern is left above the join."""
+    df = spark.createDataFrame([(1, i, f"l{i}", "the readBuffer of a.bC closes" if i % 2 else None, "check it" if i < 3 else None, None) for i in range(5)], "pr long, idx long, lens string, problem string, fix string, location string")
+    got = findings.with_identifiers(df)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.idx: r._idents for r in got.collect()} == {0: 0, 1: 3, 2: 0, 3: 3, 4: 0}
+    sets = findings.token_sets(df)
+    assert "regexp_extract_all" not in sets._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.idx, tuple(r.pw), tuple(r.fi), r._n) for r in sets.collect()} == {(0, (), (), 5), (2, (), (), 5), (4, (), (), 5), (1, ("readbuffer", "clos"), (), 5), (3, ("readbuffer", "clos"), (), 5)}
+
+
+def test_components_of_small_changes_take_no_rounds(spark):
+    chain = spark.createDataFrame([(p, i, i + 1) for p in (1, 2) for i in range(40)] + [(3, 5, 9)], "pr long, i long, j long")
+    want = {(p, i): 0 for p in (1, 2) for i in range(41)} | {(3, 5): 5, (3, 9): 5}
+    spark.sparkContext.setJobGroup("components", "")
+    got = {(r.pr, r.idx): r.root for r in findings.connected(chain).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want
+    assert len(jobs) < 12
+    assert {(r.pr, r.idx): r.root for r in findings.connected(chain, most=3).collect()} == want
+
+
+def test_words_and_identifiers_equal_their_definition(spark):
+    rng = random.Random(5)
+    parts = ["closings", "stations", "ations", "ation", "buses", "readBuffer", "TableReader.closeAll", "a.b", "The", "IOException", "x9.y", "9abc", "fails.", "Zz_", "java", "Foo.java", "thing-ing", "ABc", "was", "does", "passed", "Été", "ab", "...", "a..bC", "éclair"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", ".", ",", "", "_"]) for _ in range(8)) for _ in range(300)] + ["", None]
+
+    def stem(w):
+        return next((w[: -len(e)] for e in X.ENDINGS if w.endswith(e) and len(w) - len(e) >= 4), w)
+
+    def words(t):
+        return list(dict.fromkeys(stem(w) for w in re.findall("[a-z]+", (t or "").lower()) if len(w) > 2 and w not in X.STOP))
+
+    def identifiers(t):
+        found = [w for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", t or "") if not w.endswith("java")]
+        parts = [p for w in found for p in ([w, *w.split(".")] if "." in w else [w])]
+        return list(dict.fromkeys(p for p in parts if re.search("[a-z][A-Z]", p) or re.search("^[A-Z]{2,}[a-z]", p) or "." in p))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    for r in df.select("t", X.words(df.t).alias("w"), X.identifiers(df.t).alias("i")).collect():
+        assert (list(r.w), list(r.i)) == (words(r.t), identifiers(r.t)), r.t
