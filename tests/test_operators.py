@@ -425,3 +425,10 @@ def test_words_and_identifiers_equal_their_definition(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
     for r in df.select("t", X.words(df.t).alias("w"), X.identifiers(df.t).alias("i")).collect():
         assert (list(r.w), list(r.i)) == (words(r.t), identifiers(r.t)), r.t
+
+
+def test_votes_needed_reads_two_facts_only(spark, sf):
+    from reviewlake.plans import QUERIES
+
+    plan = QUERIES["prj31_votes_needed"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"style_new", "log_entries", "bugs_new"} & set(re.findall(r"\w+(?=#)", plan))
