@@ -230,12 +230,14 @@ def tickets(df: DataFrame, fields: DataFrame, base: str, text: str = "value", re
     since_versions, reviewers, authors, assignee, test_doc_plan, impacts, source_control_link, comments, attachments, issuelinks and
     remotelinks, and error for a text that is no ticket, with nulls.
 
-    A document is read once, as a Variant, whatever fields it has. Custom fields are found by name: fields (tracker, id, name) gives each
+    A document is read once, as a Variant, whatever fields it has, where it lies: trackers are few, and dealt out by tracker all documents would
+    meet in as many tasks, so up to 10,000 are broadcast; more are joined as Spark sees fit. Custom fields are found by name: fields (tracker, id, name) gives each
     tracker's ids, one row a tracker after grouping, and a field is read at the path of its id. remote: a column with the landed
     list of remote links.
     """
     low = fields.filter(F.col("name").isin(*wanted.values())).groupBy("tracker").agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("_ids"))
-    t = df.join(low, "tracker", "left").withColumn("_v", F.try_parse_json(text))
+    few = low.limit(10_001).count() <= 10_000
+    t = df.join(F.broadcast(low) if few else low, "tracker", "left").withColumn("_v", F.try_parse_json(text))
     v = F.col("_v")
     f = lambda path, kind="variant": at(v, f"$.fields.{path}", kind)
     custom = lambda name: at(v, F.concat(F.lit("$.fields['"), F.coalesce(F.try_element_at("_ids", F.lit(wanted[name])), F.lit("-")), F.lit("']")), "variant")
