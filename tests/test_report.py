@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.operators import checks as C
 from reviewlake.operators import facts as K
 from reviewlake.operators import report as M
 from reviewlake.plans import gates
@@ -64,3 +65,23 @@ def test_facts_have_few_joins_in_a_row(spark, sf):
         joins += node.nodeName() == "Join"
         node = node.children().apply(0)
     assert 0 < joins <= 5
+
+
+def test_sections_are_made_without_another_shuffle_of_statuses(spark, sf):
+    """Facts that only words of a check read aren't made, and statuses aren't dealt out by section."""
+    t = Tables(spark, sf)
+    f = gates.facts(t, C.asked())
+    assert not {"style_places", "complex_top", "copies", "bug_rules"} & set(f.columns) and {"style_new", "banned"} <= set(f.columns)
+    whole = {(r.pr, r.check_id): r.status for r in gates.results(t).collect()}
+    got = C.statuses(f)
+    assert {(r.pr, r.check_id): r.status for r in got.collect()} == whole and len(whole) == 31 * f.count()
+    plan = C.worst(got)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pr" in plan and "section" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_statuses_of_a_check_that_is_a_function(spark):
+    facts = spark.createDataFrame([(1, 3), (2, None)], "pr long, n int")
+    rule = C.Check("a.n", "reviewer", False, (C.O("n > 2", "fail", "'many'"), C.O("n > 0", "warn", "'some'"), C.O(None, "pass", "'none'")), C.EMPTY)
+    own = lambda f: f.selectExpr("pr", "'b.own' AS check_id", "'info' AS status")
+    assert sorted(map(tuple, C.statuses(facts, {"a.n": rule, "b.own": own}).collect())) == [(1, "a.n", "fail"), (1, "b.own", "info"), (2, "a.n", "pass"), (2, "b.own", "info")]
+    assert C.asked({"a.n": rule}) == {"n"} and C.asked({"a.n": rule, "b.own": own}) is None
