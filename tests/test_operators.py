@@ -328,6 +328,29 @@ def test_scenarios_fall_back_to_smoke(spark):
     assert rows(got, "pr", "scenario") == [(1, "smoke"), (2, "net")]
 
 
+def test_scenarios_deal_files_out_once(spark):
+    """Rules, the lines they cover and the changes that none covers come from one reading and one shuffle of the files; a rule called smoke is a
+    scenario like any other, and rows of one path count where no rule fits."""
+    files = [(1, "x/a", 5, "t"), (1, "x/b", 6, "t"), (1, "x/a", 2, "t"), (2, "x/a", 4, "t"), (2, "y/c", 1, "t"), (3, "y/d", 7, "t"), (3, "y/d", 7, "t"), (4, "z/e", 1, "t"), (5, "y/n", None, "t")]
+    rule = lambda i, name, prefix, least, priority: {"id": i, "scenario": name, "prefixes": [prefix], "min_lines": least, "priority": priority}
+    rules = [rule("p", "net", "x/", 10, 1), rule("q", "net", "x/a", 3, 2), rule("r", "smoke", "z/", 1, 5)]
+    got = selection.scenarios(spark.createDataFrame(files, "pr long, path string, lines long, title string").repartition(3), rules)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = [(1, "net", 2, 11, 2, 1), (2, "net", 2, 4, 1, 1), (3, "smoke", 0, 14, 2, 1), (4, "smoke", 5, 1, 1, 1), (5, "smoke", 0, None, 1, 1)]
+    assert rows(got, "pr", "scenario", "priority", "lines", "files", "rank") == want
+
+
+def test_declaring_files_gather_lines_of_files_with_the_word(spark):
+    from reviewlake.operators import facts
+
+    lines = [(1, "src/java/A.java", 2, "implements B,"), (1, "src/java/A.java", 3, "VersionedSerializer<A>"), (1, "src/java/B.java", 1, "VersionedSerializer"), (2, "src/java/A.java", 1, "implements B {"), (2, "src/java/A.java", 2, "VersionedSerializer"), (3, "test/A.java", 1, "implements VersionedSerializer"), (4, "src/java/A.java", 9, None)]
+    df = spark.createDataFrame(lines, "pr long, path string, line_no long, text string")
+    assert rows(facts.declaring_files(df), "pr", "path") == [(1, "src/java/A.java")]
+    assert rows(facts.declaring_files(df, "(?i)versionedserializer$"), "pr", "path") == [(1, "src/java/B.java"), (2, "src/java/A.java")]
+    assert facts.first_word(r"ab\s+(c|d)") == "ab" and facts.first_word(r"ab\s+c|d") is None and facts.first_word("abs*") is None
+
+
 def test_known_issues_are_found_in_their_case(spark):
     from reviewlake.operators import bench
 
