@@ -302,10 +302,13 @@ def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def tokens_of(docs: DataFrame, k: int, *by: str) -> DataFrame:
-    """(*by, doc_id, words, t) of the texts with k tokens or more: the tokens, and a hash of each."""
-    words = F.split(F.trim(F.regexp_replace("text", BLANKS, " ")), " ")
-    return docs.select(*by, "doc_id", words.alias("words")).filter(F.size("words") >= k).withColumn("t", F.transform("words", lambda x: F.xxhash64(x)))
+def tokens(text: str) -> F.Column:
+    """The tokens of a text."""
+    return F.split(F.trim(F.regexp_replace(text, BLANKS, " ")), " ")
+
+
+def token_hashes(words: str | F.Column) -> F.Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
 
 def minimisers(tokens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,25 +356,27 @@ def duplicate_blocks(docs: DataFrame, k: int = 100, group: str | None = None) ->
 
     Of each text only minimisers are shuffled, two for some 52 windows at k = 100. Windows are made where a minimiser is found twice, and
     meet by their hash; then the tokens themselves are compared outwards from there to both ends, so a chance collision gives no
-    row. Frequent passages need no pruning, as none is compared with more than one other.
+    row. Texts move once for each two documents that share places, not for each place, and only those of such documents; tokens are never moved. Frequent passages need no pruning, as none is compared with more than one other.
     """
     by = [group] if group else []
     names = [*by, "doc_id"]
-    t = tokens_of(docs, k, *by)
-    marks = each_row(t.drop("words"), names, "m long, from int, to int", lambda r: [x.view(np.int64) if n == 0 else x.astype(np.int32) for n, x in enumerate(minimisers(r["t"].values.to_numpy().view(np.uint64), k))])
+    docs = docs.select(*names, "text")
+    t = docs.select(*names, tokens("text").alias("words")).filter(F.size("words") >= k).select(*names, token_hashes("words").alias("t"))
+    marks = each_row(t, names, "m long, from int, to int", lambda r: [x.view(np.int64) if n == 0 else x.astype(np.int32) for n, x in enumerate(minimisers(r["t"].values.to_numpy().view(np.uint64), k))])
     marks = materialise(marks, "minimisers")
     twice = marks.groupBy("m", *by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     spans = marks.join(twice, ["m", *by], "left_semi").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    held = materialise(t.join(spans, names), "token-rows")  # the documents with anything twice
+    held = docs.join(spans, names).select(*names, "spans", token_hashes(tokens("text")).alias("t"))  # the documents with anything twice
 
     def windows(r: dict) -> list:
         h = window_hashes(r["t"].values.to_numpy().view(np.uint64), k)
         spans = r["spans"].values.flatten()
         at = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in zip(spans[0].to_pylist(), spans[1].to_pylist(), strict=True)]))
+        at = at[at < len(h)]
         before = earlier(h[at])
         return [h[at].view(np.int64), at.astype(np.int32), np.where(before < 0, -1, at[before]).astype(np.int32)]
 
-    w = materialise(each_row(held.drop("words"), names, "h long, pos int, before int", windows), "windows")
+    w = materialise(each_row(held, names, "h long, pos int, before int", windows), "windows")
     first = w.filter("before < 0")
     heads = first.groupBy("h", *by).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     across = first.join(heads, ["h", *by]).filter(F.col("doc_id") > F.col("a.doc_id")).select(*by, F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), (F.col("a.pos") - F.col("pos")).alias("shift"), "pos")
@@ -379,10 +384,15 @@ def duplicate_blocks(docs: DataFrame, k: int = 100, group: str | None = None) ->
     by_shift = W.partitionBy(*by, "doc_a", "doc_b", "shift").orderBy("pos")
     hits = across.unionByName(within).withColumn("run", F.col("pos") - F.row_number().over(by_shift))
     seeds = hits.groupBy(*by, "doc_a", "doc_b", "shift", "run").agg(F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"))
+    pairs = seeds.groupBy(*by, "doc_a", "doc_b").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("seeds"))
+    pairs = materialise(pairs, "pairs")  # read twice
+    named = pairs.select(*by, F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    texts = docs.join(named, names, "left_semi")
+    side = lambda c: texts.select(*by, F.col("doc_id").alias(f"doc_{c}"), F.col("text").alias(f"text_{c}"))
+    met = pairs.join(side("b"), [*by, "doc_b"]).join(side("a"), [*by, "doc_a"])
+    both = met.select("doc_a", "doc_b", "seeds", tokens("text_a").alias("words_a"), tokens("text_b").alias("words_b")).withColumn("s", F.explode("seeds")).select("doc_a", "doc_b", "words_a", "words_b", "s.*")
 
     # both sides from where the later text begins, or the earlier one, to where either ends: no longer than the later text
-    side = lambda c: held.select(*by, F.col("doc_id").alias(f"doc_{c}"), F.col("words").alias(f"words_{c}"))
-    both = seeds.join(side("b"), [*by, "doc_b"]).join(side("a"), [*by, "doc_a"])
     start = F.greatest(F.lit(0), -F.col("shift"))
     long = F.least(F.size("words_b"), F.size("words_a") - F.col("shift")) - start
     cut = both.withColumn("start", start).withColumn("a", F.slice("words_a", start + F.col("shift") + 1, long)).withColumn("b", F.slice("words_b", start + 1, long)).drop("words_a", "words_b")

@@ -166,6 +166,18 @@ def docs_equal(texts, r):
     return x == y and len(x) == r[4] >= 10
 
 
+def test_texts_move_once_for_two_documents(spark, monkeypatch):
+    """No tokens are written, and documents that share three places are one row until their texts are compared."""
+    written, real = {}, findings.materialise
+    monkeypatch.setattr(findings, "materialise", lambda df, name: written.setdefault(name, real(df, name)))
+    p = [" ".join(f"p{n}x{i}" for i in range(12)) for n in range(3)]
+    docs = [(1, f"{p[0]} a {p[1]} b b {p[2]}"), (2, f"{p[2]} c {p[0]} d {p[1]}"), (3, " ".join(f"u{i}" for i in range(40)))]
+    got = rows(findings.duplicate_blocks(spark.createDataFrame(docs, "doc_id long, text string"), k=10), *BLOCK)
+    assert got == [(1, 0, 2, 13, 12), (1, 13, 2, 26, 12), (1, 27, 2, 0, 12)]
+    assert not any(f.dataType.simpleString() in ("string", "array<string>") for df in written.values() for f in df.schema)
+    assert [(r.doc_a, r.doc_b, len(r.seeds)) for r in written["pairs"].collect()] == [(1, 2, 3)]
+
+
 def test_blocks_within_groups(spark):
     text = " ".join(f"s{i}" for i in range(20))
     df = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "a", text)], "doc_id long, g string, text string")
