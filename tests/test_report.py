@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.operators import checks as C
 from reviewlake.operators import facts as K
+from reviewlake.operators import joins as J
 from reviewlake.operators import report as M
 from reviewlake.plans import QUERIES, gates
 from reviewlake.plans.catalog import Tables
@@ -122,3 +123,26 @@ def test_flags_of_changes_are_those_of_their_results(spark, sf):
     own = lambda f: f.filter("n IS NULL").selectExpr("pr", "'b.own' AS check_id", "'warn' AS status", "false AS blocking", "'contributor' AS owner", "true AS action_required")
     got = {r.pr: [tuple(c) for c in r.checks] for r in C.flagged(facts, {"a.n": rule, "b.own": own}).collect()}
     assert got == {1: [("a.n", "fail", True, "reviewer", True)], 2: [("a.n", "pass", True, "reviewer", False), ("b.own", "warn", False, "contributor", True)]}
+
+
+def test_what_is_bucketed_by_change_is_gathered_where_it_is(no_broadcast):
+    n = int(no_broadcast.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (M.bucketed(no_broadcast.range(60).select((F.col("id") % k).alias("pr"), F.col("id").alias(f"n{k}")), "some", n).groupBy("pr").agg(F.max(f"n{k}").alias(f"n{k}")) for k in (10, 7))
+    got = K.gathered([a, b])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.pr: (r.n10, r.n7) for r in got.collect()} == {k: (50 + k, max(x for x in range(60) if x % 7 == k) if k < 7 else None) for k in range(10)}
+
+
+def test_sides_meet_where_their_file_is(no_broadcast):
+    """Ranges, and base and head, without a shuffle of lines; keys that are null meet nothing."""
+    n = int(no_broadcast.conf.get("spark.sql.shuffle.partitions"))
+    lines = no_broadcast.createDataFrame([(1, 10, "a"), (1, 90, "a"), (2, 10, None), (2, 20, None), (3, None, "b")], "file_id long, line int, rule string")
+    spans = no_broadcast.createDataFrame([(1, 8, 12), (1, 1, 9), (2, 30, 15), (3, 1, 99), (None, 1, 99)], "file_id long, lo int, hi int")
+    x, y = M.bucketed(lines, "lines", n, key="file_id"), M.bucketed(spans, "spans", n, key="file_id")
+    hit = J.covered(x, y, ["file_id"], "line", "line", "lo", "hi", "hit")
+    bags = J.bag_match(x, x.filter("line < 20"), ["file_id", "rule"], ["line"])
+    assert not [d for d in (hit, bags) if "Exchange" in d._jdf.queryExecution().executedPlan().toString()]
+    assert sorted((r.file_id, r.line or 0, r.hit) for r in hit.collect()) == [(1, 10, True), (1, 90, False), (2, 10, False), (2, 20, False), (3, 0, False)]
+    wide = J.covered(x.withColumn("end", F.col("line") + 25), y, ["file_id"], "line", "end", "lo", "hi", "hit")
+    assert sorted((r.file_id, r.line) for r in wide.filter("hit").collect()) == [(1, 10), (2, 10)]
+    assert sorted((r.file_id, r._k, r.line or 0, r.r_line or 0, bool(r._left), bool(r._right)) for r in bags.collect()) == [(1, 1, 10, 10, True, True), (1, 2, 90, 0, True, False), (2, 1, 0, 10, False, True), (2, 1, 10, 0, True, False), (2, 2, 20, 0, True, False), (3, 1, 0, 0, True, False)]
