@@ -146,3 +146,9 @@ def test_sides_meet_where_their_file_is(no_broadcast):
     wide = J.covered(x.withColumn("end", F.col("line") + 25), y, ["file_id"], "line", "end", "lo", "hi", "hit")
     assert sorted((r.file_id, r.line) for r in wide.filter("hit").collect()) == [(1, 10), (2, 10)]
     assert sorted((r.file_id, r._k, r.line or 0, r.r_line or 0, bool(r._left), bool(r._right)) for r in bags.collect()) == [(1, 1, 10, 10, True, True), (1, 2, 90, 0, True, False), (2, 1, 0, 10, False, True), (2, 1, 10, 0, True, False), (2, 2, 20, 0, True, False), (3, 1, 0, 0, True, False)]
+
+
+def test_scored_tests_are_not_sent_through_the_driver(spark, sf):
+    """Texts and what is cut out of them are joined by a shuffle, small as Spark takes them to be: only hubs, and tables of one row, are broadcast."""
+    plan = QUERIES["agg29_scored_tests"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 8
